@@ -6,12 +6,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, exact_dedup
+from pathloom.llm import bpe, exact_dedup, line_dedup, packing, secret_scan, vector_search
 from pathloom.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), capacity=8192)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_digests(read_table(spark, sf_dir, "documents"), min_documents=10, min_chars=1)
+
+
+OP5_SQL = """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+    FROM documents
+), keyed AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM lines
+), frequent AS (
+    SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent f ON keyed.k = f.k
+GROUP BY doc_id
+"""
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -34,13 +65,21 @@ FROM documents
 """
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_secret_scan": op6_secret_scan,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_token_counts": op8_token_counts,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL}
