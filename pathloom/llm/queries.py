@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, vector_search
+from pathloom.llm import bpe, exact_dedup, language_model, line_dedup, packing, quality, secret_scan, vector_search
 from pathloom.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), capacity=8192)
 
 
+def op3_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score_quality(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -77,6 +81,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_context_tree_scores": op3_context_tree_scores,
         "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
         "op6_secret_scan": op6_secret_scan,
