@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 # ASCII white space: space and 0x09-0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-# What a row says of its own identity, beside doc_id, where doc_id is null or repeated.
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -66,3 +65,16 @@ def text_or_empty(column: str = "text") -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bit_set(keys: DataFrame, column: Column, bits: int) -> DataFrame:
+    """Rows (word, mask) of a bit set of 2**bits bits that has a bit for each key."""
+    position = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    return keys.select((position / 64).cast("long").alias("_word"), F.pmod(position, F.lit(64)).cast("int").alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
+
+
+def probe_bit_set(rows: DataFrame, column: Column, words: DataFrame, bits: int) -> DataFrame:
+    """``rows`` with ``_hit``: whether the key's bit is set. The set is broadcast: at most 2**bits / 64 rows of two longs."""
+    position = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    probed = rows.withColumn("_word", (position / 64).cast("long")).withColumn("_bit", F.pmod(position, F.lit(64)).cast("int"))
+    return probed.join(F.broadcast(words), "_word", "left").withColumn("_hit", F.expr("coalesce(getbit(_mask, _bit) = 1, false)")).drop("_word", "_bit", "_mask")

@@ -14,27 +14,17 @@ group costs one needless hash and never a wrong result, since the last step grou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import bit_set, probe_bit_set
+
 #: Bits of the two bit sets that are broadcast: at most 2**bits / 64 rows of two longs.
 LENGTH_BITS = 22
 PREFIX_BITS = 25
 PREFIX_CHARS = 64
 
 
-def _bit_set(keys: DataFrame, column: Column, bits: int) -> DataFrame:
-    """Rows (word, mask) of a bit set of 2**bits bits that has a bit for each key."""
-    position = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    return keys.select((position / 64).cast("long").alias("_word"), F.pmod(position, F.lit(64)).cast("int").alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
-
-
-def _kept_by(rows: DataFrame, column: Column, bit_set: DataFrame, bits: int) -> DataFrame:
-    position = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    probed = rows.withColumn("_word", (position / 64).cast("long")).withColumn("_bit", F.pmod(position, F.lit(64)).cast("int"))
-    return probed.join(F.broadcast(bit_set), "_word", "left").withColumn("_hit", F.expr("coalesce(getbit(_mask, _bit) = 1, false)")).drop("_word", "_bit", "_mask")
-
-
 def exact_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -55,12 +45,12 @@ def exact_duplicates(
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     sized = rows.withColumn("_len", F.octet_length("_text").cast("long"))
     lengths = sized.groupBy("_len").count().where("count > 1")
-    by_length = _kept_by(sized, F.col("_len"), _bit_set(lengths, F.col("_len"), length_bits), length_bits)
+    by_length = probe_bit_set(sized, F.col("_len"), bit_set(lengths, F.col("_len"), length_bits), length_bits)
 
     prefixed = by_length.withColumn("_prefix", F.when(F.col("_hit"), F.xxhash64(F.substring("_text", 1, prefix_chars))))
     prefixes = prefixed.where("_hit").groupBy("_len", "_prefix").count().where("count > 1")
     prefix_key = F.struct("_len", "_prefix")
-    by_prefix = _kept_by(prefixed.drop("_hit"), prefix_key, _bit_set(prefixes, prefix_key, prefix_bits), prefix_bits)
+    by_prefix = probe_bit_set(prefixed.drop("_hit"), prefix_key, bit_set(prefixes, prefix_key, prefix_bits), prefix_bits)
 
     digest = [F.sha2("_text", 256).alias("_digest")] if digest_col else []
     hashed = by_prefix.select("_id", "_len", F.when(F.col("_hit") & F.col("_prefix").isNotNull(), F.sha2("_text", 256)).alias("_full"), *digest)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, exact_dedup, language_model, line_dedup, packing, quality, secret_scan, vector_search
+from pathloom.llm import bpe, exact_dedup, language_model, line_dedup, ngram_join, packing, quality, secret_scan, vector_search
 from pathloom.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), capacity=8192)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(read_table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op3_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(read_table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_context_tree_scores": op3_context_tree_scores,
         "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
