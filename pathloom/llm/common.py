@@ -78,3 +78,16 @@ def probe_bit_set(rows: DataFrame, column: Column, words: DataFrame, bits: int)
     position = F.pmod(F.xxhash64(column), F.lit(1 << bits))
     probed = rows.withColumn("_word", (position / 64).cast("long")).withColumn("_bit", F.pmod(position, F.lit(64)).cast("int"))
     return probed.join(F.broadcast(words), "_word", "left").withColumn("_hit", F.expr("coalesce(getbit(_mask, _bit) = 1, false)")).drop("_word", "_bit", "_mask")
+
+
+def without_rows(rows: DataFrame, dropped: DataFrame, key: str, bits: int = 25) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``dropped``; null keys stay.
+
+    A bit set of the dropped keys lets most rows pass without a shuffle; only rows whose bit is set are
+    joined with the keys themselves.
+    """
+    keys = dropped.select(F.col(key).alias("__dropped")).where("__dropped is not null").distinct()
+    probed = probe_bit_set(rows, F.col(key), bit_set(keys, F.col("__dropped"), bits), bits)
+    passed = probed.where(~F.col("_hit")).drop("_hit")
+    asked = probed.where("_hit").drop("_hit")
+    return passed.unionByName(asked.join(keys, asked[key] == F.col("__dropped"), "left_anti"))

@@ -166,10 +166,10 @@ def line_keep_bitmaps(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_c
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``_keep``: the row's bitmap, or null if it keeps all its lines."""
-    wanted = bitmaps.select(F.col("doc").alias("_doc"), F.col("content").alias("_content"), F.col("keep_bitmap").alias("_keep"))
-    on = docs[id_col].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_content"))
-    return docs.join(wanted, on, "left").drop("_doc", "_content")
+    """``docs`` with the column ``__keep``: the row's bitmap, or null if it keeps all its lines."""
+    wanted = bitmaps.select(F.col("doc").alias("__doc"), F.col("content").alias("__content"), F.col("keep_bitmap").alias("__keep"))
+    on = docs[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__content"))
+    return docs.join(wanted, on, "left").drop("__doc", "__content")
 
 
 def kept_lines(data: bytes, bitmap: bytes | None) -> tuple[list[bytes], int]:
@@ -197,7 +197,7 @@ def line_dedup_digests(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_
     read = docs.select(id_col, text_col)
     joined = with_bitmaps(read, line_keep_bitmaps(read, min_documents, min_chars, id_col, text_col), id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.select(id_col, text_col, "_keep").mapInArrow(run, f"id {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string").withColumnRenamed("id", id_col)
+    return joined.select(id_col, text_col, "__keep").mapInArrow(run, f"id {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def drop_repeated_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,4 +212,4 @@ def drop_repeated_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     joined = with_bitmaps(docs, line_keep_bitmaps(docs, min_documents, min_chars, id_col, text_col), id_col, text_col)
-    return joined.select(*docs.columns, "_keep").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, "__keep").mapInArrow(run, docs.schema)

@@ -90,20 +90,20 @@ def _suspect(candidate: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``: sorted arrays of (start, rank, finish, found).
+    """``docs`` with ``__base`` and ``__spans``: sorted arrays of (start, rank, finish, found).
 
-    ``_base`` has the matches of the fixed patterns (leftmost, non-overlapping within a kind; kinds may
-    overlap), ``_spans`` also the entropy scan's, less those that overlap a base span. Null and empty
+    ``__base`` has the matches of the fixed patterns (leftmost, non-overlapping within a kind; kinds may
+    overlap), ``__spans`` also the entropy scan's, less those that overlap a base span. Null and empty
     texts have none. Offsets count code points, the end is exclusive. All columns of ``docs`` pass through.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn("_text", F.when(F.contains(text, F.lit(_MARK)), F.replace(text, F.lit(_MARK), F.lit(_OTHER))).otherwise(text))
-    t = F.col("_text")
+    marked = docs.withColumn("__text", F.when(F.contains(text, F.lit(_MARK)), F.replace(text, F.lit(_MARK), F.lit(_OTHER))).otherwise(text))
+    t = F.col("__text")
     assigned = lambda found: F.char_length(F.regexp_extract(found, ASSIGN, 2)) >= MIN_ASSIGNED
     base = F.array_sort(F.concat(_spans(t, "assign", ASSIGN, assigned), _spans(t, "access", ACCESS), _spans(t, "hex", HEX)))
-    added = marked.withColumn("_base", base).withColumn("_added", _spans(t, "entropy", CANDIDATE, _suspect))
-    new = F.filter("_added", lambda a: ~F.exists("_base", lambda b: (b["start"] < a["finish"]) & (a["start"] < b["finish"])))
-    return added.withColumn("_spans", F.array_sort(F.concat("_base", new))).drop("_text", "_added")
+    added = marked.withColumn("__base", base).withColumn("__added", _spans(t, "entropy", CANDIDATE, _suspect))
+    new = F.filter("__added", lambda a: ~F.exists("__base", lambda b: (b["start"] < a["finish"]) & (a["start"] < b["finish"])))
+    return added.withColumn("__spans", F.array_sort(F.concat("__base", new))).drop("__text", "__added")
 
 
 def _listed(spans: str) -> Column:
@@ -114,8 +114,8 @@ def _listed(spans: str) -> Column:
 def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, counts of the base kinds, SHA-256 of the base spans, and all spans."""
     found = find_secrets(docs.select(id_col, text_col), text_col)
-    count = lambda kind: F.size(F.filter("_base", lambda s: s["rank"] == KINDS.index(kind))).cast("long")
-    return found.select(id_col, *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(_listed("_base"), 256).alias("base_sha256"), _listed("_spans").alias("spans"))
+    count = lambda kind: F.size(F.filter("__base", lambda s: s["rank"] == KINDS.index(kind))).cast("long")
+    return found.select(id_col, *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(_listed("__base"), 256).alias("base_sha256"), _listed("__spans").alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
@@ -128,7 +128,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
         fresh = span["start"] >= state["at"]
         return F.struct(F.greatest(state["at"], span["finish"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    rest = F.expr(f"substring({text_col}, _done.at + 1)")
-    masked = found.withColumn("_done", F.when(F.size("_spans") > 0, done))
-    return masked.withColumn(text_col, F.when(F.col("_done").isNotNull(), F.concat(F.col("_done.out"), rest)).otherwise(F.col(text_col))).select(*docs.columns)
+    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    rest = F.expr(f"substring({text_col}, __done.at + 1)")
+    masked = found.withColumn("__done", F.when(F.size("__spans") > 0, done))
+    return masked.withColumn(text_col, F.when(F.col("__done").isNotNull(), F.concat(F.col("__done.out"), rest)).otherwise(F.col(text_col))).select(*docs.columns)
