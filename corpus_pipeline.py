@@ -1,8 +1,67 @@
-"""Corpus pipeline; its stages follow as their operators are written."""
+"""Corpus pipeline: from raw documents to packed bins.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's documents. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom.llm import line_dedup, ngram_join, packing, quality, secret_scan
+from pathloom.llm.common import materialize, read_table, without_rows
+
+
+def _recounted(docs: DataFrame) -> Column:
+    return F.char_length("text").cast(docs.schema["n_chars"].dataType)
+
+
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    narrow = docs.select("doc_id", "text", F.struct(*rest).alias("__rest")) if rest else docs
+    kept = quality.score_quality(narrow, read_table(spark, sf_dir, "labels")).where("predicted = 1")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"__rest.{c}") for c in docs.columns])
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them share; documents that lose all lines are empty."""
+    kept = line_dedup.drop_repeated_lines(docs)
+    return kept.withColumn("n_chars", _recounted(docs)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; rows that share that id are one document."""
+    found = materialize(ngram_join.similar_components(docs), "components")
+    return without_rows(docs, found.where("doc_id <> component_id"), "doc_id").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret masked."""
+    return secret_scan.redact_secrets(docs).withColumn("n_chars", _recounted(docs)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of the documents' pieces."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality", keep_good_documents),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_copies),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
+
+#: The classifier, the entropy scan and the packing are not expressible in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
