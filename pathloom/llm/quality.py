@@ -30,6 +30,8 @@ THRESHOLD = 0.3
 HOLD_OUT_FOLDS = 5
 _RANGES = 16
 _CACHE_ENTRIES = 400_000
+#: Characters whose words are held as arrays at a time.
+_PORTION_CHARS = 2_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -60,6 +62,19 @@ def _slots(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((look(w) for row in words for w in row), np.int64, int(counts.sum())), counts
 
 
+def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of a bounded size together; a longer text is a portion of its own."""
+    portion, size = [], 0
+    for t in texts:
+        if portion and size + len(t or "") > _PORTION_CHARS:
+            yield portion
+            portion, size = [], 0
+        portion.append(t)
+        size += len(t or "")
+    if portion:
+        yield portion
+
+
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Positions and signs of the nonzero components of every slot's index vector."""
     rng = np.random.default_rng(SEED)
@@ -74,8 +89,8 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for j in range(NONZERO):
             np.add(total, np.bincount(target * DIM + place[neighbour, j], sign[neighbour, j], SLOTS * DIM), out=total)
 
-    for batch in batches:
-        packed, counts = _slots(batch.column(0).to_pylist())
+    for portion in (p for batch in batches for p in _portions(batch.column(0).to_pylist())):
+        packed, counts = _slots(portion)
         if len(packed) < 2:
             continue
         inside = np.ones(len(packed), bool)
@@ -114,6 +129,10 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     """Features of texts: means of the word and of the shape vectors, and the logarithm of the word count."""
+    return np.concatenate([np.zeros((0, 2 * DIM + 1), np.float32), *(_pooled(p, vectors) for p in _portions(texts))])
+
+
+def _pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     packed, counts = _slots(texts)
     out = np.zeros((len(texts), 2 * DIM + 1), np.float32)
     out[:, -1] = np.log1p(counts)
