@@ -35,16 +35,37 @@ _PORTION_CHARS = 2_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _slot(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode()) % SLOTS
+
+
+class _Shapes(dict):
+    """(case, shape) -> slot; shapes are few."""
+
+    def __missing__(self, key: tuple[str, str]) -> int:
+        value = _slot(f"s:{key[0]}:{key[1][:16]}")
+        if len(self) >= _CACHE_ENTRIES:
+            self.clear()
+        self[key] = value
+        return value
+
+
+_shapes = _Shapes()
+
+
 class _Tokens(dict):
     """Word in UTF-8 -> slot of its letters and slot of its shape, packed; starts afresh when full."""
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
-        letters = "".join(_LETTERS.findall(text))
+        if text.isalpha():
+            letters, shape = text, "a"
+        elif text[:-1].isalpha():
+            letters, shape = text[:-1], "a" + text[-1]
+        else:
+            letters, shape = "".join(_LETTERS.findall(text)), _LETTERS.sub("a", text)
         case = "0" if not letters else "x" if letters.islower() else "X" if letters.isupper() else "Xx" if letters[:1].isupper() and letters[1:].islower() else "xX"
-        shape = _LETTERS.sub("a", text)
-        slots = [xxhash.xxh64_intdigest(t.encode()) % SLOTS for t in ("w:" + letters.lower(), f"s:{case}:{shape[:16]}")]
-        value = slots[0] << SLOT_BITS | slots[1]
+        value = _slot("w:" + letters.lower()) << SLOT_BITS | _shapes[case, shape]
         if len(self) >= _CACHE_ENTRIES:
             self.clear()
         self[word] = value
