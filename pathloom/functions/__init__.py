@@ -1,0 +1 @@
+"""Column builders: parsing, event types, features, residuals and guarded arithmetic."""

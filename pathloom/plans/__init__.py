@@ -1,0 +1 @@
+"""Registered queries of the operators, with their SQL."""

@@ -1,0 +1 @@
+"""Transition extraction over a stream of visits."""
