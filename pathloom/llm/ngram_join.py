@@ -4,11 +4,11 @@ Two texts link when their sets of n-gram hashes have a Jaccard similarity of the
 join is exact and finds the components of all links without listing the pairs of a group:
 
 1. *Who can link at all.* In any order of all n-grams that both texts agree on, a linked pair shares an
-   n-gram among the first ``n - ceil(t * n) + 1`` of each. The order puts n-grams that only one set holds
-   first; so a text that has enough of those has no partner and is done. Which n-grams are shared is
-   found exactly: each batch of documents sends its sorted distinct n-grams, once each, to ranges of
-   hashes, and n-grams that several batches (or several documents of one) hold are shared. The other
-   texts post the first of their shared n-grams.
+   n-gram among the first ``n - ceil(t * n) + 1`` of each. The order is by how many sets hold an n-gram,
+   rare ones first; so a text that has enough n-grams of its own has no partner and is done, and passages
+   that many texts share come last. The numbers are exact: each batch of documents sends its sorted
+   distinct n-grams, once each and with their number of sets, to ranges of hashes, where they are added
+   up and answered. Texts that are not done post the first of their n-grams that others have, too.
 2. *Candidate clusters.* Postings of an n-gram are chained by set size as far as sizes allow a link;
    chains within a batch are contracted before anything is shuffled, so a frequent n-gram is a few rows a
    batch. Linked texts end in the same cluster.
@@ -36,7 +36,7 @@ from pathloom.llm.common import bit_set, materialize, probe_bit_set, shuffle_par
 from pathloom.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
-BATCH_BYTES, BATCH_DOCS = 16_000_000, 16_384
+BATCH_BYTES, BATCH_DOCS = 8_000_000, 16_384
 #: Largest number of sets, and of n-grams in them, that one trie holds.
 SHARD_SETS, SHARD_GRAMS = 2000, 2_000_000
 FETCH_BITS = 25
@@ -195,6 +195,7 @@ def _values(planes: bytes) -> np.ndarray:
 
 
 _RANGE, _BATCH, _DOCS = 0, 1, 2
+_BLOBS = [f"b{i}" for i in range(1, 8)]
 _DOC, _MEMBER, _POSTING = 0, 1, 2
 
 
@@ -213,10 +214,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, pa.
 
 def _send(n: int, bits: int, id_type: pa.DataType):
     """Documents to rows for the ranges of their distinct n-grams, and rows about the batch that pass through."""
-    names = ["range", "kind", "batch", "ids", "b1", "b2", "b3", "b4"]
+    names = ["range", "kind", "batch", "ids", *_BLOBS]
 
     def row(r, kind, batch, ids, *blobs):
-        return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), pa.array([ids], pa.list_(id_type)), *(pa.array([b], pa.binary()) for b in blobs)], names)
+        return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), pa.array([ids], pa.list_(id_type)), *(pa.array([b], pa.binary()) for b in (*blobs, *[None] * (len(_BLOBS) - len(blobs))))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, seen = TaskContext.get().partitionId(), 0, set()
@@ -226,7 +227,7 @@ def _send(n: int, bits: int, id_type: pa.DataType):
             sets = [gram_set(t, n) for t in texts]
             prints = [_fingerprint(s) for s in sets]
             sizes = np.array([len(s) for s in sets])
-            yield row(batch % (1 << bits), _DOCS, batch, ids.to_pylist(), np.array(prints, "<i8").tobytes(), sizes.astype("<u4").tobytes(), np.array(contents, "<i8").tobytes(), None)
+            yield row(batch % (1 << bits), _DOCS, batch, ids.to_pylist(), np.array(prints, "<i8").tobytes(), sizes.astype("<u4").tobytes(), np.array(contents, "<i8").tobytes())
             firsts = []
             for i, f in enumerate(prints):
                 if sizes[i] and f not in seen:
@@ -249,13 +250,14 @@ def _send(n: int, bits: int, id_type: pa.DataType):
                 a, b = int(cuts[r]), int(cuts[r + 1])
                 if b > a:
                     own = docs[starts[a:b][~common[a:b]]]
-                    yield row(r, _RANGE, batch, None, _planes((distinct[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), np.packbits(common[a:b]).tobytes(), own.tobytes(), None)
+                    yield row(r, _RANGE, batch, None, _planes((distinct[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), np.packbits(common[a:b]).tobytes(), own.tobytes(), times[a:b][common[a:b]].astype("<u2").tobytes())
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole ranges: for each batch, its documents' unshared n-grams (counted) and shared ones."""
+    """Rows of whole ranges to answers, for each batch: how many n-grams its documents have for themselves, and
+    the others with the number of sets that hold them. Rows about batches pass through."""
     ranges: dict[int, list] = {}
     schema = None
     for batch in batches:
@@ -264,26 +266,26 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (kinds != _RANGE).any():
             yield batch.filter(pa.array(kinds != _RANGE))
         for i in np.flatnonzero(kinds == _RANGE).tolist():
-            ranges.setdefault(batch.column(0)[i].as_py(), []).append([batch.column(j)[i].as_py() for j in (2, 4, 5, 6)])
+            ranges.setdefault(batch.column(0)[i].as_py(), []).append([batch.column(j)[i].as_py() for j in (2, 4, 5, 6, 7)])
     while ranges:
         r, rows = ranges.popitem()
         values = [_values(x[1]) for x in rows]
+        common = [np.unpackbits(np.frombuffer(x[2], np.uint8), count=len(v)).astype(bool) for x, v in zip(rows, values)]
         ends = np.cumsum([len(v) for v in values])
-        every = np.concatenate(values)
-        flagged = np.concatenate([np.unpackbits(np.frombuffer(x[2], np.uint8), count=len(v)) for x, v in zip(rows, values)]).astype(bool)
+        every, holders = np.concatenate(values), np.ones(int(ends[-1]), np.int64)
+        holders[np.concatenate(common)] = np.frombuffer(b"".join(x[4] for x in rows), "<u2")
         order = np.argsort(every)
         ordered = every[order]
         starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        times = np.diff(np.append(starts, len(ordered)))
-        shared = np.empty(len(every), bool)
-        shared[order] = np.repeat((times > 1) | np.logical_or.reduceat(flagged[order], starts), times)
-        for (batch, _, _, own), v, e in zip(rows, values, ends):
-            part = slice(e - len(v), e)
-            single = ~flagged[part]
-            docs, common = np.frombuffer(own, "<u2"), shared[part][single]
-            alone, counts = np.unique(docs[~common], return_counts=True)
-            keys = v[single][common] | np.uint64(r) << np.uint64(32)
-            blobs = (alone.astype("<u2"), counts.astype("<u4"), keys.astype("<u8"), docs[common])
+        sets = np.empty(len(every), "<u4")
+        sets[order] = np.repeat(np.add.reduceat(holders[order], starts), np.diff(np.append(starts, len(ordered))))
+        top = np.uint64(r) << np.uint64(32)
+        for (batch, _, _, own, _), v, many, e in zip(rows, values, common, ends):
+            held = sets[e - len(v) : e]
+            docs, single = np.frombuffer(own, "<u2"), held[~many]
+            alone, counts = np.unique(docs[single == 1], return_counts=True)
+            shared = single > 1
+            blobs = (alone.astype("<u2"), counts.astype("<u4"), v[~many][shared] | top, docs[shared], single[shared], v[many] | top, held[many])
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_RANGE], pa.int32()), pa.array([batch], pa.int64()), pa.nulls(1, schema.field("ids").type), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], schema=schema)
 
 
@@ -308,27 +310,32 @@ def _post(percent: int, id_type: pa.DataType):
         return pa.table([pa.array(np.full(count, kind, np.int32)) if f.name == "kind" else columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in out], schema=out)
 
     def run(table: pa.Table) -> pa.Table:
-        found, alone, parts, prints = [out.empty_table()], [], [], None
-        for kind, ids, *blobs in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "b1", "b2", "b3", "b4"))):
+        found, alone, parts, local, prints = [out.empty_table()], [], [], [], None
+        for kind, ids, *blobs in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", *_BLOBS))):
             if kind == _DOCS:
-                fp, n, content = (np.frombuffer(b, k) for b, k in zip(blobs, ("<i8", "<u4", "<i8")))
+                fp, n, content = (np.frombuffer(b, k) for b, k in zip(blobs[:3], ("<i8", "<u4", "<i8")))
                 found.append(rows(_DOC, len(fp), id=pa.array(ids, id_type), content=content, fp=fp, n=n.astype(np.int64)))
             elif kind == _BATCH:
                 prints, sizes = np.frombuffer(blobs[0], "<i8"), np.frombuffer(blobs[1], "<u4").astype(np.int64)
-                parts.append((np.frombuffer(blobs[2], "<u8"), np.frombuffer(blobs[3], "<u2")))
+                common = np.frombuffer(blobs[2], "<u8"), np.frombuffer(blobs[3], "<u2")
             else:
                 alone.append((np.frombuffer(blobs[0], "<u2"), np.frombuffer(blobs[1], "<u4")))
-                parts.append((np.frombuffer(blobs[2], "<u8"), np.frombuffer(blobs[3], "<u2")))
+                parts.append((np.frombuffer(blobs[2], "<u8"), np.frombuffer(blobs[3], "<u2"), np.frombuffer(blobs[4], "<u4")))
+                local.append((np.frombuffer(blobs[5], "<u8"), np.frombuffer(blobs[6], "<u4")))
         if prints is None:
             return pa.concat_tables(found)
         own = np.zeros(len(prints), np.int64)
         for docs, counts in alone:
             own[docs] += counts
         wanted = np.maximum(prefix_length(sizes, percent) - own, 0)
-        gram, doc = (np.concatenate(x) for x in zip(*parts))
+        known, known_sets = (np.concatenate(x) for x in zip(*local))
+        order = np.argsort(known)
+        held = known_sets[order][np.searchsorted(known[order], common[0])]
+        gram, doc, sets = (np.concatenate(x) for x in zip((*common, held), *parts))
         open_ = wanted[doc] > 0
-        gram, doc = gram[open_], doc[open_].astype(np.int64)
-        order = np.lexsort((gram, doc))
+        gram, doc, sets = gram[open_], doc[open_].astype(np.int64), sets[open_]
+        # The order that all texts agree on: by number of sets, then by hash.
+        order = np.lexsort((gram, sets, doc))
         gram, doc = gram[order], doc[order]
         first = np.searchsorted(doc, np.arange(len(prints)))
         kept = np.arange(len(doc)) - first[doc] < wanted[doc]
@@ -381,12 +388,12 @@ def _join_tries(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members = None, {}
         for batch in batches:
-            for label, shard, group, fp, grams in zip(*(c.to_pylist() for c in batch.columns)):
+            for label, shard, group, fp, grams in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
                 if at != (label, shard):
                     if members:
                         yield joined(at, members)
                     at, members = (label, shard), {}
-                members[fp] = (group, np.frombuffer(grams, np.uint64))
+                members[fp] = (group, np.frombuffer(grams.as_py(), np.uint64))
         if members:
             yield joined(at, members)
 
@@ -423,7 +430,7 @@ def similar_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("content"), F.col(id_col).alias("id"))
-    sent = rows.mapInArrow(_send(n, bits, id_type), f"range int, kind int, batch long, ids array<{kind}>, b1 binary, b2 binary, b3 binary, b4 binary")
+    sent = rows.mapInArrow(_send(n, bits, id_type), f"range int, kind int, batch long, ids array<{kind}>, " + ", ".join(f"{b} binary" for b in _BLOBS))
     met = sent.repartition(parts, "range").mapInArrow(_meet, sent.schema)
     posted = materialize(met.groupBy("batch").applyInArrow(_post(percent, id_type), f"kind int, id {kind}, content long, fp long, n long, root long, gram long, lo long, hi long"), "posted")
     every = posted.where(F.col("kind") == _DOC).select("id", "content", "fp", "n")
