@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 _written: list[tuple[SparkSession, str]] = []
+#: Folders made here because a local session named none.
+_own_dirs: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        _own_dirs.append(tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(_own_dirs[-1])
     return context.getCheckpointDir()
 
 
@@ -46,6 +50,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 @atexit.register
 def _remove_written() -> None:
+    for folder in _own_dirs:
+        shutil.rmtree(folder, ignore_errors=True)
     for spark, path in _written:
         try:
             context = spark.sparkContext
