@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
-from pathloom.operators import compare, corpus_audit, intervals, metrics, model, pairs, reconcile, resample, scoring, simulate, transitions
+from pathloom.operators import audit, compare, corpus_audit, intervals, metrics, model, pairs, reconcile, resample, scoring, simulate, transitions
 from pathloom.plans.registry import Query
 from pathloom.sources import readers, tables
 
@@ -504,7 +504,41 @@ def rank_of_design(spark, sf):
     return spark.createDataFrame([(len(NAMES), pairs.design_rank(_design(spark, sf), NAMES))], "features int, rank int")
 
 
+def partitions(spark, sf):
+    """All ten partitions of the six readers with the most forward moves, on position features."""
+    edges = _forward(spark, sf)
+    six = [r[0] for r in edges.groupBy("subject_id").agg(F.sum("count").alias("n")).orderBy(F.col("n").desc(), "subject_id").limit(6).collect()]
+    draws = resample.draws_table(spark, resample.anchored_partitions(sorted(six)))
+    cells = audit.half_residuals(_design(spark, sf, "position_only"), edges, draws, pairs.POSITION, _folds(spark), 1)
+    return audit.partition_audit(cells)
+
+
+def reader_text_bootstrap(spark, sf):
+    """Readers drawn with replacement, halves refitted, and texts resampled within each draw."""
+    readers_ = sorted(r[0] for r in _forward(spark, sf).select("subject_id").distinct().collect())  # subjects are few
+    draws = resample.draws_table(spark, resample.reader_bootstrap(readers_, 3, 20260711))
+    cells = audit.half_residuals(_design(spark, sf, "position_only"), _forward(spark, sf), draws, pairs.POSITION, _folds(spark), 3)
+    met = metrics.paired_halves(cells.where("half = 0"), cells.where("half = 1"), ["draw"])
+    return audit.nested_bootstrap(metrics.correlation(met, ["draw", "text_id"]).withColumn("measure", F.lit("edge_weighted")), ["measure"], "r", 200, 20260711)
+
+
+def influence_report(spark, sf):
+    contrasts = compare.text_contrasts(runs_table(spark, sf), "gaze", ["mlm", "shuffled", "position"]).select(F.col("other").alias("contrast"), "text_id", F.col("nll_difference").alias("difference"))
+    return audit.text_influence(contrasts, 1000, 20260711)
+
+
+def result_checks(spark, sf):
+    """Rules that results must meet; no row says that all hold."""
+    cells = _cells(spark, sf)
+    total = Window.partitionBy("text_id", "src_word")
+    return readers.failed_checks({"cells": cells.withColumn("mass", F.sum("probability").over(total))}, {"cells": {"mass is 1": F.abs(F.col("mass") - 1) < 1e-9, "reliable is defined": ~F.col("reliable") | F.col("residual").isNotNull(), "forward": F.col("dst_word") > F.col("src_word")}})
+
+
 SPECS: dict[str, Query] = {
+    "partition_audit": Query(partitions, "metric partitions# n# median* q25* q75* negative_share* undefined_share*"),
+    "reader_text_bootstrap": Query(reader_text_bootstrap, "measure draws# mean* low* high* negative_share*"),
+    "text_influence": Query(influence_report, "contrast deleted n# mean* low* high* flips"),
+    "result_checks": Query(result_checks, "result rule failures#", "\n=>\nSELECT 'x' AS result, 'x' AS rule, 0 AS failures WHERE false"),
     "transition_events": Query(_events, "subject_id text_id src_word# dst_word# event_type weight*", TR + "\n=>\nSELECT subject_id, text_id, src_word, dst_word, event_type, 1.0 AS weight FROM tr"),
     "event_weights": Query(lambda s, d: _events(s, d, weight="source_duration", include_self=False).groupBy("text_id", "event_type").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")), "text_id event_type weight* n#", TR + "\n=>\nSELECT text_id, event_type, sum(duration_ms) AS weight, count(*) AS n FROM tr WHERE event_type <> 'refixation' GROUP BY ALL"),
     "event_target_weights": Query(lambda s, d: _events(s, d, weight="target_duration", consecutive_only=True).groupBy("subject_id").agg(F.sum("weight").alias("weight")), "subject_id weight*", TR + "\n=>\nSELECT subject_id, sum(next_duration) AS weight FROM tr WHERE next_order = fixation_order + 1 GROUP BY ALL"),

@@ -186,3 +186,28 @@ def write_result(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(f"{path}/json")
     flat = df.select(*[F.col(f.name).cast("string") if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name) for f in df.schema])
     flat.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def nested_words(sentences: DataFrame) -> DataFrame:
+    """Words of nested sentences (text_id, words ARRAY<STRING>, bounds) as metadata: one sentence a text, no cloze values.
+
+    ``top`` and ``bottom`` are those of the word's box, from which ``intervals.cluster_intervals`` makes lines.
+    """
+    from pathloom.functions import expressions as E
+
+    each = sentences.select("text_id", F.posexplode(F.arrays_zip("words", "bounds")).alias("word_index", "w"))
+    surface = F.col("w.words")
+    return each.select("text_id", F.col("word_index").cast("bigint").alias("word_index"), surface.alias("surface"), F.ln(1 + E.clean_length(surface)).alias("log_length"), F.lit(0.0).alias("cloze_logit"), F.lit(True).alias("cloze_missing"), E.ends_sentence(surface).alias("terminal_punctuation"), F.lit(1).cast("bigint").alias("sentence_number"), F.col("w.bounds")[1].alias("top"), F.col("w.bounds")[3].alias("bottom"))
+
+
+def failed_checks(results: dict[str, DataFrame], rules: dict[str, dict[str, Column]]) -> DataFrame:
+    """(result, rule, failures) of the rules, each a condition that all rows of a result must meet; empty if all hold.
+
+    A rule on no rows fails once: results must not be empty.
+    """
+    parts = []
+    for name, conditions in rules.items():
+        row = results[name].agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(r) for r, c in conditions.items()])
+        for r in conditions:
+            parts.append(row.select(F.lit(name).alias("result"), F.lit(r).alias("rule"), F.when(F.col("_n") == 0, F.lit(1)).otherwise(F.col(r)).cast("bigint").alias("failures")))
+    return concat_subjects(parts).where("failures > 0")
