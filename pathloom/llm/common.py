@@ -97,3 +97,15 @@ def without_rows(rows: DataFrame, dropped: DataFrame, key: str, bits: int = 25)
     passed = probed.where(~F.col("_hit")).drop("_hit")
     asked = probed.where("_hit").drop("_hit")
     return passed.unionByName(asked.join(keys, asked[key] == F.col("__dropped"), "left_anti"))
+
+
+def tree_sum(parts: DataFrame, add, schema: str, ranges: int, fan_in: int = 64) -> DataFrame:
+    """Tables in parts by ``range``, one set of parts from each task, added up to one part a range.
+
+    Up to ``fan_in`` tasks' parts of a range meet at a time, twice over, so that what the last task of a range
+    reads grows with the number of tasks over ``fan_in`` squared. ``add`` sums the parts of equal range.
+    """
+    for _ in range(2):
+        near = parts.withColumn("__near", (F.spark_partition_id() / fan_in).cast("int"))
+        parts = near.repartition(shuffle_partitions(parts.sparkSession), "range", "__near").drop("__near").mapInArrow(add, schema)
+    return parts.repartition(ranges, "range").mapInArrow(add, schema)

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import tree_sum
+
 SLOT_BITS, DIM, NONZERO = 15, 64, 4
 SLOTS = 1 << SLOT_BITS
 #: Labelled rows that the network is fitted on, at most.
@@ -120,7 +122,7 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         later = np.flatnonzero(inside)
         word, shape = packed >> SLOT_BITS, packed & (SLOTS - 1)
         add(np.concatenate([word[later], word[later - 1], shape[later], shape[later - 1]]), np.concatenate([word[later - 1], word[later], shape[later - 1], shape[later]]))
-    parts = np.split(total.astype("<f4"), _RANGES)
+    parts = np.split(total, _RANGES)
     yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["range", "sums"])
 
 
@@ -128,7 +130,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for r, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(sums.as_py(), "<f4").astype(np.float64)
+            part = np.frombuffer(sums.as_py(), "<f8")
             totals[r] = totals[r] + part if r in totals else part
     for r, total in totals.items():
         yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["range", "sums"])
@@ -136,7 +138,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """A unit vector for each slot: its own index vector and what it was seen beside, over all documents."""
-    parts = docs.select(text_col).mapInArrow(_context_sums, "range int, sums binary").repartition(_RANGES, "range").mapInArrow(_added, "range int, sums binary")
+    parts = tree_sum(docs.select(text_col).mapInArrow(_context_sums, "range int, sums binary"), _added, "range int, sums binary", _RANGES)
     table = np.zeros(SLOTS * DIM)
     for r, sums in parts.collect():  # a table of fixed size, in _RANGES rows
         table[r * (SLOTS * DIM // _RANGES) : (r + 1) * (SLOTS * DIM // _RANGES)] += np.frombuffer(sums)
