@@ -127,6 +127,19 @@ def text_draws(spark: SparkSession, events: DataFrame, repeats: int, seed: int,
     return spark.createDataFrame(frames, "text_id string, draw int, half int, subject_id string, mult int")
 
 
+def hashed_draws(events: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """As ``text_draws``, for any number of subjects: each draw orders a text's subjects by a seeded hash.
+
+    Nothing is collected; the first half, rounded down, is half 0. The order is that of MD5, which SQL engines share.
+    """
+    subjects = events.select("text_id", "subject_id").distinct()
+    drawn = subjects.select("text_id", "subject_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("draw"))
+    group = Window.partitionBy("text_id", "draw")
+    chance = F.md5(F.concat_ws(":", F.lit(seed), F.col("draw"), F.col("text_id"), F.col("subject_id")))
+    ranked = drawn.withColumn("_rank", F.row_number().over(group.orderBy(chance, "subject_id"))).withColumn("_n", F.count(F.lit(1)).over(group))
+    return ranked.select("text_id", "draw", F.when(F.col("_rank") <= F.floor(F.col("_n") / 2), 0).otherwise(1).alias("half"), "subject_id", F.lit(1).alias("mult"))
+
+
 # -- controls -------------------------------------------------------------------------------------------------
 
 

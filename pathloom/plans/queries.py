@@ -350,6 +350,11 @@ def seeded_split_half(spark, sf):
     return resample.split_half(_forward(spark, sf), resample.text_draws(spark, events, 10, 20260711), transitions.text_sizes(events), correct=True)
 
 
+def hashed_split_half(spark, sf):
+    events = _events(spark, sf)
+    return resample.split_half(_forward(spark, sf), resample.hashed_draws(events, 4, 20260711), transitions.text_sizes(events))
+
+
 def permuted_control(spark, sf):
     permuted = resample.permute_destinations(_design(spark, sf), [], "count", 20260711)
     return permuted.groupBy("text_id", "src_word").agg(F.sum("count").alias("total"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max("count").alias("largest"))
@@ -600,6 +605,7 @@ FROM words s JOIN words d ON s.text_id = d.text_id AND s.word_index <> d.word_in
     "text_residual_audit": Query(lambda s, d: metrics.text_residual_audit(_cells(s, d)), "text_id mean* variance* beyond_2* mean_square* mean_exposure*", SCORED + "\n=>\nSELECT text_id, avg(residual) AS mean, CASE WHEN count(residual) > 1 THEN var_samp(residual) END AS variance, avg((abs(residual) > 2)::INT) AS beyond_2, avg(residual * residual) AS mean_square, avg(exposure) AS mean_exposure FROM cells WHERE residual IS NOT NULL GROUP BY text_id"),
     "exposure_thresholds": Query(lambda s, d: thresholds_table(s, d).where("metric = 'edge_weighted'"), "threshold# valid# median*", HALVES.replace("AND a.total >= 5 AND b.total >= 5", "") + ", k AS (SELECT t AS threshold, met.* FROM met, (VALUES (1), (3), (5), (10)) v(t) WHERE exposure >= t), e AS (" + corr_sql("k", "threshold, text_id") + ")\n=>\nSELECT threshold, count(r) AS valid, quantile_cont(r, 0.5) AS median FROM e GROUP BY threshold"),
     "split_half": Query(numeric_splits, "text_id draws# valid# median*", TR + ", h AS (SELECT draw, (CAST(subject_id AS BIGINT) // (2 ** draw)::BIGINT) % 2 AS half, text_id, src_word, dst_word, sum(n) AS c FROM edges, range(3) t(draw) GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY draw, half, text_id, src_word) AS p FROM h), w AS (SELECT text_id, max(greatest(src_word, dst_word)) + 1 AS w FROM tr GROUP BY ALL), ok AS (SELECT draw, text_id, src_word FROM p GROUP BY ALL HAVING count(DISTINCT half) = 2), grid AS (SELECT ok.*, unnest(range(w)) AS dst_word FROM ok JOIN w USING (text_id)), v AS (SELECT g.draw, g.text_id, coalesce(max(p) FILTER (WHERE half = 0), 0) AS x, coalesce(max(p) FILTER (WHERE half = 1), 0) AS y FROM grid g LEFT JOIN p USING (draw, text_id, src_word, dst_word) GROUP BY g.draw, g.text_id, g.src_word, g.dst_word), e AS (" + corr_sql("v", "draw, text_id") + ")\n=>\nSELECT text_id, 3 AS draws, count(r) AS valid, quantile_cont(r, 0.5) AS median FROM e GROUP BY text_id"),
+    "hashed_split_half": Query(hashed_split_half, "text_id draws# valid# median*", TR + ", subj AS (SELECT DISTINCT text_id, subject_id FROM tr), dr AS (SELECT text_id, subject_id, draw, CASE WHEN row_number() OVER (PARTITION BY text_id, draw ORDER BY md5('20260711:' || draw || ':' || text_id || ':' || subject_id), subject_id) <= count(*) OVER (PARTITION BY text_id, draw) // 2 THEN 0 ELSE 1 END AS half FROM subj, range(4) t(draw)), h AS (SELECT draw, half, text_id, src_word, dst_word, sum(n) AS c FROM edges JOIN dr USING (text_id, subject_id) GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY draw, half, text_id, src_word) AS p FROM h), w AS (SELECT text_id, max(greatest(src_word, dst_word)) + 1 AS w FROM tr GROUP BY ALL), ok AS (SELECT draw, text_id, src_word FROM p GROUP BY ALL HAVING count(DISTINCT half) = 2), grid AS (SELECT ok.*, unnest(range(w)) AS dst_word FROM ok JOIN w USING (text_id)), v AS (SELECT g.draw, g.text_id, coalesce(max(p) FILTER (WHERE half = 0), 0) AS x, coalesce(max(p) FILTER (WHERE half = 1), 0) AS y FROM grid g LEFT JOIN p USING (draw, text_id, src_word, dst_word) GROUP BY g.draw, g.text_id, g.src_word, g.dst_word), e AS (" + corr_sql("v", "draw, text_id") + ")\n=>\nSELECT text_id, 4 AS draws, count(r) AS valid, quantile_cont(r, 0.5) AS median FROM e GROUP BY text_id"),
     "seeded_split_half": Query(seeded_split_half, "text_id draws# valid# median* half_0* half_1*"),
     "split_half_specification": Query(split_half_draws, "draw# metric valid# undefined# median*"),
     "shared_nuisance": Query(shared_nuisance, "metric valid# undefined# median* q25* q75*"),

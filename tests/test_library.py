@@ -285,3 +285,44 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     key = ["subject_id", "src_word", "dst_word", "event_type"]
     assert sorted(map(tuple, spark.table("events").select(key).collect())) == sorted(map(tuple, transitions.extract_events(v).select(key).collect()))
+
+
+def test_hashed_draws_are_halves(spark):
+    events = spark.createDataFrame([(f"t:{t}", f"s{i}") for t in range(2) for i in range(5 + t)], "text_id string, subject_id string")
+    rows = resample.hashed_draws(events, 3, 1).collect()
+    for t in range(2):
+        for d in range(3):
+            own = [r for r in rows if r.text_id == f"t:{t}" and r.draw == d]
+            assert len({r.subject_id for r in own}) == len(own) == 5 + t and sum(r.half == 0 for r in own) == (5 + t) // 2
+
+
+def test_cache_is_built_once(spark, tmp_path):
+    from pathloom.sources.cache import cached, fingerprint
+
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    key = fingerprint(version=1, layer="last")
+    assert key == fingerprint(layer="last", version=1) != fingerprint(layer="last", version=2)
+    for _ in range(2):
+        assert cached(spark, str(tmp_path), key, build).count() == 3
+    assert built == [1]
+
+
+def test_failed_checks(spark):
+    df = spark.createDataFrame([(1,), (None,)], "x int")
+    rules = {"a": {"positive": F.col("x") > 0, "any": F.lit(True)}, "b": {"any": F.lit(True)}}
+    failed = readers.failed_checks({"a": df, "b": df.where("x > 5")}, rules).collect()
+    assert sorted(map(tuple, failed)) == [("a", "positive", 1), ("b", "any", 1)]
+
+
+def test_aoi_conversion_counts_reasons_in_order(spark):
+    areas = spark.createDataFrame([("r1", "p1", "1", "t1", "1", None), ("r1", "p1", "1", "t1", "2", "2"), ("r1", "p1", "1", "t1", "3", None)], "RECORDING_SESSION_LABEL string, Participant_ID string, TRIAL_INDEX string, Text_ID string, IA_ID string, Word_Number string")
+    fix = spark.createDataFrame([("r1", "1", "t1", "1", "1", "200"), ("r1", "1", "t1", ".", "2", "100"), ("r1", "1", "t1", "2", "3", "150"), ("r1", "9", "t1", "2", "4", "150"), ("r1", "1", "t2", "2", "5", "150"), ("r1", "1", "t1", "3", "6", "150"), ("r1", "1", "t1", "2", "7", "-1")], "RECORDING_SESSION_LABEL string, TRIAL_INDEX string, page string, CURRENT_FIX_INTEREST_AREA_INDEX string, CURRENT_FIX_INDEX string, CURRENT_FIX_DURATION string")
+    lines = spark.createDataFrame([("t1", 0, 0), ("t1", 1, 0)], "text_id string, word_index long, line_id long")
+    kept, report = readers.convert_reports(areas, fix, lines)
+    assert sorted((r.word_index, r.fixation_order) for r in kept.collect()) == [(0, 1), (1, 3)]
+    assert {r.reason: r.n for r in report.collect()} == {"written": 2, "outside": 1, "missing_trial": 1, "page_mismatch": 1, "unmapped_area": 1, "bad_number": 1}
