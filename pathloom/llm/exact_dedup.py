@@ -54,7 +54,9 @@ def exact_duplicates(
 
     digest = [F.sha2("_text", 256).alias("_digest")] if digest_col else []
     hashed = by_prefix.select("_id", "_len", F.when(F.col("_hit") & F.col("_prefix").isNotNull(), F.sha2("_text", 256)).alias("_full"), *digest)
-    groups = hashed.where("_full is not null").groupBy("_len", "_full").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # Grouped by one struct, so that the join deals both sides anew and can split a group of very many copies.
+    counted = hashed.where("_full is not null").groupBy(F.struct("_len", "_full").alias("_key")).agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = counted.where("group_size > 1").select("_key.*", "keep_id", "group_size")
     # Rows that are settled already join with nothing; their own key keeps them from meeting in one partition.
     member = hashed.withColumn("_full", F.coalesce("_full", F.concat_ws(":", F.lit("single"), F.col("_id").cast("string"), F.col("_len").cast("string"))))
     found = member.join(groups, ["_len", "_full"], "left")
