@@ -179,6 +179,51 @@ def test_block_probability_is_that_of_sequential_estimates():
     assert math.log(p) == pytest.approx(float((lg(zeros + 0.5) + lg(ones + 0.5) - lg(zeros + ones + 1))[0]) - math.log(math.pi), abs=1e-9)
 
 
+def brute_context_tree(learned, asked):
+    """Log10 probabilities by a tree with a node of its own for every context."""
+    end = b"\xff"
+    steps = lambda t: ((end * 5 + t)[i : i + 5][::-1] + bytes([x]) for i, x in enumerate(t + end))
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for t in learned:
+        for *back, x in steps(t):
+            for bit in range(7, -1, -1):
+                for d in range(6):
+                    node = (bytes(back[:d]), (x | 256) >> (bit + 1))
+                    counts[node][(x >> bit) & 1] += 1
+                    if d:
+                        children[bytes(back[: d - 1]), node[1]].add(node)
+    own, tree = {}, {}
+    for node, (a, b) in sorted(counts.items(), key=lambda x: -len(x[0][0])):
+        own[node] = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        tree[node] = own[node] if len(node[0]) == 5 else np.logaddexp(own[node], sum(tree[c] for c in children[node])) - math.log(2)
+    out = []
+    for t in asked:
+        total = 0.0
+        for *back, x in steps(t):
+            for bit in range(7, -1, -1):
+                one = None
+                for d in range(5, -1, -1):
+                    node = (bytes(back[:d]), (x | 256) >> (bit + 1))
+                    if node in counts:
+                        a, b = counts[node]
+                        w = 1.0 if one is None else math.exp(own[node] - math.log(2) - tree[node])
+                        one = w * (b + 0.5) / (a + b + 1) + (1 - w) * (one or 0.0)
+                one = 0.5 if one is None else one
+                total += math.log10(one if (x >> bit) & 1 else 1 - one)
+        out.append(total)
+    return out
+
+
+def test_every_context_has_its_own_counts(make_docs):
+    """More contexts than any fixed table of the depths could keep apart, and contexts that training never saw."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé0123456789 .,"), 400).tolist()) for _ in range(60)] + ["", None, "QQ never seen ~~~~"]
+    got = {r.doc_id: r for r in language_model.score_documents(make_docs(texts).repartition(4)).collect()}
+    coded = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()) for t in texts]
+    want = brute_context_tree([t for i, t in enumerate(coded, 1) if not got[i].held_out], coded)
+    assert [got[i].score for i in range(1, len(texts) + 1)] == pytest.approx(want, rel=1e-6)
+
+
 # -- quality --------------------------------------------------------------------------------------------------------
 
 
