@@ -7,7 +7,8 @@ scores, the others must earn theirs: after each block the squared distance so fa
 columns, is tested against the largest distance at which the candidate could still enter, and candidates
 that fail are abandoned. What survives is scored exactly on the original vectors in double precision.
 
-The number of lists to probe is the smallest that reaches a target recall on the sample. Lists are cut
+The number of lists to probe is the smallest that reaches a target recall on the sample; a query whose lists
+hold fewer rows than it has neighbours to find goes on to the next ones until they do. Lists are cut
 into parts of a bounded number of rows, so that many copies of one vector do not meet in one task, and
 queries stream past the part that is in memory.
 """
@@ -155,10 +156,13 @@ def nearest(
         centers, _ = index.value
         for batch in batches:
             matrix = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
-            order = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-            taken = pa.array(np.repeat(np.arange(len(matrix)), order.shape[1]))
+            order = np.argsort(-(matrix @ centers.T), axis=1, kind="stable").astype(np.int32)
+            # Besides the lists that every query probes, those up to which there are k rows of other ids.
+            short = np.cumsum(held_rows.value[order], axis=1) < k + batch.column(2).to_numpy()[:, None]
+            counts = np.minimum(np.maximum(probes, short.sum(1) + 1), order.shape[1])
+            taken = pa.array(np.repeat(np.arange(len(matrix)), counts))
             packed = pa.array([row.tobytes() for row in matrix], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(order.ravel()), batch.column(0).take(taken), packed.take(taken)], ["list", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(order[np.arange(order.shape[1]) < counts[:, None]]), batch.column(0).take(taken), packed.take(taken)], ["list", "id", "v"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, turn = index.value
@@ -185,9 +189,16 @@ def nearest(
 
     dealt = rows.mapInArrow(deal, "list int, id long, v binary")
     # One number for each list; the lists are bounded by the sample.
-    sizes = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+    found_rows = dealt.groupBy("list").count().collect()
+    row_counts = np.zeros(len(centroids), np.int64)
+    row_counts[[r[0] for r in found_rows]] = [r[1] for r in found_rows]
+    held_rows = spark.sparkContext.broadcast(row_counts)
+    sizes = spark.createDataFrame([(r[0], -(-r[1] // part_rows)) for r in found_rows], "list int, parts int")
     parted = dealt.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.where(F.col("id") % query_every == 0).mapInArrow(probe, "list int, id long, v binary")
+    queries = rows.where(F.col("id") % query_every == 0)
+    # Rows of a query's own id are no neighbours.
+    own = queries.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    asked = queries.join(own, "id").select("id", "v", "own").mapInArrow(probe, "list int, id long, v binary")
     asked = asked.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "v")
     met = parted.unionByName(asked).repartition(shuffle_partitions(spark), "list", "part").sortWithinPartitions("list", "part", "kind", "id")
     candidates = met.mapInArrow(scan, "query_id long, vec_id long, score double")

@@ -415,3 +415,17 @@ def test_vectors(spark):
     few = vector_search.nearest(df.where("vec_id in (0, 1, 2)"), k=20).collect()
     assert [(r.query_id, r.rank) for r in sorted(few)] == [(0, 1), (0, 2)]
     assert vector_search.nearest(df.where("false")).count() == 0
+
+
+def test_queries_near_small_lists_find_k(spark):
+    """Small clusters beside one that holds most rows; one id is that of many rows, which are not its neighbours."""
+    rng = np.random.default_rng(8)
+    where = [0] * 1500 + [1 + i // 6 for i in range(360)]
+    vectors = [[float(x) for x in 0.1 * rng.standard_normal(64) + 10.0 * (np.arange(64) == c)] for c in where]
+    ids = rng.permutation(len(vectors)).tolist()
+    rows = [*zip(ids, vectors), *[(5000, [0.0] * 63 + [9.0])] * 70]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vector_search.nearest(df.repartition(3), k=20)
+    ranks = Counter(r.query_id for r in found.where("rank <= 20").select("query_id", "vec_id").distinct().collect())
+    assert set(ranks) == {i for i, _ in rows if i % 20 == 0}
+    assert all(n == 20 for q, n in ranks.items() if q != 5000) and ranks[5000] > 0
