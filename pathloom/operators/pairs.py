@@ -15,8 +15,6 @@ CUBIC = ("log1p_abs_distance_squared", "log1p_abs_distance_cubed", "distance_x_t
 DIRECTED_SETS = {"basic": DIRECTED[:4], "lexical": DIRECTED[:18], "syntax": DIRECTED, "common_core": COMMON_CORE}
 STRICT_SETS = {"position_only": POSITION, "lexical": POSITION + ("target_log_length", "target_zipf_frequency", "target_frequency_oov", "target_terminal_punctuation"), "syntax": COMMON_CORE, "flexible": COMMON_CORE + CUBIC}
 RISK_SETS = ("all", "forward_same_sentence", "forward_same_line")
-#: Longest path to a sentence's root.
-MAX_TREE_DEPTH = 64
 
 
 def feature_names(feature_set: str, risk_set: str) -> tuple[str, ...]:
@@ -95,8 +93,7 @@ def with_tree_paths(words: DataFrame) -> DataFrame:
         head = F.try_element_at("_heads", F.element_at(path, -1))
         return F.when(head.isNull() | F.array_contains(path, head), path).otherwise(F.concat(path, F.array(head)))
 
-    depth = F.least(F.size("_heads"), F.lit(MAX_TREE_DEPTH))
-    pathed = joined.withColumn("path", F.aggregate(F.sequence(F.lit(1), depth), F.array("word_index"), up))
+    pathed = joined.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.size("_heads")), F.array("word_index"), up))
     top = F.element_at("path", -1)
     rooted = (F.col("_roots") == 1) & F.coalesce(F.try_element_at("_heads", top) == top, F.lit(False))
     broken = F.max((~rooted).cast("int")).over(Window.partitionBy(*sentence)) > 0

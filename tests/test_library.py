@@ -326,3 +326,9 @@ def test_aoi_conversion_counts_reasons_in_order(spark):
     kept, report = readers.convert_reports(areas, fix, lines)
     assert sorted((r.word_index, r.fixation_order) for r in kept.collect()) == [(0, 1), (1, 3)]
     assert {r.reason: r.n for r in report.collect()} == {"written": 2, "outside": 1, "missing_trial": 1, "page_mismatch": 1, "unmapped_area": 1, "bad_number": 1}
+
+
+def test_paths_reach_the_root_of_deep_trees(spark):
+    words = spark.createDataFrame([("t", i, 1, max(0, i - 1)) for i in range(150)], "text_id string, word_index int, sentence_number int, head_word_index int")
+    got = {r.word_index: r for r in pairs.with_tree_paths(words).collect()}
+    assert all(got[i].path == list(range(i, -1, -1)) and not got[i].syntax_missing for i in range(150))
