@@ -64,7 +64,10 @@ def event_type(src: Column, dst: Column, src_line: Column | None = None, dst_lin
 
 def separation(src: Column, dst: Column) -> Column:
     d = dst - src
-    return F.when(d < 1, F.raise_error(F.lit("separation needs a later destination"))).when(d == 1, "adjacent").when(d <= 3, "near_skip").otherwise("far_same_line")
+    return F.when(
+        d < 1,
+        F.raise_error(F.lit("separation needs a later destination")),
+    ).when(d == 1, "adjacent").when(d <= 3, "near_skip").otherwise("far_same_line")
 
 
 def within_bins(value: Column, edges: list[float], names: list[str]) -> Column:
@@ -107,8 +110,13 @@ def deviance(count: Column, expected: Column) -> Column:
 FISHER_MARGIN = 1e-7
 
 
+def clamped(c: Column, low: float, high: float) -> Column:
+    """A value within bounds; NULL stays NULL, which ``greatest`` and ``least`` alone would pass over."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
 def fisher(r: Column) -> Column:
-    return F.atanh(F.greatest(F.least(r, F.lit(1 - FISHER_MARGIN)), F.lit(FISHER_MARGIN - 1)))
+    return F.atanh(clamped(r, FISHER_MARGIN - 1, 1 - FISHER_MARGIN))
 
 
 def fisher_mean(r: Column) -> Column:
@@ -133,7 +141,15 @@ def distribution(c: Column, prefix: str = "") -> list[Column]:
 
 def mean_summary(c: Column) -> list[Column]:
     """Mean, sample deviation (0 for one value), quartiles and range."""
-    return [F.avg(c).alias("mean"), F.when(F.count(c) > 1, F.stddev_samp(c)).when(F.count(c) == 1, F.lit(0.0)).alias("sd"), quantile(c, 0.5).alias("median"), quantile(c, 0.25).alias("q25"), quantile(c, 0.75).alias("q75"), F.min(c).alias("minimum"), F.max(c).alias("maximum")]
+    return [
+        F.avg(c).alias("mean"),
+        F.when(F.count(c) > 1, F.stddev_samp(c)).when(F.count(c) == 1, F.lit(0.0)).alias("sd"),
+        quantile(c, 0.5).alias("median"),
+        quantile(c, 0.25).alias("q25"),
+        quantile(c, 0.75).alias("q75"),
+        F.min(c).alias("minimum"),
+        F.max(c).alias("maximum"),
+    ]
 
 
 TAIL_QUANTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
@@ -142,16 +158,23 @@ TAIL_QUANTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 def tail_summary(c: Column) -> list[Column]:
     """Count, mean, population deviation, nine quantiles and the shares beyond 2 and 3."""
     share = lambda bound: F.avg((F.abs(c) > bound).cast("double"))
-    return [F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), *[quantile(c, q).alias(f"q{round(100 * q):02d}") for q in TAIL_QUANTILES], share(2).alias("beyond_2"), share(3).alias("beyond_3")]
+    return [
+        F.count(c).alias("n"),
+        F.avg(c).alias("mean"),
+        F.stddev_pop(c).alias("sd"),
+        *[quantile(c, q).alias(f"q{round(100 * q):02d}") for q in TAIL_QUANTILES],
+        share(2).alias("beyond_2"),
+        share(3).alias("beyond_3"),
+    ]
 
 
 def spearman_brown(r: Column) -> Column:
-    """Reliability of twice the length, within -1 and 1."""
-    return F.when(r == -1, F.lit(-1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * r / (1 + r))))
+    """Reliability of twice the length, within -1 and 1; undefined where r is."""
+    return F.when(r == -1, F.lit(-1.0)).otherwise(clamped(2 * r / (1 + r), -1.0, 1.0))
 
 
 def attenuation_ceiling(r: Column) -> Column:
-    return F.sqrt(F.greatest(F.lit(0.0), r))
+    return F.sqrt(clamped(r, 0.0, float("inf")))
 
 
 def smooth_absolute(d: Column) -> Column:

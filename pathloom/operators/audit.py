@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
 from pathloom.operators import corpus_audit, metrics, model, resample, transitions
+from pathloom.sources import readers
 
 
-def half_residuals(design: DataFrame, edges: DataFrame, draws: DataFrame, names: tuple[str, ...], folds: DataFrame, min_exposure: float = 5) -> DataFrame:
+def half_residuals(
+    design: DataFrame,
+    edges: DataFrame,
+    draws: DataFrame,
+    names: tuple[str, ...],
+    folds: DataFrame,
+    min_exposure: float = 5,
+) -> DataFrame:
     """Cross-fitted residuals of every (draw, half): the counts of its subjects on the one design.
 
-    Subjects' edges are summed up by a join with the draws; all (draw, half, fold) fits run side by side.
+    Subjects' edges are summed up by a join with the draws; the fits of a (draw, half) are one task's work.
     """
-    sides = F.broadcast(draws.select("draw", "half").distinct())
-    counts = transitions.half_edges(edges, F.broadcast(draws))
-    laid = design.drop("count").crossJoin(sides)  # draws x halves are few and made on the driver
-    counted = laid.join(counts, ["draw", "half", *model.KEYS], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
-    return model.crossfit_residuals(counted, names, folds, ["draw", "half"], min_exposure)
+    counts = transitions.half_edges(edges, draws)
+    predicted = model.crossfit_many(design, counts, names, folds, ["draw", "half"], draws.select("draw", "half").distinct())
+    return model.residuals(predicted, ["draw", "half"], min_exposure)
 
 
 def reliability_by_draw(cells: DataFrame) -> DataFrame:
@@ -29,9 +35,11 @@ def reliability_by_draw(cells: DataFrame) -> DataFrame:
 
 
 def partition_audit(cells: DataFrame) -> DataFrame:
-    """By metric, over partitions: distributions of the median over texts and of the shares of negative and undefined ones."""
+    """By metric, over partitions: distributions of the median over texts and of the shares of negative and undefined texts."""
     by = reliability_by_draw(cells)
-    return by.groupBy("metric").agg(F.count(F.lit(1)).alias("partitions"), *E.distribution(F.col("median")), F.avg("negative_share").alias("negative_share"), F.avg("undefined_share").alias("undefined_share"))
+    shares = [x for c in ("negative_share", "undefined_share") for x in E.distribution(F.col(c), f"{c}_")]
+    below = F.avg((F.col("median") < 0).cast("double")).alias("negative_partitions")
+    return by.groupBy("metric").agg(F.count(F.lit(1)).alias("partitions"), *E.distribution(F.col("median")), below, *shares)
 
 
 def nested_bootstrap(scores: DataFrame, keys: list[str], value: str, inner: int, seed: int) -> DataFrame:
@@ -53,15 +61,21 @@ def nested_bootstrap(scores: DataFrame, keys: list[str], value: str, inner: int,
 
     ordered = scores.withColumn("_order", E.natural_number(F.col("text_id")))
     drawn = ordered.groupBy(*keys, "draw").applyInPandas(one, f"{kinds}, n long, mean double, inner_mean double")
-    return drawn.groupBy(*keys).agg(F.count_distinct("draw").alias("draws"), F.avg("mean").alias("mean"), E.quantile(F.col("inner_mean"), 0.025).alias("low"), E.quantile(F.col("inner_mean"), 0.975).alias("high"), F.avg((F.col("inner_mean") < 0).cast("double")).alias("negative_share"))
+    return drawn.groupBy(*keys).agg(
+        F.count_distinct("draw").alias("draws"),
+        F.avg("mean").alias("mean"),
+        E.quantile(F.col("inner_mean"), 0.025).alias("low"),
+        E.quantile(F.col("inner_mean"), 0.975).alias("high"),
+        F.avg((F.col("inner_mean") < 0).cast("double")).alias("negative_share"),
+    )
 
 
-def text_influence(contrasts: DataFrame, resamples: int, seed: int) -> DataFrame:
+def text_influence(contrasts: DataFrame, names: list[str], resamples: int, seed: int) -> DataFrame:
     """(contrast, deleted, n, mean, low, high, flips): each contrast without each text, with its bootstrap interval.
 
     ``contrasts`` (contrast, text_id, difference). Whether the interval leaves out 0 is the conclusion; ``flips``
     says that it differs from the one with all texts. The seed of the j-th text of the i-th contrast is
-    seed + 1000 i + j, by name and by numeric order. A contrast is one task's work.
+    seed + 1000 i + j, in the order of ``names`` and by numeric order. A contrast is one task's work.
     """
 
     def interval(x: np.ndarray, s: int) -> tuple[float, float]:
@@ -81,22 +95,61 @@ def text_influence(contrasts: DataFrame, resamples: int, seed: int) -> DataFrame
             out.append((rows["contrast"][j], rows["text_id"][j], len(rest), rest.mean(), a, b, (a > 0 or b < 0) != clear))
         return pd.DataFrame(out, columns=["contrast", "deleted", "n", "mean", "low", "high", "flips"])
 
-    names = contrasts.select("contrast").distinct()
-    order = {r[0]: i for i, r in enumerate(sorted(names.collect()))}  # a handful of contrasts
+    order = {name: i for i, name in enumerate(names)}
     number = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])
-    numbered = contrasts.withColumn("_order", E.natural_number(F.col("text_id"))).withColumn("_i", F.element_at(number, F.col("contrast")))
-    return numbered.groupBy("contrast").applyInPandas(one, "contrast string, deleted string, n long, mean double, low double, high double, flips boolean")
-
-
-def audit_corpora(first: DataFrame, second: DataFrame, names: tuple[str, ...], resamples: int, permutations: int, seed: int) -> dict[str, DataFrame]:
+    named = contrasts.where(F.col("contrast").isin(*names))
+    numbered = named.withColumn("_order", E.natural_number(F.col("text_id"))).withColumn("_i", F.element_at(number, F.col("contrast")))
+    return numbered.groupBy("contrast").applyInPandas(
+        one,
+        "contrast string, deleted string, n long, mean double, low double, high double, flips boolean",
+    )
+
+
+def criterion_contrasts(
+    cells: DataFrame,
+    scores: DataFrame,
+    keys: list[str],
+    pairs: list[tuple[str, str]],
+    min_edges: int = 4,
+) -> DataFrame:
+    """(keys, contrast, text_id, difference): Fisher-z differences of how two conditions' scores go with the residuals.
+
+    ``cells`` (keys, text_id, src_word, dst_word, residual, reliable), ``scores`` (condition, seed, text_id, src_word,
+    dst_word, score). A text counts if it has ``min_edges`` reliable cells and both conditions a correlation in every seed.
+    """
+    edge = ["text_id", "src_word", "dst_word"]
+    met = cells.where("reliable").select(*keys, *edge, F.col("residual").alias("x")).join(scores.withColumnRenamed("score", "y"), edge)
+    each = metrics.correlation(met, [*keys, "condition", "seed", "text_id"])
+    texts = each.where(F.col("n") >= min_edges).groupBy(*keys, "condition", "text_id").agg(
+        F.bool_and(F.col("r").isNotNull()).alias("fine"), F.avg(E.fisher(F.col("r"))).alias("z")
+    )
+    fine = texts.where("fine").drop("fine")
+    out = []
+    for a, b in pairs:
+        side = lambda name, z: fine.where(F.col("condition") == name).select(*keys, "text_id", F.col("z").alias(z))
+        both = side(a, "_a").join(side(b, "_b"), [*keys, "text_id"])
+        out.append(both.select(*keys, F.lit(f"{a}_vs_{b}").alias("contrast"), "text_id", (F.col("_a") - F.col("_b")).alias("difference")))
+    return readers.concat_subjects(out)
+
+
+def audit_corpora(
+    first: DataFrame,
+    second: DataFrame,
+    names: tuple[str, ...],
+    resamples: int,
+    permutations: int,
+    seed: int,
+) -> dict[str, DataFrame]:
     """All comparisons of two corpora's designs (with counts), by name."""
     both = first.withColumn("corpus", F.lit("first")).unionByName(second.withColumn("corpus", F.lit("second")))
-    summaries = corpus_audit.text_summaries(first).withColumn("corpus", F.lit("first")).unionByName(corpus_audit.text_summaries(second).withColumn("corpus", F.lit("second")))
+    summaries = corpus_audit.text_summaries(first).withColumn("corpus", F.lit("first")).unionByName(
+        corpus_audit.text_summaries(second).withColumn("corpus", F.lit("second"))
+    )
     return {
         "summaries": summaries,
-        "features": corpus_audit.feature_differences(both, names, "corpus", "first", "second"),
-        "coefficients": corpus_audit.coefficient_audit(first, second, names, resamples, seed),
+        "features": corpus_audit.feature_differences(both, names, "corpus", "first", "second", resamples, seed),
+        "coefficients": corpus_audit.coefficient_audit(first, second, names, resamples, seed + 1),
         "first_to_second": corpus_audit.transported_nll(first, second, names),
         "second_to_first": corpus_audit.transported_nll(second, first, names),
-        "classifier": corpus_audit.domain_classifier(summaries, "corpus", "second", permutations, seed),
+        "classifier": corpus_audit.domain_classifier(summaries, "corpus", "second", permutations, seed + 2),
     }

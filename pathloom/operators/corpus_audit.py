@@ -8,11 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
+from pathloom.functions.bounds import MOST_TEXTS, few
 from pathloom.operators import model
 
 #: Deviations below this are rounding.
 NO_SPREAD = 1e-9
-SUMMARIES = ("words", "candidate_pairs", "source_groups", "candidates_per_source", "mean_distance", "adjacency_rate", "line_span", "events_per_source", "zero_destination_proportion", "destination_concentration", "destination_entropy")
+# Names of a text's measures.
+SUMMARIES = (
+    "words",
+    "candidate_pairs",
+    "source_groups",
+    "candidates_per_source",
+    "mean_distance",
+    "adjacency_rate",
+    "line_span",
+    "events_per_source",
+    "zero_destination_proportion",
+    "destination_concentration",
+    "destination_entropy",
+)
 
 
 def text_summaries(counted: DataFrame) -> DataFrame:
@@ -21,45 +35,121 @@ def text_summaries(counted: DataFrame) -> DataFrame:
     share = F.when(total > 0, F.col("count") / total).otherwise(F.lit(0.0))
     d = F.col("dst_word") - F.col("src_word")
     cells = counted.withColumn("_p", share)
-    sources = cells.groupBy("text_id", "src_word").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("events"), F.sum(F.col("_p") * F.col("_p")).alias("c"), F.sum(F.when(F.col("_p") > 0, -F.col("_p") * F.ln("_p")).otherwise(F.lit(0.0))).alias("h"), F.sum(d).alias("d"), F.max(d).alias("span"), F.count_if(d == 1).alias("adjacent"), F.count_if(F.col("count") == 0).alias("zero"))
-    texts = sources.groupBy("text_id").agg(F.sum("n").alias("candidate_pairs"), F.count(F.lit(1)).alias("source_groups"), F.avg("n").alias("candidates_per_source"), (F.sum("d") / F.sum("n")).alias("mean_distance"), (F.sum("adjacent") / F.sum("n")).alias("adjacency_rate"), F.max("span").cast("double").alias("line_span"), F.avg("events").alias("events_per_source"), (F.sum("zero") / F.sum("n")).alias("zero_destination_proportion"), F.avg("c").alias("destination_concentration"), F.avg("h").alias("destination_entropy"))
-    words = counted.select("text_id", F.explode(F.array("src_word", "dst_word")).alias("w")).groupBy("text_id").agg(F.count_distinct("w").alias("words"))
+    sources = cells.groupBy("text_id", "src_word").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("count").alias("events"),
+        F.sum(F.col("_p") * F.col("_p")).alias("c"),
+        F.sum(F.when(F.col("_p") > 0, -F.col("_p") * F.ln("_p")).otherwise(F.lit(0.0))).alias("h"),
+        F.sum(d).alias("d"),
+        F.max(d).alias("span"),
+        F.count_if(d == 1).alias("adjacent"),
+        F.count_if(F.col("count") == 0).alias("zero"),
+    )
+    texts = sources.groupBy("text_id").agg(
+        F.sum("n").alias("candidate_pairs"),
+        F.count(F.lit(1)).alias("source_groups"),
+        F.avg("n").alias("candidates_per_source"),
+        (F.sum("d") / F.sum("n")).alias("mean_distance"),
+        (F.sum("adjacent") / F.sum("n")).alias("adjacency_rate"),
+        F.max("span").cast("double").alias("line_span"),
+        F.avg("events").alias("events_per_source"),
+        (F.sum("zero") / F.sum("n")).alias("zero_destination_proportion"),
+        F.avg("c").alias("destination_concentration"),
+        F.avg("h").alias("destination_entropy"),
+    )
+    words = counted.select(
+        "text_id",
+        F.explode(F.array("src_word", "dst_word")).alias("w"),
+    ).groupBy("text_id").agg(F.count_distinct("w").alias("words"))
     return texts.join(words, "text_id").select("text_id", *SUMMARIES)
 
 
-def feature_differences(design: DataFrame, names: tuple[str, ...], corpus: str, first: str, second: str) -> DataFrame:
-    """(feature, first, second, smd): text means in either corpus, and their difference in pooled deviations (0 if those vanish)."""
-    texts = design.groupBy(corpus, "text_id").agg(*[F.avg(n).alias(n) for n in names]).unpivot([corpus, "text_id"], list(names), "feature", "value")
+def feature_differences(
+    design: DataFrame,
+    names: tuple[str, ...],
+    corpus: str,
+    first: str,
+    second: str,
+    resamples: int = 0,
+    seed: int = 20260711,
+) -> DataFrame:
+    """(feature, first, second, smd, low, high): text means in either corpus, and their difference in pooled deviations.
+
+    The pooled variance weighs each corpus by its texts less one; a difference over no spread is 0. With
+    ``resamples`` the interval is that of the difference under resampled texts of both corpora, over the same
+    deviation; every feature has the same draws. A feature's text means are one task's work.
+    """
+    texts = design.groupBy(corpus, "text_id").agg(*[F.avg(n).alias(n) for n in names]).unpivot(
+        [corpus, "text_id"],
+        list(names),
+        "feature",
+        "value",
+    )
     side = lambda c: F.when(F.col(corpus) == c, F.col("value"))
-    sums = texts.groupBy("feature").agg(F.avg(side(first)).alias("first"), F.avg(side(second)).alias("second"), F.coalesce(F.var_samp(side(first)), F.lit(0.0)).alias("_v1"), F.coalesce(F.var_samp(side(second)), F.lit(0.0)).alias("_v2"))
-    pooled = F.sqrt((F.col("_v1") + F.col("_v2")) / 2)
-    return sums.select("feature", "first", "second", F.when(pooled > NO_SPREAD, (F.col("first") - F.col("second")) / pooled).otherwise(F.lit(0.0)).alias("smd"))
-
-
-def text_multiplicities(texts: list[str], resamples: int, rng: np.random.Generator) -> list[tuple[int, str, int]]:
-    """(draw, text, times) of texts drawn with replacement."""
-    out = []
-    for d in range(resamples):
-        times = np.bincount(rng.integers(0, len(texts), len(texts)), minlength=len(texts))
-        out += [(d, t, int(m)) for t, m in zip(texts, times) if m]
-    return out
+    freedom = lambda c: F.greatest(F.count(side(c)) - 1, F.lit(0))
+    within = lambda c: freedom(c) * F.coalesce(F.var_samp(side(c)), F.lit(0.0))
+    pooled = F.sqrt((within(first) + within(second)) / F.greatest(freedom(first) + freedom(second), F.lit(1)))
+    sums = texts.groupBy("feature").agg(F.avg(side(first)).alias("first"), F.avg(side(second)).alias("second"), pooled.alias("_pooled"))
+    smd = F.when(F.col("_pooled") > NO_SPREAD, (F.col("first") - F.col("second")) / F.col("_pooled")).otherwise(F.lit(0.0))
+    measured = sums.select("feature", "first", "second", smd.alias("smd"), "_pooled")
+    if not resamples:
+        none = F.lit(None).cast("double")
+        return measured.select("feature", "first", "second", "smd", none.alias("low"), none.alias("high"))
+
+    def interval(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_order")
+        a, b = (rows["value"][rows[corpus] == c].to_numpy(float) for c in (first, second))
+        rng = np.random.default_rng(seed)
+        at_a = rng.integers(len(a), size=(resamples, len(a)))
+        at_b = rng.integers(len(b), size=(resamples, len(b)))
+        low, high = np.quantile(a[at_a].mean(1) - b[at_b].mean(1), (0.025, 0.975))
+        return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "_low": [low], "_high": [high]})
+
+    ordered = texts.withColumn("_order", E.natural_number(F.col("text_id")))
+    limits = ordered.groupBy("feature").applyInPandas(interval, "feature string, _low double, _high double")
+    scaled = lambda c: F.when(F.col("_pooled") > NO_SPREAD, F.col(c) / F.col("_pooled")).otherwise(F.lit(0.0))
+    return measured.join(limits, "feature").select(
+        "feature",
+        "first",
+        "second",
+        "smd",
+        scaled("_low").alias("low"),
+        scaled("_high").alias("high"),
+    )
 
 
 def coefficient_audit(first: DataFrame, second: DataFrame, names: tuple[str, ...], resamples: int, seed: int) -> DataFrame:
     """(feature, first, second, difference, low, high): two fits and a paired bootstrap over texts.
 
     A draw weighs the counts of a text by how often it was drawn, on the unchanged design. Draw -1 is the data.
+    Draws of the two corpora alternate, as the published seeds have it.
     """
-    spark, rng, frames = first.sparkSession, np.random.default_rng(seed), []
-    for name, design in (("first", first), ("second", second)):
-        texts = sorted((r[0] for r in design.select("text_id").distinct().collect()), key=model.trailing_number)
-        draws = [(-1, t, 1) for t in texts] + text_multiplicities(texts, resamples, rng)
-        weights = F.broadcast(spark.createDataFrame(draws, "draw int, text_id string, times int"))
-        weighted = design.join(weights, "text_id").withColumn("count", F.col("count") * F.col("times"))
-        frames.append(model.fit(weighted, names, ["draw"]).withColumnRenamed("coefficient", name))
-    both = frames[0].join(frames[1], ["draw", "feature"]).withColumn("_d", F.col("first") - F.col("second"))
+    spark, rng = first.sparkSession, np.random.default_rng(seed)
+    sides = {"first": first, "second": second}
+    texts = {
+        n: sorted((r[0] for r in few(d.select("text_id").distinct(), MOST_TEXTS, "texts")), key=model.trailing_number)
+        for n, d in sides.items()
+    }
+    drawn = {n: [(-1, t, 1) for t in ids] for n, ids in texts.items()}
+    for r in range(resamples):
+        for n, ids in texts.items():
+            times = np.bincount(rng.integers(len(ids), size=len(ids)), minlength=len(ids))
+            drawn[n] += [(r, t, int(m)) for t, m in zip(ids, times) if m]
+    fits = []
+    for n, design in sides.items():
+        draws = spark.createDataFrame(drawn[n], "draw int, text_id string, times int")
+        fits.append(model.fit_draws(design, draws, names).withColumnRenamed("coefficient", n))
+    both = fits[0].join(fits[1], ["draw", "feature"]).withColumn("_d", F.col("first") - F.col("second"))
     own = F.col("draw") == -1
-    return both.groupBy("feature").agg(F.max(F.when(own, F.col("first"))).alias("first"), F.max(F.when(own, F.col("second"))).alias("second"), F.max(F.when(own, F.col("_d"))).alias("difference"), E.quantile(F.when(~own, F.col("_d")), 0.025).alias("low"), E.quantile(F.when(~own, F.col("_d")), 0.975).alias("high"))
+    data = lambda c: F.max(F.when(own, F.col(c)))
+    spread = F.when(~own, F.col("_d"))
+    return both.groupBy("feature").agg(
+        data("first").alias("first"),
+        data("second").alias("second"),
+        data("_d").alias("difference"),
+        E.quantile(spread, 0.025).alias("low"),
+        E.quantile(spread, 0.975).alias("high"),
+    )
 
 
 def transported_nll(fitted_on: DataFrame, scored_on: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -121,26 +211,29 @@ def classify(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, flo
 
 
 def domain_classifier(summaries: DataFrame, corpus: str, second: str, permutations: int, seed: int, n_folds: int = 5) -> DataFrame:
-    """One row: balanced accuracy, area and permutation p of telling two corpora apart by their text summaries.
+    """One row: balanced accuracy, area and their permutation p of telling two corpora apart by their text summaries.
 
-    The rows (one a text) go to every task; permutations of the labels run side by side.
+    Rows, one a text, are bounded and go to every task; permutations of the labels keep the folds and run side by side.
     """
     spark = summaries.sparkSession
-    rows = summaries.orderBy(corpus, *E.text_order(F.col("text_id"))).select(corpus, *SUMMARIES).toPandas()
-    x, y = rows[list(SUMMARIES)].to_numpy(float), (rows[corpus] == second).to_numpy().astype(int)
-    fold = stratified_folds(y, n_folds, np.random.default_rng(seed))
+    ordered = summaries.orderBy(corpus, *E.text_order(F.col("text_id"))).select(corpus, *SUMMARIES)
+    rows = few(ordered, MOST_TEXTS, "texts")
+    x = np.array([[float(r[c]) for c in SUMMARIES] for r in rows])
+    y = np.array([int(r[corpus] == second) for r in rows])
+    rng = np.random.default_rng(seed)
+    fold = stratified_folds(y, n_folds, rng)
     balanced, area = classify(x, y, fold)
-    data = spark.sparkContext.broadcast((x, y))
+    data = spark.sparkContext.broadcast((x, y, fold))
 
     def permuted(frames):
+        values, labels, folds = data.value
         for frame in frames:
-            out = []
-            for i in frame["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                values, labels = data.value
-                shuffled = rng.permutation(labels)
-                out.append(classify(values, shuffled, stratified_folds(shuffled, n_folds, rng))[0])
-            yield pd.DataFrame({"balanced": out})
-
-    drawn = spark.range(permutations).mapInPandas(permuted, "balanced double")
-    return drawn.agg(F.count_if(F.col("balanced") >= balanced).alias("_above"), F.count(F.lit(1)).alias("permutations")).select(F.lit(balanced).alias("balanced_accuracy"), F.lit(area).alias("area"), ((1 + F.col("_above")) / (F.col("permutations") + 1)).alias("p"), "permutations", F.when(F.col("permutations") >= 500, "complete").otherwise("pilot").alias("status"))
+            found = [classify(values, np.random.default_rng([seed, int(i)]).permutation(labels), folds) for i in frame["id"]]
+            yield pd.DataFrame(found, columns=["balanced", "area"])
+
+    drawn = spark.range(permutations).mapInPandas(permuted, "balanced double, area double")
+    p = lambda c, observed: ((1 + F.count_if(F.col(c) >= observed)) / (F.count(F.lit(1)) + 1))
+    status = F.when(F.col("permutations") >= 500, "complete").otherwise("pilot")
+    return drawn.agg(p("balanced", balanced).alias("p"), p("area", area).alias("p_area"), F.count(F.lit(1)).alias("permutations")).select(
+        F.lit(balanced).alias("balanced_accuracy"), F.lit(area).alias("area"), "p", "p_area", "permutations", status.alias("status")
+    )

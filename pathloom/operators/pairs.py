@@ -8,12 +8,53 @@ from pyspark.sql import functions as F
 from pathloom.functions import expressions as E
 
 # Feature names, in the order of a design's columns.
-DIRECTED = ("forward", "log1p_abs_distance", "forward_x_log_distance", "adjacent", "source_log_length", "target_log_length", "source_cloze_logit", "target_cloze_logit", "source_cloze_missing", "target_cloze_missing", "source_terminal_punctuation", "target_terminal_punctuation", "same_sentence", "cross_sentence_direction", "source_zipf_frequency", "target_zipf_frequency", "source_frequency_oov", "target_frequency_oov", "src_head_of_dst", "dst_head_of_src", "dependency_tree_distance", "dependency_missing")
-COMMON_CORE = ("log1p_abs_distance", "adjacent", "target_log_length", "target_zipf_frequency", "target_frequency_oov", "target_terminal_punctuation", "src_head_of_dst", "dst_head_of_src", "dependency_tree_distance", "target_relative_position", "target_first2", "target_last2")
+DIRECTED = (
+    "forward",
+    "log1p_abs_distance",
+    "forward_x_log_distance",
+    "adjacent",
+    "source_log_length",
+    "target_log_length",
+    "source_cloze_logit",
+    "target_cloze_logit",
+    "source_cloze_missing",
+    "target_cloze_missing",
+    "source_terminal_punctuation",
+    "target_terminal_punctuation",
+    "same_sentence",
+    "cross_sentence_direction",
+    "source_zipf_frequency",
+    "target_zipf_frequency",
+    "source_frequency_oov",
+    "target_frequency_oov",
+    "src_head_of_dst",
+    "dst_head_of_src",
+    "dependency_tree_distance",
+    "dependency_missing",
+)
+COMMON_CORE = (
+    "log1p_abs_distance",
+    "adjacent",
+    "target_log_length",
+    "target_zipf_frequency",
+    "target_frequency_oov",
+    "target_terminal_punctuation",
+    "src_head_of_dst",
+    "dst_head_of_src",
+    "dependency_tree_distance",
+    "target_relative_position",
+    "target_first2",
+    "target_last2",
+)
 POSITION = ("log1p_abs_distance", "adjacent", "target_relative_position", "target_first2", "target_last2")
 CUBIC = ("log1p_abs_distance_squared", "log1p_abs_distance_cubed", "distance_x_target_relative_position")
 DIRECTED_SETS = {"basic": DIRECTED[:4], "lexical": DIRECTED[:18], "syntax": DIRECTED, "common_core": COMMON_CORE}
-STRICT_SETS = {"position_only": POSITION, "lexical": POSITION + ("target_log_length", "target_zipf_frequency", "target_frequency_oov", "target_terminal_punctuation"), "syntax": COMMON_CORE, "flexible": COMMON_CORE + CUBIC}
+STRICT_SETS = {
+    "position_only": POSITION,
+    "lexical": POSITION + ("target_log_length", "target_zipf_frequency", "target_frequency_oov", "target_terminal_punctuation"),
+    "syntax": COMMON_CORE,
+    "flexible": COMMON_CORE + CUBIC,
+}
 RISK_SETS = ("all", "forward_same_sentence", "forward_same_line")
 
 
@@ -37,15 +78,28 @@ def corpus_lexicon(tokens: DataFrame, surface: str = "surface") -> DataFrame:
     """(surface, zipf) of a corpus's own frequencies."""
     counted = tokens.groupBy(surface).agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select(F.col(surface).alias("surface"), E.zipf(F.col("n"), F.col("total")).alias("zipf"))  # one row
+    return counted.crossJoin(F.broadcast(total)).select(
+        F.col(surface).alias("surface"),
+        E.zipf(F.col("n"), F.col("total")).alias("zipf"),
+    )  # one row
 
 
 def word_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per white-space token: length, terminal punctuation and sentence number (from 1)."""
-    tokens = documents.select(F.col(id_col).alias("text_id"), F.posexplode(F.split(F.trim(F.regexp_replace(text_col, r"\s+", " ")), " ")).alias("word_index", "surface")).where("surface <> ''")
+    tokens = documents.select(
+        F.col(id_col).alias("text_id"),
+        F.posexplode(F.split(F.trim(F.regexp_replace(text_col, r"\s+", " ")), " ")).alias("word_index", "surface"),
+    ).where("surface <> ''")
     before = Window.partitionBy("text_id").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
     ends = E.ends_sentence(F.col("surface"))
-    return tokens.select("text_id", F.col("word_index").cast("bigint").alias("word_index"), "surface", E.clean_length(F.col("surface")).alias("length"), ends.alias("terminal_punctuation"), (1 + F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0))).cast("bigint").alias("sentence_number"))
+    return tokens.select(
+        "text_id",
+        F.col("word_index").cast("bigint").alias("word_index"),
+        "surface",
+        E.clean_length(F.col("surface")).alias("length"),
+        ends.alias("terminal_punctuation"),
+        (1 + F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0))).cast("bigint").alias("sentence_number"),
+    )
 
 
 def fill_sentences(words: DataFrame) -> DataFrame:
@@ -54,8 +108,16 @@ def fill_sentences(words: DataFrame) -> DataFrame:
     order = Window.partitionBy("text_id").orderBy("word_index")
     previous, ended = F.lag("sentence_number").over(order), F.lag("terminal_punctuation").over(order)
     later = F.first("sentence_number", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    filled = F.coalesce(F.col("sentence_number"), F.when(previous.isNotNull() & ~F.coalesce(ended, F.lit(False)), previous), later, previous)
-    return words.withColumn("_filled", filled).withColumn("sentence_number", F.coalesce("_filled", F.raise_error(F.lit("no sentence number to take over")))).drop("_filled")
+    filled = F.coalesce(
+        F.col("sentence_number"),
+        F.when(previous.isNotNull() & ~F.coalesce(ended, F.lit(False)), previous),
+        later,
+        previous,
+    )
+    return words.withColumn("_filled", filled).withColumn(
+        "sentence_number",
+        F.coalesce("_filled", F.raise_error(F.lit("no sentence number to take over"))),
+    ).drop("_filled")
 
 
 def nearest_area(candidates: DataFrame) -> DataFrame:
@@ -65,7 +127,10 @@ def nearest_area(candidates: DataFrame) -> DataFrame:
     ranked = candidates.distinct().withColumn("_rank", F.rank().over(each.orderBy(distance)))
     tied = F.count(F.lit(1)).over(each)
     best = ranked.where("_rank = 1").withColumn("_tied", tied)
-    return best.withColumn("ia_id", F.when(F.col("_tied") > 1, F.raise_error(F.lit("several nearest areas"))).otherwise(F.col("ia_id"))).drop("_rank", "_tied")
+    return best.withColumn(
+        "ia_id",
+        F.when(F.col("_tied") > 1, F.raise_error(F.lit("several nearest areas"))).otherwise(F.col("ia_id")),
+    ).drop("_rank", "_tied")
 
 
 def word_properties(records: DataFrame) -> DataFrame:
@@ -77,7 +142,16 @@ def word_properties(records: DataFrame) -> DataFrame:
     share, count = F.col("match_share").try_cast("double"), F.col("responses").try_cast("double")
     missing = share.isNull() | count.isNull() | (count <= 0) | ~share.between(0, 1)
     length = F.coalesce(E.positive_integer(F.col("length")), E.clean_length(F.col("surface")))
-    return records.select("text_id", "word_index", "surface", F.ln(1 + length).alias("log_length"), F.when(missing, F.lit(0.0)).otherwise(E.smoothed_logit(share, count)).alias("cloze_logit"), F.coalesce(missing, F.lit(True)).alias("cloze_missing"), E.ends_sentence(F.col("surface")).alias("terminal_punctuation"), E.positive_integer(F.col("sentence_number")).alias("sentence_number"))
+    return records.select(
+        "text_id",
+        "word_index",
+        "surface",
+        F.ln(length).alias("log_length"),
+        F.when(missing, F.lit(0.0)).otherwise(E.smoothed_logit(share, count)).alias("cloze_logit"),
+        F.coalesce(missing, F.lit(True)).alias("cloze_missing"),
+        E.ends_sentence(F.col("surface")).alias("terminal_punctuation"),
+        E.positive_integer(F.col("sentence_number")).alias("sentence_number"),
+    )
 
 
 def with_tree_paths(words: DataFrame) -> DataFrame:
@@ -86,7 +160,10 @@ def with_tree_paths(words: DataFrame) -> DataFrame:
     Heads are looked up within the sentence; a sentence needs exactly one word that is its own head, reached by all.
     """
     sentence = ["text_id", "sentence_number"]
-    heads = words.groupBy(*sentence).agg(F.map_from_entries(F.collect_list(F.struct("word_index", "head_word_index"))).alias("_heads"), F.count_if(F.col("head_word_index") == F.col("word_index")).alias("_roots"))
+    heads = words.groupBy(*sentence).agg(
+        F.map_from_entries(F.collect_list(F.struct("word_index", "head_word_index"))).alias("_heads"),
+        F.count_if(F.col("head_word_index") == F.col("word_index")).alias("_roots"),
+    )
     joined = words.join(heads, sentence)
 
     def up(path: Column, _: Column) -> Column:
@@ -124,7 +201,10 @@ def build_pairs(words: DataFrame, risk_set: str = "all", feature_set: str = "syn
             raise ValueError(f"{feature_set!r} in {risk_set!r} needs the column {column}")
     place = Window.partitionBy("text_id", "sentence_number")
     ready = with_tree_paths(words) if "head_word_index" in words.columns else words
-    ready = ready.withColumn("ordinal", F.row_number().over(place.orderBy("word_index")) - 1).withColumn("sentence_words", F.count(F.lit(1)).over(place))
+    ready = ready.withColumn(
+        "ordinal",
+        F.row_number().over(place.orderBy("word_index")) - 1,
+    ).withColumn("sentence_words", F.count(F.lit(1)).over(place))
     prefixed = lambda p: ready.select("text_id", *[F.col(c).alias(f"{p}_{c}") for c in ready.columns if c != "text_id"])
     s, d = prefixed("s"), prefixed("d")
     on = [s["text_id"] == d["text_id"]]
@@ -135,7 +215,12 @@ def build_pairs(words: DataFrame, risk_set: str = "all", feature_set: str = "syn
     if risk_set == "forward_same_line":
         on += [F.col("s_line_id") == F.col("d_line_id"), F.col("s_line_id") >= 0]
     pairs = s.join(d, on).drop(d["text_id"])
-    return pairs.select("text_id", F.col("s_word_index").alias("src_word"), F.col("d_word_index").alias("dst_word"), *[feature(n).cast("double").alias(n) for n in names])
+    return pairs.select(
+        "text_id",
+        F.col("s_word_index").alias("src_word"),
+        F.col("d_word_index").alias("dst_word"),
+        *[feature(n).cast("double").alias(n) for n in names],
+    )
 
 
 def feature(name: str) -> Column:
@@ -177,8 +262,12 @@ def feature(name: str) -> Column:
 
 def group_constants(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(feature, constant): whether a feature is the same within every source, and so cannot be told from it."""
-    spread = pairs.groupBy("text_id", "src_word").agg(*[(F.max(n) - F.min(n)).alias(n) for n in names]).agg(*[(F.max(n) == 0).alias(n) for n in names])
-    return spread.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("constant")) for n in names])).alias("x")).select("x.*")
+    spread = pairs.groupBy("text_id", "src_word").agg(
+        *[(F.max(n) - F.min(n)).alias(n) for n in names]
+    ).agg(*[(F.max(n) == 0).alias(n) for n in names])
+    return spread.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("constant")) for n in names])).alias("x")
+    ).select("x.*")
 
 
 def design_rank(pairs: DataFrame, names: tuple[str, ...]) -> int:
@@ -187,7 +276,10 @@ def design_rank(pairs: DataFrame, names: tuple[str, ...]) -> int:
 
     group = Window.partitionBy("text_id", "src_word")
     centred = pairs.select(*[(F.col(n) - F.avg(n).over(group)).alias(n) for n in names])
-    row = centred.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]).first()
+    row = centred.agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i],
+    ).first()
     gram = np.array([[row[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
     scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
     values = np.linalg.eigvalsh(gram / np.outer(scale, scale)) if len(names) else np.zeros(0)
@@ -198,7 +290,9 @@ def design_rank(pairs: DataFrame, names: tuple[str, ...]) -> int:
 def same_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Candidates that only one of two designs has; empty if they agree."""
     keys = ["text_id", "src_word", "dst_word"]
-    return a.select(*keys).exceptAll(b.select(*keys)).withColumn("side", F.lit("first")).unionByName(b.select(*keys).exceptAll(a.select(*keys)).withColumn("side", F.lit("second")))
+    return a.select(*keys).exceptAll(b.select(*keys)).withColumn("side", F.lit("first")).unionByName(
+        b.select(*keys).exceptAll(a.select(*keys)).withColumn("side", F.lit("second"))
+    )
 
 
 def candidate_audit(counted: DataFrame, min_exposure: float = 10) -> DataFrame:
@@ -206,11 +300,26 @@ def candidate_audit(counted: DataFrame, min_exposure: float = 10) -> DataFrame:
     with_exposure = counted.withColumn("exposure", F.sum("count").over(Window.partitionBy("text_id", "src_word")))
     eligible = F.col("exposure") >= min_exposure
     source = F.struct("text_id", "src_word")
-    return with_exposure.groupBy("category").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct(source).alias("sources"), F.count_distinct("text_id").alias("texts"), F.count_if(F.col("count") > 0).alias("nonzero"), F.sum("count").alias("mass"), F.count_if(eligible).alias("eligible"), F.count_distinct(F.when(eligible, source)).alias("eligible_sources"), F.sum("exposure").alias("exposure"))
+    return with_exposure.groupBy("category").agg(
+        F.count(F.lit(1)).alias("candidates"),
+        F.count_distinct(source).alias("sources"),
+        F.count_distinct("text_id").alias("texts"),
+        F.count_if(F.col("count") > 0).alias("nonzero"),
+        F.sum("count").alias("mass"),
+        F.count_if(eligible).alias("eligible"),
+        F.count_distinct(F.when(eligible, source)).alias("eligible_sources"),
+        F.sum("exposure").alias("exposure"),
+    )
 
 
 def exposure_audit(scored: DataFrame) -> DataFrame:
     """By category of scored candidates: expected counts, nonzero rate, mass, exposure and risk-set size."""
     sized = scored.withColumn("risk_size", F.count(F.lit(1)).over(Window.partitionBy("text_id", "src_word")))
     both = lambda c: [F.avg(c).alias(f"{c}_mean"), E.quantile(F.col(c), 0.5).alias(f"{c}_median")]
-    return sized.groupBy("category").agg(*both("expected"), F.avg((F.col("count") > 0).cast("double")).alias("nonzero_rate"), F.sum("count").alias("mass"), *both("exposure"), *both("risk_size"))
+    return sized.groupBy("category").agg(
+        *both("expected"),
+        F.avg((F.col("count") > 0).cast("double")).alias("nonzero_rate"),
+        F.sum("count").alias("mass"),
+        *both("exposure"),
+        *both("risk_size"),
+    )

@@ -23,9 +23,15 @@ def align_tokens(first: DataFrame, second: DataFrame) -> DataFrame:
     def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         sides = [list(x.sort_values("position")["token"]) for x in (a, b)]
         ops = SequenceMatcher(None, *sides, autojunk=False).get_opcodes()
-        return pd.DataFrame([(key[0], *op) for op in ops], columns=["text_id", "op", "first_start", "first_end", "second_start", "second_end"])
+        return pd.DataFrame(
+            [(key[0], *op) for op in ops],
+            columns=["text_id", "op", "first_start", "first_end", "second_start", "second_end"],
+        )
 
-    return first.groupBy("text_id").cogroup(second.groupBy("text_id")).applyInPandas(one, "text_id string, op string, first_start long, first_end long, second_start long, second_end long")
+    return first.groupBy("text_id").cogroup(second.groupBy("text_id")).applyInPandas(
+        one,
+        "text_id string, op string, first_start long, first_end long, second_start long, second_end long",
+    )
 
 
 def verified_positions(blocks: DataFrame) -> DataFrame:
@@ -36,9 +42,16 @@ def verified_positions(blocks: DataFrame) -> DataFrame:
 
 def reconciliation(blocks: DataFrame) -> DataFrame:
     """Tokens by text and kind of block."""
-    return blocks.groupBy("text_id", "op").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("first_end") - F.col("first_start")).alias("first_tokens"), F.sum(F.col("second_end") - F.col("second_start")).alias("second_tokens"))
+    return blocks.groupBy("text_id", "op").agg(
+        F.count(F.lit(1)).alias("blocks"),
+        F.sum(F.col("first_end") - F.col("first_start")).alias("first_tokens"),
+        F.sum(F.col("second_end") - F.col("second_start")).alias("second_tokens"),
+    )
 
 
 def unique_counts(df: DataFrame, text_col: str, keys: dict[str, list[str]]) -> DataFrame:
     """Rows and distinct keys by text and overall (NULL text), in one pass of grouping sets."""
-    return df.rollup(text_col).agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(*[F.col(c) for c in columns]).alias(name) for name, columns in keys.items()])
+    return df.rollup(text_col).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_distinct(*[F.col(c) for c in columns]).alias(name) for name, columns in keys.items()],
+    )

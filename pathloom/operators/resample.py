@@ -7,6 +7,8 @@ row is ever repeated.
 from __future__ import annotations
 
 import random
+from collections import Counter
+from heapq import nsmallest
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
+from pathloom.functions.bounds import MOST_TEXTS, few
 from pathloom.operators import metrics
 
 DRAWS = "draw int, half int, subject_id string, mult int"
@@ -22,7 +25,10 @@ MIN_SUBJECTS = 4
 
 
 def subject_splits(subjects: list[str], repeats: int, seed: int) -> list[tuple[list[str], list[str]]]:
-    """Halves of the sorted subjects, the first of half the size rounded down."""
+    """Halves of the sorted subjects, the first of half the size rounded down.
+
+    The order of calls to the generator is that of the published seeds.
+    """
     ids, rng = sorted(subjects), np.random.default_rng(seed)
     out = []
     for _ in range(repeats):
@@ -57,18 +63,29 @@ def reader_bootstrap(subjects: list[str], repeats: int, seed: int) -> list[tuple
     return out
 
 
+def reader_resamples(subjects: list[str], repeats: int, seed: int) -> list[list[str]]:
+    """As many subjects as there are, drawn with replacement."""
+    ids, rng = sorted(subjects), np.random.default_rng(seed)
+    return [[ids[i] for i in rng.integers(len(ids), size=len(ids))] for _ in range(repeats)]
+
+
 def balanced_subsets(subjects: list[str], k: int, repeats: int, seed: int) -> list[list[str]]:
-    """Subsets of k subjects, the least used first and ties by chance, so that uses differ by one at most."""
-    ids, rng = sorted(subjects), random.Random(seed)
-    used = dict.fromkeys(ids, 0)
-    out = []
-    for _ in range(repeats):
-        jitter = {s: rng.random() for s in ids}
-        chosen = sorted(ids, key=lambda s: (used[s], jitter[s]))[:k]
-        for s in chosen:
-            used[s] += 1
-        out.append(sorted(chosen))
-    return out
+    """Subsets of k subjects in which uses differ by one at most; who is due is left to chance.
+
+    A round draws one number for each subject, in their order (as the published seeds have it), and takes the k
+    subjects with the fewest uses and the smallest numbers.
+    """
+    ids, rng, uses = sorted(set(subjects)), random.Random(seed), Counter()
+    if not 0 < k <= len(ids):
+        raise ValueError(f"{k} of {len(ids)} subjects")
+
+    def one_round() -> list[str]:
+        due = [(uses[s], rng.random(), s) for s in ids]
+        chosen = sorted(s for *_, s in nsmallest(k, due))
+        uses.update(chosen)
+        return chosen
+
+    return [one_round() for _ in range(repeats)]
 
 
 def draws_table(spark: SparkSession, splits: list[tuple[list[str], list[str]]]) -> DataFrame:
@@ -95,31 +112,62 @@ def split_half(edges: DataFrame, draws: DataFrame, sizes: DataFrame, correct: bo
     with fewer than ``min_subjects`` subjects (of any event type, from the draws) are undefined.
     """
     own = ["subject_id", "text_id"] if "text_id" in draws.columns else ["subject_id"]
-    halves = edges.join(draws, own).groupBy("text_id", "draw", "half", "src_word", "dst_word").agg(F.sum(F.col("count") * F.col("mult")).alias("count"))
+    halves = edges.join(draws, own).groupBy("text_id", "draw", "half", "src_word", "dst_word").agg(
+        F.sum(F.col("count") * F.col("mult")).alias("count")
+    )
     row = Window.partitionBy("text_id", "draw", "half", "src_word")
-    normal = halves.withColumn("_total", F.sum("count").over(row)).where("_total > 0").select("text_id", "draw", "half", "src_word", "dst_word", (F.col("count") / F.col("_total")).alias("p"))
-    cells = normal.groupBy("text_id", "draw", "src_word", "dst_word").agg(F.sum(F.when(F.col("half") == 0, F.col("p"))).alias("x"), F.sum(F.when(F.col("half") == 1, F.col("p"))).alias("y"))
+    normal = halves.withColumn("_total", F.sum("count").over(row)).where("_total > 0").select(
+        "text_id",
+        "draw",
+        "half",
+        "src_word",
+        "dst_word",
+        (F.col("count") / F.col("_total")).alias("p"),
+    )
+    cells = normal.groupBy("text_id", "draw", "src_word", "dst_word").agg(
+        F.sum(F.when(F.col("half") == 0, F.col("p"))).alias("x"),
+        F.sum(F.when(F.col("half") == 1, F.col("p"))).alias("y"),
+    )
     source = Window.partitionBy("text_id", "draw", "src_word")
-    common = cells.where(F.col("x").isNotNull() | F.col("y").isNotNull()).withColumn("_both", (F.count("x").over(source) > 0) & (F.count("y").over(source) > 0)).where("_both")
+    common = cells.where(F.col("x").isNotNull() | F.col("y").isNotNull()).withColumn(
+        "_both",
+        (F.count("x").over(source) > 0) & (F.count("y").over(source) > 0),
+    ).where("_both")
     x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
-    sums = common.groupBy("text_id", "draw").agg(F.count_distinct("src_word").alias("sources"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    sums = common.groupBy("text_id", "draw").agg(
+        F.count_distinct("src_word").alias("sources"),
+        F.sum(x).alias("sx"),
+        F.sum(y).alias("sy"),
+        F.sum(x * x).alias("sxx"),
+        F.sum(y * y).alias("syy"),
+        F.sum(x * y).alias("sxy"),
+    )
     n = F.col("sources") * F.col("n_words")
     vx, vy, c = n * F.col("sxx") - F.col("sx") ** 2, n * F.col("syy") - F.col("sy") ** 2, n * F.col("sxy") - F.col("sx") * F.col("sy")
     tiny = 1e-12 * n * n
     r = F.when((n >= 2) & (vx > tiny) & (vy > tiny), c / F.sqrt(vx * vy))
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)) if not correct else E.spearman_brown(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-    by_draw = sums.join(sizes, "text_id").select("text_id", "draw", F.when(r.isNotNull(), r).alias("r"))
-    per_text = draws.groupBy(*[c for c in own if c == "text_id"], "draw").agg(F.sum(F.when(F.col("half") == 0, F.col("mult"))).alias("half_0"), F.sum(F.when(F.col("half") == 1, F.col("mult"))).alias("half_1"))
+    r = E.clamped(r, -1.0, 1.0)
+    by_draw = sums.join(sizes, "text_id").select("text_id", "draw", (E.spearman_brown(r) if correct else r).alias("r"))
+    per_text = draws.groupBy(*[c for c in own if c == "text_id"], "draw").agg(
+        F.sum(F.when(F.col("half") == 0, F.col("mult"))).alias("half_0"),
+        F.sum(F.when(F.col("half") == 1, F.col("mult"))).alias("half_1"),
+    )
     if "text_id" not in own:
         per_text = per_text.crossJoin(edges.select("text_id").distinct())  # texts are few
     full = per_text.join(by_draw, ["text_id", "draw"], "left")
     enough = F.col("half_0") + F.col("half_1") >= min_subjects
-    return full.groupBy("text_id").agg(F.count(F.lit(1)).alias("draws"), F.count(F.when(enough, F.col("r"))).alias("valid"), E.quantile(F.when(enough, F.col("r")), 0.5).alias("median"), E.quantile(F.col("half_0"), 0.5).alias("half_0"), E.quantile(F.col("half_1"), 0.5).alias("half_1"))
+    return full.groupBy("text_id").agg(
+        F.count(F.lit(1)).alias("draws"),
+        F.count(F.when(enough, F.col("r"))).alias("valid"),
+        E.quantile(F.when(enough, F.col("r")), 0.5).alias("median"),
+        E.quantile(F.col("half_0"), 0.5).alias("half_0"),
+        E.quantile(F.col("half_1"), 0.5).alias("half_1"),
+    )
 
 
 def text_draws(spark: SparkSession, events: DataFrame, repeats: int, seed: int, exact_four: bool = False) -> DataFrame:
     """Draws for each text over the subjects that have any event in it."""
-    by_text = events.groupBy("text_id").agg(F.array_sort(F.collect_set("subject_id")).alias("s")).collect()  # texts are few
+    by_text = few(events.groupBy("text_id").agg(F.array_sort(F.collect_set("subject_id")).alias("s")), MOST_TEXTS, "texts")
     frames = []
     for text, subjects in sorted(by_text):
         splits = four_subject_partitions(subjects) if exact_four else subject_splits(subjects, repeats, seed)
@@ -136,20 +184,35 @@ def hashed_draws(events: DataFrame, repeats: int, seed: int) -> DataFrame:
     drawn = subjects.select("text_id", "subject_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("draw"))
     group = Window.partitionBy("text_id", "draw")
     chance = F.md5(F.concat_ws(":", F.lit(seed), F.col("draw"), F.col("text_id"), F.col("subject_id")))
-    ranked = drawn.withColumn("_rank", F.row_number().over(group.orderBy(chance, "subject_id"))).withColumn("_n", F.count(F.lit(1)).over(group))
-    return ranked.select("text_id", "draw", F.when(F.col("_rank") <= F.floor(F.col("_n") / 2), 0).otherwise(1).alias("half"), "subject_id", F.lit(1).alias("mult"))
+    ranked = drawn.withColumn(
+        "_rank",
+        F.row_number().over(group.orderBy(chance, "subject_id")),
+    ).withColumn("_n", F.count(F.lit(1)).over(group))
+    return ranked.select(
+        "text_id",
+        "draw",
+        F.when(F.col("_rank") <= F.floor(F.col("_n") / 2), 0).otherwise(1).alias("half"),
+        "subject_id",
+        F.lit(1).alias("mult"),
+    )
 
 
 # -- controls -------------------------------------------------------------------------------------------------
 
 
 def permute_destinations(cells: DataFrame, keys: list[str], value: str, seed: int) -> DataFrame:
-    """``cells`` with ``value`` shuffled among the destinations of each source, by a seeded hash."""
+    """``cells`` with ``value`` shuffled among the destinations of each source, by a seeded hash that SQL engines share."""
     group = Window.partitionBy(*keys, "text_id", "src_word")
     on = [*keys, "text_id", "src_word", "_rank"]
-    chance = F.xxhash64(F.lit(seed), *keys, "text_id", "src_word", "dst_word")
+    chance = F.md5(F.concat_ws(":", F.lit(seed), *keys, "text_id", "src_word", "dst_word"))
     ranked = cells.withColumn("_rank", F.row_number().over(group.orderBy("dst_word")))
-    drawn = cells.select(*keys, "text_id", "src_word", F.col(value).alias("_new"), F.row_number().over(group.orderBy(chance, "dst_word")).alias("_rank"))
+    drawn = cells.select(
+        *keys,
+        "text_id",
+        "src_word",
+        F.col(value).alias("_new"),
+        F.row_number().over(group.orderBy(chance, "dst_word")).alias("_rank"),
+    )
     return ranked.join(drawn, on).withColumn(value, F.col("_new")).select(*cells.columns)
 
 
@@ -161,7 +224,14 @@ def thin_categories(edges: DataFrame, seed: int, reference: str = "far_same_line
     """
     mass = edges.groupBy("subject_id", "category").agg(F.sum("count").alias("_mass"))
     far = mass.where(F.col("category") == reference).select("subject_id", F.col("_mass").alias("_far"))
-    chance = mass.join(far, "subject_id", "left").select("subject_id", "category", F.when(F.col("category") == reference, F.lit(1.0)).when(F.col("_mass") > 0, F.least(F.lit(1.0), F.coalesce("_far", F.lit(0.0)) / F.col("_mass"))).otherwise(F.lit(0.0)).alias("keep"))
+    chance = mass.join(far, "subject_id", "left").select(
+        "subject_id",
+        "category",
+        F.when(F.col("category") == reference, F.lit(1.0)).when(
+            F.col("_mass") > 0,
+            F.least(F.lit(1.0), F.coalesce("_far", F.lit(0.0)) / F.col("_mass")),
+        ).otherwise(F.lit(0.0)).alias("keep"),
+    )
     joined = edges.join(chance, ["subject_id", "category"])
     columns = joined.columns
 
@@ -178,31 +248,51 @@ def keep_probabilities(edges: DataFrame, reference: str = "far_same_line") -> Da
     """(subject_id, category, keep): what ``thin_categories`` draws with."""
     mass = edges.groupBy("subject_id", "category").agg(F.sum("count").alias("mass"))
     far = mass.where(F.col("category") == reference).select("subject_id", F.col("mass").alias("_far"))
-    keep = F.when(F.col("category") == reference, F.lit(1.0)).when(F.col("mass") > 0, F.least(F.lit(1.0), F.coalesce("_far", F.lit(0.0)) / F.col("mass"))).otherwise(F.lit(0.0))
+    keep = F.when(F.col("category") == reference, F.lit(1.0)).when(
+        F.col("mass") > 0,
+        F.least(F.lit(1.0), F.coalesce("_far", F.lit(0.0)) / F.col("mass")),
+    ).otherwise(F.lit(0.0))
     return mass.join(far, "subject_id", "left").select("subject_id", "category", "mass", keep.alias("keep"))
 
 
 def eligibility(first: DataFrame, second: DataFrame, thresholds: list[int]) -> DataFrame:
     """Paired metrics under several exposure thresholds, from the same fits."""
     spark = first.sparkSession
-    limits = F.broadcast(spark.createDataFrame([(t,) for t in thresholds], "threshold int"))
-    cut = lambda df: df.crossJoin(limits).withColumn("reliable", (F.col("exposure") >= F.col("threshold")) & F.col("residual").isNotNull())  # noqa: E731  a handful of thresholds
+    limits = spark.createDataFrame([(t,) for t in thresholds], "threshold int")
+    cut = lambda df: df.crossJoin(limits).withColumn(  # noqa: E731  a handful of thresholds
+        "reliable",
+        (F.col("exposure") >= F.col("threshold")) & F.col("residual").isNotNull(),
+    )
     return metrics.paired_metrics(metrics.paired_halves(cut(first), cut(second), ["threshold"]), ["threshold"])
 
 
 # -- bootstraps -----------------------------------------------------------------------------------------------
 
 
-def bootstrap_means(values: np.ndarray, resamples: int, seed: int) -> tuple[np.ndarray, np.random.Generator]:
-    """Means of resamples, and the generator as it then stands."""
-    rng = np.random.default_rng(seed)
-    return values[rng.integers(0, len(values), (resamples, len(values)))].mean(1), rng
+#: Draws whose places are held at a time.
+_DRAWS = 4096
 
 
-def mean_interval(df: DataFrame, keys: list[str], value: str, resamples: int, seed: int, sign_flips: bool = False) -> DataFrame:
+def bootstrap_means(values: np.ndarray, resamples: int, seed: int) -> tuple[np.ndarray, np.random.Generator]:
+    """Means of resamples, and the generator as it then stands. Drawn in parts, which leaves the generator's sequence as it is."""
+    rng, n = np.random.default_rng(seed), len(values)
+    means = [values[rng.integers(0, n, (min(_DRAWS, resamples - i), n))].mean(1) for i in range(0, resamples, _DRAWS)]
+    return np.concatenate(means), rng
+
+
+def mean_interval(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    resamples: int,
+    seed: int,
+    sign_flips: bool = False,
+    seed_col: str | None = None,
+) -> DataFrame:
     """(keys, n, mean, low, high[, p]): percentile interval of each group's mean, and its sign-flip p value.
 
     Groups are a few hundred values (one a text); each is one task's work. Values go in by their natural order.
+    ``seed_col`` is added to the seed, for groups with a seed of their own.
     """
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -212,7 +302,7 @@ def mean_interval(df: DataFrame, keys: list[str], value: str, resamples: int, se
         out = {k: [rows[k].iloc[0]] for k in keys} if len(rows) else {k: [] for k in keys}
         if not len(rows):
             return pd.DataFrame({**out, "n": [], "mean": [], "low": [], "high": [], "p": []})
-        means, rng = bootstrap_means(x, resamples, seed)
+        means, rng = bootstrap_means(x, resamples, seed + (int(rows[seed_col].iloc[0]) if seed_col else 0))
         low, high = np.quantile(means, (0.025, 0.975))
         p = None
         if sign_flips:
@@ -221,7 +311,10 @@ def mean_interval(df: DataFrame, keys: list[str], value: str, resamples: int, se
         return pd.DataFrame({**out, "n": [len(x)], "mean": [x.mean()], "low": [low], "high": [high], "p": [p]})
 
     ordered = df.withColumn("_order", E.natural_number(F.col("text_id")))
-    return ordered.select(*keys, value, "_order").groupBy(*keys).applyInPandas(one, f"{kinds}, n long, mean double, low double, high double, p double")
+    return ordered.select(*keys, value, "_order", *([seed_col] if seed_col else [])).groupBy(*keys).applyInPandas(
+        one,
+        f"{kinds}, n long, mean double, low double, high double, p double",
+    )
 
 
 def portable_draws(spark: SparkSession, resamples: int, n: int) -> DataFrame:
@@ -236,7 +329,7 @@ def drawn_means(df: DataFrame, draws: DataFrame, index: str, value: str) -> Data
 
 
 def manifest(texts: list[str], seed: int, sizes: tuple[int, int, int] = (35, 10, 10)) -> dict[str, list[str]]:
-    """Texts split into train, validation and test by a seeded shuffle of their numeric order."""
+    """Texts split into train, validation and test by a seeded shuffle of their numeric order, as the published seed has it."""
     ids = sorted(set(texts), key=lambda t: int(str(t).split(":")[-1]))
     if len(ids) != sum(sizes):
         raise ValueError(f"{sum(sizes)} texts are needed")

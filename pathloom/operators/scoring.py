@@ -11,13 +11,37 @@ from pyspark.sql import functions as F
 from pathloom.functions import expressions as E
 
 
-def word_pool(states: DataFrame, reduce: str = "mean") -> DataFrame:
-    """(text_id, word_index, n_tokens, state): token vectors of each word, averaged or summed; negative words are special tokens."""
+def word_pool(states: DataFrame, reduce: str = "mean", n_words: DataFrame | None = None) -> DataFrame:
+    """(text_id, word_index, n_tokens, state): token vectors of each word, averaged or summed; negative words are special tokens.
+
+    With ``n_words`` (text_id, n_words) all words of a text have a row, a zero vector where a word has no token, and
+    ``valid``: whether it has one; a word beyond them raises.
+    """
     if reduce not in ("mean", "sum"):
         raise ValueError(f"unknown reduction {reduce!r}")
     parts = states.where("word_index >= 0").select("text_id", "word_index", F.posexplode("state").alias("dim", "v"))
-    pooled = parts.groupBy("text_id", "word_index", "dim").agg((F.avg if reduce == "mean" else F.sum)(F.col("v").cast("double")).alias("v"), F.count(F.lit(1)).alias("n"))
-    return pooled.groupBy("text_id", "word_index").agg(F.max("n").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("state"))
+    pooled = parts.groupBy("text_id", "word_index", "dim").agg(
+        (F.avg if reduce == "mean" else F.sum)(F.col("v").cast("double")).alias("v"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"])
+    words = pooled.groupBy("text_id", "word_index").agg(F.max("n").alias("n_tokens"), ordered.alias("state"))
+    if n_words is None:
+        return words
+    width = words.agg(F.max(F.size("state")).alias("_width"))  # one row
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_words").cast("bigint") - 1)).alias("word_index")
+    slots = n_words.where("n_words > 0").select("text_id", every).withColumn("_slot", F.lit(True))
+    full = slots.join(words.withColumn("word_index", F.col("word_index").cast("bigint")), ["text_id", "word_index"], "full")
+    full = full.crossJoin(F.broadcast(width))
+    state = F.when(F.col("_slot").isNull(), F.raise_error(F.lit("n_words is smaller than an observed word")).cast("array<double>"))
+    state = state.otherwise(F.coalesce("state", F.array_repeat(F.lit(0.0), F.coalesce("_width", F.lit(0)))))
+    return full.select(
+        "text_id",
+        "word_index",
+        F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+        state.alias("state"),
+        F.col("n_tokens").isNotNull().alias("valid"),
+    )
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,9 +62,15 @@ def project(a: Column, weights: np.ndarray) -> Column:
     return F.array(*[dot(F.array(*[F.lit(float(w)) for w in row]), a) for row in weights])
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def low_rank_score(a: Column, b: Column, source: np.ndarray, target: np.ndarray, bias: float = 0.0) -> Column:
     """(S a) . (T b) / sqrt(rank) + bias."""
-    return dot(project(a, source), project(b, target)) / float(np.sqrt(len(source))) + F.lit(float(bias))
+    projected = once(a, lambda x: project(x, source)), once(b, lambda x: project(x, target))
+    return dot(*projected) / float(np.sqrt(len(source))) + F.lit(float(bias))
 
 
 def bilinear_score(a: Column, b: Column, weights: np.ndarray, bias: float = 0.0) -> Column:
@@ -48,16 +78,45 @@ def bilinear_score(a: Column, b: Column, weights: np.ndarray, bias: float = 0.0)
     return dot(a, project(b, weights)) / float(np.sqrt(weights.shape[0])) + F.lit(float(bias))
 
 
-def bottleneck(a: Column, down: np.ndarray, up: np.ndarray) -> Column:
-    """a + U gelu(D a), with the exact (error function) unit approximated by its tanh form."""
-    gelu = lambda x: 0.5 * x * (1 + F.tanh(F.lit(0.7978845608028654) * (x + 0.044715 * x * x * x)))
-    return F.zip_with(a, project(F.transform(project(a, down), gelu), up), lambda x, y: x + y)
+def error_function(x: Column, terms: int = 90) -> Column:
+    """erf(x) to rounding: 2/sqrt(pi) exp(-x^2) times the sum of 2^n x^(2n+1) / (2n+1)!!, whose terms all have the sign of x; 1 beyond 6."""
+
+    def step(state: Column, n: Column) -> Column:
+        term = state["term"] * 2 * x * x / (2 * n + 1)
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+    start = F.struct(x.cast("double").alias("term"), x.cast("double").alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step)["sum"]
+    return F.when(F.abs(x) > 6, F.signum(x)).otherwise(F.lit(float(2 / np.sqrt(np.pi))) * F.exp(-x * x) * total)
+
+
+def gelu(x: Column) -> Column:
+    return 0.5 * x * (1 + error_function(x * float(np.sqrt(0.5))))
+
+
+def bottleneck(
+    a: Column,
+    down: np.ndarray,
+    up: np.ndarray,
+    down_bias: np.ndarray | None = None,
+    up_bias: np.ndarray | None = None,
+) -> Column:
+    """a + U gelu(D a + d) + u, with the exact unit."""
+
+    def shifted(v: Column, bias: np.ndarray | None) -> Column:
+        return v if bias is None else F.zip_with(v, F.array(*[F.lit(float(b)) for b in bias]), lambda x, y: x + y)
+
+    inner = F.transform(shifted(project(a, down), down_bias), gelu)
+    return once(inner, lambda h: F.zip_with(a, shifted(project(h, up), up_bias), lambda x, y: x + y))
 
 
 def pair_scores(cells: DataFrame, vectors: DataFrame, score) -> DataFrame:
     """``cells`` with ``score`` from both words' vectors (text_id, word_index, state)."""
     at = lambda end: vectors.select("text_id", F.col("word_index").alias(f"{end}_word"), F.col("state").alias(f"_{end}"))
-    return cells.join(at("src"), ["text_id", "src_word"]).join(at("dst"), ["text_id", "dst_word"]).withColumn("score", score(F.col("_src"), F.col("_dst"))).drop("_src", "_dst")
+    return cells.join(at("src"), ["text_id", "src_word"]).join(at("dst"), ["text_id", "dst_word"]).withColumn(
+        "score",
+        score(F.col("_src"), F.col("_dst")),
+    ).drop("_src", "_dst")
 
 
 def masked_softmax(df: DataFrame, keys: list[str], logit: str = "logit", mask: str = "mask") -> DataFrame:
@@ -74,11 +133,17 @@ def masked_jsd(df: DataFrame, keys: list[str], p: str = "p", q: str = "q", mask:
     group = Window.partitionBy(*keys)
     shown = lambda c: F.when(F.col(mask), F.greatest(F.col(c), F.lit(0.0))).otherwise(F.lit(0.0))
     parts = df.withColumn("_p", shown(p)).withColumn("_q", shown(q)).withColumn("_sp", F.sum("_p").over(group)).withColumn("_sq", F.sum("_q").over(group))
-    a, b = F.when(F.col("_sp") > 0, F.col("_p") / F.col("_sp")).otherwise(F.lit(0.0)), F.when(F.col("_sq") > 0, F.col("_q") / F.col("_sq")).otherwise(F.lit(0.0))
+    a, b = F.when(
+        F.col("_sp") > 0,
+        F.col("_p") / F.col("_sp"),
+    ).otherwise(F.lit(0.0)), F.when(F.col("_sq") > 0, F.col("_q") / F.col("_sq")).otherwise(F.lit(0.0))
     term = lambda x, m: F.when(x > 0, x * F.ln(x / m)).otherwise(F.lit(0.0))
     middle = (F.col("_a") + F.col("_b")) / 2
     valid = (F.min("_sp") > 0) & (F.min("_sq") > 0)
-    sums = parts.withColumn("_a", a).withColumn("_b", b).groupBy(*keys).agg(F.sum(0.5 * (term(F.col("_a"), middle) + term(F.col("_b"), middle))).alias("jsd"), valid.alias("valid"))
+    sums = parts.withColumn("_a", a).withColumn("_b", b).groupBy(*keys).agg(
+        F.sum(0.5 * (term(F.col("_a"), middle) + term(F.col("_b"), middle))).alias("jsd"),
+        valid.alias("valid"),
+    )
     return sums.withColumn("jsd", F.when(F.col("valid"), F.col("jsd")).otherwise(F.lit(0.0)))
 
 

@@ -21,7 +21,16 @@ def extract_events(visits: DataFrame, weight: str = "count", include_self: bool
     lines = "line_id" in visits.columns
     following = Window.partitionBy(*VISIT).orderBy("fixation_order")
     lead = lambda c: F.lead(c).over(following)
-    moved = visits.select(*VISIT, F.col("word_index").alias("src_word"), lead("word_index").alias("dst_word"), "fixation_order", lead("fixation_order").alias("next_order"), "duration_ms", lead("duration_ms").alias("next_duration"), *([F.col("line_id"), lead("line_id").alias("next_line")] if lines else []))
+    moved = visits.select(
+        *VISIT,
+        F.col("word_index").alias("src_word"),
+        lead("word_index").alias("dst_word"),
+        "fixation_order",
+        lead("fixation_order").alias("next_order"),
+        "duration_ms",
+        lead("duration_ms").alias("next_duration"),
+        *([F.col("line_id"), lead("line_id").alias("next_line")] if lines else []),
+    )
     kind = E.event_type(F.col("src_word"), F.col("dst_word"), *((F.col("line_id"), F.col("next_line")) if lines else ()))
     size = {"count": F.lit(1.0), "source_duration": F.col("duration_ms"), "target_duration": F.col("next_duration")}[weight]
     events = moved.where(F.col("dst_word").isNotNull())
@@ -31,7 +40,12 @@ def extract_events(visits: DataFrame, weight: str = "count", include_self: bool
     return events if include_self else events.where(F.col("event_type") != "refixation")
 
 
-def select_events(events: DataFrame, types: list[str] | None = None, texts: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
+def select_events(
+    events: DataFrame,
+    types: list[str] | None = None,
+    texts: DataFrame | None = None,
+    subjects: DataFrame | None = None,
+) -> DataFrame:
     """Events of the given types, texts and subjects."""
     if types is not None:
         events = events.where(F.col("event_type").isin(*types))
@@ -52,7 +66,10 @@ def aggregate_transitions(events: DataFrame, normalize: str = "row", n_words: Da
     if n_words is not None:
         cells = cells.join(n_words, "text_id", "left")
         beyond = F.greatest("src_word", "dst_word") >= F.col("n_words")
-        cells = cells.withColumn("count", F.when(beyond, F.raise_error(F.lit("n_words is smaller than the observed words"))).otherwise(F.col("count"))).drop("n_words")
+        cells = cells.withColumn(
+            "count",
+            F.when(beyond, F.raise_error(F.lit("n_words is smaller than the observed words"))).otherwise(F.col("count")),
+        ).drop("n_words")
     if normalize == "none":
         return cells.withColumn("probability", F.col("count"))
     keys = {"row": ["text_id", "event_type", "src_word"], "global": ["text_id", "event_type"]}[normalize]
@@ -67,11 +84,29 @@ def text_sizes(events: DataFrame) -> DataFrame:
 
 def dense_matrix(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """All W x W cells of each (text, type), zeros included, with ``valid``: whether the source has events."""
-    grid = cells.select("text_id", "event_type").distinct().join(sizes, "text_id").select("text_id", "event_type", "n_words", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_words") - 1)).alias("src_word"))
-    grid = grid.select("text_id", "event_type", "src_word", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_words") - 1)).alias("dst_word"))
+    grid = cells.select("text_id", "event_type").distinct().join(sizes, "text_id").select(
+        "text_id",
+        "event_type",
+        "n_words",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_words") - 1)).alias("src_word"),
+    )
+    grid = grid.select(
+        "text_id",
+        "event_type",
+        "src_word",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_words") - 1)).alias("dst_word"),
+    )
     full = grid.join(cells, ["text_id", "event_type", "src_word", "dst_word"], "left")
     row = Window.partitionBy("text_id", "event_type", "src_word")
-    return full.select("text_id", "event_type", "src_word", "dst_word", F.coalesce("count", F.lit(0.0)).alias("count"), F.coalesce("probability", F.lit(0.0)).alias("probability"), (F.sum(F.coalesce("count", F.lit(0.0))).over(row) > 0).alias("valid"))
+    return full.select(
+        "text_id",
+        "event_type",
+        "src_word",
+        "dst_word",
+        F.coalesce("count", F.lit(0.0)).alias("count"),
+        F.coalesce("probability", F.lit(0.0)).alias("probability"),
+        (F.sum(F.coalesce("count", F.lit(0.0))).over(row) > 0).alias("valid"),
+    )
 
 
 def subject_edges(events: DataFrame, event_type: str = "forward") -> DataFrame:
@@ -81,7 +116,9 @@ def subject_edges(events: DataFrame, event_type: str = "forward") -> DataFrame:
 
 def half_edges(edges: DataFrame, draws: DataFrame) -> DataFrame:
     """Sums over the subjects of each (draw, half), multiplicities kept. ``draws`` (draw, half, subject_id, mult) is small."""
-    return edges.join(draws, "subject_id").groupBy("draw", "half", "text_id", "src_word", "dst_word").agg(F.sum(F.col("count") * F.col("mult")).alias("count"))
+    return edges.join(draws, "subject_id").groupBy("draw", "half", "text_id", "src_word", "dst_word").agg(
+        F.sum(F.col("count") * F.col("mult")).alias("count")
+    )
 
 
 def edge_counts(events: DataFrame) -> DataFrame:
@@ -97,14 +134,26 @@ def count_vector(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def verified_only(events: DataFrame, verified: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events whose both words are verified (text_id, word_index), and the weight of those that are not."""
-    at = lambda end: verified.select("text_id", F.col("word_index").alias(end))
-    marked = events.join(at("src_word").withColumn("_src", F.lit(True)), ["text_id", "src_word"], "left").join(at("dst_word").withColumn("_dst", F.lit(True)), ["text_id", "dst_word"], "left")
+    at = lambda end: verified.select("text_id", F.col("word_index").alias(end)).distinct()
+    marked = events.join(
+        at("src_word").withColumn("_src", F.lit(True)),
+        ["text_id", "src_word"],
+        "left",
+    ).join(at("dst_word").withColumn("_dst", F.lit(True)), ["text_id", "dst_word"], "left")
     good = F.col("_src").isNotNull() & F.col("_dst").isNotNull()
-    dropped = marked.agg(F.coalesce(F.sum(F.when(~good, F.col("weight"))), F.lit(0.0)).alias("dropped_weight"), F.count_if(~good).alias("dropped_events"))
+    dropped = marked.agg(
+        F.coalesce(F.sum(F.when(~good, F.col("weight"))), F.lit(0.0)).alias("dropped_weight"),
+        F.count_if(~good).alias("dropped_events"),
+    )
     return marked.where(good).select(*events.columns), dropped
 
 
-def candidate_sensitivity(pairs: DataFrame, max_distance: int | None = None, drop_last_two: DataFrame | None = None, boxes: DataFrame | None = None) -> DataFrame:
+def candidate_sensitivity(
+    pairs: DataFrame,
+    max_distance: int | None = None,
+    drop_last_two: DataFrame | None = None,
+    boxes: DataFrame | None = None,
+) -> DataFrame:
     """Forward pairs within a distance, away from a text's last two words (``drop_last_two``: text_id, n_words)
     and whose boxes (text_id, word_index, top, bottom) overlap or touch vertically."""
     kept = pairs.where(F.col("dst_word") > F.col("src_word"))
@@ -114,7 +163,15 @@ def candidate_sensitivity(pairs: DataFrame, max_distance: int | None = None, dro
         kept = kept.join(drop_last_two, "text_id").where(F.col("dst_word") < F.col("n_words") - 2).drop("n_words")
     if boxes is not None:
         for end in ("src", "dst"):
-            kept = kept.join(boxes.select("text_id", F.col("word_index").alias(f"{end}_word"), F.col("top").alias(f"_{end}_top"), F.col("bottom").alias(f"_{end}_bottom")), ["text_id", f"{end}_word"])
+            kept = kept.join(
+                boxes.select(
+                    "text_id",
+                    F.col("word_index").alias(f"{end}_word"),
+                    F.col("top").alias(f"_{end}_top"),
+                    F.col("bottom").alias(f"_{end}_bottom"),
+                ),
+                ["text_id", f"{end}_word"],
+            )
         kept = kept.where((F.col("_src_top") <= F.col("_dst_bottom")) & (F.col("_dst_top") <= F.col("_src_bottom")))
     return kept.select(*pairs.columns)
 

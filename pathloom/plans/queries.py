@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
+from pathloom.functions.bounds import MOST_SUBJECTS, few
 from pathloom.operators import audit, compare, corpus_audit, intervals, metrics, model, pairs, reconcile, resample, scoring, simulate, transitions
 from pathloom.plans.registry import Query
 from pathloom.sources import readers, tables
@@ -75,21 +76,32 @@ WORDS = (
 SCORED = (
     WORDS
     + """, raw_scores AS (
-    SELECT *, -1.1 * ld + 0.4 * adjacent - 0.3 * log_length + 0.2 * relative AS s FROM counted
+    SELECT *, -1.1 * ld + 0.4 * adjacent - 0.3 * log_length + 0.2 * relative AS s
+FROM counted
+
 ), scored AS (
+
     SELECT *, exp(s - top) / sum(exp(s - top)) OVER g AS p, sum(y) OVER g AS exposure, count(*) OVER g AS risk
-    FROM (SELECT *, max(s) OVER (PARTITION BY text_id, src_word) AS top FROM raw_scores)
-    WINDOW g AS (PARTITION BY text_id, src_word)
+FROM (SELECT *, max(s) OVER (PARTITION BY text_id, src_word) AS top
+FROM raw_scores)
+WINDOW g AS (PARTITION BY text_id, src_word)
+
 ), resid AS (
+
     SELECT *, exposure * p AS expected,
            CASE WHEN risk >= 2 AND exposure * p * (1 - p) > 0 THEN (y - exposure * p) / sqrt(exposure * p * (1 - p)) END AS residual,
            CASE WHEN exposure * p <= 0 AND y > 0 THEN NULL
-                ELSE sign(y - exposure * p) * sqrt(greatest(0, 2 * (CASE WHEN y > 0 AND exposure * p > 0 THEN y * ln(y / (exposure * p)) ELSE 0 END - (y - exposure * p)))) END AS deviance,
+                ELSE sign(y - exposure * p) * sqrt(greatest(0, 2 * (CASE WHEN y > 0 AND exposure * p > 0 THEN y * ln(y / (exposure * p))
+                ELSE 0 END - (y - exposure * p)))) END AS deviance,
            y - exposure * p AS deviation,
-           CASE WHEN dst_word - src_word = 1 THEN 'adjacent' WHEN dst_word - src_word <= 3 THEN 'near_skip' ELSE 'far_same_line' END AS category
-    FROM scored
+           CASE WHEN dst_word - src_word = 1 THEN 'adjacent' WHEN dst_word - src_word <= 3 THEN 'near_skip'
+           ELSE 'far_same_line' END AS category
+FROM scored
+
 ), cells AS (
-    SELECT *, exposure >= 5 AND risk >= 2 AND residual IS NOT NULL AS reliable FROM resid
+
+    SELECT *, exposure >= 5 AND risk >= 2 AND residual IS NOT NULL AS reliable
+FROM resid
 )"""
 )
 #: Coefficients of the fixed-score queries, the same as in SCORED.
@@ -98,16 +110,25 @@ HALVES = (
     SCORED
     + """, half_counts AS (
     SELECT h.half, p.text_id, p.src_word, p.dst_word, p.p, coalesce(e.n, 0) AS y
-    FROM scored p CROSS JOIN (VALUES (0), (1)) h(half)
-    LEFT JOIN (SELECT CAST(subject_id AS BIGINT) % 2 AS half, text_id, src_word, dst_word, sum(n) AS n FROM edges GROUP BY ALL) e
+FROM scored p CROSS JOIN (VALUES (0), (1)) h(half)
+LEFT JOIN (SELECT CAST(subject_id AS BIGINT) % 2 AS half, text_id, src_word, dst_word, sum(n) AS n
+FROM edges
+GROUP BY ALL) e
       ON e.half = h.half AND e.text_id = p.text_id AND e.src_word = p.src_word AND e.dst_word = p.dst_word
+
 ), half_cells AS (
+
     SELECT *, CASE WHEN risk >= 2 AND e * (1 - p) > 0 THEN (y - e) / sqrt(e * (1 - p)) END AS residual
-    FROM (SELECT *, total * p AS e FROM (SELECT *, sum(y) OVER g AS total, count(*) OVER g AS risk FROM half_counts WINDOW g AS (PARTITION BY half, text_id, src_word)))
+FROM (SELECT *, total * p AS e
+FROM (SELECT *, sum(y) OVER g AS total, count(*) OVER g AS risk
+FROM half_counts
+WINDOW g AS (PARTITION BY half, text_id, src_word)))
+
 ), met AS (
+
     SELECT a.text_id, a.src_word, a.dst_word, a.residual AS x, b.residual AS y, least(a.total, b.total) AS exposure
-    FROM half_cells a JOIN half_cells b USING (text_id, src_word, dst_word)
-    WHERE a.half = 0 AND b.half = 1 AND a.residual IS NOT NULL AND b.residual IS NOT NULL AND a.total >= 5 AND b.total >= 5
+FROM half_cells a JOIN half_cells b USING (text_id, src_word, dst_word)
+WHERE a.half = 0 AND b.half = 1 AND a.residual IS NOT NULL AND b.residual IS NOT NULL AND a.total >= 5 AND b.total >= 5
 )"""
 )
 
@@ -125,14 +146,37 @@ def corr_sql(table: str, keys: str, x: str = "x", y: str = "y", w: str = "1.0")
           FROM {table} WHERE {x} IS NOT NULL AND {y} IS NOT NULL {group}) {on} {group}"""
 
 
+def metric_sql(table: str, keys: str) -> str:
+    """``by_metric``: the three correlations of a table's x and y by (keys, text)."""
+    by = f"{keys}text_id"
+    return (
+        f", sized AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY {by}, src_word) AS w FROM {table}), e AS ("
+        + corr_sql(table, by)
+        + "), q AS ("
+        + corr_sql("sized", by, w="w")
+        + "), o AS ("
+        + corr_sql(table, f"{by}, src_word")
+        + f"""), by_metric AS (
+        SELECT {by}, 'edge_weighted' AS metric, r FROM e
+        UNION ALL SELECT {by}, 'source_weighted', r FROM q
+        UNION ALL SELECT {by}, 'fisher_equal', tanh(avg(CASE WHEN r IS NOT NULL THEN atanh(greatest(least(r, 1 - 1e-7), 1e-7 - 1)) END)) FROM o GROUP BY {by}
+    )"""
+    )
+
+
 RUNS = """WITH cells AS (
-    SELECT event_id % 5 AS seed, CASE event_id % 4 WHEN 0 THEN 'mlm' WHEN 1 THEN 'gaze' WHEN 2 THEN 'shuffled' ELSE 'position' END AS condition,
+    SELECT event_id % 5 AS seed, CASE event_id % 4 WHEN 0 THEN 'mlm' WHEN 1 THEN 'gaze' WHEN 2 THEN 'shuffled'
+           ELSE 'position' END AS condition,
            'T:' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS VARCHAR) AS text_id, value
-    FROM events
+FROM events
+
 ), runs AS (
-    SELECT seed, condition, text_id, CASE WHEN count(*) % 7 = 0 THEN NULL ELSE (CAST(sum(CAST(floor(value) AS BIGINT)) % 199 AS DOUBLE) - 99) / 100 END AS correlation,
+
+    SELECT seed, condition, text_id, CASE WHEN count(*) % 7 = 0 THEN NULL
+           ELSE (CAST(sum(CAST(floor(value) AS BIGINT)) % 199 AS DOUBLE) - 99) / 100 END AS correlation,
            count(*) AS n_edges, avg(value) / 20 AS mlm_nll, count(*) * 3 AS mlm_tokens
-    FROM cells GROUP BY ALL
+FROM cells
+GROUP BY ALL
 )"""
 
 
@@ -141,10 +185,20 @@ def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.table(spark, sf_dir, "events")
     rest = F.col("event_id") % 4
     k = F.get_json_object("props", "$.k").cast("int")
-    cells = e.select((F.col("event_id") % 5).alias("seed"), F.when(rest == 0, "mlm").when(rest == 1, "gaze").when(rest == 2, "shuffled").otherwise("position").alias("condition"), F.concat(F.lit("T:"), (k % 10).cast("string")).alias("text_id"), "value")
+    cells = e.select(
+        (F.col("event_id") % 5).alias("seed"),
+        F.when(rest == 0, "mlm").when(rest == 1, "gaze").when(rest == 2, "shuffled").otherwise("position").alias("condition"),
+        F.concat(F.lit("T:"), (k % 10).cast("string")).alias("text_id"),
+        "value",
+    )
     r = ((F.sum(F.floor("value")) % 199).cast("double") - 99) / 100
     n = F.count(F.lit(1))
-    return cells.groupBy("seed", "condition", "text_id").agg(F.when(n % 7 != 0, r).alias("correlation"), n.alias("n_edges"), (F.avg("value") / 20).alias("mlm_nll"), (n * 3).alias("mlm_tokens"))
+    return cells.groupBy("seed", "condition", "text_id").agg(
+        F.when(n % 7 != 0, r).alias("correlation"),
+        n.alias("n_edges"),
+        (F.avg("value") / 20).alias("mlm_nll"),
+        (n * 3).alias("mlm_tokens"),
+    )
 
 
 # -- inputs of the queries ---------------------------------------------------------------------------------------
@@ -187,7 +241,10 @@ def _met(spark, sf) -> DataFrame:
 
 def _parity_draws(spark, sf, draws: int = 3) -> DataFrame:
     subjects = _events(spark, sf).select("subject_id").distinct()
-    return subjects.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "subject_id").withColumn("half", F.pmod(F.floor(F.col("subject_id").cast("bigint") / F.pow(F.lit(2), F.col("draw"))), F.lit(2)).cast("int")).withColumn("mult", F.lit(1))
+    return subjects.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "subject_id").withColumn(
+        "half",
+        F.pmod(F.floor(F.col("subject_id").cast("bigint") / F.pow(F.lit(2), F.col("draw"))), F.lit(2)).cast("int"),
+    ).withColumn("mult", F.lit(1))
 
 
 def _forward(spark, sf) -> DataFrame:
@@ -197,7 +254,14 @@ def _forward(spark, sf) -> DataFrame:
 def fixation_violations(spark, sf):
     """The rules on visits with faults put in: negative words, bad durations, repeated orders, moved lines."""
     v = tables.fixations(spark, sf)
-    faulty = v.select("subject_id", "text_id", (F.col("word_index") - F.when(F.col("fixation_order") % 17 == 0, 100).otherwise(0)).alias("word_index"), (F.col("fixation_order") - F.when(F.col("fixation_order") % 13 == 0, 1).otherwise(0)).alias("fixation_order"), F.when(F.col("fixation_order") % 11 == 0, F.lit(-1.0)).otherwise(F.col("duration_ms")).alias("duration_ms"), F.when((F.col("fixation_order") % 29 == 0) & (F.col("word_index") == 3), F.lit(2)).otherwise(F.col("line_id")).alias("line_id"))
+    faulty = v.select(
+        "subject_id",
+        "text_id",
+        (F.col("word_index") - F.when(F.col("fixation_order") % 17 == 0, 100).otherwise(0)).alias("word_index"),
+        (F.col("fixation_order") - F.when(F.col("fixation_order") % 13 == 0, 1).otherwise(0)).alias("fixation_order"),
+        F.when(F.col("fixation_order") % 11 == 0, F.lit(-1.0)).otherwise(F.col("duration_ms")).alias("duration_ms"),
+        F.when((F.col("fixation_order") % 29 == 0) & (F.col("word_index") == 3), F.lit(2)).otherwise(F.col("line_id")).alias("line_id"),
+    )
     return readers.violations(faulty)
 
 
@@ -205,18 +269,42 @@ def etl_exclusions(spark, sf):
     """Events as a fixation report with faulty rows, counted by the first reason that applies."""
     e = tables.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     id_ = F.col("event_id")
-    reason = readers.exclusion_reason({"missing_trial": id_ % 31 == 0, "page_mismatch": F.col("k") % 7 == 6, "outside": id_ % 5 == 0, "unmapped_area": F.col("value") > 45, "missing_line": F.floor("value") % 24 == 23, "bad_number": F.when(id_ % 19 == 0, F.lit("x")).otherwise(F.lit("1")).try_cast("double").isNull()})
+    reason = readers.exclusion_reason(
+        {
+            "missing_trial": id_ % 31 == 0,
+            "page_mismatch": F.col("k") % 7 == 6,
+            "outside": id_ % 5 == 0,
+            "unmapped_area": F.col("value") > 45,
+            "missing_line": F.floor("value") % 24 == 23,
+            "bad_number": F.when(id_ % 19 == 0, F.lit("x")).otherwise(F.lit("1")).try_cast("double").isNull(),
+        }
+    )
     return e.groupBy(F.coalesce(reason, F.lit("written")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def line_clusters(spark, sf):
-    items = tables.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("top"), (F.col("l_quantity").cast("double") + 5).alias("bottom"))
-    return intervals.cluster_intervals(items, ["l_orderkey"]).groupBy("l_orderkey", "line_id").agg(F.count(F.lit(1)).alias("n"), F.min("top").alias("low"), F.max("bottom").alias("high"))
+    items = tables.table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_quantity").cast("double").alias("top"),
+        (F.col("l_quantity").cast("double") + 5).alias("bottom"),
+    )
+    return intervals.cluster_intervals(items, ["l_orderkey"]).groupBy("l_orderkey", "line_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("top").alias("low"),
+        F.max("bottom").alias("high"),
+    )
 
 
 def consensus_mode(spark, sf):
     items = tables.table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus")
-    return intervals.consensus_bounds(items, ["l_suppkey"], ["l_returnflag", "l_linestatus"]).select("l_suppkey", "variants", "observations", "accepted", F.when(F.col("accepted"), F.col("l_returnflag")).alias("flag"))
+    return intervals.consensus_bounds(items, ["l_suppkey"], ["l_returnflag", "l_linestatus"]).select(
+        "l_suppkey",
+        "variants",
+        "observations",
+        "accepted",
+        F.when(F.col("accepted"), F.col("l_returnflag")).alias("flag"),
+    )
 
 
 def functional_dependency(spark, sf):
@@ -225,39 +313,74 @@ def functional_dependency(spark, sf):
 
 
 def word_metadata(spark, sf):
-    tokens = pairs.word_tokens(tables.table(spark, sf, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text"))
+    tokens = pairs.word_tokens(
+        tables.table(spark, sf, "conversations").select(
+            F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"),
+            "text",
+        )
+    )
     lexicon = pairs.corpus_lexicon(tokens.select("surface"))
-    return pairs.with_frequencies(tokens, lexicon).select("text_id", "word_index", "surface", "length", "terminal_punctuation", "sentence_number", "zipf_frequency")
+    return pairs.with_frequencies(tokens, lexicon).select(
+        "text_id",
+        "word_index",
+        "surface",
+        "length",
+        "terminal_punctuation",
+        "sentence_number",
+        "zipf_frequency",
+    )
 
 
 def sentence_fill(spark, sf):
     w = _words(spark, sf)
-    return pairs.fill_sentences(w.withColumn("sentence_number", F.when(F.col("word_index") % 5 != 2, F.col("sentence_number")))).select("text_id", "word_index", "sentence_number")
+    return pairs.fill_sentences(
+        w.withColumn("sentence_number", F.when(F.col("word_index") % 5 != 2, F.col("sentence_number")))
+    ).select("text_id", "word_index", "sentence_number")
 
 
 def tree_distances(spark, sf):
     w = pairs.with_tree_paths(_words(spark, sf)).where("not syntax_missing").select("text_id", "sentence_number", "word_index", "path")
     b = w.select("text_id", "sentence_number", F.col("word_index").alias("dst_word"), F.col("path").alias("_b"))
-    return w.join(b, ["text_id", "sentence_number"]).select("text_id", F.col("word_index").alias("src_word"), "dst_word", pairs.tree_distance(F.col("path"), F.col("_b")).alias("steps"))
+    return w.join(b, ["text_id", "sentence_number"]).select(
+        "text_id",
+        F.col("word_index").alias("src_word"),
+        "dst_word",
+        pairs.tree_distance(F.col("path"), F.col("_b")).alias("steps"),
+    )
 
 
 def risk_set_sizes(spark, sf):
     w = _words(spark, sf)
-    parts = [pairs.build_pairs(w, r, "common_core").groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src_word").alias("sources")).withColumn("risk_set", F.lit(r)) for r in pairs.RISK_SETS]
+    parts = [
+        pairs.build_pairs(w, r, "common_core").groupBy("text_id").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("src_word").alias("sources"),
+        ).withColumn("risk_set", F.lit(r))
+        for r in pairs.RISK_SETS
+    ]
     return readers.concat_subjects(parts)
 
 
 def verified_filter(spark, sf):
     events = _events(spark, sf)
     verified = _words(spark, sf).where(F.col("word_index") % 6 != 0).select("text_id", "word_index")
+    verified = verified.unionByName(verified)  # a word that is listed twice is verified once
     return transitions.verified_only(events, verified)[1]
 
 
 def sensitivity(spark, sf):
     design = _design(spark, sf)
-    boxes = _words(spark, sf).select("text_id", "word_index", (F.col("line_id") * 10 + F.col("word_index") % 3).cast("double").alias("top"), (F.col("line_id") * 10 + F.col("word_index") % 3 + 1).cast("double").alias("bottom"))
+    boxes = _words(spark, sf).select(
+        "text_id",
+        "word_index",
+        (F.col("line_id") * 10 + F.col("word_index") % 3).cast("double").alias("top"),
+        (F.col("line_id") * 10 + F.col("word_index") % 3 + 1).cast("double").alias("bottom"),
+    )
     sizes = _words(spark, sf).groupBy("text_id").agg((F.max("word_index") + 1).alias("n_words"))
-    return transitions.candidate_sensitivity(design, 3, sizes, boxes).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("mass"))
+    return transitions.candidate_sensitivity(design, 3, sizes, boxes).groupBy("text_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("count").alias("mass"),
+    )
 
 
 def nll_gradient(spark, sf):
@@ -277,17 +400,124 @@ def fit_large_one_feature(spark, sf):
     return spark.createDataFrame(list(beta.items()), "feature string, coefficient double")
 
 
-def fit_one_feature_sql(rounds: int = 10) -> str:
-    """Newton steps as a chain of common table expressions."""
-    out = WORDS + ", b0 AS (SELECT 0.0 AS b)"
+def newton_sql(source: str, rounds: int = 10) -> str:
+    """Newton steps of one-feature fits, one for each ``k`` of a table (k, text_id, src_word, ld, y), as a chain to ``fits`` (k, b)."""
+    out = f", b0 AS (SELECT DISTINCT k, 0.0 AS b FROM {source})"
     for i in range(rounds):
-        out += f""", n{i} AS (SELECT b, ld, y, exp(b * ld) / sum(exp(b * ld)) OVER g AS p, sum(y) OVER g AS total,
-            sum(exp(b * ld) * ld) OVER g / sum(exp(b * ld)) OVER g AS m FROM counted, b{i} WINDOW g AS (PARTITION BY text_id, src_word)
-        ), b{i + 1} AS (SELECT any_value(b) - (any_value(b) + sum(ld * (total * p - y))) / (1 + sum(total * p * (ld - m) * (ld - m))) AS b FROM n{i})"""
-    return out + f"\n=>\nSELECT 'log1p_abs_distance' AS feature, b AS coefficient FROM b{rounds}"
+        out += f"""
+    , n{i} AS (
+        SELECT k, b, ld, y, exp(b * ld) / sum(exp(b * ld)) OVER g AS p, sum(y) OVER g AS total,
+               sum(exp(b * ld) * ld) OVER g / sum(exp(b * ld)) OVER g AS m
+        FROM {source} JOIN b{i} USING (k)
+        WINDOW g AS (PARTITION BY k, text_id, src_word)
+    ), b{i + 1} AS (
+        SELECT k, any_value(b) - (any_value(b) + sum(ld * (total * p - y))) / (1 + sum(total * p * (ld - m) * (ld - m))) AS b
+        FROM n{i}
+        GROUP BY k
+    )"""
+    return out + f", fits AS (SELECT * FROM b{rounds})"
+
+
+FIT_SQL = (
+    WORDS
+    + ", every AS (SELECT 0 AS k, * FROM counted)"
+    + newton_sql("every")
+    + "\n=>\nSELECT 'log1p_abs_distance' AS feature, b AS coefficient FROM fits"
+)
+
+
+def residual_sql(scored: str, keys: str, exposure: int = 5) -> str:
+    """``bundle``: residuals and reliability of a table (keys, text_id, src_word, dst_word, y, p) by the rules of residuals."""
+    return f""", sized AS (
+        SELECT *, sum(y) OVER g AS exposure, count(*) OVER g AS risk, sum(y) OVER g * p AS expected
+        FROM {scored}
+        WINDOW g AS (PARTITION BY {keys}text_id, src_word)
+    ), defined AS (
+        SELECT *, CASE WHEN risk >= 2 AND expected * (1 - p) > 0 THEN (y - expected) / sqrt(expected * (1 - p)) END AS residual
+        FROM sized
+    ), bundle AS (
+        SELECT *, exposure >= {exposure} AND risk >= 2 AND residual IS NOT NULL AS reliable
+        FROM defined
+    )"""
+
+
+def folds_sql() -> str:
+    """Texts and their folds, as the published seed shuffles them."""
+    rows = ", ".join(f"('{t}', {i})" for i, fold in enumerate(model.text_folds([f"T:{i}" for i in range(10)], 5)) for t in fold)
+    return f", folds(text_id, fold) AS (VALUES {rows})"
+
+
+CROSSFIT = (
+    WORDS
+    + folds_sql()
+    + """, laid AS (SELECT held AS k, c.*
+FROM counted c JOIN folds f USING (text_id), range(5) t(held)
+WHERE f.fold <> held)"""
+    + newton_sql("laid")
+    + """, out_of_fold AS (
+        SELECT c.*, exp(b * ld) / sum(exp(b * ld)) OVER (PARTITION BY c.text_id, src_word) AS p
+        FROM counted c JOIN folds f USING (text_id) JOIN fits ON fits.k = f.fold
+    )"""
+    + residual_sql("out_of_fold", "")
+)
+SPLIT_TARGETS = (
+    WORDS
+    + """, held(k) AS (SELECT 'T:' || i FROM range(6) t(i) UNION ALL SELECT ''),
+    laid AS (SELECT k, c.* FROM counted c, held WHERE CAST(split_part(c.text_id, ':', 2) AS INT) < 6 AND k <> c.text_id)"""
+    + newton_sql("laid")
+    + """, told AS (
+        SELECT c.*, exp(b * ld) / sum(exp(b * ld)) OVER (PARTITION BY c.text_id, src_word) AS p
+        FROM counted c JOIN fits ON fits.k = CASE WHEN CAST(split_part(c.text_id, ':', 2) AS INT) < 6 THEN c.text_id ELSE '' END
+    )"""
+    + residual_sql("told", "")
+    + """, trained AS (SELECT * FROM bundle WHERE reliable AND CAST(split_part(text_id, ':', 2) AS INT) < 6),
+    mid AS (SELECT quantile_cont(residual, 0.5) AS c FROM trained),
+    dev AS (SELECT quantile_cont(abs(residual - c), 0.5) AS m FROM trained, mid)"""
+)
+HALF_FITS = (
+    WORDS
+    + folds_sql()
+    + """, sides AS (
+        SELECT DISTINCT draw, (CAST(subject_id AS BIGINT) // (2 ** draw)::BIGINT) % 2 AS half FROM edges, range(3) t(draw)
+    ), part AS (
+        SELECT draw, (CAST(subject_id AS BIGINT) // (2 ** draw)::BIGINT) % 2 AS half, text_id, src_word, dst_word, sum(n) AS n
+        FROM edges, range(3) t(draw)
+        GROUP BY ALL
+    ), cells_of AS (
+        SELECT draw, half, p.text_id, p.src_word, p.dst_word, p.ld, coalesce(e.n, 0) AS y
+        FROM line_pairs p CROSS JOIN sides LEFT JOIN part e USING (draw, half, text_id, src_word, dst_word)
+    ), laid AS (
+        SELECT draw || ':' || half || ':' || held AS k, c.*
+        FROM cells_of c JOIN folds f USING (text_id), range(5) t(held)
+        WHERE f.fold <> held
+    )"""
+    + newton_sql("laid")
+    + """, out_of_fold AS (
+        SELECT c.*, exp(b * ld) / sum(exp(b * ld)) OVER (PARTITION BY draw, half, c.text_id, src_word) AS p
+        FROM cells_of c JOIN folds f USING (text_id) JOIN fits ON fits.k = draw || ':' || half || ':' || f.fold
+    )"""
+    + residual_sql("out_of_fold", "draw, half, ")
+)
+TRANSPORT = (
+    WORDS
+    + """, side AS (SELECT CASE WHEN CAST(split_part(text_id, ':', 2) AS INT) < 4 THEN 'first' ELSE 'second' END AS k, *
+FROM counted)"""
+    + newton_sql("side")
+    + """, told AS (
+        SELECT f.k AS fitted, s.k AS scored, s.text_id, s.y, exp(b * ld) / sum(exp(b * ld)) OVER g AS p, count(*) OVER g AS risk
+        FROM side s CROSS JOIN fits f
+        WINDOW g AS (PARTITION BY f.k, s.text_id, s.src_word)
+    ), by_text AS (
+        SELECT fitted, scored, text_id, sum(-y * ln(p)) / sum(y) AS nll, sum(y * ln(risk)) / sum(y) AS uniform_nll
+        FROM told
+        GROUP BY ALL
+        HAVING sum(y) > 0
+    )"""
+)
 
 
 NAMES = pairs.feature_names("syntax", "forward_same_line")
+ONE = ("log1p_abs_distance",)
 
 
 def _folds(spark, n: int = 5) -> DataFrame:
@@ -295,7 +525,17 @@ def _folds(spark, n: int = 5) -> DataFrame:
 
 
 def crossfit_cells(spark, sf):
-    return model.crossfit_residuals(_design(spark, sf), NAMES, _folds(spark)).select(*model.KEYS, "count", "probability", "exposure", "expected", "residual", "deviance", "deviation", "reliable")
+    return model.crossfit_residuals(_design(spark, sf), NAMES, _folds(spark)).select(
+        *model.KEYS,
+        "count",
+        "probability",
+        "exposure",
+        "expected",
+        "residual",
+        "deviance",
+        "deviation",
+        "reliable",
+    )
 
 
 def crossfit_score(spark, sf):
@@ -306,7 +546,9 @@ def specification_identity(spark, sf):
     design, folds, frames = _design(spark, sf, "flexible"), _folds(spark), []
     for spec in ("position_only", "lexical", "syntax", "flexible"):
         names = pairs.feature_names(spec, "forward_same_line")
-        frames.append(model.crossfit_residuals(design, names, folds).where("reliable").select(*model.KEYS, "residual").withColumn("spec", F.lit(spec)))
+        frames.append(
+            model.crossfit_residuals(design, names, folds).where("reliable").select(*model.KEYS, "residual").withColumn("spec", F.lit(spec))
+        )
     return metrics.identity(readers.concat_subjects(frames))
 
 
@@ -315,7 +557,11 @@ def robust_scale(spark, sf):
 
 
 def leave_text_out_targets(spark, sf):
-    return model.split_targets(_design(spark, sf), NAMES, [f"T:{i}" for i in range(6)]).select(*model.KEYS, "residual", "target", "reliable")
+    return model.split_targets(
+        _design(spark, sf),
+        NAMES,
+        [f"T:{i}" for i in range(6)],
+    ).select(*model.KEYS, "residual", "target", "reliable")
 
 
 def shared_nuisance(spark, sf):
@@ -328,16 +574,29 @@ def shared_nuisance(spark, sf):
     return metrics.paired_metrics(metrics.paired_halves(cells.where("half = 0"), cells.where("half = 1")))
 
 
+def _subjects(edges: DataFrame) -> list[str]:
+    return sorted(r[0] for r in few(edges.select("subject_id").distinct(), MOST_SUBJECTS, "subjects"))
+
+
 def split_half_draws(spark, sf):
-    """Specification reliability over seeded halves: a fit for each (draw, half, fold)."""
-    subjects = sorted(r[0] for r in _events(spark, sf).select("subject_id").distinct().collect())  # subjects are few
-    draws = F.broadcast(resample.draws_table(spark, resample.subject_splits(subjects, 4, 20260711)))
-    half = transitions.half_edges(_forward(spark, sf), draws)
-    design = _design(spark, sf).drop("count").crossJoin(F.broadcast(draws.select("draw", "half").distinct()))
-    counted = design.join(half, ["draw", "half", *model.KEYS], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
-    cells = model.crossfit_residuals(counted, NAMES, _folds(spark), ["draw", "half"], 3)
-    met = metrics.paired_halves(cells.where("half = 0"), cells.where("half = 1"), ["draw"])
-    return metrics.paired_metrics(met, ["draw"])
+    """Specification reliability over a hundred seeded halves: a fit for each (draw, half, fold)."""
+    edges = _forward(spark, sf)
+    draws = resample.draws_table(spark, resample.subject_splits(_subjects(edges), 100, 20260711))
+    cells = audit.half_residuals(_design(spark, sf).drop("count"), edges, draws, NAMES, _folds(spark), 3)
+    return audit.reliability_by_draw(cells)
+
+
+def one_feature_halves(spark, sf):
+    """Out-of-fold predictions of three draws' halves, with one feature."""
+    predicted = model.crossfit_many(
+        _design(spark, sf).drop("count"),
+        transitions.half_edges(_forward(spark, sf), _parity_draws(spark, sf)),
+        ONE,
+        _folds(spark),
+        ["draw", "half"],
+        _parity_draws(spark, sf).select("draw", "half").distinct(),
+    )
+    return model.residuals(predicted, ["draw", "half"])
 
 
 def numeric_splits(spark, sf):
@@ -347,7 +606,12 @@ def numeric_splits(spark, sf):
 
 def seeded_split_half(spark, sf):
     events = _events(spark, sf)
-    return resample.split_half(_forward(spark, sf), resample.text_draws(spark, events, 10, 20260711), transitions.text_sizes(events), correct=True)
+    return resample.split_half(
+        _forward(spark, sf),
+        resample.text_draws(spark, events, 10, 20260711),
+        transitions.text_sizes(events),
+        correct=True,
+    )
 
 
 def hashed_split_half(spark, sf):
@@ -356,8 +620,7 @@ def hashed_split_half(spark, sf):
 
 
 def permuted_control(spark, sf):
-    permuted = resample.permute_destinations(_design(spark, sf), [], "count", 20260711)
-    return permuted.groupBy("text_id", "src_word").agg(F.sum("count").alias("total"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max("count").alias("largest"))
+    return resample.permute_destinations(_design(spark, sf), [], "count", 20260711)
 
 
 def thinning(spark, sf):
@@ -377,10 +640,18 @@ def thresholds_table(spark, sf):
 
 def bootstrap_mean(spark, sf):
     contrast = compare.paired_contrast(runs_table(spark, sf), "gaze", "mlm")
-    numbered = contrast.select("difference", (F.row_number().over(Window.orderBy(*E.text_order(F.col("text_id")))) - 1).alias("pos"))  # a few texts
+    numbered = contrast.select(
+        "difference",
+        (F.row_number().over(Window.orderBy(*E.text_order(F.col("text_id")))) - 1).alias("pos"),
+    )  # a few texts
     n = numbered.count()
     means = resample.drawn_means(numbered, resample.portable_draws(spark, 200, max(n, 1)), "pos", "difference")
-    return means.agg(F.count(F.lit(1)).alias("draws"), F.avg("mean").alias("mean"), E.quantile(F.col("mean"), 0.025).alias("low"), E.quantile(F.col("mean"), 0.975).alias("high"))
+    return means.agg(
+        F.count(F.lit(1)).alias("draws"),
+        F.avg("mean").alias("mean"),
+        E.quantile(F.col("mean"), 0.025).alias("low"),
+        E.quantile(F.col("mean"), 0.975).alias("high"),
+    )
 
 
 def contrast_intervals(spark, sf):
@@ -392,12 +663,36 @@ def contrast_intervals(spark, sf):
 CONTRAST = (
     RUNS
     + """, contrast AS (
-    SELECT text_id, bool_and(coalesce(a IS NOT NULL AND b IS NOT NULL AND least(an, bn) >= 4, false)) AS fine, count(*) AS seeds, min(least(an, bn)) AS min_edges,
-           avg(atanh(greatest(least(a, 1 - 1e-7), 1e-7 - 1)) - atanh(greatest(least(b, 1 - 1e-7), 1e-7 - 1))) AS difference, avg(a - b) AS raw_difference
-    FROM (SELECT seed, text_id, max(correlation) FILTER (WHERE condition = 'gaze') AS a, max(correlation) FILTER (WHERE condition = 'mlm') AS b,
+    SELECT text_id, bool_and(coalesce(a IS NOT NULL AND b IS NOT NULL AND least(an, bn) >= 4, false)) AS fine, count(*) AS seeds,
+           min(least(an, bn)) AS min_edges,
+           avg(CASE WHEN a IS NOT NULL THEN atanh(greatest(least(a, 1 - 1e-7), 1e-7 - 1)) END - CASE WHEN b IS NOT NULL THEN atanh(greatest(least(b, 1 - 1e-7), 1e-7 - 1)) END) AS difference,
+           avg(a - b) AS raw_difference
+FROM (SELECT seed, text_id, max(correlation) FILTER (WHERE condition = 'gaze') AS a, max(correlation) FILTER (WHERE condition = 'mlm') AS b,
                  max(n_edges) FILTER (WHERE condition = 'gaze') AS an, max(n_edges) FILTER (WHERE condition = 'mlm') AS bn
-          FROM runs WHERE condition IN ('gaze', 'mlm') GROUP BY seed, text_id)
-    GROUP BY text_id HAVING fine
+FROM runs
+WHERE condition IN ('gaze', 'mlm')
+GROUP BY seed, text_id)
+GROUP BY text_id
+HAVING fine
+)"""
+)
+
+
+CONTRAST_CELLS = (
+    RUNS
+    + """, met AS (
+    SELECT b.condition AS other, a.text_id, a.correlation AS x, b.correlation AS y, least(a.n_edges, b.n_edges) AS n,
+           a.correlation IS NOT NULL AND b.correlation IS NOT NULL AS paired
+    FROM runs a JOIN runs b ON a.seed = b.seed AND a.text_id = b.text_id
+    WHERE a.condition = 'gaze' AND b.condition <> 'gaze'
+), zs AS (
+    SELECT *, CASE WHEN x IS NOT NULL THEN atanh(greatest(least(x, 1 - 1e-7), 1e-7 - 1)) END AS zx, CASE WHEN y IS NOT NULL THEN atanh(greatest(least(y, 1 - 1e-7), 1e-7 - 1)) END AS zy FROM met
+), contrast_cells AS (
+    SELECT other, text_id, count(*) AS seeds, count(*) FILTER (WHERE paired) AS defined, min(n) AS min_edges, avg(zx - zy) AS difference,
+           max(greatest(abs(x), abs(y))) FILTER (WHERE paired) AS max_r, max(greatest(abs(zx), abs(zy))) FILTER (WHERE paired) AS max_z,
+           sum((abs(x) >= 0.99)::INT + (abs(y) >= 0.99)::INT) FILTER (WHERE paired) AS near_perfect
+    FROM zs
+    GROUP BY ALL
 )"""
 )
 
@@ -407,10 +702,16 @@ def _contrast(spark, sf):
 
 
 def _repeats(spark, sf):
-    return runs_table(spark, sf).where("condition = 'gaze'").select(F.col("seed").alias("repeat"), "text_id", F.col("correlation").alias("metric"))
+    return runs_table(spark, sf).where("condition = 'gaze'").select(
+        F.col("seed").alias("repeat"),
+        "text_id",
+        F.col("correlation").alias("metric"),
+    )
 
 
-REPEATS = RUNS + ", repeats AS (SELECT seed AS repeat, text_id, correlation AS metric FROM runs WHERE condition = 'gaze')"
+REPEATS = RUNS + """, repeats AS (SELECT seed AS repeat, text_id, correlation AS metric
+FROM runs
+WHERE condition = 'gaze')"""
 
 
 def influential(spark, sf):
@@ -418,76 +719,169 @@ def influential(spark, sf):
     return compare.most_influential(compare.leave_one_text_out(r), compare.median_hierarchy(r, []))
 
 
+def _corpus():
+    """The first four texts are one corpus, the other six another."""
+    return F.when(E.natural_number(F.col("text_id")) < 4, "first").otherwise("second")
+
+
 def _two_corpora(spark, sf):
-    return _design(spark, sf).withColumn("corpus", F.when(E.natural_number(F.col("text_id")) < 5, "first").otherwise("second"))
+    return _design(spark, sf).withColumn("corpus", _corpus())
 
 
 def coefficient_bootstrap(spark, sf):
     d = _two_corpora(spark, sf)
-    return corpus_audit.coefficient_audit(d.where("corpus = 'first'"), d.where("corpus = 'second'"), pairs.POSITION, 20, 20260711)
+    return corpus_audit.coefficient_audit(d.where("corpus = 'first'"), d.where("corpus = 'second'"), pairs.POSITION, 1000, 20260711)
 
 
 def transported(spark, sf):
+    return _transported(spark, sf, pairs.POSITION)
+
+
+def _transported(spark, sf, names: tuple[str, ...]):
     d = _two_corpora(spark, sf)
     a, b = d.where("corpus = 'first'"), d.where("corpus = 'second'")
-    parts = [corpus_audit.transported_nll(x, y, pairs.POSITION).withColumn("direction", F.lit(name)) for x, y, name in ((a, b, "first_to_second"), (b, a, "second_to_first"), (a, a, "within_first"), (b, b, "within_second"))]
+    parts = [
+        corpus_audit.transported_nll(x, y, names).withColumn("direction", F.lit(name))
+        for x, y, name in ((a, b, "first_to_second"), (b, a, "second_to_first"), (a, a, "within_first"), (b, b, "within_second"))
+    ]
     return readers.concat_subjects(parts)
 
 
 def classified(spark, sf):
-    summaries = corpus_audit.text_summaries(_design(spark, sf)).withColumn("corpus", F.when(E.natural_number(F.col("text_id")) < 5, "first").otherwise("second"))
-    return corpus_audit.domain_classifier(summaries, "corpus", "second", 19, 20260711)
+    summaries = corpus_audit.text_summaries(_design(spark, sf)).withColumn("corpus", _corpus())
+    return corpus_audit.domain_classifier(summaries, "corpus", "second", 500, 20260711)
+
+
+POOLED = """WITH s AS (
+    SELECT CAST(label AS VARCHAR) AS text_id, vec_id % 20 - 1 AS word_index, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim
+    FROM embeddings
+), m AS (
+    SELECT text_id, word_index, dim, avg(CAST(v AS DOUBLE)) AS v FROM s WHERE word_index >= 0 GROUP BY ALL
+)"""
 
 
 def _states(spark, sf):
-    return tables.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("text_id"), (F.col("vec_id") % 20 - 1).alias("word_index"), F.col("embedding").alias("state"))
+    return tables.table(spark, sf, "embeddings").select(
+        F.col("label").cast("string").alias("text_id"),
+        (F.col("vec_id") % 20 - 1).alias("word_index"),
+        F.col("embedding").alias("state"),
+    )
 
 
 def pooled_words(spark, sf):
     pooled = scoring.word_pool(_states(spark, sf))
-    return pooled.select("text_id", "word_index", "n_tokens", F.element_at("state", 1).alias("first"), scoring.norm(F.col("state")).alias("norm"))
+    return pooled.select(
+        "text_id",
+        "word_index",
+        "n_tokens",
+        F.element_at("state", 1).alias("first"),
+        scoring.norm(F.col("state")).alias("norm"),
+    )
 
 
 def word_cosines(spark, sf):
     v = scoring.word_pool(_states(spark, sf))
-    cells = v.select("text_id", F.col("word_index").alias("src_word")).join(v.select("text_id", F.col("word_index").alias("dst_word")), "text_id").where("dst_word > src_word and dst_word <= src_word + 2")
+    cells = v.select("text_id", F.col("word_index").alias("src_word")).join(
+        v.select("text_id", F.col("word_index").alias("dst_word")),
+        "text_id",
+    ).where("dst_word > src_word and dst_word <= src_word + 2")
     return scoring.pair_scores(cells, v, scoring.cosine)
 
 
 def head_scores(spark, sf):
+    """Low-rank scores of neighbouring words, with a head of fixed small numbers."""
     import numpy as np
 
+    r, d = np.arange(4)[:, None], np.arange(64)[None, :]
+    source, target = ((r * 7 + d * 3) % 11 - 5) / 10, ((r * 5 + d * 2) % 13 - 6) / 10
     v = scoring.word_pool(_states(spark, sf))
-    cells = v.select("text_id", F.col("word_index").alias("src_word")).join(v.select("text_id", F.col("word_index").alias("dst_word")), "text_id").where("dst_word = src_word + 1")
+    words = v.select("text_id", F.col("word_index").alias("src_word"))
+    cells = words.join(v.select("text_id", F.col("word_index").alias("dst_word")), "text_id").where("dst_word = src_word + 1")
+    return scoring.pair_scores(cells, v, lambda a, b: scoring.low_rank_score(a, b, source, target, 0.25))
+
+
+def adapted_scores(spark, sf):
+    """The same after a bottleneck adapter on the target's side."""
+    import numpy as np
+
     rng = np.random.default_rng(3)
     source, target, down, up = (rng.standard_normal(shape) for shape in ((4, 64), (4, 64), (4, 64), (64, 4)))
-    scored = scoring.pair_scores(cells, v, lambda a, b: scoring.low_rank_score(a, scoring.bottleneck(b, down, up), source, target))
-    return scored.select("text_id", "src_word", "dst_word", "score")
+    v = scoring.word_pool(_states(spark, sf))
+    words = v.select("text_id", F.col("word_index").alias("src_word"))
+    cells = words.join(v.select("text_id", F.col("word_index").alias("dst_word")), "text_id").where("dst_word = src_word + 1")
+    return scoring.pair_scores(
+        cells,
+        v,
+        lambda a, b: scoring.low_rank_score(a, scoring.bottleneck(b, down, up, rng.standard_normal(4)), source, target),
+    )
+
+
+def all_words(spark, sf):
+    """Pooled words with a row for every word up to the twenty-second, tokens or none."""
+    states = _states(spark, sf)
+    sizes = states.select("text_id").distinct().withColumn("n_words", F.lit(22))
+    return scoring.word_pool(states, "sum", sizes).select(
+        "text_id",
+        "word_index",
+        "n_tokens",
+        "valid",
+        scoring.norm(F.col("state")).alias("norm"),
+    )
 
 
 def softmax_rows(spark, sf):
-    e = tables.table(spark, sf, "events").select((F.col("event_id") % 50).alias("row"), (F.col("event_id") / 50).cast("bigint").alias("col"), (F.col("value") / 10).alias("logit"), (F.col("event_id") % 3 != 0).alias("mask"))
+    e = tables.table(spark, sf, "events").select(
+        (F.col("event_id") % 50).alias("row"),
+        (F.col("event_id") / 50).cast("bigint").alias("col"),
+        (F.col("value") / 10).alias("logit"),
+        (F.col("event_id") % 3 != 0).alias("mask"),
+    )
     return scoring.masked_softmax(e, ["row"])
 
 
 def divergences(spark, sf):
-    e = tables.table(spark, sf, "events").select((F.col("event_id") % 50).alias("row"), F.col("value").alias("p"), ((F.col("event_id") * 7) % 13).cast("double").alias("q"), (F.col("event_id") % 50 != 7).alias("mask"))
+    e = tables.table(spark, sf, "events").select(
+        (F.col("event_id") % 50).alias("row"),
+        F.col("value").alias("p"),
+        ((F.col("event_id") * 7) % 13).cast("double").alias("q"),
+        (F.col("event_id") % 50 != 7).alias("mask"),
+    )
     return scoring.masked_jsd(e, ["row"])
 
 
 def balanced_loss(spark, sf):
-    return scoring.source_balanced_loss(_cells(spark, sf).where("residual is not null").withColumn("difference", F.col("residual") - 0.25), ["text_id"])
+    return scoring.source_balanced_loss(
+        _cells(spark, sf).where("residual is not null").withColumn("difference", F.col("residual") - 0.25),
+        ["text_id"],
+    )
 
 
 def simulation(spark, sf):
-    return simulate.summarize(simulate.simulate(spark, simulate.Grid(subjects=(12,), effects=(0.0, 0.65), concentrations=(40.0,), replicates=6)))
+    """The published grid: 1,280 replicates."""
+    return simulate.summarize(simulate.simulate(spark))
+
+
+def _turns(spark, sf) -> DataFrame:
+    """Tokens of every turn, under the turn's own key and that of the turn after it."""
+    turns = tables.table(spark, sf, "conversations")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    key = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), n.cast("string"))
+    named = turns.withColumn("_n", place).select(key(F.col("_n")).alias("text_id"), key(F.col("_n") + 1).alias("next_id"), "text")
+    tokens = named.select("text_id", "next_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("position", "token"))
+    return tokens.withColumn("token", reconcile.lexical_form(F.col("token")))
 
 
 def token_reconciliation(spark, sf):
-    turns = tables.table(spark, sf, "conversations").where("turn < 2").select("conv_id", "turn", "text")
-    tokens = turns.select(F.col("conv_id").cast("string").alias("text_id"), "turn", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("position", "token")).withColumn("token", reconcile.lexical_form(F.col("token")))
-    first, second = (tokens.where(F.col("turn") == t).select("text_id", "position", "token") for t in (0, 1))
-    return reconcile.reconciliation(reconcile.align_tokens(first, second))
+    """Every turn of a conversation aligned with the turn before it."""
+    tokens = _turns(spark, sf)
+    before = tokens.select(F.col("next_id").alias("text_id"), "position", "token")
+    return reconcile.reconciliation(reconcile.align_tokens(before, tokens.select("text_id", "position", "token")))
+
+
+def aligned_tokens(spark, sf):
+    """How many tokens of either side the alignment covers: all of them."""
+    rows = token_reconciliation(spark, sf)
+    return rows.groupBy("text_id").agg(F.sum("first_tokens").alias("first_tokens"), F.sum("second_tokens").alias("second_tokens"))
 
 
 def key_counts(spark, sf):
@@ -496,9 +890,46 @@ def key_counts(spark, sf):
 
 
 def layout_agreement(spark, sf):
-    w = _words(spark, sf)
-    layouts = w.crossJoin(F.broadcast(spark.range(3).select(F.col("id").cast("string").alias("subject_id")))).select("subject_id", "text_id", "word_index", F.col("surface").alias("content"), (F.col("line_id") * 20 + F.when((F.col("subject_id") == "2") & (F.col("word_index") % 4 == 0), F.lit(1)).otherwise(F.lit(0))).cast("double").alias("top"), (F.col("line_id") * 20 + 10).cast("double").alias("bottom"))
-    return intervals.partition_agreement(layouts)
+    """Layouts of three subjects; the last one's bounds are shifted in places and it lacks some words."""
+    w, last = _words(spark, sf), F.col("subject_id") == "2"
+    shift = F.when(last & (F.col("word_index") % 4 == 0), F.lit(1)).otherwise(F.lit(0))
+    laid = w.crossJoin(F.broadcast(spark.range(3).select(F.col("id").cast("string").alias("subject_id"))))  # three rows
+    seen = laid.where(~(last & (F.col("word_index") % 11 == 5)))
+    return intervals.partition_agreement(
+        seen.select(
+            "subject_id",
+            "text_id",
+            "word_index",
+            F.col("surface").alias("content"),
+            (F.col("line_id") * 20 + shift).cast("double").alias("top"),
+            (F.col("line_id") * 20 + 10).cast("double").alias("bottom"),
+        )
+    )
+
+
+def line_map_audit(spark, sf):
+    """Bounds of words that differ by one in places, mapped to lines."""
+    v = tables.fixations(spark, sf)
+    shift = (F.col("fixation_order") % 3 == 0).cast("int")
+    top = (F.col("line_id") * 20 + shift).cast("double")
+    observed = v.select("text_id", "word_index", top.alias("top"), (top + 10).alias("bottom"))
+    return intervals.line_map(observed)[1]
+
+
+def word_properties(spark, sf):
+    """Parts as words: name, size as length and number of answers, its last digit as the share that match."""
+    part = tables.table(spark, sf, "part")
+    size = F.col("p_size")
+    records = part.select(
+        F.lit("t").alias("text_id"),
+        F.col("p_partkey").alias("word_index"),
+        F.concat(F.col("p_name"), F.when(size % 6 == 0, ".").otherwise("")).alias("surface"),
+        F.when(size % 5 == 0, F.lit("NA")).otherwise(size.cast("string")).alias("length"),
+        F.when(size % 9 == 0, F.lit("1.5")).otherwise((size % 10 / 10).cast("string")).alias("match_share"),
+        F.when(size % 8 == 0, F.lit("0")).otherwise(size.cast("string")).alias("responses"),
+        F.when(size % 4 == 0, F.lit(".")).otherwise((size % 4).cast("string")).alias("sentence_number"),
+    )
+    return pairs.word_properties(records)
 
 
 def group_constant_flags(spark, sf):
@@ -510,137 +941,1340 @@ def rank_of_design(spark, sf):
 
 
 def partitions(spark, sf):
-    """All ten partitions of the six readers with the most forward moves, on position features."""
-    edges = _forward(spark, sf)
-    six = [r[0] for r in edges.groupBy("subject_id").agg(F.sum("count").alias("n")).orderBy(F.col("n").desc(), "subject_id").limit(6).collect()]
-    draws = resample.draws_table(spark, resample.anchored_partitions(sorted(six)))
-    cells = audit.half_residuals(_design(spark, sf, "position_only"), edges, draws, pairs.POSITION, _folds(spark), 1)
+    """All 462 partitions of twelve groups of readers, which hold every reader, on position features."""
+    group = F.pmod(F.crc32("subject_id"), F.lit(12)).cast("string")
+    edges = _forward(spark, sf).withColumn("subject_id", group)
+    draws = resample.draws_table(spark, resample.anchored_partitions([str(i) for i in range(12)]))
+    cells = audit.half_residuals(_design(spark, sf, "position_only").drop("count"), edges, draws, pairs.POSITION, _folds(spark), 1)
     return audit.partition_audit(cells)
 
 
+def _condition_scores(spark, sf) -> DataFrame:
+    """Scores of every candidate by four conditions and five seeds, from the words' numbers."""
+    cells = _design(spark, sf, "position_only").select(*model.KEYS)
+    names = F.array(
+        *[
+            F.struct(F.lit(c).alias("condition"), F.lit(m).alias("m"))
+            for c, m in (("gaze", 3), ("mlm", 5), ("shuffled", 7), ("position", 11))
+        ]
+    )
+    each = cells.withColumn("_c", F.explode(names)).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    score = (F.col("src_word") * F.col("_c.m") + F.col("dst_word") * 13 + F.col("seed") * 5) % 17
+    return each.select(F.col("_c.condition").alias("condition"), "seed", *model.KEYS, score.cast("double").alias("score"))
+
+
+MODEL_PAIRS = [("gaze", "mlm"), ("gaze", "shuffled"), ("gaze", "position")]
+
+
+def criterion_contrasts(spark, sf):
+    return audit.criterion_contrasts(_cells(spark, sf), _condition_scores(spark, sf), [], MODEL_PAIRS)
+
+
 def reader_text_bootstrap(spark, sf):
-    """Readers drawn with replacement, halves refitted, and texts resampled within each draw."""
-    readers_ = sorted(r[0] for r in _forward(spark, sf).select("subject_id").distinct().collect())  # subjects are few
-    draws = resample.draws_table(spark, resample.reader_bootstrap(readers_, 3, 20260711))
-    cells = audit.half_residuals(_design(spark, sf, "position_only"), _forward(spark, sf), draws, pairs.POSITION, _folds(spark), 3)
-    met = metrics.paired_halves(cells.where("half = 0"), cells.where("half = 1"), ["draw"])
-    return audit.nested_bootstrap(metrics.correlation(met, ["draw", "text_id"]).withColumn("measure", F.lit("edge_weighted")), ["measure"], "r", 200, 20260711)
+    """Two hundred draws of readers: residuals refitted, contrasts of conditions, texts resampled within each draw."""
+    edges = _forward(spark, sf)
+    draws = resample.draws_table(spark, [(h,) for h in resample.reader_resamples(_subjects(edges), 200, 20260711)])
+    cells = audit.half_residuals(_design(spark, sf, "position_only").drop("count"), edges, draws, pairs.POSITION, _folds(spark), 3)
+    found = audit.criterion_contrasts(cells, _condition_scores(spark, sf), ["draw"], MODEL_PAIRS)
+    return audit.nested_bootstrap(found, ["contrast"], "difference", 200, 20260711)
 
 
 def influence_report(spark, sf):
-    contrasts = compare.text_contrasts(runs_table(spark, sf), "gaze", ["mlm", "shuffled", "position"]).select(F.col("other").alias("contrast"), "text_id", F.col("nll_difference").alias("difference"))
-    return audit.text_influence(contrasts, 1000, 20260711)
+    contrasts = compare.text_contrasts(runs_table(spark, sf), "gaze", ["mlm", "shuffled", "position"])
+    named = contrasts.select(F.col("other").alias("contrast"), "text_id", F.col("nll_difference").alias("difference"))
+    return audit.text_influence(named, ["mlm", "shuffled", "position"], 1000, 20260711)
+
+
+def flags(spark, sf):
+    r = _repeats(spark, sf)
+    return compare.change_flags(compare.leave_one_text_out(r), compare.median_hierarchy(r, []))
+
+
+OTHERS = ["mlm", "shuffled", "position"]
+
+
+def _contrast_cells(spark, sf) -> DataFrame:
+    return compare.contrast_cells(runs_table(spark, sf), "gaze", OTHERS)
+
+
+def threshold_intervals(spark, sf):
+    """Intervals of the mean difference for each threshold and contrast, each with a seed of its own; the lowest threshold's are the primary ones."""
+    number = F.array_position(F.array(*map(F.lit, OTHERS)), F.col("other"))
+    kept = compare.retained(_contrast_cells(spark, sf)).where("threshold > 4").withColumn("_seed", 100 * F.col("threshold") + number)
+    higher = resample.mean_interval(kept, ["threshold", "other"], "difference", 100_000, 20260713, seed_col="_seed")
+    primary = contrast_intervals(spark, sf).withColumn("threshold", F.lit(4))
+    return higher.unionByName(primary.select(*higher.columns))
+
+
+def _gaze_runs(spark, sf, *conditions) -> DataFrame:
+    rows = runs_table(spark, sf).where(F.col("condition").isin(*conditions))
+    return rows.select("condition", F.col("seed").alias("repeat"), "text_id", F.col("correlation").alias("value"))
+
+
+def fold_spread(spark, sf):
+    fits = model.fold_fits(_design(spark, sf), ONE, _folds(spark))
+    return metrics.coefficient_variability(fits, [])
 
 
 def result_checks(spark, sf):
     """Rules that results must meet; no row says that all hold."""
-    cells = _cells(spark, sf)
     total = Window.partitionBy("text_id", "src_word")
-    return readers.failed_checks({"cells": cells.withColumn("mass", F.sum("probability").over(total))}, {"cells": {"mass is 1": F.abs(F.col("mass") - 1) < 1e-9, "reliable is defined": ~F.col("reliable") | F.col("residual").isNotNull(), "forward": F.col("dst_word") > F.col("src_word")}})
+    cells = _cells(spark, sf).withColumn("mass", F.sum("probability").over(total)).withColumn("deviations", F.sum("deviation").over(total))
+    halves = _half_cells(spark, sf).withColumn("total", F.sum("count").over(Window.partitionBy("half", *model.GROUP)))
+    matrix = transitions.aggregate_transitions(_events(spark, sf))
+    matrix = matrix.withColumn("mass", F.sum("probability").over(Window.partitionBy("text_id", "event_type", "src_word")))
+    c = F.col
+    unit = lambda x: x.between(0, 1)
+    rules = {
+        "cells": {
+            "mass is 1": F.abs(c("mass") - 1) < 1e-9,
+            "deviations cancel": F.abs(c("deviations")) < 1e-6,
+            "probability is one": unit(c("probability")),
+            "reliable is defined": ~c("reliable") | c("residual").isNotNull(),
+            "reliable has events": ~c("reliable") | (c("exposure") >= 5),
+            "reliable has a choice": ~c("reliable") | (c("risk_size") >= 2),
+            "forward": c("dst_word") > c("src_word"),
+            "counts are whole": c("count") == F.floor("count"),
+            "signs agree": (F.signum("deviation") == F.signum("deviance")) | c("deviance").isNull(),
+        },
+        "events": {
+            "known type": c("event_type").isin(*E.EVENT_TYPES),
+            "refixations stay": (c("event_type") == "refixation") == (c("src_word") == c("dst_word")),
+            "forward goes on": (c("event_type") != "forward") | (c("dst_word") > c("src_word")),
+            "weight is 1": c("weight") == 1,
+            "words are numbered": (c("src_word") >= 0) & (c("dst_word") >= 0),
+        },
+        "halves": {"a half": c("half").isin(0, 1), "exposure is the total": F.abs(c("exposure") - c("total")) < 1e-9},
+        "matrix": {
+            "rows add up": F.abs(c("mass") - 1) < 1e-9,
+            "no empty cell": c("count") > 0,
+            "probability is one": unit(c("probability")),
+        },
+    }
+    return readers.failed_checks({"cells": cells, "events": _events(spark, sf), "halves": halves, "matrix": matrix}, rules)
 
 
 SPECS: dict[str, Query] = {
-    "partition_audit": Query(partitions, "metric partitions# n# median* q25* q75* negative_share* undefined_share*"),
-    "reader_text_bootstrap": Query(reader_text_bootstrap, "measure draws# mean* low* high* negative_share*"),
+    "partition_audit": Query(
+        partitions,
+        "metric partitions# n# median* q25* q75* negative_partitions* negative_share_median* undefined_share_median*",
+    ),
+    "reader_text_bootstrap": Query(reader_text_bootstrap, "contrast draws# mean* low* high* negative_share*"),
+    "criterion_contrasts": Query(
+        criterion_contrasts,
+        "contrast text_id difference*",
+        SCORED
+        + """, scores AS (
+        SELECT condition, seed, text_id, src_word, dst_word, CAST((src_word * m + dst_word * 13 + seed * 5) % 17 AS DOUBLE) AS y
+        FROM counted, (VALUES ('gaze', 3), ('mlm', 5), ('shuffled', 7), ('position', 11)) v(condition, m), range(5) t(seed)
+    ), joined AS (
+        SELECT s.condition, s.seed, s.text_id, c.residual AS x, s.y
+        FROM cells c JOIN scores s ON s.text_id = c.text_id AND s.src_word = c.src_word AND s.dst_word = c.dst_word
+        WHERE c.reliable
+    ), each AS ("""
+        + corr_sql("joined", "condition, seed, text_id")
+        + """), by_text AS (
+        SELECT condition, text_id, avg(CASE WHEN r IS NOT NULL THEN atanh(greatest(least(r, 1 - 1e-7), 1e-7 - 1)) END) AS z
+        FROM each WHERE n >= 4
+        GROUP BY ALL HAVING bool_and(r IS NOT NULL)
+    )
+=>
+SELECT 'gaze_vs_' || b.condition AS contrast, text_id, a.z - b.z AS difference
+FROM by_text a JOIN by_text b USING (text_id)
+WHERE a.condition = 'gaze' AND b.condition <> 'gaze'""",
+    ),
     "text_influence": Query(influence_report, "contrast deleted n# mean* low* high* flips"),
-    "result_checks": Query(result_checks, "result rule failures#", "\n=>\nSELECT 'x' AS result, 'x' AS rule, 0 AS failures WHERE false"),
-    "transition_events": Query(_events, "subject_id text_id src_word# dst_word# event_type weight*", TR + "\n=>\nSELECT subject_id, text_id, src_word, dst_word, event_type, 1.0 AS weight FROM tr"),
-    "event_weights": Query(lambda s, d: _events(s, d, weight="source_duration", include_self=False).groupBy("text_id", "event_type").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")), "text_id event_type weight* n#", TR + "\n=>\nSELECT text_id, event_type, sum(duration_ms) AS weight, count(*) AS n FROM tr WHERE event_type <> 'refixation' GROUP BY ALL"),
-    "event_target_weights": Query(lambda s, d: _events(s, d, weight="target_duration", consecutive_only=True).groupBy("subject_id").agg(F.sum("weight").alias("weight")), "subject_id weight*", TR + "\n=>\nSELECT subject_id, sum(next_duration) AS weight FROM tr WHERE next_order = fixation_order + 1 GROUP BY ALL"),
-    "transition_matrix_row": Query(lambda s, d: transitions.aggregate_transitions(_events(s, d)), "text_id event_type src_word# dst_word# count* probability*", TR + "\n=>\nSELECT text_id, event_type, src_word, dst_word, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY text_id, event_type, src_word) AS probability FROM tr GROUP BY text_id, event_type, src_word, dst_word"),
-    "transition_matrix_global": Query(lambda s, d: transitions.aggregate_transitions(_events(s, d), "global"), "text_id event_type src_word# dst_word# count* probability*", TR + "\n=>\nSELECT text_id, event_type, src_word, dst_word, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY text_id, event_type) AS probability FROM tr GROUP BY text_id, event_type, src_word, dst_word"),
-    "transition_matrix_dense": Query(lambda s, d: transitions.dense_matrix(transitions.aggregate_transitions(_events(s, d)).where("event_type = 'forward'"), transitions.text_sizes(_events(s, d))).groupBy("text_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("valid")).alias("valid"), F.sum("count").alias("mass"), F.count_if(F.col("count") > 0).alias("nonzero")), "text_id cells# valid# mass* nonzero#", TR + ", w AS (SELECT text_id, max(greatest(src_word, dst_word)) + 1 AS w FROM tr GROUP BY ALL), f AS (SELECT text_id, count(DISTINCT src_word) AS sources, count(*) AS mass, count(DISTINCT (src_word, dst_word)) AS nonzero FROM tr WHERE event_type = 'forward' GROUP BY ALL)\n=>\nSELECT text_id, w * w AS cells, sources * w AS valid, mass, nonzero FROM w JOIN f USING (text_id)"),
-    "text_sizes": Query(lambda s, d: transitions.text_sizes(_events(s, d)), "text_id n_words#", TR + "\n=>\nSELECT text_id, max(greatest(src_word, dst_word)) + 1 AS n_words FROM tr GROUP BY ALL"),
-    "subject_edges": Query(_forward, "subject_id text_id src_word# dst_word# count*", TR + "\n=>\nSELECT subject_id, text_id, src_word, dst_word, n AS count FROM edges"),
-    "edge_counts": Query(lambda s, d: transitions.edge_counts(_events(s, d)), "text_id src_word# dst_word# n#", TR + "\n=>\nSELECT text_id, src_word, dst_word, count(*) AS n FROM tr GROUP BY ALL"),
-    "half_edges": Query(lambda s, d: transitions.half_edges(_forward(s, d), _parity_draws(s, d)), "draw# half# text_id src_word# dst_word# count*", TR + "\n=>\nSELECT draw, (CAST(subject_id AS BIGINT) // (2 ** draw)::BIGINT) % 2 AS half, text_id, src_word, dst_word, sum(n) AS count FROM edges, range(3) t(draw) GROUP BY ALL"),
-    "selected_events": Query(lambda s, d: transitions.select_events(_events(s, d), ["regression", "line_return"], s.createDataFrame([("T:1",), ("T:4",)], "text_id string")).groupBy("text_id", "event_type").agg(F.count(F.lit(1)).alias("n")), "text_id event_type n#", TR + "\n=>\nSELECT text_id, event_type, count(*) AS n FROM tr WHERE event_type IN ('regression', 'line_return') AND text_id IN ('T:1', 'T:4') GROUP BY ALL"),
-    "fixation_violations": Query(fixation_violations, "rule n#", FIX + ", bad AS (SELECT subject_id, text_id, word_index - CASE WHEN fixation_order % 17 = 0 THEN 100 ELSE 0 END AS w, fixation_order - CASE WHEN fixation_order % 13 = 0 THEN 1 ELSE 0 END AS o, CASE WHEN fixation_order % 11 = 0 THEN -1 ELSE duration_ms END AS dur, CASE WHEN fixation_order % 29 = 0 AND word_index = 3 THEN 2 ELSE line_id END AS line FROM fix)\n=>\nSELECT 'negative_word' AS rule, count(*) FILTER (WHERE w < 0) AS n FROM bad UNION ALL SELECT 'bad_duration', count(*) FILTER (WHERE dur < 0) FROM bad UNION ALL SELECT 'repeated_order', count(*) FROM (SELECT 1 FROM bad GROUP BY subject_id, text_id, o HAVING count(*) > 1) UNION ALL SELECT 'several_lines', count(*) FROM (SELECT 1 FROM bad GROUP BY text_id, w HAVING min(line) <> max(line))"),
-    "etl_exclusions": Query(etl_exclusions, "reason n#", "\n=>\nSELECT CASE WHEN event_id % 31 = 0 THEN 'missing_trial' WHEN k % 7 = 6 THEN 'page_mismatch' WHEN event_id % 5 = 0 THEN 'outside' WHEN value > 45 THEN 'unmapped_area' WHEN CAST(floor(value) AS BIGINT) % 24 = 23 THEN 'missing_line' WHEN event_id % 19 = 0 THEN 'bad_number' ELSE 'written' END AS reason, count(*) AS n FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY ALL"),
-    "line_clusters": Query(line_clusters, "l_orderkey# line_id# n# low* high*", "WITH a AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS top, CAST(l_quantity AS DOUBLE) + 5 AS bottom FROM lineitem), b AS (SELECT *, CASE WHEN top < max(bottom) OVER (PARTITION BY l_orderkey ORDER BY top, bottom, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins FROM a), c AS (SELECT *, sum(begins) OVER (PARTITION BY l_orderkey ORDER BY top, bottom, l_linenumber ROWS UNBOUNDED PRECEDING) - 1 AS line_id FROM b)\n=>\nSELECT l_orderkey, line_id, count(*) AS n, min(top) AS low, max(bottom) AS high FROM c GROUP BY ALL"),
-    "consensus_mode": Query(consensus_mode, "l_suppkey# variants# observations# accepted flag", "WITH c AS (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag, l_linestatus) AS rank, sum(n) OVER (PARTITION BY l_suppkey) AS observations, count(*) OVER (PARTITION BY l_suppkey) AS variants FROM c)\n=>\nSELECT l_suppkey, variants, observations, variants = 1 OR 2 * n > observations AS accepted, CASE WHEN variants = 1 OR 2 * n > observations THEN l_returnflag END AS flag FROM r WHERE rank = 1"),
-    "functional_dependency": Query(functional_dependency, "bucket# o_orderstatus consistent", "\n=>\nSELECT o_orderkey % 100 AS bucket, min(o_orderstatus) AS o_orderstatus, count(DISTINCT o_orderstatus) = 1 AS consistent FROM orders GROUP BY ALL"),
-    "word_metadata": Query(word_metadata, "text_id word_index# surface length# terminal_punctuation sentence_number# zipf_frequency*", r"""WITH t AS (SELECT text_id, unnest(list) AS surface, unnest(range(len(list))) AS word_index FROM (SELECT conv_id || ':' || turn AS text_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS list FROM conversations)), u AS (SELECT *, regexp_matches(surface, '[.!?]["'')\]]*$') AS e FROM t WHERE surface <> ''), z AS (SELECT surface, log10(1e9 * count(*) / sum(count(*)) OVER ()) AS zipf_frequency FROM u GROUP BY surface)
-=>
-SELECT text_id, word_index, surface, greatest(1, length(regexp_replace(surface, '[^A-Za-z0-9'']', '', 'g'))) AS length, e AS terminal_punctuation, 1 + coalesce(sum(e::INT) OVER (PARTITION BY text_id ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence_number, zipf_frequency FROM u JOIN z USING (surface)"""),
-    "sentence_fill": Query(sentence_fill, "text_id word_index# sentence_number#", WORDS + ", s AS (SELECT text_id, word_index, punct, CASE WHEN word_index % 5 <> 2 THEN sentence END AS q FROM words), l AS (SELECT *, lag(q) OVER w AS pq, lag(punct) OVER w AS pp, first_value(q IGNORE NULLS) OVER (PARTITION BY text_id ORDER BY word_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nq FROM s WINDOW w AS (PARTITION BY text_id ORDER BY word_index))\n=>\nSELECT text_id, word_index, coalesce(q, CASE WHEN pq IS NOT NULL AND NOT coalesce(pp, false) THEN pq END, nq, pq) AS sentence_number FROM l"),
-    "tree_distance": Query(tree_distances, "text_id src_word# dst_word# steps#", WORDS + "\n=>\nSELECT t.text_id, t.src AS src_word, t.dst AS dst_word, t.steps FROM tree t JOIN words w ON w.text_id = t.text_id AND w.word_index = t.src WHERE NOT w.missing"),
-    "pair_features_line": Query(lambda s, d: _design(s, d, "flexible"), "text_id src_word# dst_word# log1p_abs_distance* adjacent* target_log_length* target_zipf_frequency* target_frequency_oov* target_terminal_punctuation* src_head_of_dst* dst_head_of_src* dependency_tree_distance* target_relative_position* target_first2* target_last2* log1p_abs_distance_squared* log1p_abs_distance_cubed* distance_x_target_relative_position* count*", WORDS + "\n=>\nSELECT text_id, src_word, dst_word, ld AS log1p_abs_distance, adjacent, log_length AS target_log_length, zipf AS target_zipf_frequency, oov AS target_frequency_oov, punct AS target_terminal_punctuation, sh AS src_head_of_dst, dh AS dst_head_of_src, steps AS dependency_tree_distance, relative AS target_relative_position, first2 AS target_first2, last2 AS target_last2, ld * ld AS log1p_abs_distance_squared, ld * ld * ld AS log1p_abs_distance_cubed, ld * relative AS distance_x_target_relative_position, y AS count FROM counted"),
-    "pair_features_directed": Query(lambda s, d: pairs.build_pairs(_words(s, d), "all", "syntax"), "text_id src_word# dst_word# " + " ".join(f"{n}*" for n in pairs.DIRECTED), WORDS + """
-=>
-SELECT s.text_id, s.word_index AS src_word, d.word_index AS dst_word, d.word_index > s.word_index AS forward, ln(1 + abs(d.word_index - s.word_index)) AS log1p_abs_distance,
-  (d.word_index > s.word_index)::INT * ln(1 + abs(d.word_index - s.word_index)) AS forward_x_log_distance, abs(d.word_index - s.word_index) = 1 AS adjacent,
-  s.log_length AS source_log_length, d.log_length AS target_log_length, s.cloze_logit AS source_cloze_logit, d.cloze_logit AS target_cloze_logit, s.cloze_missing AS source_cloze_missing, d.cloze_missing AS target_cloze_missing,
-  s.punct AS source_terminal_punctuation, d.punct AS target_terminal_punctuation, s.sentence = d.sentence AS same_sentence, sign(d.sentence - s.sentence) AS cross_sentence_direction, s.zipf AS source_zipf_frequency, d.zipf AS target_zipf_frequency,
-  s.oov AS source_frequency_oov, d.oov AS target_frequency_oov, d.head = s.word_index AS src_head_of_dst, s.head = d.word_index AS dst_head_of_src,
-  CASE WHEN s.sentence <> d.sentence OR s.missing OR d.missing THEN 0 ELSE t.steps END AS dependency_tree_distance, s.sentence <> d.sentence OR s.missing OR d.missing AS dependency_missing
-FROM words s JOIN words d ON s.text_id = d.text_id AND s.word_index <> d.word_index LEFT JOIN tree t ON t.text_id = s.text_id AND t.src = s.word_index AND t.dst = d.word_index"""),
-    "risk_set_sizes": Query(risk_set_sizes, "risk_set text_id n# sources#", WORDS + "\n=>\nSELECT r AS risk_set, s.text_id, count(*) AS n, count(DISTINCT s.word_index) AS sources FROM words s JOIN words d ON s.text_id = d.text_id AND s.word_index <> d.word_index, (VALUES ('all'), ('forward_same_sentence'), ('forward_same_line')) v(r) WHERE r = 'all' OR (d.word_index > s.word_index AND s.sentence = d.sentence AND (r = 'forward_same_sentence' OR s.line = d.line)) GROUP BY ALL"),
-    "group_constants": Query(group_constant_flags, "feature constant"),
+    "result_checks": Query(
+        result_checks,
+        "result rule failures#",
+        "\n=>\nSELECT 'x' AS result, 'x' AS rule, 0 AS failures WHERE false"),
+    "transition_events": Query(
+        _events,
+        "subject_id text_id src_word# dst_word# event_type weight*",
+        TR + "\n=>\nSELECT subject_id, text_id, src_word, dst_word, event_type, 1.0 AS weight FROM tr",
+    ),
+    "event_weights": Query(
+        lambda s, d: _events(s, d, weight="source_duration", include_self=False).groupBy("text_id", "event_type").agg(
+            F.sum("weight").alias("weight"),
+            F.count(F.lit(1)).alias("n"),
+        ),
+        "text_id event_type weight* n#",
+        TR + """
+=>
+SELECT text_id, event_type, sum(duration_ms) AS weight, count(*) AS n
+FROM tr
+WHERE event_type <> 'refixation'
+GROUP BY ALL""",
+    ),
+    "event_target_weights": Query(
+        lambda s, d: _events(
+            s,
+            d,
+            weight="target_duration",
+            consecutive_only=True,
+        ).groupBy("subject_id").agg(F.sum("weight").alias("weight")),
+        "subject_id weight*",
+        TR + """
+=>
+SELECT subject_id, sum(next_duration) AS weight
+FROM tr
+WHERE next_order = fixation_order + 1
+GROUP BY ALL""",
+    ),
+    "transition_matrix_row": Query(
+        lambda s, d: transitions.aggregate_transitions(_events(s, d)),
+        "text_id event_type src_word# dst_word# count* probability*",
+        TR + """
+=>
+SELECT text_id, event_type, src_word, dst_word, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY text_id, event_type,
+       src_word) AS probability
+FROM tr
+GROUP BY text_id, event_type, src_word, dst_word""",
+    ),
+    "transition_matrix_global": Query(
+        lambda s, d: transitions.aggregate_transitions(_events(s, d), "global"),
+        "text_id event_type src_word# dst_word# count* probability*",
+        TR + """
+=>
+SELECT text_id, event_type, src_word, dst_word, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY text_id,
+       event_type) AS probability
+FROM tr
+GROUP BY text_id, event_type, src_word, dst_word""",
+    ),
+    "transition_matrix_dense": Query(lambda s, d: transitions.dense_matrix(
+        transitions.aggregate_transitions(_events(s, d)).where("event_type = 'forward'"),
+        transitions.text_sizes(_events(s, d)),
+    ).groupBy("text_id").agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count_if(F.col("valid")).alias("valid"),
+        F.sum("count").alias("mass"),
+        F.count_if(F.col("count") > 0).alias("nonzero"),
+    ), "text_id cells# valid# mass* nonzero#", TR + """, w AS (SELECT text_id, max(greatest(src_word, dst_word)) + 1 AS w
+FROM tr
+GROUP BY ALL
+), f AS (
+SELECT text_id, count(DISTINCT src_word) AS sources, count(*) AS mass, count(DISTINCT (src_word, dst_word)) AS nonzero
+FROM tr
+WHERE event_type = 'forward'
+GROUP BY ALL)
+=>
+SELECT text_id, w * w AS cells, sources * w AS valid, mass, nonzero
+FROM w JOIN f USING (text_id)"""),
+    "text_sizes": Query(
+        lambda s, d: transitions.text_sizes(_events(s, d)),
+        "text_id n_words#",
+        TR + "\n=>\nSELECT text_id, max(greatest(src_word, dst_word)) + 1 AS n_words FROM tr GROUP BY ALL",
+    ),
+    "subject_edges": Query(
+        _forward,
+        "subject_id text_id src_word# dst_word# count*",
+        TR + "\n=>\nSELECT subject_id, text_id, src_word, dst_word, n AS count FROM edges",
+    ),
+    "edge_counts": Query(
+        lambda s, d: transitions.edge_counts(_events(s, d)),
+        "text_id src_word# dst_word# n#",
+        TR + "\n=>\nSELECT text_id, src_word, dst_word, count(*) AS n FROM tr GROUP BY ALL",
+    ),
+    "half_edges": Query(
+        lambda s, d: transitions.half_edges(_forward(s, d), _parity_draws(s, d)),
+        "draw# half# text_id src_word# dst_word# count*",
+        TR + """
+=>
+SELECT draw, (CAST(subject_id AS BIGINT) // (2 ** draw)::BIGINT) % 2 AS half, text_id, src_word, dst_word, sum(n) AS count
+FROM edges, range(3) t(draw)
+GROUP BY ALL""",
+    ),
+    "selected_events": Query(
+        lambda s, d: transitions.select_events(
+            _events(s, d),
+            ["regression", "line_return"],
+            s.createDataFrame([("T:1",), ("T:4",)], "text_id string"),
+        ).groupBy("text_id", "event_type").agg(F.count(F.lit(1)).alias("n")),
+        "text_id event_type n#",
+        TR + """
+=>
+SELECT text_id, event_type, count(*) AS n
+FROM tr
+WHERE event_type IN ('regression', 'line_return') AND text_id IN ('T:1', 'T:4')
+GROUP BY ALL""",
+    ),
+    "fixation_violations": Query(
+        fixation_violations,
+        "rule n#",
+        FIX + """, bad AS (SELECT subject_id, text_id, word_index - CASE WHEN fixation_order % 17 = 0 THEN 100 ELSE 0 END AS w, fixation_order - CASE
+       WHEN fixation_order % 13 = 0 THEN 1 ELSE 0 END AS o, CASE WHEN fixation_order % 11 = 0 THEN -1 ELSE duration_ms END AS dur, CASE
+       WHEN fixation_order % 29 = 0 AND word_index = 3 THEN 2 ELSE line_id END AS line
+FROM fix)
+=>
+SELECT 'negative_word' AS rule, count(*) FILTER (WHERE w < 0) AS n
+FROM bad
+UNION ALL SELECT 'bad_duration', count(*) FILTER (WHERE dur < 0)
+FROM bad
+UNION ALL SELECT 'repeated_order', count(*)
+FROM (SELECT 1
+FROM bad
+GROUP BY subject_id, text_id, o
+HAVING count(*) > 1)
+UNION ALL SELECT 'several_lines', count(*)
+FROM (SELECT 1
+FROM bad
+GROUP BY text_id, w
+HAVING min(line) <> max(line))"""),
+    "etl_exclusions": Query(
+        etl_exclusions,
+        "reason n#",
+        """
+=>
+SELECT CASE WHEN event_id % 31 = 0 THEN 'missing_trial' WHEN k % 7 = 6 THEN 'page_mismatch' WHEN event_id % 5 = 0 THEN 'outside'
+       WHEN value > 45 THEN 'unmapped_area' WHEN CAST(floor(value) AS BIGINT) % 24 = 23 THEN 'missing_line'
+       WHEN event_id % 19 = 0 THEN 'bad_number' ELSE 'written' END AS reason, count(*) AS n
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+FROM events)
+GROUP BY ALL"""),
+    "line_clusters": Query(
+        line_clusters,
+        "l_orderkey# line_id# n# low* high*",
+        """WITH a AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS top, CAST(l_quantity AS DOUBLE) + 5 AS bottom
+FROM lineitem
+), b AS (
+SELECT *, CASE WHEN top < max(bottom) OVER (PARTITION BY l_orderkey
+ORDER BY top, bottom, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins
+FROM a
+), c AS (
+SELECT *, sum(begins) OVER (PARTITION BY l_orderkey
+ORDER BY top, bottom, l_linenumber ROWS UNBOUNDED PRECEDING) - 1 AS line_id
+FROM b)
+=>
+SELECT l_orderkey, line_id, count(*) AS n, min(top) AS low, max(bottom) AS high
+FROM c
+GROUP BY ALL"""),
+    "consensus_mode": Query(
+        consensus_mode,
+        "l_suppkey# variants# observations# accepted flag",
+        """WITH c AS (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS n
+FROM lineitem
+GROUP BY ALL
+), r AS (
+SELECT *, row_number() OVER (PARTITION BY l_suppkey
+ORDER BY n DESC, l_returnflag, l_linestatus) AS rank, sum(n) OVER (PARTITION BY l_suppkey) AS observations,
+       count(*) OVER (PARTITION BY l_suppkey) AS variants
+FROM c)
+=>
+SELECT l_suppkey, variants, observations, variants = 1 OR 2 * n > observations AS accepted, CASE
+       WHEN variants = 1 OR 2 * n > observations THEN l_returnflag END AS flag
+FROM r
+WHERE rank = 1"""),
+    "functional_dependency": Query(
+        functional_dependency,
+        "bucket# o_orderstatus consistent",
+        """
+=>
+SELECT o_orderkey % 100 AS bucket, min(o_orderstatus) AS o_orderstatus, count(DISTINCT o_orderstatus) = 1 AS consistent
+FROM orders
+GROUP BY ALL""",
+    ),
+    "word_metadata": Query(
+        word_metadata,
+        "text_id word_index# surface length# terminal_punctuation sentence_number# zipf_frequency*",
+        r"""WITH t AS (SELECT text_id, unnest(list) AS surface, unnest(range(len(list))) AS word_index
+FROM (SELECT conv_id || ':' || turn AS text_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS list
+FROM conversations)
+), u AS (
+SELECT *, regexp_matches(surface, '[.!?]["'')\]]*$') AS e
+FROM t
+WHERE surface <> ''
+), z AS (
+SELECT surface, log10(1e9 * count(*) / sum(count(*)) OVER ()) AS zipf_frequency
+FROM u
+GROUP BY surface)
+=>
+SELECT text_id, word_index, surface, greatest(1, length(regexp_replace(surface, '[^A-Za-z0-9'']', '', 'g'))) AS length,
+       e AS terminal_punctuation, 1 + coalesce(sum(e::INT) OVER (PARTITION BY text_id
+ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence_number, zipf_frequency
+FROM u JOIN z USING (surface)"""),
+    "sentence_fill": Query(
+        sentence_fill,
+        "text_id word_index# sentence_number#",
+        WORDS + """, s AS (SELECT text_id, word_index, punct, CASE WHEN word_index % 5 <> 2 THEN sentence END AS q
+FROM words
+), l AS (
+SELECT *, lag(q) OVER w AS pq, lag(punct) OVER w AS pp, first_value(q IGNORE NULLS) OVER (PARTITION BY text_id
+ORDER BY word_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nq
+FROM s
+WINDOW w AS (PARTITION BY text_id
+ORDER BY word_index))
+=>
+SELECT text_id, word_index, coalesce(q, CASE WHEN pq IS NOT NULL AND NOT coalesce(pp, false) THEN pq END, nq, pq) AS sentence_number
+FROM l"""),
+    "tree_distance": Query(
+        tree_distances,
+        "text_id src_word# dst_word# steps#",
+        WORDS + """
+=>
+SELECT t.text_id, t.src AS src_word, t.dst AS dst_word, t.steps
+FROM tree t JOIN words w ON w.text_id = t.text_id AND w.word_index = t.src
+WHERE NOT w.missing""",
+    ),
+    "pair_features_line": Query(
+        lambda s, d: _design(s, d, "flexible"),
+        "text_id src_word# dst_word# log1p_abs_distance* adjacent* target_log_length* "
+        "target_zipf_frequency* target_frequency_oov* target_terminal_punctuation* src_head_of_dst* dst_head_of_src* dependency_tree_distance* "
+        "target_relative_position* target_first2* target_last2* log1p_abs_distance_squared* log1p_abs_distance_cubed* distance_x_target_relative_position* "
+        "count*",
+        WORDS + """
+=>
+SELECT text_id, src_word, dst_word, ld AS log1p_abs_distance, adjacent, log_length AS target_log_length, zipf AS target_zipf_frequency,
+       oov AS target_frequency_oov, punct AS target_terminal_punctuation, sh AS src_head_of_dst, dh AS dst_head_of_src,
+       steps AS dependency_tree_distance, relative AS target_relative_position, first2 AS target_first2, last2 AS target_last2,
+       ld * ld AS log1p_abs_distance_squared, ld * ld * ld AS log1p_abs_distance_cubed,
+       ld * relative AS distance_x_target_relative_position, y AS count
+FROM counted""",
+    ),
+    "pair_features_directed": Query(
+        lambda s, d: pairs.build_pairs(_words(s, d),
+        "all",
+        "syntax"), "text_id src_word# dst_word# " + " ".join(f"{n}*" for n in pairs.DIRECTED), WORDS + """
+=>
+SELECT s.text_id, s.word_index AS src_word, d.word_index AS dst_word, d.word_index > s.word_index AS forward,
+       ln(1 + abs(d.word_index - s.word_index)) AS log1p_abs_distance,
+  (d.word_index > s.word_index)::INT * ln(1 + abs(d.word_index - s.word_index)) AS forward_x_log_distance,
+         abs(d.word_index - s.word_index) = 1 AS adjacent,
+  s.log_length AS source_log_length, d.log_length AS target_log_length, s.cloze_logit AS source_cloze_logit,
+         d.cloze_logit AS target_cloze_logit, s.cloze_missing AS source_cloze_missing, d.cloze_missing AS target_cloze_missing,
+  s.punct AS source_terminal_punctuation, d.punct AS target_terminal_punctuation, s.sentence = d.sentence AS same_sentence,
+         sign(d.sentence - s.sentence) AS cross_sentence_direction, s.zipf AS source_zipf_frequency, d.zipf AS target_zipf_frequency,
+  s.oov AS source_frequency_oov, d.oov AS target_frequency_oov, d.head = s.word_index AS src_head_of_dst,
+         s.head = d.word_index AS dst_head_of_src,
+  CASE WHEN s.sentence <> d.sentence OR s.missing OR d.missing THEN 0 ELSE t.steps END AS dependency_tree_distance,
+         s.sentence <> d.sentence OR s.missing OR d.missing AS dependency_missing
+FROM words s JOIN words d ON s.text_id = d.text_id AND s.word_index <> d.word_index
+LEFT JOIN tree t ON t.text_id = s.text_id AND t.src = s.word_index AND t.dst = d.word_index"""),
+    "risk_set_sizes": Query(
+        risk_set_sizes,
+        "risk_set text_id n# sources#",
+        WORDS + """
+=>
+SELECT r AS risk_set, s.text_id, count(*) AS n, count(DISTINCT s.word_index) AS sources
+FROM words s JOIN words d ON s.text_id = d.text_id AND s.word_index <> d.word_index, (VALUES ('all'), ('forward_same_sentence'),
+       ('forward_same_line')) v(r)
+WHERE r = 'all' OR (d.word_index > s.word_index AND s.sentence = d.sentence AND (r = 'forward_same_sentence' OR s.line = d.line))
+GROUP BY ALL""",
+    ),
+    "group_constants": Query(
+        group_constant_flags,
+        "feature constant",
+        WORDS
+        + """, spread AS (
+        SELECT unnest(['log1p_abs_distance', 'adjacent', 'target_log_length', 'target_zipf_frequency', 'target_frequency_oov',
+                       'target_terminal_punctuation', 'src_head_of_dst', 'dst_head_of_src', 'dependency_tree_distance',
+                       'target_relative_position', 'target_first2', 'target_last2']) AS feature,
+               unnest([max(ld) - min(ld), max(adjacent) - min(adjacent), max(log_length) - min(log_length), max(zipf) - min(zipf),
+                       max(oov) - min(oov), max(punct) - min(punct), max(sh) - min(sh), max(dh) - min(dh), max(steps) - min(steps),
+                       max(relative) - min(relative), max(first2) - min(first2), max(last2) - min(last2)]) AS width
+        FROM line_pairs
+        GROUP BY text_id, src_word
+    )
+=>
+SELECT feature, max(width) = 0 AS constant FROM spread GROUP BY feature""",
+    ),
     "design_rank": Query(rank_of_design, "features# rank#"),
-    "candidate_audit": Query(lambda s, d: pairs.candidate_audit(transitions.with_separation(_design(s, d))), "category candidates# sources# texts# nonzero# mass* eligible# eligible_sources# exposure*", SCORED + "\n=>\nSELECT category, count(*) AS candidates, count(DISTINCT (text_id, src_word)) AS sources, count(DISTINCT text_id) AS texts, count(*) FILTER (WHERE y > 0) AS nonzero, sum(y) AS mass, count(*) FILTER (WHERE exposure >= 10) AS eligible, count(DISTINCT (text_id, src_word)) FILTER (WHERE exposure >= 10) AS eligible_sources, sum(exposure) AS exposure FROM cells GROUP BY category"),
-    "exposure_audit": Query(lambda s, d: pairs.exposure_audit(_cells(s, d)), "category expected_mean* expected_median* nonzero_rate* mass* exposure_mean* exposure_median* risk_size_mean* risk_size_median*", SCORED + "\n=>\nSELECT category, avg(expected) AS expected_mean, median(expected) AS expected_median, avg((y > 0)::INT) AS nonzero_rate, sum(y) AS mass, avg(exposure) AS exposure_mean, median(exposure) AS exposure_median, avg(risk) AS risk_size_mean, median(risk) AS risk_size_median FROM cells GROUP BY category"),
-    "verified_filter": Query(verified_filter, "dropped_weight* dropped_events#", TR + "\n=>\nSELECT count(*) AS dropped_weight, count(*) AS dropped_events FROM tr WHERE src_word % 6 = 0 OR dst_word % 6 = 0"),
-    "candidate_sensitivity": Query(sensitivity, "text_id n# mass*", WORDS + ", w AS (SELECT text_id, max(word_index) + 1 AS w FROM words GROUP BY ALL)\n=>\nSELECT text_id, count(*) AS n, sum(y) AS mass FROM counted JOIN w USING (text_id) WHERE dst_word - src_word <= 3 AND dst_word < w - 2 AND abs(src_word % 3 - dst_word % 3) <= 1 GROUP BY ALL"),
-    "softmax_scores": Query(_scored, "text_id src_word# dst_word# count* probability*", SCORED + "\n=>\nSELECT text_id, src_word, dst_word, y AS count, p AS probability FROM scored"),
-    "residuals": Query(_cells, "text_id src_word# dst_word# exposure* risk_size# expected* residual* deviance* deviation* reliable category", SCORED + "\n=>\nSELECT text_id, src_word, dst_word, exposure, risk AS risk_size, expected, residual, deviance, deviation, reliable, category FROM cells"),
-    "nll_gradient": Query(nll_gradient, "nll* d_log1p_abs_distance* d_adjacent* d_target_log_length* d_target_relative_position*", SCORED + "\n=>\nSELECT sum(y * (-ln(p))) + 0.5 * (1.21 + 0.16 + 0.09 + 0.04) AS nll, -1.1 + sum(ld * (exposure * p - y)) AS d_log1p_abs_distance, 0.4 + sum(adjacent * (exposure * p - y)) AS d_adjacent, -0.3 + sum(log_length * (exposure * p - y)) AS d_target_log_length, 0.2 + sum(relative * (exposure * p - y)) AS d_target_relative_position FROM scored"),
-    "fit_one_feature": Query(fit_one_feature, "feature coefficient*", fit_one_feature_sql()),
-    "fit_large_one_feature": Query(fit_large_one_feature, "feature coefficient*", fit_one_feature_sql()),
-    "crossfit_residuals": Query(crossfit_cells, "text_id src_word# dst_word# count* probability* exposure* expected* residual* deviance* deviation* reliable"),
+    "candidate_audit": Query(
+        lambda s, d: pairs.candidate_audit(transitions.with_separation(_design(s, d))),
+        "category candidates# sources# texts# nonzero# mass* eligible# eligible_sources# exposure*",
+        SCORED + """
+=>
+SELECT category, count(*) AS candidates, count(DISTINCT (text_id, src_word)) AS sources, count(DISTINCT text_id) AS texts,
+       count(*) FILTER (WHERE y > 0) AS nonzero, sum(y) AS mass, count(*) FILTER (WHERE exposure >= 10) AS eligible,
+       count(DISTINCT (text_id, src_word)) FILTER (WHERE exposure >= 10) AS eligible_sources, sum(exposure) AS exposure
+FROM cells
+GROUP BY category""",
+    ),
+    "exposure_audit": Query(
+        lambda s, d: pairs.exposure_audit(_cells(s, d)),
+        "category expected_mean* expected_median* nonzero_rate* mass* exposure_mean* exposure_median* risk_size_mean* risk_size_median*",
+        SCORED + """
+=>
+SELECT category, avg(expected) AS expected_mean, median(expected) AS expected_median, avg((y > 0)::INT) AS nonzero_rate, sum(y) AS mass,
+       avg(exposure) AS exposure_mean, median(exposure) AS exposure_median, avg(risk) AS risk_size_mean, median(risk) AS risk_size_median
+FROM cells
+GROUP BY category""",
+    ),
+    "verified_filter": Query(
+        verified_filter,
+        "dropped_weight* dropped_events#",
+        TR + """
+=>
+SELECT count(*) AS dropped_weight, count(*) AS dropped_events
+FROM tr
+WHERE src_word % 6 = 0 OR dst_word % 6 = 0""",
+    ),
+    "candidate_sensitivity": Query(
+        sensitivity,
+        "text_id n# mass*",
+        WORDS + """, w AS (SELECT text_id, max(word_index) + 1 AS w
+FROM words
+GROUP BY ALL)
+=>
+SELECT text_id, count(*) AS n, sum(y) AS mass
+FROM counted JOIN w USING (text_id)
+WHERE dst_word - src_word <= 3 AND dst_word < w - 2 AND abs(src_word % 3 - dst_word % 3) <= 1
+GROUP BY ALL"""),
+    "softmax_scores": Query(
+        _scored,
+        "text_id src_word# dst_word# count* probability*",
+        SCORED + "\n=>\nSELECT text_id, src_word, dst_word, y AS count, p AS probability FROM scored",
+    ),
+    "residuals": Query(
+        _cells,
+        "text_id src_word# dst_word# exposure* risk_size# expected* residual* deviance* deviation* reliable category",
+        SCORED + """
+=>
+SELECT text_id, src_word, dst_word, exposure, risk AS risk_size, expected, residual, deviance, deviation, reliable, category
+FROM cells""",
+    ),
+    "nll_gradient": Query(
+        nll_gradient,
+        "nll* d_log1p_abs_distance* d_adjacent* d_target_log_length* d_target_relative_position*",
+        SCORED + """
+=>
+SELECT sum(y * (-ln(p))) + 0.5 * (1.21 + 0.16 + 0.09 + 0.04) AS nll, -1.1 + sum(ld * (exposure * p - y)) AS d_log1p_abs_distance,
+       0.4 + sum(adjacent * (exposure * p - y)) AS d_adjacent, -0.3 + sum(log_length * (exposure * p - y)) AS d_target_log_length,
+       0.2 + sum(relative * (exposure * p - y)) AS d_target_relative_position
+FROM scored""",
+    ),
+    "fit_one_feature": Query(
+        fit_one_feature,
+        "feature coefficient*",
+        FIT_SQL),
+    "fit_large_one_feature": Query(
+        fit_large_one_feature,
+        "feature coefficient*",
+        FIT_SQL),
+    "crossfit_one_feature": Query(
+        lambda s, d: model.crossfit_residuals(_design(s, d), ONE, _folds(s)),
+        "text_id src_word# dst_word# count* probability* exposure* expected* residual* reliable",
+        CROSSFIT + """
+=>
+SELECT text_id, src_word, dst_word, y AS count, p AS probability, exposure, expected, residual, reliable
+FROM bundle""",
+    ),
+    "crossfit_nll_one_feature": Query(
+        lambda s, d: model.crossfit_nll(_design(s, d), ONE, _folds(s)),
+        "nll* uniform_nll* texts#",
+        CROSSFIT
+        + """, by_text AS (SELECT text_id, sum(-y * ln(p)) / sum(y) AS nll, sum(y * ln(risk)) / sum(y) AS uniform_nll
+FROM bundle
+GROUP BY text_id
+HAVING sum(y) > 0)
+=>
+SELECT avg(nll) AS nll, avg(uniform_nll) AS uniform_nll, count(*) AS texts
+FROM by_text""",
+    ),
+    "fold_coefficients": Query(
+        lambda s, d: model.fold_fits(_design(s, d), ONE, _folds(s)),
+        "held# feature coefficient*",
+        CROSSFIT + "\n=>\nSELECT k AS held, 'log1p_abs_distance' AS feature, b AS coefficient FROM fits",
+    ),
+    "coefficient_variability": Query(
+        fold_spread,
+        "feature fits# sd* minimum* maximum*",
+        CROSSFIT + """
+=>
+SELECT 'log1p_abs_distance' AS feature, count(*) AS fits, stddev_samp(b) AS sd, min(b) AS minimum, max(b) AS maximum
+FROM fits""",
+    ),
+    "half_fits_one_feature": Query(
+        one_feature_halves,
+        "draw# half# text_id src_word# dst_word# count* probability* residual* reliable",
+        HALF_FITS + """
+=>
+SELECT draw, half, text_id, src_word, dst_word, y AS count, p AS probability, residual, reliable
+FROM bundle""",
+    ),
+    "split_targets_one_feature": Query(
+        lambda s, d: model.split_targets(_design(s, d), ONE, [f"T:{i}" for i in range(6)]).where("reliable"),
+        "text_id src_word# dst_word# residual* target*",
+        SPLIT_TARGETS
+        + """
+=>
+SELECT text_id, src_word, dst_word, residual, CAST(greatest(least((residual - c) / greatest(1.4826 * m, 1e-8), 5), -5) AS FLOAT) AS target
+FROM bundle, mid, dev WHERE reliable""",
+    ),
+    "transported_one_feature": Query(
+        lambda s, d: _transported(s, d, ONE),
+        "direction nll* uniform_nll* texts#",
+        TRANSPORT
+        + """
+=>
+SELECT CASE WHEN fitted = scored THEN 'within_' || fitted ELSE fitted || '_to_' || scored END AS direction,
+       avg(nll) AS nll, avg(uniform_nll) AS uniform_nll, count(*) AS texts
+FROM by_text GROUP BY 1""",
+    ),
+    "crossfit_residuals": Query(
+        crossfit_cells,
+        "text_id src_word# dst_word# count* probability* exposure* expected* residual* deviance* deviation* reliable",
+    ),
     "crossfit_score": Query(crossfit_score, "events* nll* uniform_nll* gain* mean_nll*"),
     "specification_identity": Query(specification_identity, "spec_a spec_b texts# median* q25* q75* n_edges# pooled*"),
-    "text_nll": Query(lambda s, d: model.text_nll(_scored(s, d)), "text_id events* nll* uniform_nll*", SCORED + "\n=>\nSELECT text_id, sum(y) AS events, CASE WHEN sum(y) > 0 THEN sum(-y * ln(greatest(p, 1e-300))) / sum(y) END AS nll, CASE WHEN sum(y) > 0 THEN sum(y * ln(risk)) / sum(y) END AS uniform_nll FROM scored GROUP BY text_id"),
-    "predictive_score": Query(lambda s, d: model.predictive_score(_scored(s, d)), "events* nll* uniform_nll* gain* mean_nll*", SCORED + "\n=>\nSELECT sum(y) AS events, sum(-y * ln(p)) AS nll, sum(y * ln(risk)) AS uniform_nll, sum(y * ln(risk)) - sum(-y * ln(p)) AS gain, sum(-y * ln(p)) / sum(y) AS mean_nll FROM scored"),
-    "robust_targets": Query(robust_scale, "text_id src_word# dst_word# target*", SCORED + ", c AS (SELECT quantile_cont(residual, 0.5) AS c FROM cells WHERE reliable), m AS (SELECT quantile_cont(abs(residual - c), 0.5) AS m FROM cells, c WHERE reliable)\n=>\nSELECT text_id, src_word, dst_word, CAST(greatest(least((residual - c) / greatest(1.4826 * m, 1e-8), 5), -5) AS FLOAT) AS target FROM cells, c, m WHERE reliable"),
+    "text_nll": Query(
+        lambda s, d: model.text_nll(_scored(s, d)),
+        "text_id events* nll* uniform_nll*",
+        SCORED + """
+=>
+SELECT text_id, sum(y) AS events, CASE WHEN sum(y) > 0 THEN sum(-y * ln(greatest(p, 1e-300))) / sum(y) END AS nll, CASE
+       WHEN sum(y) > 0 THEN sum(y * ln(risk)) / sum(y) END AS uniform_nll
+FROM scored
+GROUP BY text_id""",
+    ),
+    "predictive_score": Query(
+        lambda s, d: model.predictive_score(_scored(s, d)),
+        "events* nll* uniform_nll* gain* mean_nll*",
+        SCORED + """
+=>
+SELECT sum(y) AS events, sum(-y * ln(p)) AS nll, sum(y * ln(risk)) AS uniform_nll, sum(y * ln(risk)) - sum(-y * ln(p)) AS gain,
+       sum(-y * ln(p)) / sum(y) AS mean_nll
+FROM scored""",
+    ),
+    "robust_targets": Query(
+        robust_scale,
+        "text_id src_word# dst_word# target*",
+        SCORED + """, c AS (SELECT quantile_cont(residual, 0.5) AS c
+FROM cells
+WHERE reliable
+), m AS (
+SELECT quantile_cont(abs(residual - c), 0.5) AS m
+FROM cells, c
+WHERE reliable)
+=>
+SELECT text_id, src_word, dst_word, CAST(greatest(least((residual - c) / greatest(1.4826 * m, 1e-8), 5), -5) AS FLOAT) AS target
+FROM cells, c, m
+WHERE reliable"""),
     "leave_text_out_targets": Query(leave_text_out_targets, "text_id src_word# dst_word# residual* target* reliable"),
-    "edge_correlation": Query(lambda s, d: metrics.correlation(_met(s, d), ["text_id"]), "text_id n# r*", HALVES + "\n=>\n" + corr_sql("met", "text_id")),
-    "source_equal": Query(lambda s, d: metrics.source_equal(_met(s, d), ["text_id"]), "text_id n_edges# edge_weighted* source_weighted* n_sources# defined_sources# fisher_equal*", HALVES + ", sized AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY text_id, src_word) AS w FROM met), e AS (" + corr_sql("met", "text_id") + "), q AS (" + corr_sql("sized", "text_id", w="w") + "), f AS (" + corr_sql("met", "text_id, src_word") + ")\n=>\nSELECT e.text_id, e.n AS n_edges, e.r AS edge_weighted, q.r AS source_weighted, count(*) AS n_sources, count(f.r) AS defined_sources, tanh(avg(atanh(greatest(least(f.r, 1 - 1e-7), 1e-7 - 1)))) AS fisher_equal FROM e JOIN q USING (text_id) JOIN f USING (text_id) GROUP BY ALL"),
-    "paired_summary": Query(lambda s, d: metrics.paired_metrics(_met(s, d)).where("metric = 'edge_weighted'"), "metric valid# undefined# undefined_share* negative_share* median* q25* q75*", HALVES + ", e AS (" + corr_sql("met", "text_id") + ")\n=>\nSELECT 'edge_weighted' AS metric, count(r) AS valid, count(*) - count(r) AS undefined, avg((r IS NULL)::INT) AS undefined_share, avg((r < 0)::INT) AS negative_share, quantile_cont(r, 0.5) AS median, quantile_cont(r, 0.25) AS q25, quantile_cont(r, 0.75) AS q75 FROM e"),
-    "category_reliability": Query(lambda s, d: metrics.paired_metrics(transitions.with_separation(_met(s, d)), ["category"]).where("metric = 'edge_weighted'"), "category valid# undefined# median*", HALVES + ", k AS (SELECT *, CASE WHEN dst_word - src_word = 1 THEN 'adjacent' WHEN dst_word - src_word <= 3 THEN 'near_skip' ELSE 'far_same_line' END AS category FROM met), e AS (" + corr_sql("k", "category, text_id") + ")\n=>\nSELECT category, count(r) AS valid, count(*) - count(r) AS undefined, quantile_cont(r, 0.5) AS median FROM e GROUP BY category"),
-    "residual_distribution": Query(lambda s, d: metrics.distribution(_cells(s, d), ["category"], "residual"), "category n# median* q25* q75* minimum* maximum* undefined# negative_share*", SCORED + "\n=>\nSELECT category, count(residual) AS n, quantile_cont(residual, 0.5) AS median, quantile_cont(residual, 0.25) AS q25, quantile_cont(residual, 0.75) AS q75, min(residual) AS minimum, max(residual) AS maximum, count(*) - count(residual) AS undefined, avg((residual < 0)::INT) AS negative_share FROM cells GROUP BY category"),
-    "residual_summary": Query(lambda s, d: metrics.residual_summary(_cells(s, d)), "category n# texts# variance* q01* q50* q99*", SCORED + "\n=>\nSELECT category, count(residual) AS n, count(DISTINCT text_id) AS texts, var_pop(residual) AS variance, quantile_cont(residual, 0.01) AS q01, quantile_cont(residual, 0.5) AS q50, quantile_cont(residual, 0.99) AS q99 FROM cells WHERE reliable GROUP BY category"),
-    "full_diagnostics": Query(lambda s, d: metrics.full_diagnostics(_cells(s, d)).where("stratification in ('all', 'exposure')"), "kind stratification stratum n# mean* sd* q05* q50* q95* beyond_2* beyond_3*", SCORED + ", u AS (SELECT unnest(['pearson', 'deviance', 'raw']) AS kind, unnest([residual, deviance, deviation]) AS v, exposure FROM cells WHERE reliable), t AS (SELECT kind, v, 'all' AS stratification, 'all' AS stratum FROM u UNION ALL SELECT kind, v, 'exposure', CASE WHEN exposure < 5 THEN '[0,5)' WHEN exposure < 10 THEN '[5,10)' WHEN exposure < 20 THEN '[10,20)' WHEN exposure < 50 THEN '[20,50)' ELSE '[50,inf)' END FROM u)\n=>\nSELECT kind, stratification, stratum, count(v) AS n, avg(v) AS mean, stddev_pop(v) AS sd, quantile_cont(v, 0.05) AS q05, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.95) AS q95, avg((abs(v) > 2)::INT) AS beyond_2, avg((abs(v) > 3)::INT) AS beyond_3 FROM t WHERE v IS NOT NULL GROUP BY ALL"),
-    "stratified_rows": Query(lambda s, d: metrics.stratified_rows(_cells(s, d)).where("stratification in ('all', 'expected')"), "stratification stratum n# residual_variance* deviation_variance* mean_probability* mean_expected*", SCORED + ", t AS (SELECT *, 'all' AS stratification, 'all' AS stratum FROM cells WHERE reliable UNION ALL SELECT *, 'expected', CASE WHEN expected < 1 THEN '[0,1)' WHEN expected < 2 THEN '[1,2)' WHEN expected < 5 THEN '[2,5)' WHEN expected < 10 THEN '[5,10)' ELSE '[10,inf)' END FROM cells WHERE reliable)\n=>\nSELECT stratification, stratum, count(*) AS n, var_pop(residual) AS residual_variance, var_pop(deviation) AS deviation_variance, avg(p) AS mean_probability, avg(expected) AS mean_expected FROM t GROUP BY ALL"),
-    "text_residual_audit": Query(lambda s, d: metrics.text_residual_audit(_cells(s, d)), "text_id mean* variance* beyond_2* mean_square* mean_exposure*", SCORED + "\n=>\nSELECT text_id, avg(residual) AS mean, CASE WHEN count(residual) > 1 THEN var_samp(residual) END AS variance, avg((abs(residual) > 2)::INT) AS beyond_2, avg(residual * residual) AS mean_square, avg(exposure) AS mean_exposure FROM cells WHERE residual IS NOT NULL GROUP BY text_id"),
-    "exposure_thresholds": Query(lambda s, d: thresholds_table(s, d).where("metric = 'edge_weighted'"), "threshold# valid# median*", HALVES.replace("AND a.total >= 5 AND b.total >= 5", "") + ", k AS (SELECT t AS threshold, met.* FROM met, (VALUES (1), (3), (5), (10)) v(t) WHERE exposure >= t), e AS (" + corr_sql("k", "threshold, text_id") + ")\n=>\nSELECT threshold, count(r) AS valid, quantile_cont(r, 0.5) AS median FROM e GROUP BY threshold"),
-    "split_half": Query(numeric_splits, "text_id draws# valid# median*", TR + ", h AS (SELECT draw, (CAST(subject_id AS BIGINT) // (2 ** draw)::BIGINT) % 2 AS half, text_id, src_word, dst_word, sum(n) AS c FROM edges, range(3) t(draw) GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY draw, half, text_id, src_word) AS p FROM h), w AS (SELECT text_id, max(greatest(src_word, dst_word)) + 1 AS w FROM tr GROUP BY ALL), ok AS (SELECT draw, text_id, src_word FROM p GROUP BY ALL HAVING count(DISTINCT half) = 2), grid AS (SELECT ok.*, unnest(range(w)) AS dst_word FROM ok JOIN w USING (text_id)), v AS (SELECT g.draw, g.text_id, coalesce(max(p) FILTER (WHERE half = 0), 0) AS x, coalesce(max(p) FILTER (WHERE half = 1), 0) AS y FROM grid g LEFT JOIN p USING (draw, text_id, src_word, dst_word) GROUP BY g.draw, g.text_id, g.src_word, g.dst_word), e AS (" + corr_sql("v", "draw, text_id") + ")\n=>\nSELECT text_id, 3 AS draws, count(r) AS valid, quantile_cont(r, 0.5) AS median FROM e GROUP BY text_id"),
-    "hashed_split_half": Query(hashed_split_half, "text_id draws# valid# median*", TR + ", subj AS (SELECT DISTINCT text_id, subject_id FROM tr), dr AS (SELECT text_id, subject_id, draw, CASE WHEN row_number() OVER (PARTITION BY text_id, draw ORDER BY md5('20260711:' || draw || ':' || text_id || ':' || subject_id), subject_id) <= count(*) OVER (PARTITION BY text_id, draw) // 2 THEN 0 ELSE 1 END AS half FROM subj, range(4) t(draw)), h AS (SELECT draw, half, text_id, src_word, dst_word, sum(n) AS c FROM edges JOIN dr USING (text_id, subject_id) GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY draw, half, text_id, src_word) AS p FROM h), w AS (SELECT text_id, max(greatest(src_word, dst_word)) + 1 AS w FROM tr GROUP BY ALL), ok AS (SELECT draw, text_id, src_word FROM p GROUP BY ALL HAVING count(DISTINCT half) = 2), grid AS (SELECT ok.*, unnest(range(w)) AS dst_word FROM ok JOIN w USING (text_id)), v AS (SELECT g.draw, g.text_id, coalesce(max(p) FILTER (WHERE half = 0), 0) AS x, coalesce(max(p) FILTER (WHERE half = 1), 0) AS y FROM grid g LEFT JOIN p USING (draw, text_id, src_word, dst_word) GROUP BY g.draw, g.text_id, g.src_word, g.dst_word), e AS (" + corr_sql("v", "draw, text_id") + ")\n=>\nSELECT text_id, 4 AS draws, count(r) AS valid, quantile_cont(r, 0.5) AS median FROM e GROUP BY text_id"),
+    "edge_correlation": Query(
+        lambda s, d: metrics.correlation(_met(s, d), ["text_id"]),
+        "text_id n# r*",
+        HALVES + "\n=>\n" + corr_sql("met", "text_id"),
+    ),
+    "source_equal": Query(
+        lambda s, d: metrics.source_equal(_met(s, d), ["text_id"]),
+        "text_id n_edges# edge_weighted* source_weighted* n_sources# defined_sources# fisher_equal*",
+        HALVES
+        + ", sized AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY text_id, src_word) AS w FROM met), e AS ("
+        + corr_sql("met", "text_id")
+        + "), q AS ("
+        + corr_sql("sized", "text_id", w="w")
+        + "), f AS ("
+        + corr_sql("met", "text_id, src_word")
+        + """)
+=>
+SELECT e.text_id, e.n AS n_edges, e.r AS edge_weighted, q.r AS source_weighted, count(*) AS n_sources, count(f.r) AS defined_sources,
+       tanh(avg(CASE WHEN f.r IS NOT NULL THEN atanh(greatest(least(f.r, 1 - 1e-7), 1e-7 - 1)) END)) AS fisher_equal
+FROM e JOIN q USING (text_id) JOIN f USING (text_id)
+GROUP BY ALL""",
+    ),
+    "paired_summary": Query(
+        lambda s, d: metrics.paired_metrics(_met(s, d)),
+        "metric valid# undefined# undefined_share* negative_share* median* q25* q75*",
+        HALVES
+        + metric_sql("met", "")
+        + """
+=>
+SELECT metric, count(r) AS valid, count(*) - count(r) AS undefined, avg((r IS NULL)::INT) AS undefined_share, avg((r < 0)::INT) AS negative_share,
+       quantile_cont(r, 0.5) AS median, quantile_cont(r, 0.25) AS q25, quantile_cont(r, 0.75) AS q75
+FROM by_metric GROUP BY metric""",
+    ),
+    "category_reliability": Query(
+        lambda s, d: metrics.paired_metrics(transitions.with_separation(_met(s, d)), ["category"]),
+        "category metric valid# undefined# median*",
+        HALVES
+        + """, named AS (
+        SELECT *, CASE WHEN dst_word - src_word = 1 THEN 'adjacent' WHEN dst_word - src_word <= 3 THEN 'near_skip'
+        ELSE 'far_same_line' END AS category
+FROM met
+    )"""
+        + metric_sql("named", "category, ")
+        + """
+=>
+SELECT category, metric, count(r) AS valid, count(*) - count(r) AS undefined, quantile_cont(r, 0.5) AS median FROM by_metric GROUP BY ALL""",
+    ),
+    "spearman_brown": Query(
+        lambda s, d: metrics.correlation(_met(s, d), ["text_id"]).select(
+            "text_id", E.spearman_brown(F.col("r")).alias("doubled"), E.attenuation_ceiling(E.spearman_brown(F.col("r"))).alias("ceiling")
+        ),
+        "text_id doubled* ceiling*",
+        HALVES
+        + ", e AS ("
+        + corr_sql("met", "text_id")
+        + """), f AS (SELECT text_id, CASE WHEN r = -1 THEN -1 WHEN r IS NOT NULL THEN greatest(-1, least(1, 2 * r / (1 + r))) END AS doubled FROM e)
+=>
+SELECT text_id, doubled, CASE WHEN doubled IS NOT NULL THEN sqrt(greatest(0, doubled)) END AS ceiling FROM f""",
+    ),
+    "residual_distribution": Query(
+        lambda s, d: metrics.distribution(_cells(s, d), ["category"], "residual"),
+        "category n# median* q25* q75* minimum* maximum* undefined# negative_share*",
+        SCORED + """
+=>
+SELECT category, count(residual) AS n, quantile_cont(residual, 0.5) AS median, quantile_cont(residual, 0.25) AS q25, quantile_cont(residual,
+       0.75) AS q75, min(residual) AS minimum, max(residual) AS maximum, count(*) - count(residual) AS undefined,
+       avg((residual < 0)::INT) AS negative_share
+FROM cells
+GROUP BY category""",
+    ),
+    "residual_summary": Query(
+        lambda s, d: metrics.residual_summary(_cells(s, d)),
+        "category n# texts# variance* q01* q05* q25* q50* q75* q95* q99*",
+        SCORED
+        + """
+=>
+SELECT category, count(residual) AS n, count(DISTINCT text_id) AS texts, var_pop(residual) AS variance,
+       quantile_cont(residual, 0.01) AS q01, quantile_cont(residual, 0.05) AS q05, quantile_cont(residual, 0.25) AS q25,
+       quantile_cont(residual, 0.5) AS q50, quantile_cont(residual, 0.75) AS q75, quantile_cont(residual, 0.95) AS q95,
+       quantile_cont(residual, 0.99) AS q99
+FROM cells WHERE reliable GROUP BY category""",
+    ),
+    "full_diagnostics": Query(
+        lambda s, d: metrics.full_diagnostics(_cells(s, d)),
+        "kind stratification stratum n# mean* sd* q00* q01* q05* q25* q50* q75* q95* q99* q100* beyond_2* beyond_3*",
+        SCORED
+        + """, u AS (
+        SELECT unnest(['pearson', 'deviance', 'raw']) AS kind, unnest([residual, deviance, deviation]) AS v, p, expected, exposure, risk
+FROM cells
+WHERE reliable
+    
+), t AS (
+
+        SELECT kind, v, 'all' AS stratification, 'all' AS stratum
+FROM u
+UNION ALL SELECT kind, v, 'probability', CASE WHEN p < 0.05 THEN '0-0.05' WHEN p < 0.1 THEN '0.05-0.1' WHEN p < 0.25 THEN '0.1-0.25'
+                                                      WHEN p < 0.5 THEN '0.25-0.5' ELSE '>=0.5' END
+FROM u
+UNION ALL SELECT kind, v, 'expected', CASE WHEN expected < 0.5 THEN '0-0.5' WHEN expected < 1 THEN '0.5-1' WHEN expected < 5 THEN '1-5'
+       ELSE '>=5' END
+FROM u
+UNION ALL SELECT kind, v, 'exposure', CASE WHEN exposure < 5 THEN '0-5' WHEN exposure < 10 THEN '5-10' WHEN exposure < 25 THEN '10-25'
+       ELSE '>=25' END
+FROM u
+UNION ALL SELECT kind, v, 'risk_size', CASE WHEN risk < 2 THEN '0-2' WHEN risk < 4 THEN '2-4' WHEN risk < 8 THEN '4-8' ELSE '>=8' END
+FROM u
+    )
+=>
+SELECT kind, stratification, stratum, count(v) AS n, avg(v) AS mean, stddev_pop(v) AS sd, min(v) AS q00, quantile_cont(v, 0.01) AS q01,
+       quantile_cont(v, 0.05) AS q05, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75,
+       quantile_cont(v, 0.95) AS q95, quantile_cont(v, 0.99) AS q99, max(v) AS q100,
+       avg((abs(v) > 2)::INT) AS beyond_2, avg((abs(v) > 3)::INT) AS beyond_3
+FROM t
+WHERE v IS NOT NULL
+GROUP BY ALL""",
+    ),
+    "stratified_rows": Query(
+        lambda s, d: metrics.stratified_rows(_cells(s, d)),
+        "stratification stratum n# residual_variance* deviation_variance* mean_probability* mean_expected*",
+        SCORED
+        + """, t AS (
+        SELECT *, 'probability' AS stratification, CASE WHEN p < 0.05 THEN '0-0.05' WHEN p < 0.1 THEN '0.05-0.1' WHEN p < 0.2 THEN '0.1-0.2'
+                                                        WHEN p < 0.4 THEN '0.2-0.4' ELSE '>=0.4' END AS stratum FROM cells WHERE reliable
+        UNION ALL
+        SELECT *, 'expected', CASE WHEN expected < 0.5 THEN '0-0.5' WHEN expected < 1 THEN '0.5-1' WHEN expected < 2 THEN '1-2'
+                                   WHEN expected < 5 THEN '2-5' ELSE '>=5' END FROM cells WHERE reliable
+    )
+=>
+SELECT stratification, stratum, count(*) AS n, var_pop(residual) AS residual_variance, var_pop(deviation) AS deviation_variance,
+       avg(p) AS mean_probability, avg(expected) AS mean_expected
+FROM t GROUP BY ALL""",
+    ),
+    "text_residual_audit": Query(
+        lambda s, d: metrics.text_residual_audit(_cells(s, d)),
+        "text_id mean* variance* beyond_2* mean_square* mean_exposure*",
+        SCORED + """
+=>
+SELECT text_id, avg(residual) AS mean, CASE WHEN count(residual) > 1 THEN var_samp(residual) END AS variance,
+       avg((abs(residual) > 2)::INT) AS beyond_2, avg(residual * residual) AS mean_square, avg(exposure) AS mean_exposure
+FROM cells
+WHERE residual IS NOT NULL
+GROUP BY text_id""",
+    ),
+    "exposure_thresholds": Query(
+        thresholds_table,
+        "threshold# metric valid# median*",
+        HALVES.replace("AND a.total >= 5 AND b.total >= 5", "")
+        + """, k AS (SELECT t AS threshold, met.*
+FROM met, (VALUES (1), (3), (5), (10)) v(t)
+WHERE exposure >= t)"""
+        + metric_sql("k", "threshold, ")
+        + """
+=>
+SELECT threshold, metric, count(r) AS valid, quantile_cont(r, 0.5) AS median FROM by_metric GROUP BY ALL""",
+    ),
+    "split_half": Query(
+        numeric_splits,
+        "text_id draws# valid# median*",
+        TR + """, h AS (SELECT draw, (CAST(subject_id AS BIGINT) // (2 ** draw)::BIGINT) % 2 AS half, text_id, src_word, dst_word, sum(n) AS c
+FROM edges, range(3) t(draw)
+GROUP BY ALL
+), p AS (
+SELECT *, c / sum(c) OVER (PARTITION BY draw, half, text_id, src_word) AS p
+FROM h
+), w AS (
+SELECT text_id, max(greatest(src_word, dst_word)) + 1 AS w
+FROM tr
+GROUP BY ALL
+), ok AS (
+SELECT draw, text_id, src_word
+FROM p
+GROUP BY ALL
+HAVING count(DISTINCT half) = 2
+), grid AS (
+SELECT ok.*, unnest(range(w)) AS dst_word
+FROM ok JOIN w USING (text_id)
+), v AS (
+SELECT g.draw, g.text_id, coalesce(max(p) FILTER (WHERE half = 0), 0) AS x, coalesce(max(p) FILTER (WHERE half = 1), 0) AS y
+FROM grid g
+LEFT JOIN p USING (draw, text_id, src_word, dst_word)
+GROUP BY g.draw, g.text_id, g.src_word, g.dst_word), e AS (""" + corr_sql("v", "draw, text_id") + """)
+=>
+SELECT text_id, 3 AS draws, count(r) AS valid, quantile_cont(r, 0.5) AS median
+FROM e
+GROUP BY text_id"""),
+    "hashed_split_half": Query(
+        hashed_split_half,
+        "text_id draws# valid# median*",
+        TR + """, subj AS (SELECT DISTINCT text_id, subject_id
+FROM tr
+), dr AS (
+SELECT text_id, subject_id, draw, CASE WHEN row_number() OVER (PARTITION BY text_id, draw
+ORDER BY md5('20260711:' || draw || ':' || text_id || ':' || subject_id), subject_id) <= count(*) OVER (PARTITION BY text_id,
+       draw) // 2 THEN 0 ELSE 1 END AS half
+FROM subj, range(4) t(draw)
+), h AS (
+SELECT draw, half, text_id, src_word, dst_word, sum(n) AS c
+FROM edges JOIN dr USING (text_id, subject_id)
+GROUP BY ALL
+), p AS (
+SELECT *, c / sum(c) OVER (PARTITION BY draw, half, text_id, src_word) AS p
+FROM h
+), w AS (
+SELECT text_id, max(greatest(src_word, dst_word)) + 1 AS w
+FROM tr
+GROUP BY ALL
+), ok AS (
+SELECT draw, text_id, src_word
+FROM p
+GROUP BY ALL
+HAVING count(DISTINCT half) = 2
+), grid AS (
+SELECT ok.*, unnest(range(w)) AS dst_word
+FROM ok JOIN w USING (text_id)
+), v AS (
+SELECT g.draw, g.text_id, coalesce(max(p) FILTER (WHERE half = 0), 0) AS x, coalesce(max(p) FILTER (WHERE half = 1), 0) AS y
+FROM grid g
+LEFT JOIN p USING (draw, text_id, src_word, dst_word)
+GROUP BY g.draw, g.text_id, g.src_word, g.dst_word), e AS (""" + corr_sql("v", "draw, text_id") + """)
+=>
+SELECT text_id, 4 AS draws, count(r) AS valid, quantile_cont(r, 0.5) AS median
+FROM e
+GROUP BY text_id"""),
     "seeded_split_half": Query(seeded_split_half, "text_id draws# valid# median* half_0* half_1*"),
     "split_half_specification": Query(split_half_draws, "draw# metric valid# undefined# median*"),
     "shared_nuisance": Query(shared_nuisance, "metric valid# undefined# median* q25* q75*"),
-    "permuted_control": Query(permuted_control, "text_id src_word# total* squares* largest*", WORDS + "\n=>\nSELECT text_id, src_word, sum(y) AS total, sum(y * y) AS squares, max(y) AS largest FROM counted GROUP BY ALL"),
-    "thinning_probabilities": Query(thinning, "subject_id category mass* keep*", WORDS + ", c AS (SELECT subject_id, CASE WHEN dst_word - src_word = 1 THEN 'adjacent' WHEN dst_word - src_word <= 3 THEN 'near_skip' ELSE 'far_same_line' END AS category, sum(n) AS mass FROM edges JOIN line_pairs USING (text_id, src_word, dst_word) GROUP BY ALL)\n=>\nSELECT subject_id, category, mass, CASE WHEN category = 'far_same_line' THEN 1 ELSE least(1, coalesce(max(mass) FILTER (WHERE category = 'far_same_line') OVER (PARTITION BY subject_id), 0) / mass) END AS keep FROM c"),
+    "permuted_control": Query(
+        permuted_control,
+        "text_id src_word# dst_word# count*",
+        WORDS
+        + """, drawn AS (
+        SELECT *, row_number() OVER (PARTITION BY text_id, src_word
+ORDER BY dst_word) AS place,
+               row_number() OVER (PARTITION BY text_id, src_word
+ORDER BY md5('20260711:' || text_id || ':' || src_word || ':' || dst_word), dst_word) AS chance
+FROM counted
+    )
+=>
+SELECT a.text_id, a.src_word, a.dst_word, b.y AS count
+FROM drawn a JOIN drawn b ON a.text_id = b.text_id AND a.src_word = b.src_word AND a.place = b.chance""",
+    ),
+    "thinning_probabilities": Query(
+        thinning,
+        "subject_id category mass* keep*",
+        WORDS + """, c AS (SELECT subject_id, CASE WHEN dst_word - src_word = 1 THEN 'adjacent' WHEN dst_word - src_word <= 3 THEN 'near_skip'
+       ELSE 'far_same_line' END AS category, sum(n) AS mass
+FROM edges JOIN line_pairs USING (text_id, src_word, dst_word)
+GROUP BY ALL)
+=>
+SELECT subject_id, category, mass, CASE WHEN category = 'far_same_line' THEN 1 ELSE least(1,
+       coalesce(max(mass) FILTER (WHERE category = 'far_same_line') OVER (PARTITION BY subject_id), 0) / mass) END AS keep
+FROM c"""),
     "thinned_mass": Query(thinned_mass, "category mass* edges#"),
-    "leave_one_out_means": Query(lambda s, d: compare.leave_one_out_means(_contrast(s, d), [], "difference"), "text_id difference* loo_mean*", CONTRAST + "\n=>\nSELECT text_id, difference, CASE WHEN count(*) OVER () > 1 THEN (sum(difference) OVER () - difference) / (count(*) OVER () - 1) END AS loo_mean FROM contrast"),
-    "jackknife": Query(lambda s, d: compare.jackknife_interval(compare.text_contrasts(runs_table(s, d), "gaze", ["mlm", "shuffled"]), ["other"], "nll_difference"), "other n# mean* se* low* high*", RUNS + ", b AS (SELECT condition, text_id, avg(mlm_nll) AS nll FROM runs GROUP BY ALL), d AS (SELECT b.condition AS other, a.nll - b.nll AS x FROM b JOIN b a ON a.text_id = b.text_id AND a.condition = 'gaze' WHERE b.condition IN ('mlm', 'shuffled')), l AS (SELECT *, (sum(x) OVER g - x) / (count(*) OVER g - 1) AS loo FROM d WINDOW g AS (PARTITION BY other)), j AS (SELECT other, count(*) AS n, avg(x) AS mean, sqrt((count(*) - 1) * var_pop(loo)) AS se FROM l GROUP BY other)\n=>\nSELECT *, mean - 1.959963984540054 * se AS low, mean + 1.959963984540054 * se AS high FROM j"),
-    "median_hierarchy": Query(lambda s, d: compare.median_hierarchy(_repeats(s, d), []), "median* repeats#", REPEATS + "\n=>\nSELECT quantile_cont(m, 0.5) AS median, count(m) AS repeats FROM (SELECT repeat, quantile_cont(metric, 0.5) AS m FROM repeats GROUP BY repeat)"),
-    "leave_one_text_out": Query(lambda s, d: compare.leave_one_text_out(_repeats(s, d)), "deleted median* repeats#", REPEATS + "\n=>\nSELECT deleted, quantile_cont(m, 0.5) AS median, count(m) AS repeats FROM (SELECT t.text_id AS deleted, repeat, quantile_cont(metric, 0.5) AS m FROM repeats r JOIN (SELECT DISTINCT text_id FROM repeats) t ON r.text_id <> t.text_id GROUP BY ALL) GROUP BY deleted"),
-    "most_influential": Query(influential, "deleted median* change* sign_reversed", REPEATS + ", f AS (SELECT quantile_cont(m, 0.5) AS f FROM (SELECT repeat, quantile_cont(metric, 0.5) AS m FROM repeats GROUP BY repeat)), l AS (SELECT deleted, quantile_cont(m, 0.5) AS median FROM (SELECT t.text_id AS deleted, repeat, quantile_cont(metric, 0.5) AS m FROM repeats r JOIN (SELECT DISTINCT text_id FROM repeats) t ON r.text_id <> t.text_id GROUP BY ALL) GROUP BY deleted)\n=>\nSELECT deleted, median, median - f AS change, sign(median) <> sign(f) AS sign_reversed FROM l, f ORDER BY abs(median - f) DESC, CAST(split_part(deleted, ':', 2) AS INT) LIMIT 1"),
-    "paired_contrast": Query(_contrast, "text_id seeds# min_edges# difference* raw_difference*", CONTRAST + "\n=>\nSELECT text_id, seeds, min_edges, difference, raw_difference FROM contrast"),
-    "edge_thresholds": Query(lambda s, d: compare.edge_thresholds(_contrast(s, d), [4, 10, 20, 30]), "threshold# texts# mean* largest* largest_share*", CONTRAST + ", k AS (SELECT t AS threshold, contrast.*, abs(difference) / sum(abs(difference)) OVER (PARTITION BY t) AS share FROM contrast, (VALUES (4), (10), (20), (30)) v(t) WHERE min_edges >= t)\n=>\nSELECT threshold, count(*) AS texts, avg(difference) AS mean, max(abs(difference)) AS largest, max(share) AS largest_share FROM k GROUP BY threshold"),
-    "correlation_extremes": Query(lambda s, d: compare.correlation_extremes(runs_table(s, d), [4, 10, 20, 30]), "threshold# cells# max_r* max_z* near_perfect#", RUNS + "\n=>\nSELECT t AS threshold, count(*) AS cells, max(abs(correlation)) AS max_r, max(abs(atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)))) AS max_z, count(*) FILTER (WHERE abs(correlation) >= 0.99) AS near_perfect FROM runs, (VALUES (4), (10), (20), (30)) v(t) WHERE correlation IS NOT NULL AND n_edges >= t GROUP BY t"),
-    "edge_strata": Query(lambda s, d: compare.edge_strata(_contrast(s, d)), "stratum texts# mean*", CONTRAST + "\n=>\nSELECT CASE WHEN min_edges <= 9 THEN '4-9' WHEN min_edges <= 19 THEN '10-19' WHEN min_edges <= 29 THEN '20-29' ELSE '30+' END AS stratum, count(*) AS texts, avg(difference) AS mean FROM contrast GROUP BY 1"),
-    "condition_summary": Query(lambda s, d: compare.condition_summary(runs_table(s, d)), "condition macro_r* defined# mean_nll* token_nll* edges_per_seed*", RUNS + "\n=>\nSELECT condition, tanh(avg(atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)))) AS macro_r, count(correlation) AS defined, avg(mlm_nll) AS mean_nll, sum(mlm_nll * mlm_tokens) / sum(mlm_tokens) AS token_nll, sum(n_edges) / count(DISTINCT seed) AS edges_per_seed FROM runs GROUP BY condition"),
-    "text_contrasts": Query(lambda s, d: compare.text_contrasts(runs_table(s, d), "gaze", ["mlm", "shuffled", "position"]), "other text_id z_difference* nll_difference*", RUNS + ", b AS (SELECT condition, text_id, avg(atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1))) AS z, avg(mlm_nll) AS nll FROM runs GROUP BY ALL)\n=>\nSELECT b.condition AS other, b.text_id, a.z - b.z AS z_difference, a.nll - b.nll AS nll_difference FROM b JOIN b a ON a.text_id = b.text_id AND a.condition = 'gaze' WHERE b.condition <> 'gaze'"),
-    "learning_curve": Query(lambda s, d: compare.learning_curve(runs_table(s, d).withColumn("steps", F.col("seed") * 50)), "steps# condition macro_r* mean_nll* cells#", RUNS + "\n=>\nSELECT seed * 50 AS steps, condition, tanh(avg(atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)))) AS macro_r, avg(mlm_nll) AS mean_nll, count(*) AS cells FROM runs GROUP BY ALL"),
-    "bootstrap_mean": Query(bootstrap_mean, "draws# mean* low* high*", CONTRAST + ", o AS (SELECT difference, row_number() OVER (ORDER BY CAST(split_part(text_id, ':', 2) AS INT)) - 1 AS pos, count(*) OVER () AS n FROM contrast), d AS (SELECT draw, ((draw * 997 + i) * 48271 + 11) % 2147483647 % n AS pick FROM range(200) a(draw), (SELECT pos AS i, n FROM o)), m AS (SELECT draw, avg(difference) AS m FROM d JOIN o ON o.pos = d.pick GROUP BY draw)\n=>\nSELECT count(*) AS draws, avg(m) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m"),
+    "leave_one_out_means": Query(
+        lambda s, d: compare.leave_one_out_means(_contrast(s, d), [], "difference"),
+        "text_id difference* loo_mean*",
+        CONTRAST + """
+=>
+SELECT text_id, difference, CASE WHEN count(*) OVER () > 1 THEN (sum(difference) OVER () - difference) / (count(*) OVER () - 1) END AS loo_mean
+FROM contrast""",
+    ),
+    "jackknife": Query(lambda s, d: compare.jackknife_interval(
+        compare.text_contrasts(runs_table(s, d), "gaze", ["mlm", "shuffled"]),
+        ["other"],
+        "nll_difference",
+    ), "other n# mean* se* low* high*", RUNS + """, b AS (SELECT condition, text_id, avg(mlm_nll) AS nll
+FROM runs
+GROUP BY ALL
+), d AS (
+SELECT b.condition AS other, a.nll - b.nll AS x
+FROM b JOIN b a ON a.text_id = b.text_id AND a.condition = 'gaze'
+WHERE b.condition IN ('mlm', 'shuffled')
+), l AS (
+SELECT *, (sum(x) OVER g - x) / (count(*) OVER g - 1) AS loo
+FROM d
+WINDOW g AS (PARTITION BY other)
+), j AS (
+SELECT other, count(*) AS n, avg(x) AS mean, sqrt((count(*) - 1) * var_pop(loo)) AS se
+FROM l
+GROUP BY other)
+=>
+SELECT *, mean - 1.959963984540054 * se AS low, mean + 1.959963984540054 * se AS high
+FROM j"""),
+    "median_hierarchy": Query(
+        lambda s, d: compare.median_hierarchy(_repeats(s, d), []),
+        "median* repeats#",
+        REPEATS + """
+=>
+SELECT quantile_cont(m, 0.5) AS median, count(m) AS repeats
+FROM (SELECT repeat, quantile_cont(metric, 0.5) AS m
+FROM repeats
+GROUP BY repeat)"""),
+    "leave_one_text_out": Query(
+        lambda s, d: compare.leave_one_text_out(_repeats(s, d)),
+        "deleted median* repeats#",
+        REPEATS + """
+=>
+SELECT deleted, quantile_cont(m, 0.5) AS median, count(m) AS repeats
+FROM (SELECT t.text_id AS deleted, repeat, quantile_cont(metric, 0.5) AS m
+FROM repeats r JOIN (SELECT DISTINCT text_id
+FROM repeats) t ON r.text_id <> t.text_id
+GROUP BY ALL)
+GROUP BY deleted"""),
+    "most_influential": Query(
+        influential,
+        "deleted median* change* sign_reversed",
+        REPEATS + """, f AS (SELECT quantile_cont(m, 0.5) AS f
+FROM (SELECT repeat, quantile_cont(metric, 0.5) AS m
+FROM repeats
+GROUP BY repeat)
+), l AS (
+SELECT deleted, quantile_cont(m, 0.5) AS median
+FROM (SELECT t.text_id AS deleted, repeat, quantile_cont(metric, 0.5) AS m
+FROM repeats r JOIN (SELECT DISTINCT text_id
+FROM repeats) t ON r.text_id <> t.text_id
+GROUP BY ALL)
+GROUP BY deleted)
+=>
+SELECT deleted, median, median - f AS change, sign(median) <> sign(f) AS sign_reversed
+FROM l, f
+ORDER BY abs(median - f) DESC, CAST(split_part(deleted, ':', 2) AS INT) LIMIT 1"""),
+    "paired_contrast": Query(
+        _contrast,
+        "text_id seeds# min_edges# difference* raw_difference*",
+        CONTRAST + "\n=>\nSELECT text_id, seeds, min_edges, difference, raw_difference FROM contrast",
+    ),
+    "edge_thresholds": Query(
+        lambda s, d: compare.edge_thresholds(compare.retained(_contrast_cells(s, d))),
+        "threshold# other texts# mean* max_r* max_z* near_perfect# largest_contribution*",
+        CONTRAST_CELLS
+        + """
+=>
+SELECT t AS threshold, other, count(*) AS texts, avg(difference) AS mean, max(max_r) AS max_r, max(max_z) AS max_z,
+       sum(near_perfect) AS near_perfect, max(abs(difference)) / count(*) AS largest_contribution
+FROM contrast_cells, (VALUES (4), (10), (20), (30)) v(t)
+WHERE defined = seeds AND min_edges >= t
+GROUP BY ALL""",
+    ),
+    "threshold_intervals": Query(threshold_intervals, "threshold# other n# mean* low* high*"),
+    "change_flags": Query(
+        flags,
+        "sign_reversal threshold_crossing",
+        REPEATS
+        + """, f AS (
+        SELECT quantile_cont(m, 0.5) AS f FROM (SELECT repeat, quantile_cont(metric, 0.5) AS m FROM repeats GROUP BY repeat)
+    ), l AS (
+        SELECT deleted, quantile_cont(m, 0.5) AS v
+        FROM (SELECT t.text_id AS deleted, repeat, quantile_cont(metric, 0.5) AS m
+              FROM repeats r JOIN (SELECT DISTINCT text_id FROM repeats) t ON r.text_id <> t.text_id GROUP BY ALL)
+        GROUP BY deleted
+    )
+=>
+SELECT (any_value(f) > 0 AND bool_or(v <= 0)) OR (any_value(f) < 0 AND bool_or(v >= 0)) AS sign_reversal,
+       (any_value(f) > 0 AND bool_or(v <= 0)) OR (any_value(f) <= 0 AND bool_or(v > 0)) AS threshold_crossing
+FROM l, f""",
+    ),
+    "mean_summary": Query(
+        lambda s, d: metrics.mean_summary(runs_table(s, d), ["condition"], "mlm_nll"),
+        "condition mean* sd* median* q25* q75* minimum* maximum*",
+        RUNS
+        + """
+=>
+SELECT condition, avg(mlm_nll) AS mean, coalesce(stddev_samp(mlm_nll), 0) AS sd, quantile_cont(mlm_nll, 0.5) AS median,
+       quantile_cont(mlm_nll, 0.25) AS q25, quantile_cont(mlm_nll, 0.75) AS q75, min(mlm_nll) AS minimum, max(mlm_nll) AS maximum
+FROM runs GROUP BY condition""",
+    ),
+    "aggregate_rows": Query(
+        lambda s, d: metrics.aggregate_rows(runs_table(s, d), ["condition", "seed"], "correlation"),
+        "condition seed# rows# n# median* q25* q75* minimum* maximum*",
+        RUNS
+        + """
+=>
+SELECT condition, seed, count(*) AS rows, count(correlation) AS n, quantile_cont(correlation, 0.5) AS median, quantile_cont(correlation, 0.25) AS q25,
+       quantile_cont(correlation, 0.75) AS q75, min(correlation) AS minimum, max(correlation) AS maximum
+FROM runs GROUP BY ALL""",
+    ),
+    "replicate_summary": Query(
+        lambda s, d: metrics.replicate_summary(_gaze_runs(s, d, "gaze", "shuffled"), ["text_id"], F.col("condition") == "shuffled"),
+        "text_id observed_n# observed_median* control_n# control_maximum* above_controls",
+        RUNS
+        + """, o AS (
+        SELECT text_id, CASE WHEN condition = 'gaze' THEN correlation END AS a, CASE WHEN condition = 'shuffled' THEN correlation END AS b
+        FROM runs WHERE condition IN ('gaze', 'shuffled')
+    )
+=>
+SELECT text_id, count(a) AS observed_n, quantile_cont(a, 0.5) AS observed_median, count(b) AS control_n, max(b) AS control_maximum,
+       coalesce(quantile_cont(a, 0.5) > max(b), false) AS above_controls
+FROM o GROUP BY text_id""",
+    ),
+    "mode_difference": Query(
+        lambda s, d: metrics.mode_difference(_gaze_runs(s, d, "gaze", "mlm"), ["text_id"], "condition", "gaze", "mlm"),
+        "text_id n# median* undefined# negative_share*",
+        RUNS
+        + """, e AS (
+        SELECT a.text_id, a.correlation - b.correlation AS x
+        FROM runs a JOIN runs b ON a.text_id = b.text_id AND a.seed = b.seed
+        WHERE a.condition = 'gaze' AND b.condition = 'mlm'
+    )
+=>
+SELECT text_id, count(x) AS n, quantile_cont(x, 0.5) AS median, count(*) - count(x) AS undefined, avg((x < 0)::INT) AS negative_share
+FROM e GROUP BY text_id""",
+    ),
+    "word_properties": Query(
+        word_properties,
+        "word_index# log_length* cloze_logit* cloze_missing terminal_punctuation sentence_number#",
+        """WITH p AS (
+    SELECT p_partkey, p_size, p_name || CASE WHEN p_size % 6 = 0 THEN '.' ELSE '' END AS surface,
+           CASE WHEN p_size % 9 = 0 THEN 1.5 ELSE (p_size % 10) / 10.0 END AS share, CASE WHEN p_size % 8 = 0 THEN 0 ELSE p_size END AS n
+    FROM part
+), q AS (
+    SELECT *, share > 1 OR n <= 0 AS bad, (share * n + 0.5) / (n + 1) AS smooth,
+           CASE WHEN p_size % 5 = 0 THEN greatest(1, length(regexp_replace(surface, '[^A-Za-z0-9'']', '', 'g'))) ELSE p_size END AS length
+    FROM p
+)
+=>
+SELECT p_partkey AS word_index, ln(length) AS log_length, CASE WHEN bad THEN 0 ELSE ln(smooth / (1 - smooth)) END AS cloze_logit,
+       bad AS cloze_missing, p_size % 6 = 0 AS terminal_punctuation, CASE WHEN p_size % 4 > 0 THEN p_size % 4 END AS sentence_number
+FROM q""",
+    ),
+    "edge_strata": Query(
+        lambda s, d: compare.edge_strata(_contrast_cells(s, d)),
+        "other stratum texts#",
+        CONTRAST_CELLS
+        + """
+=>
+SELECT other, CASE WHEN min_edges <= 9 THEN '4-9' WHEN min_edges <= 19 THEN '10-19' WHEN min_edges <= 29 THEN '20-29'
+       ELSE '30+' END AS stratum, count(*) AS texts
+FROM contrast_cells
+WHERE min_edges >= 4
+GROUP BY ALL""",
+    ),
+    "condition_summary": Query(
+        lambda s, d: compare.condition_summary(runs_table(s, d)),
+        "condition macro_r* defined# mean_nll* token_nll* edges_per_seed*",
+        RUNS + """
+=>
+SELECT condition, tanh(avg(CASE WHEN correlation IS NOT NULL THEN atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)) END)) AS macro_r, count(correlation) AS defined,
+       avg(mlm_nll) AS mean_nll, sum(mlm_nll * mlm_tokens) / sum(mlm_tokens) AS token_nll,
+       sum(n_edges) / count(DISTINCT seed) AS edges_per_seed
+FROM runs
+GROUP BY condition""",
+    ),
+    "text_contrasts": Query(lambda s, d: compare.text_contrasts(
+        runs_table(s, d),
+        "gaze",
+        ["mlm", "shuffled", "position"],
+    ), "other text_id z_difference* nll_difference*", RUNS + """, b AS (
+        SELECT condition, text_id, avg(CASE WHEN correlation IS NOT NULL THEN atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)) END) AS z, avg(mlm_nll) AS nll
+FROM runs
+GROUP BY ALL)
+=>
+SELECT b.condition AS other, b.text_id, a.z - b.z AS z_difference, a.nll - b.nll AS nll_difference
+FROM b JOIN b a ON a.text_id = b.text_id AND a.condition = 'gaze'
+WHERE b.condition <> 'gaze'"""),
+    "learning_curve": Query(
+        lambda s, d: compare.learning_curve(runs_table(s, d).withColumn("steps", F.col("seed") * 50)),
+        "steps# condition macro_r* mean_nll* cells#",
+        RUNS + """
+=>
+SELECT seed * 50 AS steps, condition, tanh(avg(CASE WHEN correlation IS NOT NULL THEN atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)) END)) AS macro_r,
+       avg(mlm_nll) AS mean_nll, count(*) AS cells
+FROM runs
+GROUP BY ALL""",
+    ),
+    "bootstrap_mean": Query(
+        bootstrap_mean,
+        "draws# mean* low* high*",
+        CONTRAST + """, o AS (SELECT difference, row_number() OVER (ORDER BY CAST(split_part(text_id, ':', 2) AS INT)) - 1 AS pos, count(*) OVER () AS n
+FROM contrast
+), d AS (
+SELECT draw, ((draw * 997 + i) * 48271 + 11) % 2147483647 % n AS pick
+FROM range(200) a(draw), (SELECT pos AS i, n
+FROM o)
+), m AS (
+SELECT draw, avg(difference) AS m
+FROM d JOIN o ON o.pos = d.pick
+GROUP BY draw)
+=>
+SELECT count(*) AS draws, avg(m) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high
+FROM m"""),
     "contrast_intervals": Query(contrast_intervals, "other n# mean* low* high* p*"),
-    "text_summaries": Query(lambda s, d: corpus_audit.text_summaries(_design(s, d)), "text_id " + " ".join(f"{n}*" for n in corpus_audit.SUMMARIES), WORDS + ", q AS (SELECT *, CASE WHEN sum(y) OVER g > 0 THEN y / sum(y) OVER g ELSE 0 END AS p FROM counted WINDOW g AS (PARTITION BY text_id, src_word)), s AS (SELECT text_id, src_word, count(*) AS n, sum(y) AS events, sum(p * p) AS c, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS h FROM q GROUP BY ALL), t AS (SELECT text_id, count(*) AS source_groups, avg(n) AS candidates_per_source, avg(events) AS events_per_source, avg(c) AS destination_concentration, avg(h) AS destination_entropy FROM s GROUP BY ALL), u AS (SELECT text_id, count(*) AS candidate_pairs, avg(dst_word - src_word) AS mean_distance, avg((dst_word - src_word = 1)::INT) AS adjacency_rate, max(dst_word - src_word) AS line_span, avg((y = 0)::INT) AS zero_destination_proportion FROM q GROUP BY ALL), w AS (SELECT text_id, count(DISTINCT x) AS words FROM (SELECT text_id, unnest([src_word, dst_word]) AS x FROM q) GROUP BY ALL)\n=>\nSELECT * FROM t JOIN u USING (text_id) JOIN w USING (text_id)"),
-    "feature_differences": Query(lambda s, d: corpus_audit.feature_differences(_two_corpora(s, d), ("log1p_abs_distance", "target_log_length"), "corpus", "first", "second"), "feature first* second* smd*", WORDS + ", m AS (SELECT CASE WHEN CAST(split_part(text_id, ':', 2) AS INT) < 5 THEN 'first' ELSE 'second' END AS corpus, text_id, avg(ld) AS a, avg(log_length) AS b FROM counted GROUP BY ALL), u AS (SELECT corpus, unnest(['log1p_abs_distance', 'target_log_length']) AS feature, unnest([a, b]) AS v FROM m), g AS (SELECT feature, avg(v) FILTER (WHERE corpus = 'first') AS first, avg(v) FILTER (WHERE corpus = 'second') AS second, var_samp(v) FILTER (WHERE corpus = 'first') AS v1, var_samp(v) FILTER (WHERE corpus = 'second') AS v2 FROM u GROUP BY feature)\n=>\nSELECT feature, first, second, CASE WHEN sqrt((v1 + v2) / 2) > 1e-9 THEN (first - second) / sqrt((v1 + v2) / 2) ELSE 0 END AS smd FROM g"),
+    "text_summaries": Query(
+        lambda s, d: corpus_audit.text_summaries(_design(s, d)),
+        "text_id " + " ".join(f"{n}*" for n in corpus_audit.SUMMARIES),
+        WORDS + """, q AS (SELECT *, CASE WHEN sum(y) OVER g > 0 THEN y / sum(y) OVER g ELSE 0 END AS p
+FROM counted
+WINDOW g AS (PARTITION BY text_id, src_word)
+), s AS (
+SELECT text_id, src_word, count(*) AS n, sum(y) AS events, sum(p * p) AS c, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS h
+FROM q
+GROUP BY ALL
+), t AS (
+SELECT text_id, count(*) AS source_groups, avg(n) AS candidates_per_source, avg(events) AS events_per_source,
+       avg(c) AS destination_concentration, avg(h) AS destination_entropy
+FROM s
+GROUP BY ALL
+), u AS (
+SELECT text_id, count(*) AS candidate_pairs, avg(dst_word - src_word) AS mean_distance,
+       avg((dst_word - src_word = 1)::INT) AS adjacency_rate, max(dst_word - src_word) AS line_span,
+       avg((y = 0)::INT) AS zero_destination_proportion
+FROM q
+GROUP BY ALL
+), w AS (
+SELECT text_id, count(DISTINCT x) AS words
+FROM (SELECT text_id, unnest([src_word, dst_word]) AS x
+FROM q)
+GROUP BY ALL)
+=>
+SELECT *
+FROM t JOIN u USING (text_id) JOIN w USING (text_id)"""),
+    "feature_differences": Query(
+        lambda s, d: corpus_audit.feature_differences(
+            _two_corpora(s, d),
+            ("log1p_abs_distance", "target_log_length"),
+            "corpus",
+            "first",
+            "second",
+        ),
+        "feature first* second* smd*",
+        WORDS
+        + """, m AS (
+        SELECT CASE WHEN CAST(split_part(text_id, ':', 2) AS INT) < 4 THEN 'first' ELSE 'second' END AS corpus, text_id, avg(ld) AS a,
+        avg(log_length) AS b
+FROM counted
+GROUP BY ALL
+    
+), u AS (
+
+        SELECT corpus, unnest(['log1p_abs_distance', 'target_log_length']) AS feature, unnest([a, b]) AS v
+FROM m
+    
+), g AS (
+
+        SELECT feature, avg(v) FILTER (WHERE corpus = 'first') AS first, avg(v) FILTER (WHERE corpus = 'second') AS second,
+               sqrt(((count(*) FILTER (WHERE corpus = 'first') - 1) * var_samp(v) FILTER (WHERE corpus = 'first')
+                     + (count(*) FILTER (WHERE corpus = 'second') - 1) * var_samp(v) FILTER (WHERE corpus = 'second')) / (count(*) - 2)) AS pooled
+FROM u
+GROUP BY feature
+    )
+=>
+SELECT feature, first, second, CASE WHEN pooled > 1e-9 THEN (first - second) / pooled ELSE 0 END AS smd
+FROM g""",
+    ),
+    "feature_intervals": Query(
+        lambda s, d: corpus_audit.feature_differences(_two_corpora(s, d), NAMES, "corpus", "first", "second", 1000),
+        "feature first* second* smd* low* high*",
+    ),
     "coefficient_bootstrap": Query(coefficient_bootstrap, "feature first* second* difference* low* high*"),
     "transported_nll": Query(transported, "direction nll* uniform_nll* texts#"),
-    "domain_classifier": Query(classified, "balanced_accuracy* area* p* permutations# status"),
-    "word_pool": Query(pooled_words, "text_id word_index# n_tokens# first* norm*", "WITH s AS (SELECT CAST(label AS VARCHAR) AS text_id, vec_id % 20 - 1 AS word_index, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM embeddings), m AS (SELECT text_id, word_index, dim, avg(CAST(v AS DOUBLE)) AS v, count(*) AS n FROM s WHERE word_index >= 0 GROUP BY ALL)\n=>\nSELECT text_id, word_index, max(n) AS n_tokens, max(v) FILTER (WHERE dim = 0) AS first, sqrt(sum(v * v)) AS norm FROM m GROUP BY text_id, word_index"),
-    "word_cosines": Query(word_cosines, "text_id src_word# dst_word# score*", "WITH s AS (SELECT CAST(label AS VARCHAR) AS text_id, vec_id % 20 - 1 AS word_index, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM embeddings), m AS (SELECT text_id, word_index, dim, avg(CAST(v AS DOUBLE)) AS v FROM s WHERE word_index >= 0 GROUP BY ALL)\n=>\nSELECT a.text_id, a.word_index AS src_word, b.word_index AS dst_word, sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS score FROM m a JOIN m b ON a.text_id = b.text_id AND a.dim = b.dim AND b.word_index > a.word_index AND b.word_index <= a.word_index + 2 GROUP BY ALL"),
-    "head_scores": Query(head_scores, "text_id src_word# dst_word# score*"),
-    "masked_softmax": Query(softmax_rows, "row# col# probability*", "WITH e AS (SELECT event_id % 50 AS row, event_id // 50 AS col, value / 10 AS logit, event_id % 3 <> 0 AS mask FROM events), m AS (SELECT *, CASE WHEN mask THEN exp(logit - max(logit) FILTER (WHERE mask) OVER (PARTITION BY row)) ELSE 0 END AS x FROM e)\n=>\nSELECT row, col, CASE WHEN sum(x) OVER (PARTITION BY row) > 0 THEN x / sum(x) OVER (PARTITION BY row) ELSE 0 END AS probability FROM m"),
-    "masked_jsd": Query(divergences, "row# jsd* valid", "WITH e AS (SELECT event_id % 50 AS row, CASE WHEN event_id % 50 <> 7 THEN value ELSE 0 END AS p, CASE WHEN event_id % 50 <> 7 THEN (event_id * 7) % 13 ELSE 0 END AS q FROM events), n AS (SELECT row, CASE WHEN sum(p) OVER g > 0 THEN p / sum(p) OVER g ELSE 0 END AS a, CASE WHEN sum(q) OVER g > 0 THEN q / sum(q) OVER g ELSE 0 END AS b, sum(p) OVER g > 0 AND sum(q) OVER g > 0 AS valid FROM e WINDOW g AS (PARTITION BY row))\n=>\nSELECT row, sum(0.5 * (CASE WHEN a > 0 THEN a * ln(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b / ((a + b) / 2)) ELSE 0 END)) AS jsd, bool_and(valid) AS valid FROM n GROUP BY row"),
-    "balanced_loss": Query(balanced_loss, "text_id loss*", SCORED + ", l AS (SELECT text_id, src_word, avg(CASE WHEN abs(residual - 0.25) < 1 THEN 0.5 * (residual - 0.25) * (residual - 0.25) ELSE abs(residual - 0.25) - 0.5 END) AS l FROM cells WHERE residual IS NOT NULL GROUP BY ALL)\n=>\nSELECT text_id, avg(l) AS loss FROM l GROUP BY text_id"),
-    "simulation": Query(simulation, "subjects# effect* concentration* method replicates# recovery_mean* reliability_mean* null_exceedance*"),
+    "domain_classifier": Query(classified, "balanced_accuracy* area* p* p_area* permutations# status"),
+    "word_pool": Query(
+        pooled_words,
+        "text_id word_index# n_tokens# first* norm*",
+        """WITH s AS (SELECT CAST(label AS VARCHAR) AS text_id, vec_id % 20 - 1 AS word_index, unnest(embedding) AS v,
+       unnest(range(len(embedding))) AS dim
+FROM embeddings
+), m AS (
+SELECT text_id, word_index, dim, avg(CAST(v AS DOUBLE)) AS v, count(*) AS n
+FROM s
+WHERE word_index >= 0
+GROUP BY ALL)
+=>
+SELECT text_id, word_index, max(n) AS n_tokens, max(v) FILTER (WHERE dim = 0) AS first, sqrt(sum(v * v)) AS norm
+FROM m
+GROUP BY text_id, word_index"""),
+    "word_cosines": Query(
+        word_cosines,
+        "text_id src_word# dst_word# score*",
+        """WITH s AS (SELECT CAST(label AS VARCHAR) AS text_id, vec_id % 20 - 1 AS word_index, unnest(embedding) AS v,
+       unnest(range(len(embedding))) AS dim
+FROM embeddings
+), m AS (
+SELECT text_id, word_index, dim, avg(CAST(v AS DOUBLE)) AS v
+FROM s
+WHERE word_index >= 0
+GROUP BY ALL)
+=>
+SELECT a.text_id, a.word_index AS src_word, b.word_index AS dst_word,
+       sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS score
+FROM m a JOIN m b ON a.text_id = b.text_id AND a.dim = b.dim AND b.word_index > a.word_index AND b.word_index <= a.word_index + 2
+GROUP BY ALL"""),
+    "head_scores": Query(
+        head_scores,
+        "text_id src_word# dst_word# score*",
+        POOLED
+        + """, heads AS (
+        SELECT text_id, word_index, r, sum(v * ((r * 7 + dim * 3) % 11 - 5) / 10.0) AS source, sum(v * ((r * 5 + dim * 2) % 13 - 6) / 10.0) AS target
+        FROM m, range(4) t(r)
+        GROUP BY ALL
+    )
+=>
+SELECT a.text_id, a.word_index AS src_word, b.word_index AS dst_word, sum(a.source * b.target) / 2 + 0.25 AS score
+FROM heads a JOIN heads b ON a.text_id = b.text_id AND a.r = b.r AND b.word_index = a.word_index + 1
+GROUP BY ALL""",
+    ),
+    "adapted_scores": Query(adapted_scores, "text_id src_word# dst_word# score*"),
+    "all_words": Query(
+        all_words,
+        "text_id word_index# n_tokens# valid norm*",
+        """WITH s AS (
+    SELECT CAST(label AS VARCHAR) AS text_id, vec_id % 20 - 1 AS word_index, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim
+FROM embeddings
+
+), m AS (
+
+    SELECT text_id, word_index, dim, sum(CAST(v AS DOUBLE)) AS v, count(*) AS n
+FROM s
+WHERE word_index >= 0
+GROUP BY ALL
+
+), w AS (
+
+    SELECT text_id, word_index, max(n) AS n, sqrt(sum(v * v)) AS norm
+FROM m
+GROUP BY ALL
+
+), slots AS (
+
+    SELECT text_id, i AS word_index
+FROM (SELECT DISTINCT CAST(label AS VARCHAR) AS text_id
+FROM embeddings), range(22) t(i)
+)
+=>
+SELECT text_id, word_index, coalesce(n, 0) AS n_tokens, n IS NOT NULL AS valid, coalesce(norm, 0) AS norm
+FROM slots
+LEFT JOIN w USING (text_id, word_index)""",
+    ),
+    "masked_softmax": Query(
+        softmax_rows,
+        "row# col# probability*",
+        """WITH e AS (SELECT event_id % 50 AS row, event_id // 50 AS col, value / 10 AS logit, event_id % 3 <> 0 AS mask
+FROM events
+), m AS (
+SELECT *, CASE WHEN mask THEN exp(logit - max(logit) FILTER (WHERE mask) OVER (PARTITION BY row)) ELSE 0 END AS x
+FROM e)
+=>
+SELECT row, col, CASE WHEN sum(x) OVER (PARTITION BY row) > 0 THEN x / sum(x) OVER (PARTITION BY row) ELSE 0 END AS probability
+FROM m"""),
+    "masked_jsd": Query(
+        divergences,
+        "row# jsd* valid",
+        """WITH e AS (SELECT event_id % 50 AS row, CASE WHEN event_id % 50 <> 7 THEN value ELSE 0 END AS p, CASE
+       WHEN event_id % 50 <> 7 THEN (event_id * 7) % 13 ELSE 0 END AS q
+FROM events
+), n AS (
+SELECT row, CASE WHEN sum(p) OVER g > 0 THEN p / sum(p) OVER g ELSE 0 END AS a, CASE WHEN sum(q) OVER g > 0 THEN q / sum(q) OVER g
+       ELSE 0 END AS b, sum(p) OVER g > 0 AND sum(q) OVER g > 0 AS valid
+FROM e
+WINDOW g AS (PARTITION BY row))
+=>
+SELECT row, sum(0.5 * (CASE WHEN a > 0 THEN a * ln(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b / ((a + b) / 2))
+       ELSE 0 END)) AS jsd, bool_and(valid) AS valid
+FROM n
+GROUP BY row"""),
+    "balanced_loss": Query(
+        balanced_loss,
+        "text_id loss*",
+        SCORED + """, l AS (SELECT text_id, src_word, avg(CASE WHEN abs(residual - 0.25) < 1 THEN 0.5 * (residual - 0.25) * (residual - 0.25)
+       ELSE abs(residual - 0.25) - 0.5 END) AS l
+FROM cells
+WHERE residual IS NOT NULL
+GROUP BY ALL)
+=>
+SELECT text_id, avg(l) AS loss
+FROM l
+GROUP BY text_id"""),
+    "simulation": Query(
+        simulation,
+        "subjects# effect* concentration* overdispersion method replicates# recovery_mean* reliability_mean* null_rate*",
+    ),
     "token_reconciliation": Query(token_reconciliation, "text_id op blocks# first_tokens# second_tokens#"),
-    "key_counts": Query(key_counts, "o_orderstatus rows# customers# pairs#", "\n=>\nSELECT o_orderstatus, count(*) AS rows, count(DISTINCT o_custkey) AS customers, count(DISTINCT (o_custkey, o_orderpriority)) AS pairs FROM orders GROUP BY ROLLUP (o_orderstatus)"),
-    "layout_agreement": Query(layout_agreement, "text_id subject_id words# bounds_differ# content_differs# line_differs#", WORDS + "\n=>\nSELECT text_id, s AS subject_id, count(*) AS words, count(*) FILTER (WHERE s = '2' AND word_index % 4 = 0) AS bounds_differ, 0 AS content_differs, 0 AS line_differs FROM words, (VALUES ('1'), ('2')) v(s) GROUP BY ALL"),
+    "aligned_tokens": Query(
+        aligned_tokens,
+        "text_id first_tokens# second_tokens#",
+        r"""WITH t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id
+ORDER BY turn) AS n,
+           len(string_split(trim(regexp_replace(trim(text), '\s+', ' ', 'g')), ' ')) AS tokens
+FROM conversations
+)
+=>
+SELECT coalesce(a.conv_id, b.conv_id) || ':' || coalesce(a.n + 1, b.n) AS text_id, coalesce(a.tokens, 0) AS first_tokens, coalesce(b.tokens,
+       0) AS second_tokens
+FROM t a
+FULL JOIN t b ON a.conv_id = b.conv_id AND b.n = a.n + 1""",
+    ),
+    "key_counts": Query(
+        key_counts,
+        "o_orderstatus rows# customers# pairs#",
+        """
+=>
+SELECT o_orderstatus, count(*) AS rows, count(DISTINCT o_custkey) AS customers, count(DISTINCT (o_custkey, o_orderpriority)) AS pairs
+FROM orders
+GROUP BY ROLLUP (o_orderstatus)""",
+    ),
+    "layout_agreement": Query(
+        layout_agreement,
+        "text_id subject_id words# bounds_differ# content_differs# line_differs#",
+        WORDS
+        + """
+=>
+SELECT text_id, s AS subject_id, count(*) AS words, count(*) FILTER (WHERE s = '2'
+       AND (word_index % 4 = 0 OR word_index % 11 = 5)) AS bounds_differ,
+       count(*) FILTER (WHERE s = '2' AND word_index % 11 = 5) AS content_differs, count(*) FILTER (WHERE s = '2'
+       AND word_index % 11 = 5) AS line_differs
+FROM words, (VALUES ('1'), ('2')) v(s)
+GROUP BY ALL""",
+    ),
+    "line_map_audit": Query(
+        line_map_audit,
+        "text_id words# mapped# ambiguous# several_variants# observations# variants# lines# violations#",
+        FIX
+        + """, o AS (
+        SELECT text_id, word_index, line_id, line_id * 20 + (fixation_order % 3 = 0)::INT AS top, count(*) AS n FROM fix GROUP BY ALL
+    ), w AS (
+        SELECT text_id, word_index, any_value(line_id) AS line, sum(n) AS observations, count(*) AS variants, max(n) AS most FROM o GROUP BY ALL
+    ), x AS (
+        SELECT *, variants = 1 OR 2 * most > observations AS accepted FROM w
+    )
+=>
+SELECT text_id, count(*) AS words, count(*) FILTER (WHERE accepted) AS mapped, count(*) FILTER (WHERE NOT accepted) AS ambiguous,
+       count(*) FILTER (WHERE variants > 1) AS several_variants, sum(observations) AS observations, sum(variants) AS variants,
+       count(DISTINCT line) FILTER (WHERE accepted) AS lines, 0 AS violations
+FROM x GROUP BY text_id""",
+    ),
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DECIMALS = 6
@@ -19,20 +19,27 @@ class Query:
     columns: str
     sql: str | None = None
 
+    def _columns(self) -> list[tuple[str, str]]:
+        """Names, and the mark behind each."""
+        return [(c.rstrip("*#"), c[-1]) for c in self.columns.split()]
+
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(spark, sf_dir)
-        out = []
-        for c in self.columns.split():
-            name = c.rstrip("*#")
-            out.append((F.round(F.col(name).cast("double"), DECIMALS) + 0.0).alias(name) if c.endswith("*") else F.col(name).cast("bigint").alias(name) if c.endswith("#") else F.col(name))
-        return df.select(*out)
+        def out(name: str, mark: str) -> Column:
+            c = F.col(name)
+            if mark == "*":
+                return (F.round(c.cast("double"), DECIMALS) + 0.0).alias(name)
+            return c.cast("bigint").alias(name) if mark == "#" else c
+
+        return self.build(spark, sf_dir).select(*[out(*c) for c in self._columns()])
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        out = []
-        for c in self.columns.split():
-            name = c.rstrip("*#")
-            out.append(f"round(CAST({name} AS DOUBLE), {DECIMALS}) + 0.0 AS {name}" if c.endswith("*") else f"CAST({name} AS BIGINT) AS {name}" if c.endswith("#") else name)
+
+        def out(name: str, mark: str) -> str:
+            if mark == "*":
+                return f"round(CAST({name} AS DOUBLE), {DECIMALS}) + 0.0 AS {name}"
+            return f"CAST({name} AS BIGINT) AS {name}" if mark == "#" else name
+
         head, _, body = self.sql.rpartition("\n=>\n")
-        return f"{head}\nSELECT {', '.join(out)} FROM ({body}) AS result"
+        return f"{head}\nSELECT {', '.join(out(*c) for c in self._columns())} FROM ({body}) AS result"

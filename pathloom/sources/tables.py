@@ -16,9 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as visits: the user is the subject, ``props.k`` gives the text and ``value`` the word."""
     k = F.get_json_object("props", "$.k").cast("int")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("subject_id"), F.concat(F.lit("T:"), (k % TEXTS).cast("string")).alias("text_id"), (F.floor("value") % TEXT_WORDS).cast("bigint").alias("word_index"), "ts", "event_id", (F.col("value") * 10).alias("duration_ms"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("subject_id"),
+        F.concat(F.lit("T:"), (k % TEXTS).cast("string")).alias("text_id"),
+        (F.floor("value") % TEXT_WORDS).cast("bigint").alias("word_index"),
+        "ts",
+        "event_id",
+        (F.col("value") * 10).alias("duration_ms"),
+    )
     order = F.row_number().over(Window.partitionBy("subject_id", "text_id").orderBy("ts", "event_id"))
-    return e.select("subject_id", "text_id", "word_index", order.cast("bigint").alias("fixation_order"), "duration_ms", F.floor(F.col("word_index") / LINE_WORDS).cast("bigint").alias("line_id"))
+    return e.select(
+        "subject_id",
+        "text_id",
+        "word_index",
+        order.cast("bigint").alias("fixation_order"),
+        "duration_ms",
+        F.floor(F.col("word_index") / LINE_WORDS).cast("bigint").alias("line_id"),
+    )
 
 
 def words(visits: DataFrame) -> DataFrame:

@@ -230,13 +230,6 @@ def test_influence(spark):
     assert best.deleted == "a:1" and abs(best.change) == 1
 
 
-def test_thresholds(spark):
-    rows = [(s, c, f"t:{i}", r, n) for s in range(2) for c, r in (("gaze", 0.5), ("mlm", 0.25)) for i, n in enumerate((5, 25, 35))]
-    runs = spark.createDataFrame(rows, "seed int, condition string, text_id string, correlation double, n_edges int")
-    kept = {r.threshold: r.texts for r in compare.edge_thresholds(compare.paired_contrast(runs, "gaze", "mlm"), [4, 20, 30]).collect()}
-    assert kept == {4: 3, 20: 2, 30: 1}
-
-
 def test_vectors(spark):
     states = spark.createDataFrame([("t", 0, 0, [1.0, 3.0]), ("t", 1, 0, [3.0, 5.0]), ("t", 2, 1, [7.0, 9.0]), ("t", 3, -1, [100.0, 100.0])], "text_id string, pos int, word_index int, state array<double>")
     assert [(r.word_index, r.state) for r in scoring.word_pool(states).orderBy("word_index").collect()] == [(0, [2.0, 4.0]), (1, [7.0, 9.0])]
@@ -257,9 +250,16 @@ def test_summaries_of_a_text(spark):
 
 
 def test_simulation_recovers_a_planted_effect(spark):
-    grid = simulate.Grid(subjects=(24,), effects=(0.0, 0.65), concentrations=(40.0,), replicates=12)
-    found = {r.effect: r.recovery_mean for r in simulate.summarize(simulate.simulate(spark, grid, 17)).where("method = 'correct'").collect()}
-    assert abs(found[0.0]) < 0.12 and found[0.65] >= found[0.0] + 0.25
+    grid = simulate.Grid(subjects=(12,), effects=(0.0, 0.65), concentrations=(30.0,), replicates=12, sources=18, events=20)
+    rows = simulate.summarize(simulate.simulate(spark, grid, 17)).where("method = 'correct'").collect()
+    found = {r.effect: r for r in rows}
+    assert abs(found[0.0].recovery_mean) < 0.12 and found[0.65].recovery_mean >= found[0.0].recovery_mean + 0.25
+    assert 0 <= found[0.0].null_rate <= 1 and found[0.65].null_rate is None and found[0.0].overdispersion == "high"
+    with pytest.raises(ValueError):
+        simulate.Grid(subjects=(5,))
+    default = simulate.Grid()
+    assert (default.subjects, default.effects, default.concentrations) == ((4, 12, 42, 84), (0.0, 0.55), (120.0, 8.0))
+    assert (default.sources, default.events, default.replicates) == (30, 24, 80)
 
 
 def test_alignment(spark):
