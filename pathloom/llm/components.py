@@ -34,7 +34,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = _stars(current).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
         # Small star: a node and its smaller neighbours go to the least of them; edges point down (a > b).
         least = materialize(large.groupBy("a").agg(F.min("b").alias("least")), "least")
-        small = large.join(least, "a").select(F.col("b").alias("x"), "least").where("x <> least").unionByName(least.select(F.col("a").alias("x"), "least"))
+        small = large.join(least, "a").select(F.col("b").alias("x"), "least").where("x <> least").unionByName(
+            least.select(F.col("a").alias("x"), "least")
+        )
         current = materialize(small.select(F.col("x").alias("a"), F.col("least").alias("b")).distinct(), "edges")
         after = checksum(current)
         if after == before:
@@ -42,5 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = after
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )
 
