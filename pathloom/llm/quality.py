@@ -12,16 +12,17 @@ network did not see, calibrates its probabilities.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pathloom.llm.common import tree_sum
+from pathloom.llm.common import column, packed, tree_sum
+from pathloom.llm.words import hashes, portions, split_words
 
 SLOT_BITS, DIM, NONZERO = 15, 64, 4
 SLOTS = 1 << SLOT_BITS
@@ -31,71 +32,33 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 30, 256, 3e-3, 1e-4, 11
 THRESHOLD = 0.3
 HOLD_OUT_FOLDS = 5
 _RANGES = 16
-_CACHE_ENTRIES = 400_000
-#: Characters whose words are held as arrays at a time.
-_PORTION_CHARS = 2_000_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of texts whose words are held as arrays at a time, and words whose vectors are.
+_PORTION_BYTES, _BLOCK_WORDS = 4_000_000, 1 << 14
 
 
-def _slot(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.encode()) % SLOTS
+def slots(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, the slot of its letters in lower case and the slot of its shape.
 
-
-class _Shapes(dict):
-    """(case, shape) -> slot; shapes are few."""
-
-    def __missing__(self, key: tuple[str, str]) -> int:
-        value = _slot(f"s:{key[0]}:{key[1][:16]}")
-        if len(self) >= _CACHE_ENTRIES:
-            self.clear()
-        self[key] = value
-        return value
-
-
-_shapes = _Shapes()
-
-
-class _Tokens(dict):
-    """Word in UTF-8 -> slot of its letters and slot of its shape, packed; starts afresh when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        if text.isalpha():
-            letters, shape = text, "a"
-        elif text[:-1].isalpha():
-            letters, shape = text[:-1], "a" + text[-1]
-        else:
-            letters, shape = "".join(_LETTERS.findall(text)), _LETTERS.sub("a", text)
-        case = "0" if not letters else "x" if letters.islower() else "X" if letters.isupper() else "Xx" if letters[:1].isupper() and letters[1:].islower() else "xX"
-        value = _slot("w:" + letters.lower()) << SLOT_BITS | _shapes[case, shape]
-        if len(self) >= _CACHE_ENTRIES:
-            self.clear()
-        self[word] = value
-        return value
-
-
-_tokens = _Tokens()
-
-
-def _slots(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed slots of all words of the texts, and the number of words of each."""
-    words = [(t or "").encode().split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    look = _tokens.__getitem__
-    return np.fromiter((look(w) for row in words for w in row), np.int64, int(counts.sum())), counts
-
-
-def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """Consecutive texts of a bounded size together; a longer text is a portion of its own."""
-    portion, size = [], 0
-    for t in texts:
-        if portion and size + len(t or "") > _PORTION_CHARS:
-            yield portion
-            portion, size = [], 0
-        portion.append(t)
-        size += len(t or "")
-    if portion:
-        yield portion
+    The shape is the letters' case (none, lower, upper, capitalised, mixed) and, of the first 16 characters,
+    the marks around runs of letters. A shape holds a colon, which letters never do.
+    """
+    plain = pc.utf8_is_alpha(distinct)
+    odd = distinct.filter(pc.invert(plain))
+    letters = pc.replace_with_mask(distinct, pc.invert(plain), pc.replace_substring_regex(odd, r"[^\p{L}]+", ""))
+    marks = pc.utf8_slice_codeunits(pc.replace_substring_regex(odd, r"\p{L}+", "a"), 0, 16)
+    marks = pc.replace_with_mask(pa.array(["a"] * len(distinct), distinct.type), pc.invert(plain), marks)
+    lower = pc.utf8_lower(letters)
+    kinds = pc.make_struct(
+        pc.equal(pc.binary_length(letters), 0),
+        pc.equal(letters, lower),
+        pc.equal(letters, pc.utf8_upper(letters)),
+        pc.equal(letters, pc.utf8_capitalize(letters)),
+        field_names=["none", "lower", "upper", "capital"],
+    )
+    case = pc.case_when(kinds, *(pa.scalar(c, distinct.type) for c in ("0:", "x:", "X:", "Xx:", "xX:")))
+    shapes = pc.binary_join_element_wise(case, marks, "").dictionary_encode()
+    slot_of = lambda words: (hashes(words) % np.uint64(SLOTS)).astype(np.int64)
+    return slot_of(lower), slot_of(shapes.dictionary)[shapes.indices.to_numpy(zero_copy_only=False)]
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -107,23 +70,21 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, sign = index_vectors()
     total = np.zeros(SLOTS * DIM)
-
-    def add(target: np.ndarray, neighbour: np.ndarray) -> None:
-        for j in range(NONZERO):
-            np.add(total, np.bincount(target * DIM + place[neighbour, j], sign[neighbour, j], SLOTS * DIM), out=total)
-
-    for portion in (p for batch in batches for p in _portions(batch.column(0).to_pylist())):
-        packed, counts = _slots(portion)
-        if len(packed) < 2:
-            continue
-        inside = np.ones(len(packed), bool)
-        first = np.cumsum(counts) - counts
-        inside[first[first < len(packed)]] = False
+    for texts in (p for batch in batches for p in portions(batch.column(0), _PORTION_BYTES)):
+        counts, words, distinct = split_words(texts)
+        inside = np.ones(len(words), bool)
+        inside[(np.cumsum(counts) - counts)[counts > 0]] = False
         later = np.flatnonzero(inside)
-        word, shape = packed >> SLOT_BITS, packed & (SLOTS - 1)
-        add(np.concatenate([word[later], word[later - 1], shape[later], shape[later - 1]]), np.concatenate([word[later - 1], word[later], shape[later - 1], shape[later]]))
+        for slot in slots(distinct) if len(later) else ():
+            after, before = slot[words[later]], slot[words[later - 1]]
+            for target, neighbour in ((after, before), (before, after)):
+                for j in range(NONZERO):
+                    total += np.bincount(target * DIM + place[neighbour, j], sign[neighbour, j], SLOTS * DIM)
     parts = np.split(total, _RANGES)
-    yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["range", "sums"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(range(_RANGES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
+        ["range", "sums"],
+    )
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,25 +111,43 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (0.5 * (unit(table) + unit(own))).astype(np.float32)
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """Features of texts: means of the word and of the shape vectors, and the logarithm of the word count."""
-    return np.concatenate([np.zeros((0, 2 * DIM + 1), np.float32), *(_pooled(p, vectors) for p in _portions(texts))])
-
-
-def _pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    packed, counts = _slots(texts)
-    out = np.zeros((len(texts), 2 * DIM + 1), np.float32)
-    out[:, -1] = np.log1p(counts)
-    step = 1 << 18  # words at a time
-    row = np.repeat(np.arange(len(texts)), counts)
-    for i in range(0, len(packed), step):
-        rows, first = np.unique(row[i : i + step], return_index=True)
-        for half, slots in enumerate((packed[i : i + step] >> SLOT_BITS, packed[i : i + step] & (SLOTS - 1))):
-            out[rows, half * DIM : (half + 1) * DIM] += np.add.reduceat(vectors[slots], first, axis=0)
-    out[:, :-1] /= np.maximum(counts, 1)[:, None]
+def _sums(table: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows at the words of each text, a block of words at a time.
+
+    A long text is cut from its own beginning, so that a text's sum does not depend on the texts beside it.
+    """
+    out = np.zeros((len(counts), table.shape[1]))
+    ends = np.cumsum(counts)
+    i = 0
+    while i < len(counts):
+        begin = int(ends[i] - counts[i])
+        j = max(i + 1, int(np.searchsorted(ends, begin + _BLOCK_WORDS, "right")))
+        if j == i + 1:
+            for a in range(begin, int(ends[i]), _BLOCK_WORDS):
+                out[i] += table[words[a : min(a + _BLOCK_WORDS, int(ends[i]))]].sum(0, dtype=np.float64)
+        else:
+            held = np.flatnonzero(counts[i:j]) + i
+            if len(held):
+                out[held] = np.add.reduceat(table[words[begin : int(ends[j - 1])]], ends[held] - counts[held] - begin, axis=0)
+        i = j
     return out
 
 
+def _means(texts: pa.Array, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By portion of texts: the means over their words of the letters' row of one table plus the shape's row of the other, and the word counts."""
+    for part in portions(texts, _PORTION_BYTES):
+        counts, words, distinct = split_words(part)
+        letters, shape = slots(distinct)
+        yield _sums(first[letters] + second[shape], words, counts) / np.maximum(counts, 1)[:, None], counts
+
+
+def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Features of texts: means of the word and of the shape vectors, and the logarithm of the word count."""
+    none = np.zeros_like(vectors)
+    parts = [np.column_stack([m, np.log1p(c)]) for m, c in _means(texts, np.hstack([vectors, none]), np.hstack([none, vectors]))]
+    return np.concatenate([np.zeros((0, 2 * DIM + 1)), *parts])
+
+
 class Network:
     """Two layers over standardised features; the output's logit is divided by a temperature."""
 
@@ -204,7 +183,12 @@ class Network:
                 g = (1 / (1 + np.exp(-(h @ self.w2 + self.b2))) - yb) / len(xb)
                 back = np.outer(g, self.w2) * (1 - h**2)
                 t += 1
-                for w, d, m, v in zip(weights, (xb.T @ back + DECAY * self.w1, back.sum(0), h.T @ g + DECAY * self.w2, g.sum()), first, second):
+                for w, d, m, v in zip(
+                    weights,
+                    (xb.T @ back + DECAY * self.w1, back.sum(0), h.T @ g + DECAY * self.w2, g.sum()),
+                    first,
+                    second,
+                ):
                     m += 0.1 * (d - m)
                     v += 0.001 * (d**2 - v)
                     w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -213,13 +197,65 @@ class Network:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -60, 60)))
+        return self._calibrated(self.logits(x))
+
+    def _calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(logits / self.temperature, -60, 60)))
+
+    def scorer(self, vectors: np.ndarray):
+        """From texts to probabilities. The first layer is linear in the means, so it is applied to the slots' vectors once."""
+        layer = self.w1 / self.scale[:, None]
+        first, second = ((vectors @ layer[i * DIM : (i + 1) * DIM]).astype(np.float32) for i in range(2))
+        bias = self.b1 - self.mean @ layer
+
+        def score(texts: pa.Array) -> np.ndarray:
+            parts = [
+                self._calibrated(np.tanh(m + np.log1p(c)[:, None] * layer[-1] + bias) @ self.w2 + self.b2)
+                for m, c in _means(texts, first, second)
+            ]
+            return np.concatenate([np.zeros(0), *parts])
+
+        return score
 
 
 def fold(id_col: str = "doc_id", folds: int = HOLD_OUT_FOLDS) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
 
 
+def fit_network(
+    docs: DataFrame,
+    labels: DataFrame,
+    vectors: np.ndarray,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    sample_rows: int = SAMPLE_ROWS,
+) -> Network | None:
+    """The network, fitted on at most ``sample_rows`` labelled rows of the folds that are learned from; None without any."""
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != 0))
+    known = usable.groupBy(F.col(id_col).alias("_labelled")).agg(F.avg(F.col(label_col).cast("double")).alias("_label"))
+    # A row's place in the sample is its hash's, so that every label may be drawn; at most sample_rows ids.
+    drawn = known.orderBy(F.xxhash64("_labelled"), "_labelled").limit(sample_rows)
+    table = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pooled(batch.column(0), table.value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r.astype("<f4").tobytes() for r in x], pa.binary()), batch.column(1), batch.column(2)],
+                ["x", "y", "id"],
+            )
+
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
+    labelled = rows.join(F.broadcast(drawn), F.col("_id") == F.col("_labelled")).select("_text", "_label", F.col("_id").cast("string"))
+    # Rows may repeat an id, so the limit holds for rows, too.
+    found = labelled.mapInArrow(features, "x binary, y double, id string").orderBy(F.xxhash64("id"), "id", "x").limit(sample_rows).collect()
+    if not found:
+        return None
+    found = sorted(found, key=lambda r: (r[2], r[0]))
+    return Network(np.array([np.frombuffer(r[0], "<f4") for r in found], float), np.array([r[1] for r in found]))
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -234,34 +270,23 @@ def score_quality(
     Labels are learned from rows whose fold (CRC-32 of the id modulo 5) is not 0, at most ``sample_rows``
     of them by a hash of the id; several labels of an id are averaged, null ones left out. Without labels
     of both classes every score is the rate of the labels there are (0.5 without any). Null texts count as
-    empty, and empty texts have a score too. Null ids are never labelled. All columns pass through; a
-    column of ``docs`` with the name of a new one is replaced.
+    empty, and empty texts have a score too; texts of any length are scored whole. Null ids are never
+    labelled; rows that repeat an id are scored each, and equal texts alike. All columns pass through; a
+    column of ``docs`` with the name of a new one is replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
     vectors = word_vectors(docs, text_col)
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != 0)).groupBy(F.col(id_col).alias("_labelled")).agg(F.avg(F.col(label_col).cast("double")).alias("_label"))
-    # A row's place in the sample is its hash's, so that every label may be drawn; at most sample_rows rows.
-    drawn = known.orderBy(F.xxhash64("_labelled"), "_labelled").limit(sample_rows)
-    table = spark.sparkContext.broadcast(vectors)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = pooled(batch.column(0).to_pylist(), table.value)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), batch.column(2)], ["x", "y", "id"])
-
-    labelled = docs.select(text_col, id_col).join(F.broadcast(drawn), docs[id_col] == F.col("_labelled")).select(text_col, "_label", F.col(id_col).cast("string"))
-    rows = sorted(labelled.mapInArrow(features, "x binary, y double, id string").collect(), key=lambda r: (r[2], r[0]))
-    x = np.array([np.frombuffer(r[0], np.float32) for r in rows], np.float64).reshape(-1, 2 * DIM + 1)
-    net = Network(x, np.array([r[1] for r in rows])) if rows else None
+    net = fit_network(docs, labels, vectors, id_col, text_col, label_col, sample_rows)
+    shared = spark.sparkContext.broadcast(vectors)
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     spot = kept.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = net.scorer(shared.value) if net else lambda texts: np.full(len(texts), 0.5)
         for batch in batches:
-            x = pooled(batch.column(spot).to_pylist(), table.value).astype(np.float64)
-            p = net.probability(x) if net else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
+            columns = batch.column(0).flatten()
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scorer(columns[spot]))], [*kept, "score"])
 
-    schema = docs.select(*kept).schema.add("score", "double")
-    scored = docs.select(*kept).mapInArrow(score, schema)
+    rows = docs.select(*map(column, kept))
+    scored = packed(rows).mapInArrow(score, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
     return scored.withColumn("held_out", fold(id_col) == 0).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
