@@ -24,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import materialize, shuffle_partitions
+from pathloom.llm.words import hashes, split_words
 
 DEPTH = 5
 END = 0xFF
@@ -43,7 +45,7 @@ CHUNKS_A_RANGE = 16
 _HELD = 2_000_000
 #: Depths 0 and 1: a place for each byte before (depth 1) and each node of the byte's decisions.
 _TOP = 1 << 16
-_SLOT_BITS = 20
+_SLOT_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -258,10 +260,16 @@ def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             rows = [(t.as_py() or "").encode() for t in batch.column(0)]
             keys, counts = key_counts(rows, np.ones(len(rows), bool))
-            yield pa.RecordBatch.from_arrays([pa.array([_zip_keys(keys)], pa.binary()), pa.array([_zip(counts, "<u8")], pa.binary())], ["keys", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_zip_keys(keys)], pa.binary()), pa.array([_zip(counts, "<u8")], pa.binary())],
+                ["keys", "counts"],
+            )
 
     parts = texts.mapInArrow(count, "keys binary, counts binary").collect()
-    return _added(np.concatenate([np.zeros(0, np.uint64), *(_unzip_keys(k) for k, _ in parts)]), np.concatenate([np.zeros(0, np.uint64), *(_unzip(c, "<u8") for _, c in parts)]))
+    return _added(
+        np.concatenate([np.zeros(0, np.uint64), *(_unzip_keys(k) for k, _ in parts)]),
+        np.concatenate([np.zeros(0, np.uint64), *(_unzip(c, "<u8") for _, c in parts)]),
+    )
 
 
 class Scorer:
@@ -275,59 +283,54 @@ class Scorer:
         return tree.log10(weigh_top(tree.top()))[np.searchsorted(tree.keys, keys)]
 
 
-class _Words(dict):
-    """Word -> 64-bit hash; starts afresh when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = value
-        return value
-
-
 #: The end token's hash: that of a string with white space, which no word has.
 _END_WORD = xxhash.xxh3_64_intdigest(b"\n end")
-_words = _Words()
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % HOLD_OUT_FOLDS == HELD_OUT_FOLD
 
 
+def _word_counts(texts: list[bytes], training: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Number of tokens of each text; and packed: distinct hashes, their training counts, and (word, text, times) of all."""
+    n = len(texts)
+    counts, places, words = split_words(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+    # The end is a word of every text.
+    distinct, which = np.unique(np.append(hashes(words), np.uint64(_END_WORD)), return_inverse=True)
+    held = np.concatenate([which[places] * n + np.repeat(np.arange(n), counts), which[-1] * n + np.arange(n)])
+    pairs, times = np.unique(held, return_counts=True)
+    word, doc = np.divmod(pairs, n)
+    trained = np.bincount(word, times * training[doc], len(distinct)).astype("<u4")
+    return counts + 1, [_zip_keys(distinct), _zip(trained, "<u4"), _zip_keys(word), _zip(doc, "<u2"), _zip(times, "<u4")]
+
+
 def _chunk(id_type: pa.DataType) -> object:
     """Rows (text, id, held_out) to rows of chunks: ids, texts, distinct keys, and sparse word counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _words.__getitem__
         task, number = TaskContext.get().partitionId(), 0
-        rows = (((t.as_py() or "").encode(), i, h) for batch in batches for t, i, h in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()))
+        rows = (
+            ((t.as_py() or "").encode(), i, h)
+            for batch in batches
+            for t, i, h in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist())
+        )
         for group in _in_chunks(rows):
             texts = [t for t, _, _ in group]
-            words = [t.lower().split() for t in texts]
-            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            hashes = np.fromiter((h for row in words for h in (*map(look, row), _END_WORD)), np.uint64, int(sizes.sum()))
-            distinct, which = np.unique(hashes, return_inverse=True)
-            pairs, times = np.unique(which * len(group) + np.repeat(np.arange(len(group)), sizes), return_counts=True)
-            word, doc = np.divmod(pairs, len(group))
             training = ~np.array([h for _, _, h in group], bool)
-            trained = np.bincount(word, times * training[doc], len(distinct)).astype("<u4")
-            blobs = [_zip_keys(distinct), _zip(trained, "<u4"), _zip_keys(word), _zip(doc, "<u2"), _zip(times, "<u4")]
+            sizes, blobs = _word_counts(texts, training)
             keys, learned = key_counts(texts, training)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([task << 32 | number], pa.int64()),
-                    pa.array([[i.as_py() for _, i, _ in group]], pa.list_(id_type)),
-                    pa.array([[h for _, _, h in group]], pa.list_(pa.bool_())),
-                    pa.array([_zip(np.frombuffer(b"".join(texts), "u1"), "u1")], pa.binary()),
-                    pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                    pa.array([_zip_keys(keys)], pa.binary()),
-                    pa.array([_zip(learned, "<u4")], pa.binary()),
-                    pa.array([sizes.tolist()], pa.list_(pa.int64())),
-                    *(pa.array([b], pa.binary()) for b in blobs),
-                ],
-                ["chunk", "ids", "held_out", "texts", "lengths", "keys", "learned", "n_tokens", "hashes", "trained", "word", "doc", "times"],
-            )
+            row = {
+                "chunk": pa.array([task << 32 | number], pa.int64()),
+                "ids": pa.array([[i.as_py() for _, i, _ in group]], pa.list_(id_type)),
+                "held_out": pa.array([[h for _, _, h in group]], pa.list_(pa.bool_())),
+                "texts": pa.array([_zip(np.frombuffer(b"".join(texts), "u1"), "u1")], pa.binary()),
+                "lengths": pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+                "keys": pa.array([_zip_keys(keys)], pa.binary()),
+                "learned": pa.array([_zip(learned, "<u4")], pa.binary()),
+                "n_tokens": pa.array([sizes.tolist()], pa.list_(pa.int64())),
+            }
+            row |= {name: pa.array([b], pa.binary()) for name, b in zip(("hashes", "trained", "word", "doc", "times"), blobs)}
+            yield pa.RecordBatch.from_pydict(row)
             number += 1
 
     return run
@@ -341,7 +344,15 @@ def _ask(n_ranges: int):
                 h, t = _unzip_keys(hashes), _unzip(trained, "<u4")
                 cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
                 parts = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([_zip_keys(h[a:b]) for _, a, b in parts], pa.binary()), pa.array([_zip(t[a:b], "<u4") for _, a, b in parts], pa.binary())], ["range", "chunk", "hashes", "trained"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r for r, _, _ in parts], pa.int32()),
+                        pa.array([chunk] * len(parts), pa.int64()),
+                        pa.array([_zip_keys(h[a:b]) for _, a, b in parts], pa.binary()),
+                        pa.array([_zip(t[a:b], "<u4") for _, a, b in parts], pa.binary()),
+                    ],
+                    ["range", "chunk", "hashes", "trained"],
+                )
 
     return run
 
@@ -353,7 +364,16 @@ def _answer(table: pa.Table) -> pa.Table:
     total = np.bincount(which, np.concatenate([_unzip(x, "<u4") for x in table.column("trained").to_pylist()]), len(distinct)).astype("<u8")
     ends = np.cumsum([len(h) for h in hashes])
     replies = [_zip(total[which[e - len(h) : e]], "<u8") for h, e in zip(hashes, ends)]
-    return pa.table([pa.chunked_array([table.column("range").combine_chunks(), pa.array([table.column("range")[0].as_py()], pa.int32())]), pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), pa.array([*replies, None], pa.binary()), pa.array([0] * len(replies) + [int(total.sum())], pa.int64()), pa.array([0] * len(replies) + [int((total > 0).sum())], pa.int64())], names=["range", "chunk", "counts", "tokens", "words"])
+    return pa.table(
+        [
+            pa.chunked_array([table.column("range").combine_chunks(), pa.array([table.column("range")[0].as_py()], pa.int32())]),
+            pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
+            pa.array([*replies, None], pa.binary()),
+            pa.array([0] * len(replies) + [int(total.sum())], pa.int64()),
+            pa.array([0] * len(replies) + [int((total > 0).sum())], pa.int64()),
+        ],
+        names=["range", "chunk", "counts", "tokens", "words"],
+    )
 
 
 def _ask_keys(n_ranges: int):
@@ -368,7 +388,16 @@ def _ask_keys(n_ranges: int):
                 keys, counts, r = keys[order], counts[order], r[order]
                 cuts = [*np.flatnonzero(np.concatenate([[True] * (len(r) > 0), r[1:] != r[:-1]])).tolist(), len(r)]
                 parts = list(zip(cuts, cuts[1:]))
-                yield pa.RecordBatch.from_arrays([pa.array([int(r[x]) for x, _ in parts], pa.int32()), pa.array([1] * len(parts), pa.int32()), pa.array([chunk.as_py()] * len(parts), pa.int64()), pa.array([_zip_keys(keys[x:y]) for x, y in parts], pa.binary()), pa.array([_zip(counts[x:y], "<u4") for x, y in parts], pa.binary())], ["range", "kind", "chunk", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(r[x]) for x, _ in parts], pa.int32()),
+                        pa.array([1] * len(parts), pa.int32()),
+                        pa.array([chunk.as_py()] * len(parts), pa.int64()),
+                        pa.array([_zip_keys(keys[x:y]) for x, y in parts], pa.binary()),
+                        pa.array([_zip(counts[x:y], "<u4") for x, y in parts], pa.binary()),
+                    ],
+                    ["range", "kind", "chunk", "keys", "counts"],
+                )
 
     return run
 
@@ -382,7 +411,17 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         total = _added(np.concatenate(keys), np.concatenate(counts))
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([0], pa.int32()), pa.array([None], pa.int64()), pa.array([_zip_keys(total[0])], pa.binary()), pa.array([_zip(total[1], "<u8")], pa.binary()), pa.array([_zip(Tree(*total).top(), "<f8")], pa.binary())], ["range", "kind", "chunk", "keys", "counts", "top"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([at], pa.int32()),
+                pa.array([0], pa.int32()),
+                pa.array([None], pa.int64()),
+                pa.array([_zip_keys(total[0])], pa.binary()),
+                pa.array([_zip(total[1], "<u8")], pa.binary()),
+                pa.array([_zip(Tree(*total).top(), "<f8")], pa.binary()),
+            ],
+            ["range", "kind", "chunk", "keys", "counts", "top"],
+        )
 
     for batch in batches:
         for r, k, c in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4)):
@@ -422,16 +461,19 @@ def _answer_keys(top):
                 else:
                     out.append((1, r, chunk, _zip(values[np.searchsorted(known, keys)], "<f4")))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "range", "chunk", "counts"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
+                    ["kind", "range", "chunk", "counts"],
+                )
 
     return run
 
 
 def _looked_up(asked: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The values of keys among known ones in order; most are found in a table of slots, the others by search."""
-    slot = lambda keys: ((keys * _MIX) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-    table = np.zeros(1 << _SLOT_BITS, np.int64)
-    table[slot(known)] = np.arange(len(known))
+    slot = lambda keys: ((keys * _MIX) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
+    table = np.zeros(1 << _SLOT_BITS, np.int32)
+    table[slot(known)] = np.arange(len(known), dtype=np.int32)
     at = table[slot(asked)]
     missed = np.flatnonzero(known[at] != asked)
     at[missed] = np.searchsorted(known, asked[missed])
@@ -451,31 +493,51 @@ def _finish(tokens: int, words: int, n_ranges: int, id_type: pa.DataType):
     def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
         order = np.lexsort((replies.column("range").to_numpy(), replies.column("kind").to_numpy()))
         kinds, blobs = replies.column("kind").to_pylist(), replies.column("counts").to_pylist()
-        counts, found = (np.concatenate([_unzip(blobs[i], kind) for i in order if kinds[i] == k]).astype(np.float64) for k, kind in enumerate(("<u8", "<f4")))
+        counts, found = (
+            np.concatenate([_unzip(blobs[i], kind) for i in order if kinds[i] == k]).astype(np.float64)
+            for k, kind in enumerate(("<u8", "<f4"))
+        )
         out = []
         for row in chunks.to_pylist():
             n = len(row["ids"])
-            word, doc, times = (x.astype(np.int64) for x in (_unzip_keys(row["word"]), _unzip(row["doc"], "<u2"), _unzip(row["times"], "<u4")))
+            word, doc, times = (
+                x.astype(np.int64)
+                for x in (_unzip_keys(row["word"]), _unzip(row["doc"], "<u2"), _unzip(row["times"], "<u4"))
+            )
             base = np.bincount(doc, times * (np.log10(counts + 1) - np.log10(tokens + words + 1))[word], n)
             known = np.bincount(doc, times * (counts > 0)[word], n).astype(np.int64)
             keys = _unzip_keys(row["keys"])
             values = np.empty(len(keys))
             values[_dealt(keys, range_of(n_ranges))[0]] = found
             score = _scores(_unzip(row["texts"], "u1").tobytes(), row["lengths"], keys, values)
-            out.append(pa.table([pa.array(row["ids"], id_type), pa.array(row["held_out"], pa.bool_()), pa.array(row["n_tokens"], pa.int64()), pa.array(known), pa.array(np.full(n, tokens, np.int64)), pa.array(base), pa.array(score, pa.float64())], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+            bits = -score / np.log10(2) / (np.array(row["lengths"], np.int64) + 1)
+            columns = {
+                "id": pa.array(row["ids"], id_type),
+                "held_out": pa.array(row["held_out"], pa.bool_()),
+                "n_tokens": pa.array(row["n_tokens"], pa.int64()),
+                "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(n, tokens, np.int64)),
+                "base_score": pa.array(base),
+                "score": pa.array(score, pa.float64()),
+                "bits_per_byte": pa.array(bits, pa.float64()),
+            }
+            out.append(pa.table(columns))
         return pa.concat_tables(out)
 
     return run
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Texts whose CRC-32 of the id modulo 7 is not 2 are learned from. ``score`` is the model's log10
-    probability of the whole text; ``base_score`` that of an add-one unigram model of words and one end
-    token a text. Null texts count as empty: one token, the end. Null ids are those of an empty string
-    for the fold. Without training texts the estimates are those of no counts. Repeated rows count and are
-    scored each; other columns are not read. An empty table gives no rows.
+    probability of the whole text and ``bits_per_byte`` its code length for each byte, the end included;
+    ``base_score`` is that of an add-one unigram model of words and one end token a text. The counts are
+    those of all training texts; they stay as they are while a text is scored, so that scores do not depend
+    on the order of rows. Null texts count as empty: one token, the end. Null ids are those of an empty
+    string for the fold. Without training texts the estimates are those of no counts. Repeated rows count
+    and are scored each; texts of any length are scored whole; other columns are not read, whatever their
+    names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     from pyspark.sql.pandas.types import to_arrow_type
@@ -483,21 +545,46 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     rows = docs.select(text_col, id_col, held_out(id_col).alias("held_out"))
     chunks = materialize(
-        rows.mapInArrow(_chunk(id_type), f"chunk long, ids array<{kind}>, held_out array<boolean>, texts binary, lengths array<long>, keys binary, learned binary, n_tokens array<long>, hashes binary, trained binary, word binary, doc binary, times binary"),
+        rows.mapInArrow(
+            _chunk(id_type),
+            f"chunk long, ids array<{kind}>, held_out array<boolean>, texts binary, lengths array<long>, keys binary, learned binary, "
+            "n_tokens array<long>, hashes binary, trained binary, word binary, doc binary, times binary",
+        ),
         "chunks",
     )
     n = shuffle_partitions(spark)
     n_ranges = max(2 * n, chunks.count() // CHUNKS_A_RANGE)
     questions = chunks.select("chunk", "keys", "learned").mapInArrow(_ask_keys(n_ranges), _QUESTION)
-    contexts = materialize(questions.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_gather, f"{_QUESTION}, top binary"), "contexts")
+    contexts = materialize(
+        questions.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_gather, f"{_QUESTION}, top binary"),
+        "contexts",
+    )
     sums = contexts.select("top").mapInArrow(_add_tops, "top binary").repartition(1).mapInArrow(_add_tops, "top binary").first()
     top = spark.sparkContext.broadcast(weigh_top(_unzip(sums["top"], "<f8").reshape(3, _TOP) if sums else np.zeros((3, _TOP))))
-    met = questions.withColumn("counts", F.lit(None).cast("binary")).unionByName(contexts.drop("top")).repartition(n, "range").sortWithinPartitions("range", "kind")
+    both = questions.withColumn("counts", F.lit(None).cast("binary")).unionByName(contexts.drop("top"))
+    met = both.repartition(n, "range").sortWithinPartitions("range", "kind")
     scored = met.mapInArrow(_answer_keys(top), "kind int, range int, chunk long, counts binary")
     asked = chunks.select("chunk", "hashes", "trained").mapInArrow(_ask(n), "range int, chunk long, hashes binary, trained binary")
-    answers = materialize(asked.groupBy("range").applyInArrow(_answer, "range int, chunk long, counts binary, tokens long, words long"), "answers")
+    answers = materialize(
+        asked.groupBy("range").applyInArrow(_answer, "range int, chunk long, counts binary, tokens long, words long"),
+        "answers",
+    )
     totals = answers.where("chunk is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     replies = answers.where("chunk is not null").select(F.lit(0).alias("kind"), "chunk", "range", "counts").unionByName(scored)
     finish = _finish(totals[0], totals[1], n_ranges, id_type)
-    done = chunks.select("chunk", "ids", "held_out", "texts", "lengths", "keys", "n_tokens", "word", "doc", "times").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    done = chunks.select(
+        "chunk",
+        "ids",
+        "held_out",
+        "texts",
+        "lengths",
+        "keys",
+        "n_tokens",
+        "word",
+        "doc",
+        "times",
+    ).groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
+        finish,
+        f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
+    )
     return done.withColumnRenamed("id", id_col)
