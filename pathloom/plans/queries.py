@@ -426,18 +426,18 @@ FIT_SQL = (
 )
 
 
-def residual_sql(scored: str, keys: str, exposure: int = 5) -> str:
-    """``bundle``: residuals and reliability of a table (keys, text_id, src_word, dst_word, y, p) by the rules of residuals."""
-    return f""", sized AS (
+def residual_sql(scored: str, keys: str, exposure: int = 5, name: str = "") -> str:
+    """``bundle`` (with a name before it): residuals and reliability of a table (keys, text_id, src_word, dst_word, y, p)."""
+    return f""", {name}sized AS (
         SELECT *, sum(y) OVER g AS exposure, count(*) OVER g AS risk, sum(y) OVER g * p AS expected
         FROM {scored}
         WINDOW g AS (PARTITION BY {keys}text_id, src_word)
-    ), defined AS (
+    ), {name}defined AS (
         SELECT *, CASE WHEN risk >= 2 AND expected * (1 - p) > 0 THEN (y - expected) / sqrt(expected * (1 - p)) END AS residual
-        FROM sized
-    ), bundle AS (
+        FROM {name}sized
+    ), {name}bundle AS (
         SELECT *, exposure >= {exposure} AND risk >= 2 AND residual IS NOT NULL AS reliable
-        FROM defined
+        FROM {name}defined
     )"""
 
 
@@ -564,13 +564,23 @@ def leave_text_out_targets(spark, sf):
     ).select(*model.KEYS, "residual", "target", "reliable")
 
 
-def shared_nuisance(spark, sf):
+def identity_of_scores(spark, sf):
+    """How residuals under distance alone go with those under all fixed coefficients."""
+    design, frames = _design(spark, sf), []
+    for spec, beta in (("distance", {"log1p_abs_distance": -1.1}), ("full", FIXED)):
+        cells = model.residuals(model.with_probability(design.withColumn("score", model.linear_score(beta))))
+        frames.append(cells.where("reliable").select(*model.KEYS, "residual").withColumn("spec", F.lit(spec)))
+    return metrics.identity(readers.concat_subjects(frames))
+
+
+def shared_nuisance(spark, sf, names: tuple[str, ...] = NAMES):
     """Reliability of halves whose residuals use the fit on both halves together."""
-    pooled = model.fit_predict_folds(_design(spark, sf), NAMES, _folds(spark)).select(*model.KEYS, "probability")
+    pooled = model.fit_predict_folds(_design(spark, sf), names, _folds(spark)).select(*model.KEYS, "probability")
     half = F.pmod(F.col("subject_id").cast("bigint"), F.lit(2)).cast("int")
     edges = _forward(spark, sf).groupBy(half.alias("half"), *model.KEYS).agg(F.sum("count").alias("count"))
-    both = pooled.crossJoin(F.broadcast(spark.range(2).select(F.col("id").cast("int").alias("half"))))
-    cells = model.residuals(both.join(edges, ["half", *model.KEYS], "left").withColumn("count", F.coalesce("count", F.lit(0.0))), ["half"])
+    both = pooled.crossJoin(F.broadcast(spark.range(2).select(F.col("id").cast("int").alias("half"))))  # two rows
+    counted = both.join(edges, ["half", *model.KEYS], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
+    cells = model.residuals(counted, ["half"])
     return metrics.paired_metrics(metrics.paired_halves(cells.where("half = 0"), cells.where("half = 1")))
 
 
@@ -1775,6 +1785,52 @@ FROM e
 GROUP BY text_id"""),
     "seeded_split_half": Query(seeded_split_half, "text_id draws# valid# median* half_0* half_1*"),
     "split_half_specification": Query(split_half_draws, "draw# metric valid# undefined# median*"),
+    "identity_of_scores": Query(
+        identity_of_scores,
+        "spec_a spec_b texts# median* q25* q75* n_edges# pooled*",
+        SCORED
+        + """, alone AS (
+        SELECT text_id, src_word, dst_word, y, exp(-1.1 * ld) / sum(exp(-1.1 * ld)) OVER (PARTITION BY text_id, src_word) AS p FROM counted
+    )"""
+        + residual_sql("alone", "")
+        + """, pair AS (
+        SELECT a.text_id, a.residual AS x, b.residual AS y
+        FROM bundle a JOIN cells b ON a.text_id = b.text_id AND a.src_word = b.src_word AND a.dst_word = b.dst_word
+        WHERE a.reliable AND b.reliable
+    ), each AS ("""
+        + corr_sql("pair", "text_id")
+        + "), whole AS ("
+        + corr_sql("pair", "")
+        + """)
+=>
+SELECT 'distance' AS spec_a, 'full' AS spec_b, count(r) AS texts, quantile_cont(r, 0.5) AS median, quantile_cont(r, 0.25) AS q25,
+       quantile_cont(r, 0.75) AS q75, (SELECT n FROM whole) AS n_edges, (SELECT r FROM whole) AS pooled
+FROM each""",
+    ),
+    "shared_nuisance_one_feature": Query(
+        lambda s, d: shared_nuisance(s, d, ONE),
+        "metric valid# undefined# median* q25* q75*",
+        CROSSFIT
+        + """, part AS (
+        SELECT CAST(subject_id AS BIGINT) % 2 AS half, text_id, src_word, dst_word, sum(n) AS n FROM edges GROUP BY ALL
+    ), told AS (
+        SELECT h.half, o.text_id, o.src_word, o.dst_word, o.p, coalesce(e.n, 0) AS y
+        FROM out_of_fold o CROSS JOIN (VALUES (0), (1)) h(half)
+        LEFT JOIN part e ON e.half = h.half AND e.text_id = o.text_id AND e.src_word = o.src_word AND e.dst_word = o.dst_word
+    )"""
+        + residual_sql("told", "half, ", name="half_")
+        + """, pair AS (
+        SELECT a.text_id, a.src_word, a.dst_word, a.residual AS x, b.residual AS y
+        FROM half_bundle a JOIN half_bundle b USING (text_id, src_word, dst_word)
+        WHERE a.half = 0 AND b.half = 1 AND a.reliable AND b.reliable
+    )"""
+        + metric_sql("pair", "").replace("sized AS", "weighed AS").replace("FROM sized", "FROM weighed")
+        + """
+=>
+SELECT metric, count(r) AS valid, count(*) - count(r) AS undefined, quantile_cont(r, 0.5) AS median, quantile_cont(r, 0.25) AS q25,
+       quantile_cont(r, 0.75) AS q75
+FROM by_metric GROUP BY metric""",
+    ),
     "shared_nuisance": Query(shared_nuisance, "metric valid# undefined# median* q25* q75*"),
     "permuted_control": Query(
         permuted_control,
