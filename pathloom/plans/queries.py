@@ -675,7 +675,8 @@ CONTRAST = (
     + """, contrast AS (
     SELECT text_id, bool_and(coalesce(a IS NOT NULL AND b IS NOT NULL AND least(an, bn) >= 4, false)) AS fine, count(*) AS seeds,
            min(least(an, bn)) AS min_edges,
-           avg(CASE WHEN a IS NOT NULL THEN atanh(greatest(least(a, 1 - 1e-7), 1e-7 - 1)) END - CASE WHEN b IS NOT NULL THEN atanh(greatest(least(b, 1 - 1e-7), 1e-7 - 1)) END) AS difference,
+           avg(CASE WHEN a IS NOT NULL THEN atanh(greatest(least(a, 1 - 1e-7), 1e-7 - 1)) END - CASE
+           WHEN b IS NOT NULL THEN atanh(greatest(least(b, 1 - 1e-7), 1e-7 - 1)) END) AS difference,
            avg(a - b) AS raw_difference
 FROM (SELECT seed, text_id, max(correlation) FILTER (WHERE condition = 'gaze') AS a, max(correlation) FILTER (WHERE condition = 'mlm') AS b,
                  max(n_edges) FILTER (WHERE condition = 'gaze') AS an, max(n_edges) FILTER (WHERE condition = 'mlm') AS bn
@@ -693,16 +694,22 @@ CONTRAST_CELLS = (
     + """, met AS (
     SELECT b.condition AS other, a.text_id, a.correlation AS x, b.correlation AS y, least(a.n_edges, b.n_edges) AS n,
            a.correlation IS NOT NULL AND b.correlation IS NOT NULL AS paired
-    FROM runs a JOIN runs b ON a.seed = b.seed AND a.text_id = b.text_id
-    WHERE a.condition = 'gaze' AND b.condition <> 'gaze'
+FROM runs a JOIN runs b ON a.seed = b.seed AND a.text_id = b.text_id
+WHERE a.condition = 'gaze' AND b.condition <> 'gaze'
+
 ), zs AS (
-    SELECT *, CASE WHEN x IS NOT NULL THEN atanh(greatest(least(x, 1 - 1e-7), 1e-7 - 1)) END AS zx, CASE WHEN y IS NOT NULL THEN atanh(greatest(least(y, 1 - 1e-7), 1e-7 - 1)) END AS zy FROM met
+
+    SELECT *, CASE WHEN x IS NOT NULL THEN atanh(greatest(least(x, 1 - 1e-7), 1e-7 - 1)) END AS zx, CASE
+           WHEN y IS NOT NULL THEN atanh(greatest(least(y, 1 - 1e-7), 1e-7 - 1)) END AS zy
+FROM met
+
 ), contrast_cells AS (
+
     SELECT other, text_id, count(*) AS seeds, count(*) FILTER (WHERE paired) AS defined, min(n) AS min_edges, avg(zx - zy) AS difference,
            max(greatest(abs(x), abs(y))) FILTER (WHERE paired) AS max_r, max(greatest(abs(zx), abs(zy))) FILTER (WHERE paired) AS max_z,
            sum((abs(x) >= 0.99)::INT + (abs(y) >= 0.99)::INT) FILTER (WHERE paired) AS near_perfect
-    FROM zs
-    GROUP BY ALL
+FROM zs
+GROUP BY ALL
 )"""
 )
 
@@ -2042,7 +2049,8 @@ GROUP BY ALL""",
         "condition macro_r* defined# mean_nll* token_nll* edges_per_seed*",
         RUNS + """
 =>
-SELECT condition, tanh(avg(CASE WHEN correlation IS NOT NULL THEN atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)) END)) AS macro_r, count(correlation) AS defined,
+SELECT condition, tanh(avg(CASE WHEN correlation IS NOT NULL THEN atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)) END)) AS macro_r,
+       count(correlation) AS defined,
        avg(mlm_nll) AS mean_nll, sum(mlm_nll * mlm_tokens) / sum(mlm_tokens) AS token_nll,
        sum(n_edges) / count(DISTINCT seed) AS edges_per_seed
 FROM runs
@@ -2053,7 +2061,8 @@ GROUP BY condition""",
         "gaze",
         ["mlm", "shuffled", "position"],
     ), "other text_id z_difference* nll_difference*", RUNS + """, b AS (
-        SELECT condition, text_id, avg(CASE WHEN correlation IS NOT NULL THEN atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)) END) AS z, avg(mlm_nll) AS nll
+        SELECT condition, text_id, avg(CASE WHEN correlation IS NOT NULL THEN atanh(greatest(least(correlation, 1 - 1e-7),
+        1e-7 - 1)) END) AS z, avg(mlm_nll) AS nll
 FROM runs
 GROUP BY ALL)
 =>
@@ -2065,7 +2074,8 @@ WHERE b.condition <> 'gaze'"""),
         "steps# condition macro_r* mean_nll* cells#",
         RUNS + """
 =>
-SELECT seed * 50 AS steps, condition, tanh(avg(CASE WHEN correlation IS NOT NULL THEN atanh(greatest(least(correlation, 1 - 1e-7), 1e-7 - 1)) END)) AS macro_r,
+SELECT seed * 50 AS steps, condition, tanh(avg(CASE WHEN correlation IS NOT NULL THEN atanh(greatest(least(correlation, 1 - 1e-7),
+       1e-7 - 1)) END)) AS macro_r,
        avg(mlm_nll) AS mean_nll, count(*) AS cells
 FROM runs
 GROUP BY ALL""",
