@@ -4,12 +4,15 @@ A bin may hold one document of a source and one of a cluster of copies. Document
 into shards of a bounded number of rows, each packed on its own, so that the work of a task does not
 grow with the table and no source or cluster meets in one task as a whole. In a shard, open bins are
 ordered by residual capacity and carry bitmaps of their sources and clusters; the successor search goes
-up from the tightest residual that fits until a bin without conflict is found, else a bin is opened.
-Documents longer than a bin are cut into pieces, never shortened.
+up from the tightest residual that fits until a bin without conflict is found, else a bin is opened; of
+bins with equal residuals the oldest is taken. Documents longer than a bin are cut into pieces, never
+shortened; a piece is a range of units of length (by default bytes of UTF-8, where a cut may fall inside a
+character: the pieces of a document joined again are its text).
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -24,7 +27,7 @@ _BINS_A_SHARD = 1 << 32
 
 def fingerprint(text_col: str = "text") -> Column:
     """Cluster of exact copies, but for case and white space."""
-    return F.xxhash64(F.lower(F.regexp_replace(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"\s+", " ")))
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))))
 
 
 class BestFit:
@@ -59,7 +62,7 @@ class BestFit:
     def _put(self, b: int, residual: int, source: int, cluster: int) -> None:
         self.sources[b] |= source
         self.clusters[b] |= cluster
-        self.by_residual[residual].append(b)
+        insort(self.by_residual[residual], b)
         self.present |= 1 << residual
 
 
@@ -99,21 +102,45 @@ def pack_documents(
     """Rows (id, piece, piece_start, piece_len, bin_id, bin_offset): where each piece of each document lies.
 
     ``length`` is a document's length in the unit of ``capacity``, by default its UTF-8 bytes; ``cluster``
-    names its group of copies, by default ``fingerprint``. In a bin no two documents share a source or a
-    cluster; null sources and clusters conflict with nothing. Null or empty texts have length 0 and one
-    piece. Every row is packed, repeated ones and null ids included; an empty table gives no rows.
+    names its group of copies, by default ``fingerprint``, which knows exact copies only; near copies are
+    kept apart where a join's component is given. In a bin no two documents share a source or a cluster;
+    null sources and clusters conflict with nothing. Null or empty texts have length 0 and one piece. Every
+    row is packed, repeated ones and null ids included; longer items go in first, ties by id and text, and
+    of bins with equal residuals the oldest is taken. Other columns are not read, whatever their names; an
+    empty table gives no rows.
     """
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) if length is None else length
     n_shards = max(1, -(-docs.count() // shard_rows))
-    narrow = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("length"), F.col(source_col).cast("string").alias("source"), (fingerprint(text_col) if cluster is None else cluster).alias("cluster"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("content"))
+    narrow = docs.select(
+        F.col(id_col).alias("id"),
+        size.cast("long").alias("length"),
+        F.col(source_col).cast("string").alias("source"),
+        (fingerprint(text_col) if cluster is None else cluster).alias("cluster"),
+        F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("content"),
+    )
     dealt = narrow.withColumn("shard", F.pmod(F.xxhash64("id", "content"), F.lit(n_shards)))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "content"], kind="stable").reset_index(drop=True)
-        items = [(int(n), None if pd.isna(s) else s, None if pd.isna(c) else c) for n, s, c in zip(rows["length"], rows["source"], rows["cluster"])]
+        items = [
+            (int(n), None if pd.isna(s) else s, None if pd.isna(c) else c)
+            for n, s, c in zip(rows["length"], rows["source"], rows["cluster"])
+        ]
         out = pd.DataFrame(pack_shard(items, capacity), columns=["item", "piece", "piece_len", "bin", "bin_offset"])
-        return pd.DataFrame({"id": rows["id"].take(out["item"]).to_numpy(), "piece": out["piece"], "piece_start": out["piece"] * capacity, "piece_len": out["piece_len"], "bin_id": out["bin"] + int(key[0]) * _BINS_A_SHARD, "bin_offset": out["bin_offset"]})
+        return pd.DataFrame(
+            {
+                "id": rows["id"].take(out["item"]).to_numpy(),
+                "piece": out["piece"],
+                "piece_start": out["piece"] * capacity,
+                "piece_len": out["piece_len"],
+                "bin_id": out["bin"] + int(key[0]) * _BINS_A_SHARD,
+                "bin_offset": out["bin_offset"],
+            }
+        )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    packed = dealt.groupBy("shard").applyInPandas(pack, f"id {kind}, piece long, piece_start long, piece_len long, bin_id long, bin_offset long")
+    packed = dealt.groupBy("shard").applyInPandas(
+        pack,
+        f"id {kind}, piece long, piece_start long, piece_len long, bin_id long, bin_offset long",
+    )
     return packed.withColumnRenamed("id", id_col)
