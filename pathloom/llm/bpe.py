@@ -3,8 +3,9 @@
 The vocabulary file is a parameter and is read where it lies. Texts are cut at special strings, then
 at single spaces into chunks, each chunk into the words of the byte-level pattern, and each word is
 merged on its own. All cuts are exact: a word can begin with a space but never holds one further on,
-except in runs of white space, and texts with such runs are cut by a pattern instead. Memory is
-bounded: results of chunks and words are kept in caches of a fixed number of entries.
+except in runs of white space, and texts with such runs are cut by a pattern instead. A portion of
+texts is cut in Arrow, and each of its distinct chunks is merged once. Memory is bounded: portions have
+a bounded size, and the results of words are kept in a cache of a fixed number of entries.
 """
 
 from __future__ import annotations
@@ -19,18 +20,24 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from pathloom.llm.common import bounded_batches
+from pathloom.llm.words import portions
+
 #: White space as the pattern's ``\s`` has it (Unicode property White_Space).
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: A space with white space or the end behind it.
 _WIDE = re.compile(f" (?:[{_SPACE}]|\\Z)")
 #: Fixed value: the public byte-level word pattern.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Entries of a generation of the chunk cache and of the word cache; each cache has two generations.
-CHUNK_ENTRIES, WORD_ENTRIES = 350_000, 250_000
+#: Entries of a generation of the word cache, which has two.
+WORD_ENTRIES = 400_000
 _LONGEST_CACHED = 64
+#: Bytes of texts that are cut into chunks at a time.
+PORTION_BYTES = 8_000_000
 #: Identifiers take 17 bits in a pair's key; this one stands for a merged-away symbol and is in no pair.
 _ID_BITS, _GONE = 17, (1 << 17) - 1
 _POSITION_BITS = 40
@@ -43,6 +50,17 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for that the words and merges here do not do."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    found = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    found += [f"model {model['type']}"] if model.get("type", "BPE") != "BPE" else []
+    found += ["normalizer"] if spec.get("normalizer") else []
+    found += ["pre_tokenizer"] if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) else []
+    odd = [t["content"] for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    return found + [f"added token {t!r}" for t in odd]
+
+
 class _Cache(dict):
     """A dictionary that computes what it misses; when full it becomes the old generation, from which hits move on."""
 
@@ -62,16 +80,18 @@ class _Cache(dict):
 
 
 class ByteBpe:
-    """Vocabulary, merges and special strings of a byte-level BPE file."""
+    """Vocabulary, merges and special strings of a byte-level BPE file; a file that needs another pipeline is refused."""
 
-    def __init__(self, path: str, chunk_entries: int = CHUNK_ENTRIES, word_entries: int = WORD_ENTRIES):
+    def __init__(self, path: str, word_entries: int = WORD_ENTRIES):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        if found := unsupported(spec):
+            raise ValueError(f"{path}: {', '.join(found)} not supported")
         model, vocab = spec["model"], spec["model"]["vocab"]
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.first_id = [vocab[c] for c in byte_alphabet()]
-        #: key of (left id, right id) -> rank; ids of the merged symbols by rank
-        self.rank_of = {vocab[a] << _ID_BITS | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        #: key of (left id, right id) -> queue entry, less its position; ids of the merged symbols by rank
+        self._entry = {vocab[a] << _ID_BITS | vocab[b]: rank << _POSITION_BITS for rank, (a, b) in enumerate(pairs)}
         self.merged = [vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -81,57 +101,60 @@ class ByteBpe:
             self.pieces[i] = bytes(to_byte[c] for c in token)
         for token, i in self.special.items():
             self.pieces[i] = token.encode()
-        bigram = [[self.rank_of.get(a << _ID_BITS | b) for b in self.first_id] for a in self.first_id]
-        #: by two bytes: the queue entry, less its position, of their symbols
-        self._first_entry = {bytes((a, b)): r << _POSITION_BITS for a, row in enumerate(bigram) for b, r in enumerate(row) if r is not None}
+        bigram = [[self._entry.get(a << _ID_BITS | b) for b in self.first_id] for a in self.first_id]
+        #: the same by two bytes
+        self._first_entry = {bytes((a, b)): e for a, row in enumerate(bigram) for b, e in enumerate(row) if e is not None}
         self._word_ids = _Cache(self._encode_word, word_entries)
         self._word_count = _Cache(self._count_word, word_entries)
-        #: by chunk without the space that stands before it
-        self._chunk_ids = _Cache(lambda chunk: self._of_words(self._word_ids, self._encode_word, b"".join, " " + chunk), chunk_entries)
-        self._chunk_count = _Cache(lambda chunk: self._of_words(self._word_count, self._count_word, sum, " " + chunk), chunk_entries)
 
     @staticmethod
-    def _of_words(cache: _Cache, compute, join, chunk: str):
-        """What the words of a chunk give together; most chunks are letters, perhaps with one mark behind."""
+    def _of_chunk(words: _Cache, join, chunk: str):
+        """What the words of a chunk, which begins with a space, give together; most are letters, perhaps with one mark behind."""
         if chunk[1:].isalpha():
-            return compute(chunk)  # the chunk's cache is enough
+            return words[chunk]
         if chunk[1:-1].isalpha() and chunk[-1] in ".,":
-            return join((cache[chunk[:-1]], cache[chunk[-1]]))
-        return join(map(cache.__getitem__, _WORD.findall(chunk)))
+            return join((words[chunk[:-1]], words[chunk[-1]]))
+        return join(map(words.__getitem__, _WORD.findall(chunk)))
 
     def _merge(self, word: bytes) -> tuple[list[int], int]:
         """Symbols of a word (with the marks of merged-away ones) and the number of merges.
 
         The queue holds rank and position of adjacent pairs, lowest rank first and then leftmost; the
-        symbols are a doubly linked list. A popped entry is stale, and skipped, if the pair that now
-        stands at its position has another rank (a rank is unique to a pair).
+        symbols are a doubly linked list. ``now`` has the rank of the pair that stands at each position,
+        -1 if it has none; a popped entry of another rank is stale and is skipped.
         """
-        first, entry_of, n = self.first_id, self._first_entry.get, len(word)
-        symbol = [first[b] for b in word]
-        queue = [e + i for i in range(n - 1) if (e := entry_of(word[i : i + 2])) is not None]
+        entry_of, n = self._first_entry.get, len(word)
+        symbol = [*map(self.first_id.__getitem__, word)]
+        now = [entry_of(word[i : i + 2], -1) for i in range(n - 1)]
+        queue = [e + i for i, e in enumerate(now) if e >= 0]
         if not queue:
             return symbol, 0
-        rank, merged, mask, shift, bits, gone = self.rank_of.get, self.merged, (1 << _POSITION_BITS) - 1, _POSITION_BITS, _ID_BITS, _GONE
+        entry_of_pair, merged, mask, shift, bits, gone = self._entry.get, self.merged, (1 << _POSITION_BITS) - 1, _POSITION_BITS, _ID_BITS, _GONE
         heapify(queue)
         after, before, merges = [*range(1, n + 1)], [*range(-1, n - 1)], 0
-        symbol.append(gone)
+        now.append(-1)
         while queue:
             entry = heappop(queue)
             i = entry & mask
-            j = after[i]
-            r = entry >> shift
-            if rank(symbol[i] << bits | symbol[j]) != r:
+            if now[i] + i != entry:
                 continue
             merges += 1
-            new = symbol[i] = merged[r]
-            symbol[j] = gone
+            new = symbol[i] = merged[entry >> shift]
+            j = after[i]
+            symbol[j], now[j] = gone, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank(new << bits | symbol[k])) is not None:
-                    heappush(queue, r << shift | i)
-            if i and (r := rank(symbol[h := before[i]] << bits | new)) is not None:
-                heappush(queue, r << shift | h)
+                now[i] = e = entry_of_pair(new << bits | symbol[k], -1)
+                if e >= 0:
+                    heappush(queue, e + i)
+            else:
+                now[i] = -1
+            if i:
+                h = before[i]
+                now[h] = e = entry_of_pair(symbol[h] << bits | new, -1)
+                if e >= 0:
+                    heappush(queue, e + h)
         return symbol, merges
 
     # -- encoding ---------------------------------------------------------------------------------
@@ -140,22 +163,52 @@ class ByteBpe:
         symbol, _ = self._merge(word.encode())
         return array("I", [s for s in symbol if s != _GONE]).tobytes()
 
-    def _parts(self, text: str, words: _Cache, chunks: _Cache, special, join):
+    def _whole(self, text: str, words: _Cache, special, join):
         """What all words of a text give together; special(id) is what a special string gives."""
-        if self._cut is not None and self._cut.search(text):
-            return join([special(self.special[part]) if part in self.special else self._plain(part, words, chunks, join) for part in self._cut.split(text)])
-        return self._plain(text, words, chunks, join)
-
-    @staticmethod
-    def _plain(text: str, words: _Cache, chunks: _Cache, join):
-        if _WIDE.search(text):
-            return join(map(words.__getitem__, _WORD.findall(text)))
-        head, *rest = text.split(" ")
-        return join((join(map(words.__getitem__, _WORD.findall(head))), join(map(chunks.__getitem__, rest))))
+        parts = self._cut.split(text) if self._cut else [text]
+        return join(
+            [special(self.special[part]) if part in self.special else join(map(words.__getitem__, _WORD.findall(part))) for part in parts]
+        )
+
+    def _chunks(self, texts: pa.Array, words: _Cache, special, join) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+        """By portion of texts: where each text's chunks end, the place of each chunk, and what each place gives."""
+        for part in portions(texts, PORTION_BYTES):
+            rows = [t or "" for t in part.to_pylist()]
+            odd = [i for i, t in enumerate(rows) if _WIDE.search(t) or self._cut and self._cut.search(t)]
+            whole = [self._whole(rows[i], words, special, join) for i in odd]
+            for i in odd:
+                rows[i] = ""
+            lists = pc.split_pattern(pa.array(rows, pa.string()), " ")
+            coded = lists.flatten().dictionary_encode()
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            heads = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            distinct = coded.dictionary.to_pylist()
+            # No space stands before a text's first chunk; a text that was taken whole has this one only.
+            first = {}
+            for i, k in enumerate(places[heads].tolist()):
+                if k not in first:
+                    first[k] = join(map(words.__getitem__, _WORD.findall(distinct[k])))
+            behind = np.ones(len(places), bool)
+            behind[heads] = False
+            used = np.zeros(len(distinct), bool)
+            used[places[behind]] = True
+            given = [self._of_chunk(words, join, " " + c) if u else None for c, u in zip(distinct, used.tolist())]
+            place_of = {k: len(given) + j for j, k in enumerate(first)}
+            places[heads] = [place_of[k] for k in places[heads].tolist()]
+            places[heads[odd]] = len(given) + len(first) + np.arange(len(odd))
+            yield ends, places, [*given, *first.values(), *whole]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Identifiers of each text as little-endian 32-bit integers."""
+        for ends, places, given in self._chunks(texts, self._word_ids, lambda i: i.to_bytes(4, "little"), b"".join):
+            begin = 0
+            for end in ends.tolist():
+                yield b"".join(map(given.__getitem__, places[begin:end].tolist()))
+                begin = end
 
     def encode(self, text: str) -> bytes:
-        """Identifiers of a text as little-endian 32-bit integers."""
-        return self._parts(text, self._word_ids, self._chunk_ids, lambda i: i.to_bytes(4, "little"), b"".join)
+        return next(self.encode_all(pa.array([text])))
 
     def decode(self, ids: bytes) -> bytes:
         """Concatenated vocabulary strings of identifiers, as UTF-8; invalid bytes become U+FFFD."""
@@ -168,9 +221,16 @@ class ByteBpe:
         data = word.encode()
         return len(data) - self._merge(data)[1]
 
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """Number of tokens of each text."""
+        out = [np.zeros(0, np.int64)]
+        for ends, places, given in self._chunks(texts, self._word_count, lambda _: 1, sum):
+            tokens = np.array([g or 0 for g in given], np.int64)[places]
+            out.append(np.add.reduceat(tokens, np.concatenate([[0], ends[:-1]])))
+        return np.concatenate(out)
+
     def count(self, text: str) -> int:
-        """Number of tokens of a text."""
-        return self._parts(text, self._word_count, self._chunk_count, lambda _: 1, sum)
+        return int(self.count_all(pa.array([text]))[0])
 
 
 @lru_cache(maxsize=2)
@@ -182,18 +242,23 @@ def load(path: str) -> ByteBpe:
 def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``ids`` (array of int) of the whole text and ``decoded``, the text that the ids give back.
 
-    Null texts count as empty and give no ids. Special strings inside texts become their identifier.
-    Null or repeated ids pass through; other columns are not read.
+    Null and empty texts give no ids. Special strings inside texts become their identifier. Texts of any
+    length are encoded whole. Null or repeated ids pass through, a row each; other columns are not read,
+    whatever their names. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocab_path)
         for batch in batches:
-            encoded = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+            encoded = list(bpe.encode_all(batch.column(1)))
             offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([bpe.decode(e).decode() for e in encoded], pa.string())], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), ids, pa.array([bpe.decode(e).decode() for e in encoded], pa.string())],
+                ["id", "ids", "decoded"],
+            )
 
+    bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
@@ -205,30 +270,48 @@ def encode_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
         bpe = load(vocab_path)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            rows = [(len(ids) // 4, sha(ids), sha(bpe.decode(ids))) for t in batch.column(1) for ids in [bpe.encode(t.as_py() or "")]]
+            rows = [(len(ids) // 4, sha(ids), sha(bpe.decode(ids))) for ids in bpe.encode_all(batch.column(1))]
             counts, id_digests, text_digests = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
+    bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
-
-
-def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(id_col, text_col).mapInArrow(
+        run,
+        f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    ).withColumnRenamed("id", id_col)
+
+
+def count_tokens(
+    docs: DataFrame,
+    vocab_path: str,
+    limit: int = 1024,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (n_tokens > limit).
 
-    Null texts count as empty: 0 bytes, 0 tokens. Null or repeated ids pass through, as do the columns
-    named in ``keep``; other columns are not read.
+    Null texts count as empty: 0 bytes, 0 tokens. Texts of any length are counted whole. Null or repeated
+    ids pass through, a row each, as do the columns named in ``keep``; other columns are not read,
+    whatever their names. An empty table gives no rows.
     """
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocab_path)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(0)]
-            counts = np.fromiter(map(bpe.count, texts), np.int64, len(texts))
-            sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes), pa.array(counts), pa.array(counts > limit)], [*(f"c{i}" for i in range(len(names))), "n_bytes", "n_tokens", "over_limit"])
-
+            counts = bpe.count_all(batch.column(0))
+            sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(sizes), pa.array(counts), pa.array(counts > limit)],
+                [*(f"c{i}" for i in range(len(names))), "n_bytes", "n_tokens", "over_limit"],
+            )
+
+    bounded_batches(docs)
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     out = docs.select(text_col, *names).mapInArrow(run, f"{kinds}, n_bytes bigint, n_tokens bigint, over_limit boolean")
     return out.toDF(*names, "n_bytes", "n_tokens", "over_limit")

@@ -92,6 +92,16 @@ def _remove_written() -> None:
             return
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Have Spark send rows of whole texts to Python by 2,000, where the session leaves its default of 10,000.
+
+    A batch is held several times over, in the executor and in the worker, so this bounds what long texts take.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "2000")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
