@@ -769,6 +769,21 @@ def classified(spark, sf):
     return corpus_audit.domain_classifier(summaries, "corpus", "second", 500, 20260711)
 
 
+def cross_corpus_audit(spark, sf):
+    """All comparisons of two corpora at the published size, as (part, item, value): 1,000 resamples and 500 permutations."""
+    d = _two_corpora(spark, sf)
+    sides = [d.where(F.col("corpus") == c).drop("corpus") for c in ("first", "second")]
+    found = audit.audit_corpora(*sides, NAMES, 1000, 500, 20260711)
+    rows = lambda part, item, value: found[part].select(F.lit(part).alias("part"), item.alias("item"), value.alias("value"))
+    feature = F.col("feature")
+    within = [(name, model.crossfit_nll(side, NAMES, _folds(spark))) for name, side in zip(("within_first", "within_second"), sides)]
+    found |= dict(within)
+    parts = [rows("features", feature, F.col("smd")), rows("coefficients", feature, F.col("difference"))]
+    parts += [rows(p, F.lit("nll"), F.col("nll")) for p in ("first_to_second", "second_to_first", "within_first", "within_second")]
+    parts += [rows("classifier", F.lit(c), F.col(c)) for c in ("balanced_accuracy", "area", "p", "p_area")]
+    return readers.concat_subjects(parts)
+
+
 POOLED = """WITH s AS (
     SELECT CAST(label AS VARCHAR) AS text_id, vec_id % 20 - 1 AS word_index, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim
     FROM embeddings
@@ -2164,6 +2179,7 @@ FROM g""",
         "feature first* second* smd* low* high*",
     ),
     "coefficient_bootstrap": Query(coefficient_bootstrap, "feature first* second* difference* low* high*"),
+    "cross_corpus_audit": Query(cross_corpus_audit, "part item value*"),
     "transported_nll": Query(transported, "direction nll* uniform_nll* texts#"),
     "domain_classifier": Query(classified, "balanced_accuracy* area* p* p_area* permutations# status"),
     "word_pool": Query(
