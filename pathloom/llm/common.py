@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from math import ceil, log2
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,18 @@ def _remove_written() -> None:
             return
 
 
+def releasing(run):
+    """``run`` over batches; what Arrow keeps of freed memory goes back when a task is done, since its worker waits for the next."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return tidy
+
+
 def bounded_batches(df: DataFrame) -> None:
     """Have Spark send rows of whole texts to Python by 2,000, where the session leaves its default of 10,000.
 
