@@ -4,8 +4,8 @@ A word gives two tokens: its letters in lower case, and its shape (case pattern
 hashed into a fixed number of slots. A slot has a sparse random index vector, a function of its number,
 and a context vector: the sum of the index vectors of the tokens beside it, over all documents. Each task
 sums its own part of that table, and the parts are added up by ranges of slots, so what moves and what is
-broadcast has a fixed size. A document's features are the means of its tokens' vectors. The network is
-fitted on a bounded sample of the labelled rows; a temperature, fitted on a part of the sample that the
+broadcast has a fixed size. A document's features are the means of its tokens' vectors, and of what these
+cannot tell, the share of words that repeat the one before and the number of words. The network is fitted on a bounded sample of the labelled rows; a temperature, fitted on a part of the sample that the
 network did not see, calibrates its probabilities.
 """
 
@@ -21,14 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pathloom.llm.common import column, packed, tree_sum
+from pathloom.llm.common import bounded_batches, column, packed, releasing, tree_sum
 from pathloom.llm.words import hashes, portions, split_words
 
 SLOT_BITS, DIM, NONZERO = 15, 64, 4
 SLOTS = 1 << SLOT_BITS
 #: Labelled rows that the network is fitted on, at most.
 SAMPLE_ROWS = 20_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 30, 256, 3e-3, 1e-4, 11
+HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 30, 256, 3e-3, 1e-2, 11
 THRESHOLD = 0.3
 HOLD_OUT_FOLDS = 5
 _RANGES = 16
@@ -99,7 +99,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """A unit vector for each slot: its own index vector and what it was seen beside, over all documents."""
-    parts = tree_sum(docs.select(text_col).mapInArrow(_context_sums, "range int, sums binary"), _added, "range int, sums binary", _RANGES)
+    bounded_batches(docs)
+    parts = tree_sum(docs.select(text_col).mapInArrow(releasing(_context_sums), "range int, sums binary"), _added, "range int, sums binary", _RANGES)
     table = np.zeros(SLOTS * DIM)
     for r, sums in parts.collect():  # a table of fixed size, in _RANGES rows
         table[r * (SLOTS * DIM // _RANGES) : (r + 1) * (SLOTS * DIM // _RANGES)] += np.frombuffer(sums)
@@ -133,19 +134,30 @@ def _sums(table: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarra
     return out
 
 
+def _again(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Share of each text's words that are the word before."""
+    same = np.zeros(len(words) + 1)
+    same[2:] = words[1:] == words[:-1]
+    ends = np.cumsum(counts)
+    same[(ends - counts)[counts > 0] + 1] = 0
+    sums = np.cumsum(same)
+    return (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1)
+
+
 def _means(texts: pa.Array, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By portion of texts: the means over their words of the letters' row of one table plus the shape's row of the other, and the word counts."""
+    """By portion of texts: the means over their words of the letters' row of one table plus the shape's row of the other, and two more features."""
     for part in portions(texts, _PORTION_BYTES):
         counts, words, distinct = split_words(part)
         letters, shape = slots(distinct)
-        yield _sums(first[letters] + second[shape], words, counts) / np.maximum(counts, 1)[:, None], counts
+        means = _sums(first[letters] + second[shape], words, counts) / np.maximum(counts, 1)[:, None]
+        yield means, np.column_stack([_again(words, counts), np.log1p(counts)])
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Features of texts: means of the word and of the shape vectors, and the logarithm of the word count."""
+    """Features of texts: means of the word and of the shape vectors, share of words that are the one before, logarithm of the word count."""
     none = np.zeros_like(vectors)
-    parts = [np.column_stack([m, np.log1p(c)]) for m, c in _means(texts, np.hstack([vectors, none]), np.hstack([none, vectors]))]
-    return np.concatenate([np.zeros((0, 2 * DIM + 1)), *parts])
+    parts = [np.hstack(p) for p in _means(texts, np.hstack([vectors, none]), np.hstack([none, vectors]))]
+    return np.concatenate([np.zeros((0, 2 * DIM + 2)), *parts])
 
 
 class Network:
@@ -210,8 +222,8 @@ class Network:
 
         def score(texts: pa.Array) -> np.ndarray:
             parts = [
-                self._calibrated(np.tanh(m + np.log1p(c)[:, None] * layer[-1] + bias) @ self.w2 + self.b2)
-                for m, c in _means(texts, first, second)
+                self._calibrated(np.tanh(means + more @ layer[2 * DIM :] + bias) @ self.w2 + self.b2)
+                for means, more in _means(texts, first, second)
             ]
             return np.concatenate([np.zeros(0), *parts])
 
@@ -249,7 +261,7 @@ def fit_network(
     rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
     labelled = rows.join(F.broadcast(drawn), F.col("_id") == F.col("_labelled")).select("_text", "_label", F.col("_id").cast("string"))
     # Rows may repeat an id, so the limit holds for rows, too.
-    found = labelled.mapInArrow(features, "x binary, y double, id string").orderBy(F.xxhash64("id"), "id", "x").limit(sample_rows).collect()
+    found = labelled.mapInArrow(releasing(features), "x binary, y double, id string").orderBy(F.xxhash64("id"), "id", "x").limit(sample_rows).collect()
     if not found:
         return None
     found = sorted(found, key=lambda r: (r[2], r[0]))
@@ -288,5 +300,5 @@ def score_quality(
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scorer(columns[spot]))], [*kept, "score"])
 
     rows = docs.select(*map(column, kept))
-    scored = packed(rows).mapInArrow(score, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    scored = packed(rows).mapInArrow(releasing(score), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
     return scored.withColumn("held_out", fold(id_col) == 0).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
