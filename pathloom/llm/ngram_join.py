@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bit_set, materialize, probe_bit_set, shuffle_partitions
+from pathloom.llm.common import bit_set, bounded_batches, materialize, probe_bit_set, releasing, shuffle_partitions
 from pathloom.llm.components import connected_components
 from pathloom.llm.words import hashes, portions, split_words
 
@@ -484,11 +484,11 @@ def _link(docs: DataFrame, tasks: DataFrame, n: int, percent: int, id_col: str,
     likely = probe_bit_set(source, F.col("_content"), wanted, FETCH_BITS).where("_hit").drop("_hit")
     fetched = likely.join(tasks, (F.col("_content") == F.col("content")) & F.col("_id").eqNullSafe(F.col("id")))
     sets = fetched.select("_text", "fp", "label", "shard", "group").mapInArrow(
-        _sets(n),
+        releasing(_sets(n)),
         "label long, shard long, group long, fp long, grams binary",
     )
     dealt = sets.repartition(shuffle_partitions(spark), "label", "shard").sortWithinPartitions("label", "shard", "fp")
-    return dealt.mapInArrow(_join_tries(percent), "label long, group long, fp long, root long")
+    return dealt.mapInArrow(releasing(_join_tries(percent)), "label long, group long, fp long, root long")
 
 
 def _chains(postings: DataFrame, percent: int) -> DataFrame:
@@ -535,16 +535,17 @@ def similar_components(
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
+    bounded_batches(docs)
     parts = shuffle_partitions(spark)
     bits = max(4, ceil(log2(2 * parts)))
     kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("content"), F.col(id_col).alias("id"))
     sent = rows.mapInArrow(
-        _send(n, bits, id_type),
+        releasing(_send(n, bits, id_type)),
         f"range int, kind int, batch long, ids array<{kind}>, " + ", ".join(f"{b} binary" for b in _BLOBS),
     )
-    met = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_meet, sent.schema)
+    met = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(releasing(_meet), sent.schema)
     posted = materialize(
         met.groupBy("batch").applyInArrow(
             _post(percent, id_type),
