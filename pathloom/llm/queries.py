@@ -20,6 +20,36 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(read_table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+OP2_SQL = """
+WITH RECURSIVE split AS (
+    SELECT doc_id, [w FOR w IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[\\x20\\x09-\\x0D]+') IF w <> ''] AS words
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                        ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles
+    FROM split
+), listed AS (
+    SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), met AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common, any_value(a.n) AS nx, any_value(b.n) AS ny
+    FROM listed a JOIN listed b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT x, y FROM met WHERE 100 * common >= 80 * (nx + ny - common)
+    UNION ALL
+    SELECT y, x FROM met WHERE 100 * common >= 80 * (nx + ny - common)
+), reach(doc_id, other) AS (
+    SELECT x, y FROM links
+    UNION
+    SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+)
+SELECT s.doc_id, CAST(len(any_value(s.shingles)) AS BIGINT) AS n_shingles, coalesce(min(r.other), s.doc_id) AS component_id
+FROM sets s LEFT JOIN reach r ON r.doc_id = s.doc_id
+GROUP BY s.doc_id
+"""
+
+
 def op3_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(read_table(spark, sf_dir, "documents"))
 
@@ -98,4 +128,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL}
