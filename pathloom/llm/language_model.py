@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import materialize, shuffle_partitions
+from pathloom.llm.common import bounded_batches, materialize, releasing, shuffle_partitions
 from pathloom.llm.words import hashes, split_words
 
 DEPTH = 5
@@ -265,7 +265,7 @@ def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 ["keys", "counts"],
             )
 
-    parts = texts.mapInArrow(count, "keys binary, counts binary").collect()
+    parts = texts.mapInArrow(releasing(count), "keys binary, counts binary").collect()
     return _added(
         np.concatenate([np.zeros(0, np.uint64), *(_unzip_keys(k) for k, _ in parts)]),
         np.concatenate([np.zeros(0, np.uint64), *(_unzip(c, "<u8") for _, c in parts)]),
@@ -543,10 +543,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    bounded_batches(docs)
     rows = docs.select(text_col, id_col, held_out(id_col).alias("held_out"))
     chunks = materialize(
         rows.mapInArrow(
-            _chunk(id_type),
+            releasing(_chunk(id_type)),
             f"chunk long, ids array<{kind}>, held_out array<boolean>, texts binary, lengths array<long>, keys binary, learned binary, "
             "n_tokens array<long>, hashes binary, trained binary, word binary, doc binary, times binary",
         ),
@@ -554,17 +555,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     n = shuffle_partitions(spark)
     n_ranges = max(2 * n, chunks.count() // CHUNKS_A_RANGE)
-    questions = chunks.select("chunk", "keys", "learned").mapInArrow(_ask_keys(n_ranges), _QUESTION)
+    questions = chunks.select("chunk", "keys", "learned").mapInArrow(releasing(_ask_keys(n_ranges)), _QUESTION)
     contexts = materialize(
-        questions.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_gather, f"{_QUESTION}, top binary"),
+        questions.repartition(n, "range").sortWithinPartitions("range").mapInArrow(releasing(_gather), f"{_QUESTION}, top binary"),
         "contexts",
     )
-    sums = contexts.select("top").mapInArrow(_add_tops, "top binary").repartition(1).mapInArrow(_add_tops, "top binary").first()
+    sums = contexts.select("top").mapInArrow(releasing(_add_tops), "top binary").repartition(1).mapInArrow(releasing(_add_tops), "top binary").first()
     top = spark.sparkContext.broadcast(weigh_top(_unzip(sums["top"], "<f8").reshape(3, _TOP) if sums else np.zeros((3, _TOP))))
     both = questions.withColumn("counts", F.lit(None).cast("binary")).unionByName(contexts.drop("top"))
     met = both.repartition(n, "range").sortWithinPartitions("range", "kind")
-    scored = met.mapInArrow(_answer_keys(top), "kind int, range int, chunk long, counts binary")
-    asked = chunks.select("chunk", "hashes", "trained").mapInArrow(_ask(n), "range int, chunk long, hashes binary, trained binary")
+    scored = met.mapInArrow(releasing(_answer_keys(top)), "kind int, range int, chunk long, counts binary")
+    asked = chunks.select("chunk", "hashes", "trained").mapInArrow(releasing(_ask(n)), "range int, chunk long, hashes binary, trained binary")
     answers = materialize(
         asked.groupBy("range").applyInArrow(_answer, "range int, chunk long, counts binary, tokens long, words long"),
         "answers",
