@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from pathloom.llm.common import bounded_batches
+from pathloom.llm.common import bounded_batches, releasing
 from pathloom.llm.words import portions
 
 #: White space as the pattern's ``\s`` has it (Unicode property White_Space).
@@ -260,7 +260,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
 
     bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +280,7 @@ def encode_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(
-        run,
+        releasing(run),
         f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     ).withColumnRenamed("id", id_col)
 
@@ -313,5 +313,5 @@ def count_tokens(
 
     bounded_batches(docs)
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
-    out = docs.select(text_col, *names).mapInArrow(run, f"{kinds}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    out = docs.select(text_col, *names).mapInArrow(releasing(run), f"{kinds}, n_bytes bigint, n_tokens bigint, over_limit boolean")
     return out.toDF(*names, "n_bytes", "n_tokens", "over_limit")
