@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, exact_dedup, language_model, line_dedup, ngram_join, packing, quality, secret_scan, vector_search
+from pathloom.llm import (
+    bpe,
+    conversations,
+    divergence,
+    exact_dedup,
+    language_model,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+    secret_scan,
+    vector_search,
+)
 from pathloom.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -112,6 +125,56 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+def op11_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read_table(spark, sf_dir, "documents"), min_documents=10, top=10)
+
+
+OP12_SQL = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+    FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), tokens AS (SELECT r, lang, source, unnest(terms) AS term FROM docs
+), kept AS (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), counts AS (
+    SELECT lang, source, term, count(*) AS c FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), grid AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+    SELECT lang, source, term, c,
+           (1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v)) AS p,
+           (1 + (1000000000::HUGEINT * (sum(c) OVER (PARTITION BY lang, term) + 2)) // (sum(c) OVER (PARTITION BY lang) + 2 * v)) AS q
+    FROM grid JOIN sizes USING (lang)
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source
+    UNION ALL
+    SELECT a.lang, a.source, 'pair', b.source, 0 FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    WHERE a.lang NOT IN (SELECT lang FROM sizes)
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE c > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+           CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(conversations.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -124,8 +187,11 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_license_notices": op11_license_notices,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL}

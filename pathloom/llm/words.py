@@ -42,3 +42,11 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of strings."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
+def translated(texts: pa.Array, table: bytes) -> tuple[bytes, np.ndarray]:
+    """The texts' UTF-8 in one piece, every byte replaced by what ``table`` has for it, and their bounds; null texts are empty."""
+    whole = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string())])
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    data = whole.buffers()[2]
+    return (data.to_pybytes() if data is not None else b"").translate(table), offsets
