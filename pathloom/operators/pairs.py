@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
+from pathloom.operators import trees
 
 # Feature names, in the order of a design's columns.
 DIRECTED = (
@@ -154,41 +155,11 @@ def word_properties(records: DataFrame) -> DataFrame:
     )
 
 
-def with_tree_paths(words: DataFrame) -> DataFrame:
-    """``words`` with ``path``, from the word up to its root, and ``syntax_missing`` where a sentence's heads form no tree.
-
-    Heads are looked up within the sentence; a sentence needs exactly one word that is its own head, reached by all.
-    """
-    sentence = ["text_id", "sentence_number"]
-    heads = words.groupBy(*sentence).agg(
-        F.map_from_entries(F.collect_list(F.struct("word_index", "head_word_index"))).alias("_heads"),
-        F.count_if(F.col("head_word_index") == F.col("word_index")).alias("_roots"),
-    )
-    joined = words.join(heads, sentence)
-
-    def up(path: Column, _: Column) -> Column:
-        head = F.try_element_at("_heads", F.element_at(path, -1))
-        return F.when(head.isNull() | F.array_contains(path, head), path).otherwise(F.concat(path, F.array(head)))
-
-    pathed = joined.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.size("_heads")), F.array("word_index"), up))
-    top = F.element_at("path", -1)
-    rooted = (F.col("_roots") == 1) & F.coalesce(F.try_element_at("_heads", top) == top, F.lit(False))
-    broken = F.max((~rooted).cast("int")).over(Window.partitionBy(*sentence)) > 0
-    flag = F.col("syntax_missing") | broken if "syntax_missing" in words.columns else broken
-    return pathed.withColumn("syntax_missing", flag).drop("_heads", "_roots")
-
-
-def tree_distance(a: Column, b: Column) -> Column:
-    """Steps between two words by their paths to the root, through the nearest common ancestor."""
-    steps = F.transform(F.array_intersect(a, b), lambda x: F.array_position(a, x) + F.array_position(b, x) - 2)
-    return F.array_min(steps)
-
-
 def build_pairs(words: DataFrame, risk_set: str = "all", feature_set: str = "syntax") -> DataFrame:
     """Candidate pairs of a text with their features as DOUBLE columns.
 
     ``all``: any other word; ``forward_same_sentence``: later words of the sentence; ``forward_same_line``:
-    those of the same line, too. What a word needs (its place in the sentence, its path) is computed on words,
+    those of the same line, too. What a word needs (its place in the sentence, its label in the tree) is computed on words,
     before the equi-join; the join's keys are those of the risk set. Sources without candidates have no rows.
     """
     if risk_set not in RISK_SETS:
@@ -200,7 +171,7 @@ def build_pairs(words: DataFrame, risk_set: str = "all", feature_set: str = "syn
         if column not in words.columns and (part in asked or column == "line_id" and risk_set == "forward_same_line"):
             raise ValueError(f"{feature_set!r} in {risk_set!r} needs the column {column}")
     place = Window.partitionBy("text_id", "sentence_number")
-    ready = with_tree_paths(words) if "head_word_index" in words.columns else words
+    ready = trees.with_tree_labels(words) if "head_word_index" in words.columns else words
     ready = ready.withColumn(
         "ordinal",
         F.row_number().over(place.orderBy("word_index")) - 1,
@@ -244,7 +215,7 @@ def feature(name: str) -> Column:
         missing = ~same | c("s_syntax_missing") | c("d_syntax_missing")
         if name == "dependency_missing":
             return missing
-        return F.when(missing, F.lit(0)).otherwise(tree_distance(c("s_path"), c("d_path")))
+        return F.when(missing, F.lit(0)).otherwise(trees.tree_distance(c("s_depth"), c("s_chains"), c("d_depth"), c("d_chains")))
     return {
         "forward": lambda: forward,
         "log1p_abs_distance": lambda: logged,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
 from pathloom.functions.bounds import MOST_SUBJECTS, few
-from pathloom.operators import audit, compare, corpus_audit, intervals, metrics, model, pairs, reconcile, resample, scoring, simulate, transitions
+from pathloom.operators import audit, compare, corpus_audit, intervals, metrics, model, pairs, reconcile, resample, scoring, transitions, trees
 from pathloom.plans.registry import Query
 from pathloom.sources import readers, tables
 
@@ -51,7 +51,23 @@ WORDS = (
            row_number() OVER (PARTITION BY bare.text_id, bare.sentence ORDER BY word_index) - 1 AS ordinal,
            count(*) OVER (PARTITION BY bare.text_id, bare.sentence) AS n
     FROM bare LEFT JOIN broken ON bare.text_id = broken.text_id AND bare.sentence = broken.sentence
-), up(text_id, sentence, word_index, anc, depth) AS (
+)"""
+)
+#: Pairs of a line with their counts, without features.
+BARE_COUNTED = (
+    WORDS
+    + """, line_pairs AS (
+    SELECT s.text_id, s.word_index AS src_word, d.word_index AS dst_word
+    FROM words s JOIN words d ON s.text_id = d.text_id AND s.sentence = d.sentence AND s.line = d.line AND d.word_index > s.word_index
+), sums AS (
+    SELECT text_id, src_word, dst_word, sum(n) AS n FROM edges GROUP BY ALL
+), counted AS (
+    SELECT p.*, coalesce(e.n, 0) AS y FROM line_pairs p LEFT JOIN sums e USING (text_id, src_word, dst_word)
+)"""
+)
+WORDS = (
+    WORDS
+    + """, up(text_id, sentence, word_index, anc, depth) AS (
     SELECT text_id, sentence, word_index, word_index, 0 FROM words
     UNION ALL
     SELECT up.text_id, up.sentence, up.word_index, w.head, depth + 1
@@ -339,13 +355,13 @@ def sentence_fill(spark, sf):
 
 
 def tree_distances(spark, sf):
-    w = pairs.with_tree_paths(_words(spark, sf)).where("not syntax_missing").select("text_id", "sentence_number", "word_index", "path")
-    b = w.select("text_id", "sentence_number", F.col("word_index").alias("dst_word"), F.col("path").alias("_b"))
+    w = trees.with_tree_labels(_words(spark, sf)).where("not syntax_missing").select("text_id", "sentence_number", "word_index", "depth", "chains")
+    b = w.select("text_id", "sentence_number", *[F.col(c).alias(f"dst_{c}") for c in ("word_index", "depth", "chains")])
     return w.join(b, ["text_id", "sentence_number"]).select(
         "text_id",
         F.col("word_index").alias("src_word"),
-        "dst_word",
-        pairs.tree_distance(F.col("path"), F.col("_b")).alias("steps"),
+        F.col("dst_word_index").alias("dst_word"),
+        trees.tree_distance(F.col("depth"), F.col("chains"), F.col("dst_depth"), F.col("dst_chains")).alias("steps"),
     )
 
 
@@ -888,11 +904,6 @@ def balanced_loss(spark, sf):
     )
 
 
-def simulation(spark, sf):
-    """The published grid: 1,280 replicates."""
-    return simulate.summarize(simulate.simulate(spark))
-
-
 def _turns(spark, sf) -> DataFrame:
     """Tokens of every turn, under the turn's own key and that of the turn after it."""
     turns = tables.table(spark, sf, "conversations")
@@ -1857,7 +1868,7 @@ FROM by_metric GROUP BY metric""",
     "permuted_control": Query(
         permuted_control,
         "text_id src_word# dst_word# count*",
-        WORDS
+        BARE_COUNTED
         + """, drawn AS (
         SELECT *, row_number() OVER (PARTITION BY text_id, src_word
 ORDER BY dst_word) AS place,
@@ -2298,10 +2309,6 @@ GROUP BY ALL)
 SELECT text_id, avg(l) AS loss
 FROM l
 GROUP BY text_id"""),
-    "simulation": Query(
-        simulation,
-        "subjects# effect* concentration* overdispersion method replicates# recovery_mean* reliability_mean* null_rate*",
-    ),
     "token_reconciliation": Query(token_reconciliation, "text_id op blocks# first_tokens# second_tokens#"),
     "aligned_tokens": Query(
         aligned_tokens,

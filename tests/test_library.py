@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import compare, corpus_audit, intervals, metrics, model, pairs, reconcile, resample, scoring, simulate, transitions
+from pathloom.operators import compare, corpus_audit, intervals, metrics, model, pairs, reconcile, resample, scoring, transitions
 from pathloom.sources import readers
 
 VISITS = "subject_id string, text_id string, word_index long, fixation_order long, duration_ms double, line_id long"
@@ -249,19 +249,6 @@ def test_summaries_of_a_text(spark):
     assert corpus_audit.feature_differences(both, ("count",), "corpus", "a", "b").first()["smd"] == 0
 
 
-def test_simulation_recovers_a_planted_effect(spark):
-    grid = simulate.Grid(subjects=(12,), effects=(0.0, 0.65), concentrations=(30.0,), replicates=12, sources=18, events=20)
-    rows = simulate.summarize(simulate.simulate(spark, grid, 17)).where("method = 'correct'").collect()
-    found = {r.effect: r for r in rows}
-    assert abs(found[0.0].recovery_mean) < 0.12 and found[0.65].recovery_mean >= found[0.0].recovery_mean + 0.25
-    assert 0 <= found[0.0].null_rate <= 1 and found[0.65].null_rate is None and found[0.0].overdispersion == "high"
-    with pytest.raises(ValueError):
-        simulate.Grid(subjects=(5,))
-    default = simulate.Grid()
-    assert (default.subjects, default.effects, default.concentrations) == ((4, 12, 42, 84), (0.0, 0.55), (120.0, 8.0))
-    assert (default.sources, default.events, default.replicates) == (30, 24, 80)
-
-
 def test_alignment(spark):
     side = lambda tokens: spark.createDataFrame([("t", i, x) for i, x in enumerate(tokens)], "text_id string, position int, token string")
     blocks = reconcile.align_tokens(side(["a", "b", "x", "c"]), side(["a", "b", "c"]))
@@ -326,9 +313,3 @@ def test_aoi_conversion_counts_reasons_in_order(spark):
     kept, report = readers.convert_reports(areas, fix, lines)
     assert sorted((r.word_index, r.fixation_order) for r in kept.collect()) == [(0, 1), (1, 3)]
     assert {r.reason: r.n for r in report.collect()} == {"written": 2, "outside": 1, "missing_trial": 1, "page_mismatch": 1, "unmapped_area": 1, "bad_number": 1}
-
-
-def test_paths_reach_the_root_of_deep_trees(spark):
-    words = spark.createDataFrame([("t", i, 1, max(0, i - 1)) for i in range(150)], "text_id string, word_index int, sentence_number int, head_word_index int")
-    got = {r.word_index: r for r in pairs.with_tree_paths(words).collect()}
-    assert all(got[i].path == list(range(i, -1, -1)) and not got[i].syntax_missing for i in range(150))
