@@ -116,6 +116,28 @@ def test_packing_takes_every_row_whole(odd_docs, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null_ones(make_docs):
+    ids = [2**53 + 1, None, 2**53 + 3, -(2**63), 2**63 - 1, None]
+    docs = make_docs([prose(i, 20) for i in range(6)], ids, [None, "a", "b", None, "a", "c"])
+    assert Counter(r.doc_id for r in packing.pack_documents(docs.repartition(2), capacity=10_000).collect()) == Counter(ids)
+
+
+def test_many_copies_of_one_row_are_dealt_out(spark, make_docs):
+    """Equal rows are all packed, each in a bin of its own, and spread over the shards."""
+    copies = spark.range(60_000, numPartitions=4).selectExpr("cast(null as long) doc_id", "'same' text", "'en' lang", "'s' source", "4L n_chars")
+    out = packing.pack_documents(copies.unionByName(make_docs(["other", "text"])), shard_rows=1000)
+    found = out.groupBy("doc_id").agg(F.count("bin_id").alias("n"), F.count_distinct("bin_id").alias("bins")).collect()
+    assert {r.doc_id: (r.n, r.bins) for r in found}[None] == (60_000, 60_000)
+    shards = out.groupBy((F.col("bin_id") / 2**32).cast("int")).count().collect()
+    assert len(shards) == 61 and max(r["count"] for r in shards) < 3000
+
+
+def test_hopeless_items_open_a_bin_at_once():
+    """Half the bins hold the item's source, the others its cluster; none is looked at one by one."""
+    items = [(1, f"s{i}", "c") if i % 2 else (1, "s", i) for i in range(20_000)]
+    assert len({b for *_, b, _ in packing.pack_shard(items + [(1, "s", "c")] * 3000, 8192)}) > 10_000
+
+
 # -- n-gram join ---------------------------------------------------------------------------------------------------
 
 
