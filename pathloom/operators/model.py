@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
 from pathloom.functions.bounds import MOST_TEXTS, few
+from pathloom.operators import responses
+from pathloom.operators.responses import NotConverged
 
 GROUP = ["text_id", "src_word"]
 KEYS = [*GROUP, "dst_word"]
@@ -66,10 +68,6 @@ def nll_and_gradient(design: DataFrame, coefficients: dict[str, float], l2: floa
 # -- fits ------------------------------------------------------------------------------------------------
 
 
-class NotConverged(RuntimeError):
-    pass
-
-
 def newton_fit(
     x: np.ndarray,
     count: np.ndarray,
@@ -250,12 +248,12 @@ def crossfit_many(
     """(by, KEYS, count, probability) for each row of ``sides`` (by): out-of-fold predictions of its counts on the one design.
 
     ``counts`` (by, KEYS, count) holds nonzero cells only; with the design in every task they are all that moves, and
-    the fits of a group run in one task. A design beyond SHARED_NUMBERS is laid out for each group instead.
+    the fits of a group run in one task. A design beyond SHARED_NUMBERS stays where it lies, and the fits of all groups
+    take their Newton steps together, by sums over it (``responses``); results are the same.
     """
     shared = share_design(design, names, folds)
     if shared is None:
-        laid = design.crossJoin(sides).join(counts, [*by, *KEYS], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
-        return fit_predict_folds(laid, names, folds, by, l2).select(*by, *KEYS, "count", "probability")
+        return responses.crossfit_responses(design, counts, names, folds, by, sides, l2)
     held = design.sparkSession.sparkContext.broadcast(shared)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -276,8 +274,7 @@ def fit_draws(counted: DataFrame, draws: DataFrame, names: tuple[str, ...], l2:
     """(draw, feature, coefficient) of fits that weigh each text's counts by its multiplicity: ``draws`` (draw, text_id, times)."""
     shared = share_design(counted, (*names, "count"))
     if shared is None:
-        weighted = counted.join(draws, "text_id").withColumn("count", F.col("count") * F.col("times"))
-        return fit(weighted, names, ["draw"], l2)
+        return responses.fit_weighted(counted, draws, names, l2)
     held = counted.sparkSession.sparkContext.broadcast(shared)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
