@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
-from pathloom.operators import corpus_audit, metrics, model, resample, transitions
+from pathloom.operators import corpus_audit, draws, metrics, model, transitions
 from pathloom.sources import readers
+from pathloom.sources.scratch import written
 
 
 def half_residuals(
@@ -43,66 +42,41 @@ def partition_audit(cells: DataFrame) -> DataFrame:
 
 
 def nested_bootstrap(scores: DataFrame, keys: list[str], value: str, inner: int, seed: int) -> DataFrame:
-    """(keys, draw, n, mean, inner_mean): for each outer draw of readers, its texts' mean and one of a resample of its texts.
+    """(keys, draws, mean, low, high, negative_share): each outer draw of readers has its texts' mean and means of their resamples.
 
-    ``scores`` has a row for each (keys, draw, text); undefined texts are not eligible. The inner resamples of a
-    draw are seeded by it, so draws run side by side.
+    ``scores`` has a row for each (keys, draw, text); undefined texts are not eligible. The inner resamples follow from
+    the seed, the keys and the outer draw.
     """
-    kinds = ", ".join(f"{k} {scores.schema[k].dataType.simpleString()}" for k in [*keys, "draw"])
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows[value].notna()].sort_values("_order")
-        if rows.empty:
-            return pd.DataFrame({**{k: [] for k in [*keys, "draw"]}, "n": [], "mean": [], "inner_mean": []})
-        x = rows[value].to_numpy(float)
-        rng = np.random.default_rng([seed, int(rows["draw"].iloc[0])])
-        means = x[rng.integers(0, len(x), (inner, len(x)))].mean(1)
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] * inner for k in [*keys, "draw"]}, "n": len(x), "mean": x.mean(), "inner_mean": means})
-
-    ordered = scores.withColumn("_order", E.natural_number(F.col("text_id")))
-    drawn = ordered.groupBy(*keys, "draw").applyInPandas(one, f"{kinds}, n long, mean double, inner_mean double")
-    return drawn.groupBy(*keys).agg(
-        F.count_distinct("draw").alias("draws"),
-        F.avg("mean").alias("mean"),
-        E.quantile(F.col("inner_mean"), 0.025).alias("low"),
-        E.quantile(F.col("inner_mean"), 0.975).alias("high"),
-        F.avg((F.col("inner_mean") < 0).cast("double")).alias("negative_share"),
+    kept = scores.where(F.col(value).isNotNull()).select(*keys, F.col("draw").alias("outer"), "text_id", value)
+    defined = written(kept, "scores")  # fits stand behind it, and it is read several times
+    of_outer = defined.groupBy(*keys, "outer").agg(F.avg(value).alias("_mean")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("draws"), F.avg("_mean").alias("mean")
     )
+    means = draws.drawn_means(defined, [*keys, "outer"], value, inner, seed, F.col("text_id"))
+    spread = means.withColumnRenamed("mean", "_inner").groupBy(*keys).agg(
+        E.quantile(F.col("_inner"), 0.025).alias("low"),
+        E.quantile(F.col("_inner"), 0.975).alias("high"),
+        F.avg((F.col("_inner") < 0).cast("double")).alias("negative_share"),
+    )
+    return of_outer.join(spread, keys)
 
 
 def text_influence(contrasts: DataFrame, names: list[str], resamples: int, seed: int) -> DataFrame:
     """(contrast, deleted, n, mean, low, high, flips): each contrast without each text, with its bootstrap interval.
 
-    ``contrasts`` (contrast, text_id, difference). Whether the interval leaves out 0 is the conclusion; ``flips``
-    says that it differs from the one with all texts. The seed of the j-th text of the i-th contrast is
-    seed + 1000 i + j, in the order of ``names`` and by numeric order. A contrast is one task's work.
+    ``contrasts`` (contrast, text_id, difference). Whether the interval leaves out 0 is the conclusion; ``flips`` says
+    that it differs from the one with all texts. Contrasts need three texts; every (contrast, deleted) has draws of
+    its own.
     """
-
-    def interval(x: np.ndarray, s: int) -> tuple[float, float]:
-        return tuple(np.quantile(resample.bootstrap_means(x, resamples, s)[0], (0.025, 0.975)))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["difference"].notna()].sort_values("_order").reset_index(drop=True)
-        x, start = rows["difference"].to_numpy(float), seed + 1000 * int(rows["_i"].iloc[0]) if len(rows) else 0
-        if len(x) < 3:
-            return pd.DataFrame({"contrast": [], "deleted": [], "n": [], "mean": [], "low": [], "high": [], "flips": []})
-        low, high = interval(x, seed)
-        clear = low > 0 or high < 0
-        out = []
-        for j in range(len(x)):
-            rest = np.delete(x, j)
-            a, b = interval(rest, start + j)
-            out.append((rows["contrast"][j], rows["text_id"][j], len(rest), rest.mean(), a, b, (a > 0 or b < 0) != clear))
-        return pd.DataFrame(out, columns=["contrast", "deleted", "n", "mean", "low", "high", "flips"])
-
-    order = {name: i for i, name in enumerate(names)}
-    number = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])
-    named = contrasts.where(F.col("contrast").isin(*names))
-    numbered = named.withColumn("_order", E.natural_number(F.col("text_id"))).withColumn("_i", F.element_at(number, F.col("contrast")))
-    return numbered.groupBy("contrast").applyInPandas(
-        one,
-        "contrast string, deleted string, n long, mean double, low double, high double, flips boolean",
-    )
+    texts = Window.partitionBy("contrast")
+    named = contrasts.where(F.col("contrast").isin(*names) & F.col("difference").isNotNull()).select("contrast", "text_id", "difference")
+    enough = written(named.withColumn("_n", F.count(F.lit(1)).over(texts)).where("_n >= 3").drop("_n"), "contrasts")
+    clear = (F.col("low") > 0) | (F.col("high") < 0)
+    whole = draws.mean_interval(enough, ["contrast"], "difference", resamples, seed).select("contrast", clear.alias("_clear"))
+    deleted = enough.select("contrast", F.col("text_id").alias("deleted"))
+    rest = enough.join(deleted, "contrast").where("text_id <> deleted")
+    each = draws.mean_interval(rest, ["contrast", "deleted"], "difference", resamples, seed)
+    return each.join(whole, "contrast").select("contrast", "deleted", "n", "mean", "low", "high", (clear != F.col("_clear")).alias("flips"))
 
 
 def criterion_contrasts(

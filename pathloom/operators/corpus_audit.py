@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
-from pathloom.functions.bounds import MOST_TEXTS, few
-from pathloom.operators import model
+from pathloom.operators import draws, model, responses
+from pathloom.sources.scratch import written
 
 #: Deviations below this are rounding.
 NO_SPREAD = 1e-9
@@ -77,7 +79,7 @@ def feature_differences(
 
     The pooled variance weighs each corpus by its texts less one; a difference over no spread is 0. With
     ``resamples`` the interval is that of the difference under resampled texts of both corpora, over the same
-    deviation; every feature has the same draws. A feature's text means are one task's work.
+    deviation; every feature has the same draws.
     """
     texts = design.groupBy(corpus, "text_id").agg(*[F.avg(n).alias(n) for n in names]).unpivot(
         [corpus, "text_id"],
@@ -85,6 +87,8 @@ def feature_differences(
         "feature",
         "value",
     )
+    if resamples:
+        texts = written(texts, "text-means")
     side = lambda c: F.when(F.col(corpus) == c, F.col("value"))
     freedom = lambda c: F.greatest(F.count(side(c)) - 1, F.lit(0))
     within = lambda c: freedom(c) * F.coalesce(F.var_samp(side(c)), F.lit(0.0))
@@ -96,17 +100,12 @@ def feature_differences(
         none = F.lit(None).cast("double")
         return measured.select("feature", "first", "second", "smd", none.alias("low"), none.alias("high"))
 
-    def interval(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_order")
-        a, b = (rows["value"][rows[corpus] == c].to_numpy(float) for c in (first, second))
-        rng = np.random.default_rng(seed)
-        at_a = rng.integers(len(a), size=(resamples, len(a)))
-        at_b = rng.integers(len(b), size=(resamples, len(b)))
-        low, high = np.quantile(a[at_a].mean(1) - b[at_b].mean(1), (0.025, 0.975))
-        return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "_low": [low], "_high": [high]})
-
-    ordered = texts.withColumn("_order", E.natural_number(F.col("text_id")))
-    limits = ordered.groupBy("feature").applyInPandas(interval, "feature string, _low double, _high double")
+    drawn = draws.resampled(texts.select(corpus, "text_id").distinct(), [corpus], resamples, seed, F.col("text_id"))
+    means = texts.join(drawn, [corpus, "text_id"]).groupBy("feature", "draw").agg(
+        *[(F.sum(F.col("times") * side(c)) / F.sum(F.when(F.col(corpus) == c, F.col("times")))).alias(f"_{i}") for i, c in enumerate((first, second))]
+    )
+    gap = F.col("_0") - F.col("_1")
+    limits = means.groupBy("feature").agg(E.quantile(gap, 0.025).alias("_low"), E.quantile(gap, 0.975).alias("_high"))
     scaled = lambda c: F.when(F.col("_pooled") > NO_SPREAD, F.col(c) / F.col("_pooled")).otherwise(F.lit(0.0))
     return measured.join(limits, "feature").select(
         "feature",
@@ -122,23 +121,15 @@ def coefficient_audit(first: DataFrame, second: DataFrame, names: tuple[str, ...
     """(feature, first, second, difference, low, high): two fits and a paired bootstrap over texts.
 
     A draw weighs the counts of a text by how often it was drawn, on the unchanged design. Draw -1 is the data.
-    Draws of the two corpora alternate, as the published seeds have it.
     """
-    spark, rng = first.sparkSession, np.random.default_rng(seed)
     sides = {"first": first, "second": second}
-    texts = {
-        n: sorted((r[0] for r in few(d.select("text_id").distinct(), MOST_TEXTS, "texts")), key=model.trailing_number)
-        for n, d in sides.items()
-    }
-    drawn = {n: [(-1, t, 1) for t in ids] for n, ids in texts.items()}
-    for r in range(resamples):
-        for n, ids in texts.items():
-            times = np.bincount(rng.integers(len(ids), size=len(ids)), minlength=len(ids))
-            drawn[n] += [(r, t, int(m)) for t, m in zip(ids, times) if m]
-    fits = []
-    for n, design in sides.items():
-        draws = spark.createDataFrame(drawn[n], "draw int, text_id string, times int")
-        fits.append(model.fit_draws(design, draws, names).withColumnRenamed("coefficient", n))
+    texts = [d.select(F.lit(n).alias("side"), "text_id").distinct() for n, d in sides.items()]
+    drawn = draws.resampled(texts[0].unionByName(texts[1]), ["side"], resamples, seed, F.col("text_id"))
+    data_rows = texts[0].unionByName(texts[1]).withColumn("draw", F.lit(-1)).withColumn("times", F.lit(1).cast("long"))
+    every = data_rows.unionByName(drawn.select(*data_rows.columns))
+    fits = [
+        model.fit_draws(d, every.where(F.col("side") == n).drop("side"), names).withColumnRenamed("coefficient", n) for n, d in sides.items()
+    ]
     both = fits[0].join(fits[1], ["draw", "feature"]).withColumn("_d", F.col("first") - F.col("second"))
     own = F.col("draw") == -1
     data = lambda c: F.max(F.when(own, F.col(c)))
@@ -162,78 +153,122 @@ def transported_nll(fitted_on: DataFrame, scored_on: DataFrame, names: tuple[str
 # -- domain classification --------------------------------------------------------------------------------------
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, max_rounds: int = 100) -> np.ndarray:
-    """L2-penalised logistic regression by Newton steps; the last coefficient is the intercept, unpenalised."""
-    x = np.column_stack([x, np.ones(len(x))])
-    penalty = np.append(np.ones(x.shape[1] - 1), 0.0)
-    beta = np.zeros(x.shape[1])
-    loss = lambda b: np.logaddexp(0, x @ b).sum() - y @ (x @ b) + 0.5 * (penalty * b) @ b
-    for _ in range(max_rounds):
-        p = 1 / (1 + np.exp(-x @ beta))
-        gradient = x.T @ (p - y) + penalty * beta
-        if np.abs(gradient).max() < 1e-8:
-            return beta
-        hessian = x.T @ ((p * (1 - p))[:, None] * x) + np.diag(penalty + 1e-10)
-        step, size = np.linalg.solve(hessian, gradient), 1.0
-        while loss(beta - size * step) > loss(beta) and size > 1e-8:
-            size /= 2
-        beta = beta - size * step
-    return beta
-
-
-def area_under_curve(score: np.ndarray, y: np.ndarray) -> float:
-    """Share of (positive, negative) pairs in the right order, ties by half, from ranks."""
-    ranks = pd.Series(score).rank().to_numpy()
-    positive = int(y.sum())
-    return float((ranks[y == 1].sum() - positive * (positive + 1) / 2) / (positive * (len(y) - positive)))
-
-
-def stratified_folds(y: np.ndarray, n_folds: int, rng: np.random.Generator) -> np.ndarray:
-    fold = np.empty(len(y), int)
-    for value in (0, 1):
-        rows = rng.permutation(np.flatnonzero(y == value))
-        fold[rows] = np.arange(len(rows)) % n_folds
-    return fold
-
-
-def classify(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
-    """Balanced accuracy and area under the curve of out-of-fold scores; features are standardised within the training rows."""
-    score = np.zeros(len(y))
-    for f in np.unique(fold):
-        train = fold != f
-        mean, sd = x[train].mean(0), x[train].std(0)
-        sd = np.where(sd == 0, 1.0, sd)
-        beta = logistic_fit((x[train] - mean) / sd, y[train])
-        score[~train] = (x[~train] - mean) / sd @ beta[:-1] + beta[-1]
-    predicted = score >= 0
-    balanced = 0.5 * (predicted[y == 1].mean() + (~predicted[y == 0]).mean())
-    return float(balanced), area_under_curve(score, y)
-
-
-def domain_classifier(summaries: DataFrame, corpus: str, second: str, permutations: int, seed: int, n_folds: int = 5) -> DataFrame:
+def stratified_folds(rows: DataFrame, label: str, n_folds: int, seed: int) -> DataFrame:
+    """``rows`` (text_id, ...) with ``fold``: each label's rows in the order of a digest, dealt out in turn."""
+    placed = draws.numbered(rows, [label], "fold", seed, F.col("text_id"))
+    return placed.withColumn("fold", (F.col("_i") % n_folds).cast("int")).drop("_i", "_n")
+
+
+def _standard(rows: DataFrame, names: tuple[str, ...], n_folds: int) -> np.ndarray:
+    """Means and deviations (2 x folds x features) of all rows but those of each fold; deviations of 0 are 1."""
+    sums = [f(F.when(F.col("fold") != h, F.col(n))).alias(f"{k}_{h}_{i}") for k, f in enumerate((F.avg, F.stddev_pop)) for h in range(n_folds) for i, n in enumerate(names)]
+    row = rows.agg(*sums).first()  # one row of folds x features
+    found = np.array([[[row[f"{k}_{h}_{i}"] or 0.0 for i in range(len(names))] for h in range(n_folds)] for k in range(2)])
+    # What is left of a constant's deviation by rounding is 0.
+    flat = found[1] <= 1e-12 * np.maximum(1.0, np.abs(found[0]))
+    return np.stack([found[0], np.where(flat, 1.0, found[1])])
+
+
+def _with_standard(batch: pa.RecordBatch, names: tuple[str, ...], standard: np.ndarray, held: int) -> np.ndarray:
+    x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
+    return np.column_stack([(x - standard[0, held]) / standard[1, held], np.ones(len(x))])
+
+
+def out_of_fold_scores(rows: DataFrame, names: tuple[str, ...], labels: int, n_folds: int) -> DataFrame:
+    """(draw, text_id, label, score): penalised logistic scores of every row by the fit without its fold, for each labelling.
+
+    ``rows`` (text_id, fold, names, labels), the labels an array of 0 and 1, one for each labelling. All fits take their
+    Newton steps together: tasks add up their rows' gradients and curvatures, which are all that moves. The intercept is
+    not penalised; features are standardised within the training rows. Labelling i has draw i - 1.
+    """
+    laid = written(rows.select("text_id", "fold", *[F.col(n).cast("double").alias(n) for n in names], F.col("labels").cast("array<int>").alias("labels")), "labelled")
+    standard = _standard(laid, names, n_folds)
+    size = len(names) + 1
+    upper = np.triu_indices(size)
+
+    def round_(beta: np.ndarray) -> np.ndarray:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((labels, n_folds, responses.numbers_of(size)))
+            for batch in batches:
+                y = batch.column("labels").flatten().to_numpy().reshape(-1, labels).astype(float)
+                fold = batch.column("fold").to_numpy()
+                for held in range(n_folds):
+                    mine = fold != held
+                    x, labelled = _with_standard(batch, names, standard, held)[mine], y[mine]
+                    s = x @ beta[:, held].T
+                    p = 1 / (1 + np.exp(-s))
+                    out = total[:, held]
+                    out[:, 0] += (np.logaddexp(0, s) - labelled * s).sum(0)
+                    out[:, 1] += len(x)
+                    out[:, 2 : 2 + size] += (p - labelled).T @ x
+                    out[:, 2 + size :] += (p * (1 - p)).T @ (x[:, upper[0]] * x[:, upper[1]])
+            yield from responses.chunks_of(total)
+
+        return responses.tree_sum(laid.mapInArrow(partial, responses.SUMS), (labels, n_folds, responses.numbers_of(size)))
+
+    beta = responses.newton(round_, (labels, n_folds), np.append(np.ones(len(names)), 0.0))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, n = batch.column("fold").to_numpy(), batch.num_rows
+            found = np.zeros((n, labels))
+            for held in np.unique(fold):
+                mine = fold == held
+                found[mine] = _with_standard(batch, names, standard, int(held))[mine] @ beta[:, held].T
+            draw, place = np.tile(np.arange(-1, labels - 1, dtype=np.int32), n), pa.array(np.repeat(np.arange(n), labels))
+            columns = [pa.array(draw), batch.column("text_id").take(place), batch.column("labels").flatten(), pa.array(found.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, ["draw", "text_id", "label", "score"])
+
+    kind = rows.schema["text_id"].dataType.simpleString()
+    return laid.mapInArrow(score, f"draw int, text_id {kind}, label int, score double")
+
+
+def classified_well(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, balanced, area) of (keys, label, score): balanced accuracy at 0, and the share of (positive, negative) pairs in
+    the right order, ties by half.
+
+    Scores are counted by 256 ranges first, so that no task orders a group as a whole.
+    """
+    slice_ = F.least(F.floor(256 / (1 + F.exp(-F.col("score")))), F.lit(255))
+    cells = scored.groupBy(*keys, slice_.alias("_slice"), "score").agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_n"))
+    sizes = cells.groupBy(*keys, "_slice").agg(F.sum("_p").alias("_ps"), F.sum("_n").alias("_ns"))
+    whole, up_to = Window.partitionBy(*keys), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.select(*keys, "_slice", F.coalesce(F.sum("_ns").over(up_to(whole.orderBy("_slice"))), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum("_n").over(up_to(Window.partitionBy(*keys, "_slice").orderBy("score"))), F.lit(0))
+    won = F.col("_p") * (F.col("_before") + F.col("_inner") + F.col("_n") / 2)
+    ordered = cells.withColumn("_inner", inner).join(places, [*keys, "_slice"])
+    right = lambda label, good: F.sum(F.when(good, F.col(label)).otherwise(F.lit(0))) / F.sum(label)
+    return ordered.groupBy(*keys).agg(
+        ((right("_p", F.col("score") >= 0) + right("_n", F.col("score") < 0)) / 2).alias("balanced"),
+        (F.sum(won) / (F.sum("_p") * F.sum("_n"))).alias("area"),
+    )
+
+
+def domain_classifier(
+    summaries: DataFrame,
+    corpus: str,
+    second: str,
+    permutations: int,
+    seed: int,
+    n_folds: int = 5,
+    names: tuple[str, ...] = SUMMARIES,
+) -> DataFrame:
     """One row: balanced accuracy, area and their permutation p of telling two corpora apart by their text summaries.
 
-    Rows, one a text, are bounded and go to every task; permutations of the labels keep the folds and run side by side.
+    Permutations of the labels keep the folds; each text carries its labels under all of them, and nothing but the fits'
+    sums comes to the driver. A value that equals the observed one but for rounding counts.
     """
-    spark = summaries.sparkSession
-    ordered = summaries.orderBy(corpus, *E.text_order(F.col("text_id"))).select(corpus, *SUMMARIES)
-    rows = few(ordered, MOST_TEXTS, "texts")
-    x = np.array([[float(r[c]) for c in SUMMARIES] for r in rows])
-    y = np.array([int(r[corpus] == second) for r in rows])
-    rng = np.random.default_rng(seed)
-    fold = stratified_folds(y, n_folds, rng)
-    balanced, area = classify(x, y, fold)
-    data = spark.sparkContext.broadcast((x, y, fold))
-
-    def permuted(frames):
-        values, labels, folds = data.value
-        for frame in frames:
-            found = [classify(values, np.random.default_rng([seed, int(i)]).permutation(labels), folds) for i in frame["id"]]
-            yield pd.DataFrame(found, columns=["balanced", "area"])
-
-    drawn = spark.range(permutations).mapInPandas(permuted, "balanced double, area double")
-    p = lambda c, observed: ((1 + F.count_if(F.col(c) >= observed)) / (F.count(F.lit(1)) + 1))
+    marked = written(summaries.select("text_id", *names, (F.col(corpus) == second).cast("int").alias("label")), "summaries")
+    folded = stratified_folds(marked, "label", n_folds, seed)
+    anew = draws.permuted_labels(marked.select("text_id", "label"), "label", permutations, seed, F.col("text_id"))
+    listed = anew.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("draw", "label"))).alias("_drawn"))
+    own = F.concat(F.array("label"), F.transform("_drawn", lambda x: x["label"])).alias("labels")
+    rows = folded.join(listed, "text_id").select("text_id", "fold", *names, own)
+    found = written(classified_well(out_of_fold_scores(rows, names, permutations + 1, n_folds), ["draw"]), "classified")
+    observed = found.where("draw = -1").select(F.col("balanced").alias("balanced_accuracy"), F.col("area").alias("_area"))
+    joined = found.where("draw >= 0").crossJoin(F.broadcast(observed))  # one row
+    beyond = lambda c, over: ((1 + F.count_if(F.col(c) >= F.col(over) - 1e-12)) / (F.count(F.lit(1)) + 1))
     status = F.when(F.col("permutations") >= 500, "complete").otherwise("pilot")
-    return drawn.agg(p("balanced", balanced).alias("p"), p("area", area).alias("p_area"), F.count(F.lit(1)).alias("permutations")).select(
-        F.lit(balanced).alias("balanced_accuracy"), F.lit(area).alias("area"), "p", "p_area", "permutations", status.alias("status")
-    )
+    return joined.groupBy("balanced_accuracy", F.col("_area").alias("area_")).agg(
+        beyond("balanced", "balanced_accuracy").alias("p"), beyond("area", "_area").alias("p_area"), F.count(F.lit(1)).alias("permutations")
+    ).select("balanced_accuracy", F.col("area_").alias("area"), "p", "p_area", "permutations", status.alias("status"))

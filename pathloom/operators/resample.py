@@ -1,7 +1,7 @@
-"""Draws of subjects and texts, split-half reliability, controls and bootstraps.
+"""Split-half reliability, controls and bootstraps over draws of subjects and texts.
 
-Draws are made on the driver from a seed; they are small tables with multiplicities that are joined, so no
-row is ever repeated.
+Draws are tables with multiplicities that are joined, so no row is ever repeated. ``draws`` makes them of any size; the
+lists here follow the generator of the published seeds, for studies of a few subjects.
 """
 
 from __future__ import annotations
@@ -12,16 +12,16 @@ from heapq import nsmallest
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
-from pathloom.functions.bounds import MOST_TEXTS, few
-from pathloom.operators import metrics
+from pathloom.operators import draws, metrics
 
 DRAWS = "draw int, half int, subject_id string, mult int"
 MIN_SUBJECTS = 4
+#: Subjects of all draws together that the driver may list.
+MOST_DRAWN = 1_000_000
 
 
 def subject_splits(subjects: list[str], repeats: int, seed: int) -> list[tuple[list[str], list[str]]]:
@@ -89,7 +89,9 @@ def balanced_subsets(subjects: list[str], k: int, repeats: int, seed: int) -> li
 
 
 def draws_table(spark: SparkSession, splits: list[tuple[list[str], list[str]]]) -> DataFrame:
-    """(draw, half, subject_id, mult) of a list of halves."""
+    """(draw, half, subject_id, mult) of a list of halves, for the published seeds; larger ones are made by ``draws``."""
+    if sum(len(half) for halves in splits for half in halves) > MOST_DRAWN:
+        raise ValueError(f"more than {MOST_DRAWN} subjects drawn on the driver")
     rows = []
     for d, halves in enumerate(splits):
         for h, members in enumerate(halves):
@@ -165,38 +167,6 @@ def split_half(edges: DataFrame, draws: DataFrame, sizes: DataFrame, correct: bo
     )
 
 
-def text_draws(spark: SparkSession, events: DataFrame, repeats: int, seed: int, exact_four: bool = False) -> DataFrame:
-    """Draws for each text over the subjects that have any event in it."""
-    by_text = few(events.groupBy("text_id").agg(F.array_sort(F.collect_set("subject_id")).alias("s")), MOST_TEXTS, "texts")
-    frames = []
-    for text, subjects in sorted(by_text):
-        splits = four_subject_partitions(subjects) if exact_four else subject_splits(subjects, repeats, seed)
-        frames += [(text, d, h, s, 1) for d, halves in enumerate(splits) for h, members in enumerate(halves) for s in members]
-    return spark.createDataFrame(frames, "text_id string, draw int, half int, subject_id string, mult int")
-
-
-def hashed_draws(events: DataFrame, repeats: int, seed: int) -> DataFrame:
-    """As ``text_draws``, for any number of subjects: each draw orders a text's subjects by a seeded hash.
-
-    Nothing is collected; the first half, rounded down, is half 0. The order is that of MD5, which SQL engines share.
-    """
-    subjects = events.select("text_id", "subject_id").distinct()
-    drawn = subjects.select("text_id", "subject_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("draw"))
-    group = Window.partitionBy("text_id", "draw")
-    chance = F.md5(F.concat_ws(":", F.lit(seed), F.col("draw"), F.col("text_id"), F.col("subject_id")))
-    ranked = drawn.withColumn(
-        "_rank",
-        F.row_number().over(group.orderBy(chance, "subject_id")),
-    ).withColumn("_n", F.count(F.lit(1)).over(group))
-    return ranked.select(
-        "text_id",
-        "draw",
-        F.when(F.col("_rank") <= F.floor(F.col("_n") / 2), 0).otherwise(1).alias("half"),
-        "subject_id",
-        F.lit(1).alias("mult"),
-    )
-
-
 # -- controls -------------------------------------------------------------------------------------------------
 
 
@@ -220,7 +190,8 @@ def thin_categories(edges: DataFrame, seed: int, reference: str = "far_same_line
     """Each subject's counts, thinned so that no category is expected to outweigh ``reference``.
 
     ``edges`` has subject_id, category and whole counts; the chance to keep an event is the reference's mass
-    over the category's, 1 at most and 0 where the reference is empty. Binomial draws, seeded for each subject.
+    over the category's, 1 at most and 0 where the reference is empty. Every event has a draw of its own, so counts are
+    binomial; an edge has one row.
     """
     mass = edges.groupBy("subject_id", "category").agg(F.sum("count").alias("_mass"))
     far = mass.where(F.col("category") == reference).select("subject_id", F.col("_mass").alias("_far"))
@@ -232,16 +203,13 @@ def thin_categories(edges: DataFrame, seed: int, reference: str = "far_same_line
             F.least(F.lit(1.0), F.coalesce("_far", F.lit(0.0)) / F.col("_mass")),
         ).otherwise(F.lit(0.0)).alias("keep"),
     )
-    joined = edges.join(chance, ["subject_id", "category"])
-    columns = joined.columns
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["text_id", "src_word", "dst_word"])
-        rng = np.random.default_rng([seed, *str(rows["subject_id"].iloc[0]).encode()])
-        rows["count"] = rng.binomial(rows["count"].round().astype(int), rows["keep"]).astype(float)
-        return rows[columns]
-
-    return joined.groupBy("subject_id").applyInPandas(draw, joined.schema)
+    copies = F.explode(F.expr("sequence(1, cast(round(count) as int))"))
+    key = [F.col(c) for c in ("subject_id", "text_id", "src_word", "dst_word")]
+    kept = edges.where("round(count) >= 1").withColumn("_copy", copies).join(chance, ["subject_id", "category"]).groupBy(
+        "subject_id", "category", "text_id", "src_word", "dst_word"
+    ).agg(F.count_if(draws.uniform("thin", seed, *key, F.col("_copy")) < F.col("keep") * draws.RANGE).cast("double").alias("_kept"))
+    joined = edges.join(kept, ["subject_id", "category", "text_id", "src_word", "dst_word"], "left")
+    return joined.withColumn("count", F.coalesce("_kept", F.lit(0.0))).select(*edges.columns)
 
 
 def keep_probabilities(edges: DataFrame, reference: str = "far_same_line") -> DataFrame:
@@ -269,54 +237,6 @@ def eligibility(first: DataFrame, second: DataFrame, thresholds: list[int]) -> D
 # -- bootstraps -----------------------------------------------------------------------------------------------
 
 
-#: Draws whose places are held at a time.
-_DRAWS = 4096
-
-
-def bootstrap_means(values: np.ndarray, resamples: int, seed: int) -> tuple[np.ndarray, np.random.Generator]:
-    """Means of resamples, and the generator as it then stands. Drawn in parts, which leaves the generator's sequence as it is."""
-    rng, n = np.random.default_rng(seed), len(values)
-    means = [values[rng.integers(0, n, (min(_DRAWS, resamples - i), n))].mean(1) for i in range(0, resamples, _DRAWS)]
-    return np.concatenate(means), rng
-
-
-def mean_interval(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    resamples: int,
-    seed: int,
-    sign_flips: bool = False,
-    seed_col: str | None = None,
-) -> DataFrame:
-    """(keys, n, mean, low, high[, p]): percentile interval of each group's mean, and its sign-flip p value.
-
-    Groups are a few hundred values (one a text); each is one task's work. Values go in by their natural order.
-    ``seed_col`` is added to the seed, for groups with a seed of their own.
-    """
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows[value].notna()]
-        x = rows.sort_values("_order")[value].to_numpy(float)
-        out = {k: [rows[k].iloc[0]] for k in keys} if len(rows) else {k: [] for k in keys}
-        if not len(rows):
-            return pd.DataFrame({**out, "n": [], "mean": [], "low": [], "high": [], "p": []})
-        means, rng = bootstrap_means(x, resamples, seed + (int(rows[seed_col].iloc[0]) if seed_col else 0))
-        low, high = np.quantile(means, (0.025, 0.975))
-        p = None
-        if sign_flips:
-            flips = rng.choice((-1.0, 1.0), (resamples, len(x)))
-            p = (1 + int((np.abs((flips * x).mean(1)) >= abs(x.mean())).sum())) / (resamples + 1)
-        return pd.DataFrame({**out, "n": [len(x)], "mean": [x.mean()], "low": [low], "high": [high], "p": [p]})
-
-    ordered = df.withColumn("_order", E.natural_number(F.col("text_id")))
-    return ordered.select(*keys, value, "_order", *([seed_col] if seed_col else [])).groupBy(*keys).applyInPandas(
-        one,
-        f"{kinds}, n long, mean double, low double, high double, p double",
-    )
-
-
 def portable_draws(spark: SparkSession, resamples: int, n: int) -> DataFrame:
     """(draw, pos, pick): draws by a linear congruence that any SQL engine can repeat."""
     grid = spark.range(resamples * n).select((F.col("id") / n).cast("long").alias("draw"), (F.col("id") % n).alias("pos"))

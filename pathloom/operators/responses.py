@@ -9,7 +9,7 @@ round moves is these sums, whatever the design's size. The steps are taken on th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ MOST_RESPONSES, FITS, NUMBERS = 1_000_000, 4_000, 4_000_000
 FAN_IN, CHUNK = 64, 64
 SOURCE = ["text_id", "src_word"]
 KEYS = [*SOURCE, "dst_word"]
+SUMS = "chunk int, sums binary"
 
 
 class NotConverged(RuntimeError):
@@ -159,34 +160,50 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["chunk", "sums"])
 
 
+def tree_sum(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """Arrays of (chunk, sums) rows of tasks, added up in two steps and put together."""
+    near = parts.withColumn("near", (F.spark_partition_id() / FAN_IN).cast("int")).repartition("chunk", "near")
+    added = near.select("chunk", "sums").mapInArrow(_add, SUMS).repartition("chunk").mapInArrow(_add, SUMS)
+    total = np.zeros(shape)
+    for chunk, sums in added.collect():  # a row for each chunk of fits
+        at = chunk * CHUNK
+        total[at : at + CHUNK] += np.frombuffer(sums).reshape(-1, *shape[1:])
+    return total
+
+
+def chunks_of(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's sums as (chunk, sums) rows, if it has any."""
+    if total.any():
+        starts = range(0, len(total), CHUNK)
+        numbers = pa.array([i // CHUNK for i in starts], pa.int32())
+        yield pa.RecordBatch.from_arrays([numbers, pa.array([total[i : i + CHUNK].tobytes() for i in starts], pa.binary())], ["chunk", "sums"])
+
+
+def numbers_of(features: int) -> int:
+    """Numbers of a fit's sums: loss, mass, gradient, and the curvature's upper half."""
+    return 2 + features + features * (features + 1) // 2
+
+
 def _round(laid: DataFrame, beta: np.ndarray, first: int, n_folds: int) -> np.ndarray:
     """Sums of all fits (responses x held folds x numbers) at their coefficients."""
     fits, _, features = beta.shape
-    size = 2 + features + features * (features + 1) // 2
 
     def partial(batches):
-        total = np.zeros((fits, n_folds, size))
+        total = np.zeros((fits, n_folds, numbers_of(features)))
         for _, block in _blocks(batches, features, first, first + fits, fits):
             _sums(block, beta, total, n_folds)
-        if total.any():
-            chunks = range(0, fits, CHUNK)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i // CHUNK for i in chunks], pa.int32()), pa.array([total[i : i + CHUNK].tobytes() for i in chunks], pa.binary())],
-                ["chunk", "sums"],
-            )
-
-    schema = "chunk int, sums binary"
-    parts = laid.mapInArrow(partial, schema).withColumn("near", (F.spark_partition_id() / FAN_IN).cast("int"))
-    near = parts.repartition("chunk", "near").select("chunk", "sums").mapInArrow(_add, schema)
-    total = np.zeros((fits, n_folds, size))
-    for chunk, sums in near.repartition("chunk").mapInArrow(_add, schema).collect():  # a row for each chunk of fits
-        at = chunk * CHUNK
-        total[at : at + CHUNK] += np.frombuffer(sums).reshape(-1, n_folds, size)
-    return total
+        yield from chunks_of(total)
 
+    return tree_sum(laid.mapInArrow(partial, SUMS), (fits, n_folds, numbers_of(features)))
 
-def _fit_slice(laid: DataFrame, features: int, first: int, stop: int, n_folds: int, l2: float, max_rounds: int, tolerance: float) -> np.ndarray:
-    shape = (stop - first, n_folds)
+
+def newton(round_: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int], penalty: np.ndarray, max_rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
+    """Coefficients (shape x features) that minimise each fit's loss plus half its squared coefficients times ``penalty``.
+
+    ``round_`` gives the sums of all fits at their coefficients. Each fit halves its own step until it helps; raises if
+    one does not settle.
+    """
+    features = len(penalty)
     upper = np.triu_indices(features)
     beta, trial = np.zeros((*shape, features)), np.zeros((*shape, features))
     loss, size = np.full(shape, np.inf), np.ones(shape)
@@ -194,14 +211,14 @@ def _fit_slice(laid: DataFrame, features: int, first: int, stop: int, n_folds: i
     gradient = np.zeros((*shape, features))
     done = np.zeros(shape, bool)
     for _ in range(max_rounds):
-        sums = _round(laid, trial, first, n_folds)
-        new_loss = sums[..., 0] + 0.5 * l2 * (trial**2).sum(-1)
+        sums = round_(trial)
+        new_loss = sums[..., 0] + 0.5 * (penalty * trial**2).sum(-1)
         better = ~done & ((new_loss <= loss - 1e-4 * size * slope) | np.isinf(loss))
         beta[better], loss[better] = trial[better], new_loss[better]
-        gradient[better] = (l2 * trial + sums[..., 2 : 2 + features])[better]
+        gradient[better] = (penalty * trial + sums[..., 2 : 2 + features])[better]
         hessian = np.zeros((*shape, features, features))
         hessian[..., upper[0], upper[1]] = hessian[..., upper[1], upper[0]] = sums[..., 2 + features :]
-        step[better] = np.linalg.solve((hessian + l2 * np.eye(features))[better], gradient[better][..., None])[..., 0]
+        step[better] = np.linalg.solve((hessian + np.diag(penalty + 1e-10))[better], gradient[better][..., None])[..., 0]
         slope = (gradient * step).sum(-1)
         mass, steepest = sums[..., 1], np.abs(gradient).max(-1, initial=0)
         size = np.where(better, 1.0, size / 2)
@@ -217,13 +234,15 @@ def _fit_slice(laid: DataFrame, features: int, first: int, stop: int, n_folds: i
     raise NotConverged(f"no convergence in {max_rounds} rounds")
 
 
-def fit_responses(laid: DataFrame, responses: int, features: int, n_folds: int = 1, l2: float = 1.0, max_rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
+def fit_responses(laid: DataFrame, responses: int, features: int, n_folds: int = 1, l2: float = 1.0) -> np.ndarray:
     """Coefficients (responses x held folds x features); with one fold nothing is held out. Raises if a fit does not settle.
 
     ``laid`` is read once a round and should be written somewhere; fits are taken some thousand at a time.
     """
-    at_once = max(1, FITS // n_folds)
-    parts = [_fit_slice(laid, features, i, min(i + at_once, responses), n_folds, l2, max_rounds, tolerance) for i in range(0, responses, at_once)]
+    at_once, parts = max(1, FITS // n_folds), []
+    for first in range(0, responses, at_once):
+        shape = (min(at_once, responses - first), n_folds)
+        parts.append(newton(lambda beta, first=first: _round(laid, beta, first, n_folds), shape, np.full(features, float(l2))))
     return np.concatenate(parts) if parts else np.zeros((0, n_folds, features))
 
 

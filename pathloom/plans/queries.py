@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
-from pathloom.functions.bounds import MOST_SUBJECTS, few
-from pathloom.operators import audit, compare, corpus_audit, intervals, metrics, model, pairs, reconcile, resample, scoring, transitions, trees
+from pathloom.operators import audit, compare, corpus_audit, draws, intervals, metrics, model, pairs, reconcile, resample, scoring, transitions, trees
+from pathloom.plans import seeded
 from pathloom.plans.registry import Query
 from pathloom.sources import readers, tables
 
@@ -53,11 +53,11 @@ WORDS = (
     FROM bare LEFT JOIN broken ON bare.text_id = broken.text_id AND bare.sentence = broken.sentence
 )"""
 )
-#: Pairs of a line with their counts, without features.
+#: Pairs of a line with their distances and counts, without other features.
 BARE_COUNTED = (
     WORDS
     + """, line_pairs AS (
-    SELECT s.text_id, s.word_index AS src_word, d.word_index AS dst_word
+    SELECT s.text_id, s.word_index AS src_word, d.word_index AS dst_word, ln(1 + d.word_index - s.word_index) AS ld
     FROM words s JOIN words d ON s.text_id = d.text_id AND s.sentence = d.sentence AND s.line = d.line AND d.word_index > s.word_index
 ), sums AS (
     SELECT text_id, src_word, dst_word, sum(n) AS n FROM edges GROUP BY ALL
@@ -600,15 +600,11 @@ def shared_nuisance(spark, sf, names: tuple[str, ...] = NAMES):
     return metrics.paired_metrics(metrics.paired_halves(cells.where("half = 0"), cells.where("half = 1")))
 
 
-def _subjects(edges: DataFrame) -> list[str]:
-    return sorted(r[0] for r in few(edges.select("subject_id").distinct(), MOST_SUBJECTS, "subjects"))
-
-
 def split_half_draws(spark, sf):
     """Specification reliability over a hundred seeded halves: a fit for each (draw, half, fold)."""
     edges = _forward(spark, sf)
-    draws = resample.draws_table(spark, resample.subject_splits(_subjects(edges), 100, 20260711))
-    cells = audit.half_residuals(_design(spark, sf).drop("count"), edges, draws, NAMES, _folds(spark), 3)
+    halves = draws.half_draws(edges, 100, 20260711, by=())
+    cells = audit.half_residuals(_design(spark, sf).drop("count"), edges, halves, NAMES, _folds(spark), 3)
     return audit.reliability_by_draw(cells)
 
 
@@ -634,7 +630,7 @@ def seeded_split_half(spark, sf):
     events = _events(spark, sf)
     return resample.split_half(
         _forward(spark, sf),
-        resample.text_draws(spark, events, 10, 20260711),
+        draws.half_draws(events, 10, 20260711),
         transitions.text_sizes(events),
         correct=True,
     )
@@ -642,7 +638,7 @@ def seeded_split_half(spark, sf):
 
 def hashed_split_half(spark, sf):
     events = _events(spark, sf)
-    return resample.split_half(_forward(spark, sf), resample.hashed_draws(events, 4, 20260711), transitions.text_sizes(events))
+    return resample.split_half(_forward(spark, sf), draws.half_draws(events, 4, 20260711), transitions.text_sizes(events))
 
 
 def permuted_control(spark, sf):
@@ -683,7 +679,7 @@ def bootstrap_mean(spark, sf):
 def contrast_intervals(spark, sf):
     runs = runs_table(spark, sf)
     frames = [compare.paired_contrast(runs, "gaze", other).withColumn("other", F.lit(other)) for other in ("mlm", "shuffled", "position")]
-    return resample.mean_interval(readers.concat_subjects(frames), ["other"], "difference", 2000, 20260712, sign_flips=True)
+    return draws.mean_interval(readers.concat_subjects(frames), ["other"], "difference", 2000, 20260712, sign_flips=True)
 
 
 CONTRAST = (
@@ -761,9 +757,9 @@ def _two_corpora(spark, sf):
     return _design(spark, sf).withColumn("corpus", _corpus())
 
 
-def coefficient_bootstrap(spark, sf):
+def coefficient_bootstrap(spark, sf, names: tuple[str, ...] = pairs.POSITION):
     d = _two_corpora(spark, sf)
-    return corpus_audit.coefficient_audit(d.where("corpus = 'first'"), d.where("corpus = 'second'"), pairs.POSITION, 1000, 20260711)
+    return corpus_audit.coefficient_audit(d.where("corpus = 'first'"), d.where("corpus = 'second'"), names, 1000, 20260711)
 
 
 def transported(spark, sf):
@@ -780,9 +776,9 @@ def _transported(spark, sf, names: tuple[str, ...]):
     return readers.concat_subjects(parts)
 
 
-def classified(spark, sf):
+def classified(spark, sf, names: tuple[str, ...] = corpus_audit.SUMMARIES):
     summaries = corpus_audit.text_summaries(_design(spark, sf)).withColumn("corpus", _corpus())
-    return corpus_audit.domain_classifier(summaries, "corpus", "second", 500, 20260711)
+    return corpus_audit.domain_classifier(summaries, "corpus", "second", 500, 20260711, names=names)
 
 
 def cross_corpus_audit(spark, sf):
@@ -1013,11 +1009,11 @@ def criterion_contrasts(spark, sf):
     return audit.criterion_contrasts(_cells(spark, sf), _condition_scores(spark, sf), [], MODEL_PAIRS)
 
 
-def reader_text_bootstrap(spark, sf):
+def reader_text_bootstrap(spark, sf, names: tuple[str, ...] = pairs.POSITION):
     """Two hundred draws of readers: residuals refitted, contrasts of conditions, texts resampled within each draw."""
     edges = _forward(spark, sf)
-    draws = resample.draws_table(spark, [(h,) for h in resample.reader_resamples(_subjects(edges), 200, 20260711)])
-    cells = audit.half_residuals(_design(spark, sf, "position_only").drop("count"), edges, draws, pairs.POSITION, _folds(spark), 3)
+    readers_of = draws.reader_draws(edges.select("subject_id"), 200, 20260711)
+    cells = audit.half_residuals(_design(spark, sf, "position_only").drop("count"), edges, readers_of, names, _folds(spark), 3)
     found = audit.criterion_contrasts(cells, _condition_scores(spark, sf), ["draw"], MODEL_PAIRS)
     return audit.nested_bootstrap(found, ["contrast"], "difference", 200, 20260711)
 
@@ -1041,10 +1037,9 @@ def _contrast_cells(spark, sf) -> DataFrame:
 
 
 def threshold_intervals(spark, sf):
-    """Intervals of the mean difference for each threshold and contrast, each with a seed of its own; the lowest threshold's are the primary ones."""
-    number = F.array_position(F.array(*map(F.lit, OTHERS)), F.col("other"))
-    kept = compare.retained(_contrast_cells(spark, sf)).where("threshold > 4").withColumn("_seed", 100 * F.col("threshold") + number)
-    higher = resample.mean_interval(kept, ["threshold", "other"], "difference", 100_000, 20260713, seed_col="_seed")
+    """Intervals of the mean difference for each threshold and contrast, each with draws of its own; the lowest threshold's are the primary ones."""
+    kept = compare.retained(_contrast_cells(spark, sf)).where("threshold > 4")
+    higher = draws.mean_interval(kept, ["threshold", "other"], "difference", 100_000, 20260713)
     primary = contrast_intervals(spark, sf).withColumn("threshold", F.lit(4))
     return higher.unionByName(primary.select(*higher.columns))
 
@@ -1126,7 +1121,23 @@ SELECT 'gaze_vs_' || b.condition AS contrast, text_id, a.z - b.z AS difference
 FROM by_text a JOIN by_text b USING (text_id)
 WHERE a.condition = 'gaze' AND b.condition <> 'gaze'""",
     ),
-    "text_influence": Query(influence_report, "contrast deleted n# mean* low* high* flips"),
+    "text_influence": Query(
+        influence_report,
+        "contrast deleted n# mean* low* high* flips",
+        RUNS
+        + """, b AS (SELECT condition, text_id, avg(mlm_nll) AS nll FROM runs GROUP BY ALL
+    ), contrasts AS (
+        SELECT b.condition AS contrast, b.text_id, a.nll - b.nll AS difference
+        FROM b JOIN b a ON a.text_id = b.text_id AND a.condition = 'gaze' WHERE b.condition <> 'gaze' AND a.nll - b.nll IS NOT NULL
+    ), enough AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY contrast) AS texts FROM contrasts) WHERE texts >= 3
+    ), rest AS (SELECT a.contrast, d.text_id AS deleted, a.text_id, a.difference FROM enough a JOIN enough d ON a.contrast = d.contrast AND a.text_id <> d.text_id)"""
+        + seeded.interval("enough", "whole", ("contrast",), "difference", 1000, 20260711)
+        + seeded.interval("rest", "each", ("contrast", "deleted"), "difference", 1000, 20260711)
+        + """
+=>
+SELECT e.contrast, e.deleted, e.n, e.mean, e.low, e.high, (e.low > 0 OR e.high < 0) <> (w.low > 0 OR w.high < 0) AS flips
+FROM each e JOIN whole w USING (contrast)""",
+    ),
     "result_checks": Query(
         result_checks,
         "result rule failures#",
@@ -1816,7 +1827,20 @@ GROUP BY g.draw, g.text_id, g.src_word, g.dst_word), e AS (""" + corr_sql("v", "
 SELECT text_id, 4 AS draws, count(r) AS valid, quantile_cont(r, 0.5) AS median
 FROM e
 GROUP BY text_id"""),
-    "seeded_split_half": Query(seeded_split_half, "text_id draws# valid# median* half_0* half_1*"),
+    "seeded_split_half": Query(
+        seeded_split_half,
+        "text_id draws# valid# median* half_0* half_1*",
+        TR
+        + seeded.split_half(10, 20260711, corr_sql("v", "draw, text_id"))
+        + """, twice AS (
+        SELECT text_id, draw, CASE WHEN r = -1 THEN -1 ELSE least(greatest(2 * r / (1 + r), -1), 1) END AS r FROM e
+    )
+=>
+SELECT s.text_id, 10 AS draws, count(r) FILTER (WHERE n >= 4) AS valid, quantile_cont(r, 0.5) FILTER (WHERE n >= 4) AS median,
+       any_value(n // 2) AS half_0, any_value(n - n // 2) AS half_1
+FROM sizes s LEFT JOIN twice USING (text_id)
+GROUP BY s.text_id""",
+    ),
     "split_half_specification": Query(split_half_draws, "draw# metric valid# undefined# median*"),
     "identity_of_scores": Query(
         identity_of_scores,
@@ -1891,7 +1915,27 @@ GROUP BY ALL)
 SELECT subject_id, category, mass, CASE WHEN category = 'far_same_line' THEN 1 ELSE least(1,
        coalesce(max(mass) FILTER (WHERE category = 'far_same_line') OVER (PARTITION BY subject_id), 0) / mass) END AS keep
 FROM c"""),
-    "thinned_mass": Query(thinned_mass, "category mass* edges#"),
+    "thinned_mass": Query(
+        thinned_mass,
+        "category mass* edges#",
+        BARE_COUNTED + """, c AS (
+        SELECT subject_id, text_id, src_word, dst_word, n, CASE WHEN dst_word - src_word = 1 THEN 'adjacent' WHEN dst_word - src_word <= 3 THEN 'near_skip'
+               ELSE 'far_same_line' END AS category
+        FROM edges JOIN line_pairs USING (text_id, src_word, dst_word)
+    ), mass AS (SELECT subject_id, category, sum(n) AS mass FROM c GROUP BY ALL
+    ), chance AS (
+        SELECT subject_id, category, CASE WHEN category = 'far_same_line' THEN 1 ELSE least(1,
+               coalesce(max(mass) FILTER (WHERE category = 'far_same_line') OVER (PARTITION BY subject_id), 0) / mass) END AS keep
+        FROM mass
+    ), copies AS (SELECT *, unnest(range(1, CAST(n AS INT) + 1)) AS copy FROM c
+    ), kept AS (
+        SELECT category, count(*) AS mass FROM copies JOIN chance USING (subject_id, category)
+        WHERE """ + draws.uniform_sql("'thin'", "20260711", "subject_id", "text_id", "src_word", "dst_word", "copy") + """ < keep * 4294967296.0
+        GROUP BY category
+    )
+=>
+SELECT category, coalesce(any_value(k.mass), 0) AS mass, count(*) AS edges FROM c LEFT JOIN kept k USING (category) GROUP BY category""",
+    ),
     "leave_one_out_means": Query(
         lambda s, d: compare.leave_one_out_means(_contrast(s, d), [], "difference"),
         "text_id difference* loo_mean*",
@@ -1977,7 +2021,23 @@ FROM contrast_cells, (VALUES (4), (10), (20), (30)) v(t)
 WHERE defined = seeds AND min_edges >= t
 GROUP BY ALL""",
     ),
-    "threshold_intervals": Query(threshold_intervals, "threshold# other n# mean* low* high*"),
+    "threshold_intervals": Query(
+        threshold_intervals,
+        "threshold# other n# mean* low* high*",
+        CONTRAST_CELLS
+        + """, primary_cells AS (
+        SELECT other, text_id, difference FROM contrast_cells WHERE defined = seeds AND min_edges >= 4 AND difference IS NOT NULL
+    )"""
+        + seeded.interval("primary_cells", "primary_rows", ("other",), "difference", 2000, 20260712, flips=True)
+        + """, kept_cells AS (
+        SELECT t AS threshold, other, text_id, difference FROM contrast_cells, (VALUES (10), (20), (30)) v(t)
+        WHERE defined = seeds AND min_edges >= t AND difference IS NOT NULL
+    )"""
+        + seeded.interval("kept_cells", "higher", ("threshold", "other"), "difference", 100_000, 20260713)
+        + """
+=>
+SELECT threshold, other, n, mean, low, high FROM higher UNION ALL SELECT 4, other, n, mean, low, high FROM primary_rows""",
+    ),
     "change_flags": Query(
         flags,
         "sign_reversal threshold_crossing",
@@ -2122,7 +2182,16 @@ GROUP BY draw)
 =>
 SELECT count(*) AS draws, avg(m) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high
 FROM m"""),
-    "contrast_intervals": Query(contrast_intervals, "other n# mean* low* high* p*"),
+    "contrast_intervals": Query(
+        contrast_intervals,
+        "other n# mean* low* high* p*",
+        CONTRAST_CELLS
+        + """, primary_cells AS (
+        SELECT other, text_id, difference FROM contrast_cells WHERE defined = seeds AND min_edges >= 4 AND difference IS NOT NULL
+    )"""
+        + seeded.interval("primary_cells", "primary_rows", ("other",), "difference", 2000, 20260712, flips=True)
+        + "\n=>\nSELECT * FROM primary_rows",
+    ),
     "text_summaries": Query(
         lambda s, d: corpus_audit.text_summaries(_design(s, d)),
         "text_id " + " ".join(f"{n}*" for n in corpus_audit.SUMMARIES),
@@ -2188,11 +2257,95 @@ FROM g""",
     "feature_intervals": Query(
         lambda s, d: corpus_audit.feature_differences(_two_corpora(s, d), NAMES, "corpus", "first", "second", 1000),
         "feature first* second* smd* low* high*",
+        WORDS
+        + """, sided AS (
+        SELECT CASE WHEN CAST(split_part(text_id, ':', 2) AS INT) < 4 THEN 'first' ELSE 'second' END AS corpus, text_id, avg(ld) AS f1,
+               avg(adjacent) AS f2, avg(log_length) AS f3, avg(zipf) AS f4, avg(oov) AS f5, avg(punct) AS f6, avg(sh) AS f7, avg(dh) AS f8,
+               avg(steps) AS f9, avg(relative) AS f10, avg(first2) AS f11, avg(last2) AS f12
+        FROM counted GROUP BY ALL
+    ), u AS (
+        SELECT corpus, text_id, unnest(["""
+        + ", ".join(f"'{n}'" for n in NAMES)
+        + """]) AS feature, unnest([f1, f2, f3, f4, f5, f6, f7, f8, f9, f10, f11, f12]) AS v FROM sided
+    ), g AS (
+        SELECT feature, avg(v) FILTER (WHERE corpus = 'first') AS first, avg(v) FILTER (WHERE corpus = 'second') AS second,
+               sqrt(((count(*) FILTER (WHERE corpus = 'first') - 1) * var_samp(v) FILTER (WHERE corpus = 'first')
+                     + (count(*) FILTER (WHERE corpus = 'second') - 1) * var_samp(v) FILTER (WHERE corpus = 'second')) / (count(*) - 2)) AS pooled
+        FROM u GROUP BY feature
+    ), texts AS (SELECT corpus, text_id FROM sided)"""
+        + seeded.picks("texts", "drawn", ("corpus",), 1000, 20260711, "text_id")
+        + """, mean_of AS (
+        SELECT corpus, draw, feature, avg(v) AS m
+        FROM drawn JOIN drawn_placed USING (corpus, i) JOIN u USING (corpus, text_id)
+        GROUP BY ALL
+    ), gaps AS (SELECT a.feature, a.m - b.m AS d FROM mean_of a JOIN mean_of b USING (draw, feature) WHERE a.corpus = 'first' AND b.corpus = 'second'
+    ), limits AS (SELECT feature, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM gaps GROUP BY feature)
+=>
+SELECT feature, first, second, CASE WHEN pooled > 1e-9 THEN (first - second) / pooled ELSE 0 END AS smd,
+       CASE WHEN pooled > 1e-9 THEN low / pooled ELSE 0 END AS low, CASE WHEN pooled > 1e-9 THEN high / pooled ELSE 0 END AS high
+FROM g JOIN limits USING (feature)""",
     ),
     "coefficient_bootstrap": Query(coefficient_bootstrap, "feature first* second* difference* low* high*"),
+    "coefficient_bootstrap_one_feature": Query(
+        lambda s, d: coefficient_bootstrap(s, d, ONE),
+        "feature first* second* difference* low* high*",
+        BARE_COUNTED
+        + """, sided AS (
+        SELECT CASE WHEN CAST(split_part(text_id, ':', 2) AS INT) < 4 THEN 'first' ELSE 'second' END AS side, * FROM counted
+    ), texts AS (SELECT DISTINCT side, text_id FROM sided)"""
+        + seeded.picks("texts", "drawn", ("side",), 1000, 20260711, "text_id")
+        + """, times AS (
+        SELECT side, draw, text_id, count(*) AS times FROM drawn JOIN drawn_placed USING (side, i) GROUP BY ALL
+        UNION ALL SELECT side, -1, text_id, 1 FROM texts
+    ), laid AS (SELECT side || ':' || draw AS k, text_id, src_word, ld, y * times AS y FROM sided JOIN times USING (side, text_id))"""
+        + newton_sql("laid")
+        + """, wide AS (
+        SELECT CAST(split_part(k, ':', 2) AS INT) AS draw, max(b) FILTER (WHERE k LIKE 'first%') AS first, max(b) FILTER (WHERE k LIKE 'second%') AS second
+        FROM fits GROUP BY ALL
+    )
+=>
+SELECT 'log1p_abs_distance' AS feature, max(first) FILTER (WHERE draw = -1) AS first, max(second) FILTER (WHERE draw = -1) AS second,
+       max(first - second) FILTER (WHERE draw = -1) AS difference, quantile_cont(first - second, 0.025) FILTER (WHERE draw >= 0) AS low,
+       quantile_cont(first - second, 0.975) FILTER (WHERE draw >= 0) AS high
+FROM wide""",
+    ),
     "cross_corpus_audit": Query(cross_corpus_audit, "part item value*"),
     "transported_nll": Query(transported, "direction nll* uniform_nll* texts#"),
     "domain_classifier": Query(classified, "balanced_accuracy* area* p* p_area* permutations# status"),
+    "domain_classifier_one_feature": Query(
+        lambda s, d: classified(s, d, ("events_per_source",)),
+        "balanced_accuracy* area* p* p_area* permutations# status",
+        BARE_COUNTED
+        + """, texts AS (
+        SELECT text_id, avg(events) AS x, CASE WHEN CAST(split_part(text_id, ':', 2) AS INT) < 4 THEN 0 ELSE 1 END AS label
+        FROM (SELECT text_id, src_word, sum(y) AS events FROM counted GROUP BY ALL) GROUP BY ALL
+    )"""
+        + seeded.numbered("texts", "folded", ("label",), "'fold'", "20260711", "text_id")
+        + seeded.numbered("texts", "placed", (), "text_id")
+        + ", anew AS (SELECT i AS origin, label, draw FROM placed, range(500) d(draw))"
+        + seeded.numbered("anew", "shuffled", ("draw",), "20260711", "draw", "origin")
+        + """, labelled AS (
+        SELECT draw, text_id, s.label FROM placed p JOIN shuffled s USING (i) UNION ALL SELECT -1, text_id, label FROM texts
+    ), rows AS (SELECT l.draw, l.text_id, l.label AS y, f.x, f.i % 5 AS fold FROM labelled l JOIN folded f USING (text_id)
+    ), standard AS (
+        SELECT held, avg(x) AS m, CASE WHEN stddev_pop(x) <= 1e-12 * greatest(1, abs(avg(x))) THEN 1 ELSE stddev_pop(x) END AS sd
+        FROM (SELECT DISTINCT text_id, x, fold FROM rows), range(5) h(held) WHERE fold <> held GROUP BY held
+    ), laid AS (SELECT draw || ':' || held AS k, (x - m) / sd AS z, y FROM rows, standard WHERE fold <> held)"""
+        + seeded.logistic("laid", "fits")
+        + """, scored AS (
+        SELECT draw, y, a * (x - m) / sd + c AS s FROM rows JOIN standard ON held = fold JOIN fits ON k = draw || ':' || held
+    ), cells AS (SELECT draw, s, sum(y) AS p, sum(1 - y) AS n FROM scored GROUP BY ALL
+    ), found AS (
+        SELECT draw, (coalesce(sum(p) FILTER (WHERE s >= 0), 0) / sum(p) + coalesce(sum(n) FILTER (WHERE s < 0), 0) / sum(n)) / 2 AS balanced,
+               sum(p * (under + n / 2)) / (sum(p) * sum(n)) AS area
+        FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY draw ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM cells)
+        GROUP BY draw
+    ), own AS (SELECT balanced AS ob, area AS oa FROM found WHERE draw = -1)
+=>
+SELECT ob AS balanced_accuracy, oa AS area, (1 + count(*) FILTER (WHERE balanced >= ob - 1e-12)) / 501.0 AS p,
+       (1 + count(*) FILTER (WHERE area >= oa - 1e-12)) / 501.0 AS p_area, count(*) AS permutations, 'complete' AS status
+FROM found, own WHERE draw >= 0 GROUP BY ob, oa""",
+    ),
     "word_pool": Query(
         pooled_words,
         "text_id word_index# n_tokens# first* norm*",

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import compare, corpus_audit, intervals, metrics, model, pairs, reconcile, resample, scoring, transitions
+from pathloom.operators import compare, corpus_audit, draws, intervals, metrics, model, pairs, reconcile, resample, scoring, transitions
 from pathloom.sources import readers
 
 VISITS = "subject_id string, text_id string, word_index long, fixation_order long, duration_ms double, line_id long"
@@ -175,7 +175,7 @@ def test_separation_and_thinning(spark):
     keep = {r.category: r.keep for r in resample.keep_probabilities(marked).collect()}
     assert keep == pytest.approx({"adjacent": 0.1, "near_skip": 1 / 6, "far_same_line": 1.0})
     thin = {r.dst_word: r["count"] for r in resample.thin_categories(marked, 1).collect()}
-    assert thin[4] == 1 and thin[1] <= 10
+    assert thin[4] == 1 and thin[1] <= 10 and len(thin) == 4
     with pytest.raises(Exception, match="later destination"):
         transitions.with_separation(spark.createDataFrame([(2, 1)], "src_word long, dst_word long")).collect()
 
@@ -187,13 +187,13 @@ def test_split_halves(spark):
         same = v if same is None else same.unionByName(v)
     events = transitions.extract_events(same)
     sizes = spark.createDataFrame([("t:1", 3)], "text_id string, n_words long")
-    row = resample.split_half(transitions.subject_edges(events), resample.text_draws(spark, events, 10, 5), sizes).first()
+    row = resample.split_half(transitions.subject_edges(events), draws.half_draws(events, 10, 5), sizes).first()
     assert (row.draws, row.valid, row.half_0, row.half_1) == (10, 10, 3, 3) and row["median"] == pytest.approx(1)
     four = events.where("subject_id < 's4'")
-    exact = resample.split_half(transitions.subject_edges(four), resample.text_draws(spark, four, 0, 0, exact_four=True), sizes).first()
+    exact = resample.split_half(transitions.subject_edges(four), draws.four_subject_draws(four), sizes).first()
     assert (exact.draws, exact.valid) == (3, 3) and exact["median"] == pytest.approx(1)
     three = events.where("subject_id < 's3'")
-    few = resample.split_half(transitions.subject_edges(three), resample.text_draws(spark, three, 4, 5), sizes).first()
+    few = resample.split_half(transitions.subject_edges(three), draws.half_draws(three, 4, 5), sizes).first()
     assert few.valid == 0 and few["median"] is None
 
 
@@ -276,7 +276,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_hashed_draws_are_halves(spark):
     events = spark.createDataFrame([(f"t:{t}", f"s{i}") for t in range(2) for i in range(5 + t)], "text_id string, subject_id string")
-    rows = resample.hashed_draws(events, 3, 1).collect()
+    rows = draws.half_draws(events, 3, 1).collect()
     for t in range(2):
         for d in range(3):
             own = [r for r in rows if r.text_id == f"t:{t}" and r.draw == d]

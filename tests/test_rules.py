@@ -13,6 +13,8 @@ from pathloom.functions.bounds import few
 from pathloom.operators import audit, compare, corpus_audit, intervals, metrics, model, pairs, resample, scoring, transitions
 from pathloom.sources import matfile, readers
 
+from .test_draws import in_order, uniform
+
 # -- reports ------------------------------------------------------------------------------------------------------
 
 AREAS = "RECORDING_SESSION_LABEL,Participant_ID,TRIAL_INDEX,Text_ID,IA_ID,Word_Number,IA_TOP,IA_BOTTOM"
@@ -239,9 +241,10 @@ def test_feature_differences_weigh_corpora_by_their_texts(spark):
     pooled = math.sqrt((2 * a.var(ddof=1) + 8 * b.var(ddof=1)) / 10)
     row = corpus_audit.feature_differences(df, ("x",), "corpus", "a", "b", 50, 7).first()
     assert row.smd == pytest.approx((a.mean() - b.mean()) / pooled)
-    g = np.random.default_rng(7)
-    at_a, at_b = g.integers(3, size=(50, 3)), g.integers(9, size=(50, 9))
-    assert (row.low, row.high) == pytest.approx(tuple(np.quantile((a[at_a].mean(1) - b[at_b].mean(1)) / pooled, (0.025, 0.975))))
+    order = {c: in_order([f"t:{i}" for i in range(n)]) for c, n in (("a", 3), ("b", 9))}
+    drawn = lambda c, d: np.mean([values[c, int(order[c][uniform(7, c, d, j) * len(order[c]) >> 32][2:])] for j in range(len(order[c]))])
+    gaps = [(drawn("a", d) - drawn("b", d)) / pooled for d in range(50)]
+    assert (row.low, row.high) == pytest.approx(tuple(np.quantile(gaps, (0.025, 0.975))))
     same = df.where("corpus = 'a'").unionByName(df.where("corpus = 'a'").withColumn("corpus", F.lit("b")))
     assert corpus_audit.feature_differences(same, ("x",), "corpus", "a", "b", 30, 7).first()["smd"] == 0
 
@@ -289,14 +292,6 @@ def test_thresholds_keep_texts_with_enough_edges(spark):
     assert [strata["mlm", s] for s in ("4-9", "10-19", "20-29", "30+")] == [1, 1, 1, 1]
 
 
-def test_intervals_have_seeds_of_their_own_and_bounded_memory(spark):
-    values = np.array([-0.2, 0.1, 0.3, 0.4])
-    df = spark.createDataFrame([("x", f"t:{i}", float(v), 4) for i, v in enumerate(values)], "k string, text_id string, v double, s int")
-    row = resample.mean_interval(df, ["k"], "v", 9000, 5, seed_col="s").first()
-    draws = values[np.random.default_rng(9).integers(0, 4, (9000, 4))].mean(1)
-    assert (row.low, row.high) == pytest.approx(tuple(np.quantile(draws, (0.025, 0.975))))
-
-
 def test_pooled_correlation_is_a_mean_over_runs(spark):
     rows = [("gaze", s, float(x), float(x * (1 if s else -1))) for s in range(2) for x in range(4)]
     got = compare.pooled_correlation(spark.createDataFrame(rows, "condition string, seed int, x double, y double"), ["condition"]).first()
