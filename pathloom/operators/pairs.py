@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
 from pathloom.operators import trees
 
+#: Tasks whose triangles meet in one step.
+FAN_IN = 64
 # Feature names, in the order of a design's columns.
 DIRECTED = (
     "forward",
@@ -242,20 +248,39 @@ def group_constants(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def design_rank(pairs: DataFrame, names: tuple[str, ...]) -> int:
-    """Rank of the features, centred within sources, from their P x P products."""
-    import numpy as np
+    """Rank of the features, centred within sources.
 
+    By a tree of QR decompositions: a task keeps the triangle of its rows, tasks' triangles are decomposed together, up
+    to ``FAN_IN`` at a time, and the last one has the singular values of the whole design, to rounding.
+    """
+    if not names:
+        return 0
     group = Window.partitionBy("text_id", "src_word")
-    centred = pairs.select(*[(F.col(n) - F.avg(n).over(group)).alias(n) for n in names])
-    row = centred.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i],
-    ).first()
-    gram = np.array([[row[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
-    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
-    values = np.linalg.eigvalsh(gram / np.outer(scale, scale)) if len(names) else np.zeros(0)
-    # Eigenvalues are squares of singular values, so rounding shows at the square of its relative size.
-    return int((values > len(names) * 1e-12).sum())
+    centred = pairs.select(*[(F.col(n) - F.avg(n).over(group)).cast("double").alias(n) for n in names])
+    schema = "n long, triangle array<double>"
+
+    def reduce(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBatch], tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        n, triangle = 0, np.zeros((0, len(names)))
+        for batch in batches:
+            more, rows = rows_of(batch)
+            n, triangle = n + more, np.linalg.qr(np.vstack([triangle, rows]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([triangle.ravel().tolist()], pa.list_(pa.float64()))], ["n", "triangle"])
+
+    def of_cells(batch: pa.RecordBatch) -> tuple[int, np.ndarray]:
+        return batch.num_rows, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+
+    def of_triangles(batch: pa.RecordBatch) -> tuple[int, np.ndarray]:
+        flat = batch.column("triangle").flatten().to_numpy(zero_copy_only=False)
+        return sum(batch.column("n").to_pylist()), flat.reshape(-1, len(names))
+
+    leaves = centred.mapInArrow(lambda batches: reduce(batches, of_cells), schema)
+    near = leaves.withColumn("_near", (F.spark_partition_id() / FAN_IN).cast("int")).repartition("_near").drop("_near")
+    nodes = near.mapInArrow(lambda batches: reduce(batches, of_triangles), schema)
+    n, triangle = 0, np.zeros((0, len(names)))
+    for row in nodes.toLocalIterator():  # a triangle for each FAN_IN tasks
+        n, triangle = n + row["n"], np.linalg.qr(np.vstack([triangle, np.reshape(row["triangle"], (-1, len(names)))]), mode="r")
+    values = np.linalg.svd(triangle, compute_uv=False)
+    return int((values > values.max(initial=0) * max(n, len(names)) * np.finfo(float).eps).sum())
 
 
 def same_candidates(a: DataFrame, b: DataFrame) -> DataFrame:

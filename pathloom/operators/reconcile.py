@@ -2,36 +2,83 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.sources.scratch import written
+
 
 def lexical_form(c: Column) -> Column:
     """Lower-case letters and digits only."""
     return F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "")
 
 
-def align_tokens(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(text_id, op, first_start, first_end, second_start, second_end) of (text_id, position, token) sequences.
+def diagonal_runs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(text_id, i, j, length): all maximal runs of equal tokens of (text_id, i, token) and (text_id, j, token), positions from 0."""
+    met = first.join(second, ["text_id", "token"]).select("text_id", "i", "j", (F.col("i") - F.col("j")).alias("_diagonal"))
+    along = Window.partitionBy("text_id", "_diagonal").orderBy("i")
+    islands = met.withColumn("_island", F.col("i") - F.row_number().over(along))
+    return islands.groupBy("text_id", "_diagonal", "_island").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count(F.lit(1)).alias("length")).select(
+        "text_id", "i", "j", "length"
+    )
 
-    Longest matching blocks, as ``difflib`` finds them; a text is one task's work.
-    """
 
-    def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sides = [list(x.sort_values("position")["token"]) for x in (a, b)]
-        ops = SequenceMatcher(None, *sides, autojunk=False).get_opcodes()
-        return pd.DataFrame(
-            [(key[0], *op) for op in ops],
-            columns=["text_id", "op", "first_start", "first_end", "second_start", "second_end"],
+def matching_blocks(runs: DataFrame) -> DataFrame:
+    """(text_id, i, j, length): the longest run, then those of what is before and behind it, and so on.
+
+    Of equal runs the first in the first sequence is taken, then the first in the second. A round takes the longest run
+    of every open segment of every text, and clips the others to the segments on its two sides, where they may be in
+    both; rounds go on until no runs are left, about as often as the logarithm of a text's blocks. A segment is named by
+    its first positions.
+    """
+    open_ = written(runs.select("*", F.lit(0).cast("long").alias("_a"), F.lit(0).cast("long").alias("_b")), "runs")
+    blocks = []
+    while True:
+        best = written(
+            open_.groupBy("text_id", "_a", "_b").agg(F.max(F.struct("length", -F.col("i"), -F.col("j"))).alias("_best")).select(
+                "text_id", "_a", "_b", (-F.col("_best.col2")).alias("_i"), (-F.col("_best.col3")).alias("_j"), F.col("_best.length").alias("_k")
+            ),
+            "blocks",
         )
+        if best.isEmpty():
+            break
+        blocks.append(best.select("text_id", F.col("_i").alias("i"), F.col("_j").alias("j"), F.col("_k").alias("length")))
+        before = F.least("length", F.col("_i") - F.col("i"), F.col("_j") - F.col("j"))
+        end_a, end_b = F.col("_i") + F.col("_k"), F.col("_j") + F.col("_k")
+        skipped = F.greatest(end_a - F.col("i"), end_b - F.col("j"), F.lit(0))
+        left = F.struct(F.col("_a").alias("_a"), F.col("_b").alias("_b"), F.col("i").alias("i"), F.col("j").alias("j"), before.alias("length"))
+        right = F.struct(end_a.alias("_a"), end_b.alias("_b"), (F.col("i") + skipped).alias("i"), (F.col("j") + skipped).alias("j"), (F.col("length") - skipped).alias("length"))
+        sides = open_.join(best, ["text_id", "_a", "_b"]).select("text_id", F.explode(F.array(left, right)).alias("_side"))
+        open_ = written(sides.select("text_id", "_side.*").where("length > 0"), "runs")
+    found = open_.select("text_id", "i", "j", "length")  # empty by now
+    for block in blocks:
+        found = found.unionByName(block)
+    return found
 
-    return first.groupBy("text_id").cogroup(second.groupBy("text_id")).applyInPandas(
-        one,
-        "text_id string, op string, first_start long, first_end long, second_start long, second_end long",
-    )
+
+def align_tokens(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(text_id, op, first_start, first_end, second_start, second_end) of (text_id, position, token) sequences.
+
+    What lies between the ``matching_blocks`` is replaced, deleted or inserted; null tokens match nothing. A frequent
+    token of a text costs the product of its places on both sides.
+    """
+    place = (F.row_number().over(Window.partitionBy("text_id").orderBy("position")) - 1).cast("long")
+    a, b = (written(df.select("text_id", "token", place.alias(name)), "tokens") for df, name in ((first, "i"), (second, "j")))
+    blocks = matching_blocks(diagonal_runs(a, b))
+    count = F.count(F.lit(1)).cast("long")
+    sizes = a.groupBy("text_id").agg(count.alias("i")).join(b.groupBy("text_id").agg(count.alias("j")), "text_id", "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    ends = sizes.select("text_id", zero("i"), zero("j"), F.lit(0).cast("long").alias("length"))
+    order = Window.partitionBy("text_id").orderBy("i", "j", F.desc("length"))
+    behind = lambda c: F.coalesce(F.lag(F.col(c) + F.col("length")).over(order), F.lit(0)).alias(f"_{c}")
+    placed = blocks.unionByName(ends).select("text_id", "i", "j", "length", behind("i"), behind("j"))
+    in_a, in_b = F.col("i") > F.col("_i"), F.col("j") > F.col("_j")
+    op = F.when(in_a & in_b, "replace").when(in_a, "delete").when(in_b, "insert")
+    row = lambda kind, *bounds: F.struct(kind.alias("op"), *[x.alias(n) for x, n in zip(bounds, ("first_start", "first_end", "second_start", "second_end"))])
+    gap = row(op, F.col("_i"), F.col("i"), F.col("_j"), F.col("j"))
+    kept = F.when(F.col("length") > 0, F.lit("equal"))
+    same = row(kept, F.col("i"), F.col("i") + F.col("length"), F.col("j"), F.col("j") + F.col("length"))
+    return placed.select("text_id", F.explode(F.array(gap, same)).alias("_row")).select("text_id", "_row.*").where("op is not null")
 
 
 def verified_positions(blocks: DataFrame) -> DataFrame:

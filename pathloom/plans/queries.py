@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
-from pathloom.operators import audit, compare, corpus_audit, draws, intervals, metrics, model, pairs, reconcile, resample, scoring, transitions, trees
+from pathloom.operators import audit, compare, corpus_audit, draws, intervals, metrics, model, pairs, reconcile, release, resample, scoring, transitions, trees
 from pathloom.plans import seeded
 from pathloom.plans.registry import Query
 from pathloom.sources import readers, tables
@@ -910,11 +910,59 @@ def _turns(spark, sf) -> DataFrame:
     return tokens.withColumn("token", reconcile.lexical_form(F.col("token")))
 
 
-def token_reconciliation(spark, sf):
+def token_alignment(spark, sf):
     """Every turn of a conversation aligned with the turn before it."""
     tokens = _turns(spark, sf)
     before = tokens.select(F.col("next_id").alias("text_id"), "position", "token")
-    return reconcile.reconciliation(reconcile.align_tokens(before, tokens.select("text_id", "position", "token")))
+    return reconcile.align_tokens(before, tokens.select("text_id", "position", "token"))
+
+
+def token_reconciliation(spark, sf):
+    return reconcile.reconciliation(token_alignment(spark, sf))
+
+
+#: ``ops`` (text_id, op, a1, a2, b1, b2): every turn aligned with the one before, segments opened round by round.
+ALIGNED = """WITH RECURSIVE turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_split_to_array(trim(text), '\\s+') AS words FROM conversations
+), tokens AS (
+    SELECT conv_id || ':' || n AS text_id, conv_id || ':' || (n + 1) AS next_id, unnest(range(len(words))) AS p,
+           regexp_replace(lower(trim(unnest(words))), '[^a-z0-9]+', '', 'g') AS token
+    FROM turns
+), met AS (
+    SELECT b.text_id, a.p AS i, b.p AS j FROM tokens a JOIN tokens b ON a.next_id = b.text_id AND a.token = b.token
+), runs AS (
+    SELECT text_id, min(i) AS i, min(j) AS j, count(*) AS k
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY text_id, i - j ORDER BY i) AS island FROM met)
+    GROUP BY text_id, i - j, island
+), open(text_id, a, b, i, j, k, bi, bj, bk) AS (
+    SELECT text_id, 0, 0, i, j, k, first_value(i) OVER g, first_value(j) OVER g, first_value(k) OVER g
+    FROM runs WINDOW g AS (PARTITION BY text_id ORDER BY k DESC, i, j)
+    UNION ALL
+    SELECT text_id, a, b, i, j, k, first_value(i) OVER g, first_value(j) OVER g, first_value(k) OVER g
+    FROM (
+        SELECT text_id, a, b, i, j, least(k, bi - i, bj - j) AS k FROM open
+        UNION ALL
+        SELECT text_id, bi + bk, bj + bk, i + greatest(bi + bk - i, bj + bk - j, 0), j + greatest(bi + bk - i, bj + bk - j, 0),
+               k - greatest(bi + bk - i, bj + bk - j, 0)
+        FROM open
+    )
+    WHERE k > 0
+    WINDOW g AS (PARTITION BY text_id, a, b ORDER BY k DESC, i, j)
+), blocks AS (
+    SELECT DISTINCT text_id, bi AS i, bj AS j, bk AS k FROM open
+    UNION ALL
+    SELECT coalesce(x.text_id, y.text_id), coalesce(x.n, 0), coalesce(y.n, 0), 0
+    FROM (SELECT next_id AS text_id, count(*) AS n FROM tokens GROUP BY ALL) x
+    FULL JOIN (SELECT text_id, count(*) AS n FROM tokens GROUP BY ALL) y ON x.text_id = y.text_id
+), placed AS (
+    SELECT *, coalesce(lag(i + k) OVER g, 0) AS pi, coalesce(lag(j + k) OVER g, 0) AS pj
+    FROM blocks WINDOW g AS (PARTITION BY text_id ORDER BY i, j, k DESC)
+), ops AS (
+    SELECT text_id, CASE WHEN i > pi AND j > pj THEN 'replace' WHEN i > pi THEN 'delete' ELSE 'insert' END AS op, pi AS a1, i AS a2, pj AS b1, j AS b2
+    FROM placed WHERE i > pi OR j > pj
+    UNION ALL
+    SELECT text_id, 'equal', i, i + k, j, j + k FROM placed WHERE k > 0
+)"""
 
 
 def aligned_tokens(spark, sf):
@@ -975,6 +1023,20 @@ def group_constant_flags(spark, sf):
     return pairs.group_constants(_design(spark, sf), NAMES)
 
 
+def _elimination() -> str:
+    """``e0`` .. ``e11``: what is left of each centred feature (d) of its squares (o) after the features before it, one after another."""
+    columns = ("ld", "adjacent", "log_length", "zipf", "oov", "punct", "sh", "dh", "steps", "relative", "first2", "last2")
+    sql = ", r0 AS (SELECT " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY text_id, src_word) AS c{i}" for i, c in enumerate(columns)) + " FROM counted)"
+    sql += ", whole AS (SELECT " + ", ".join(f"sum(c{i} * c{i}) AS o{i}" for i in range(12)) + " FROM r0)"
+    for i in range(12):
+        later = range(i + 1, 12)
+        dots = "".join(f", sum(c{i} * c{j}) AS t{j}" for j in later)
+        sql += f", e{i} AS (SELECT any_value(o{i}) AS o{i}, sum(c{i} * c{i}) AS d{i}{dots} FROM r{i}, whole)"
+        left = ", ".join([f"CASE WHEN d{i} > 1e-18 * o{i} THEN c{j} - c{i} * t{j} / d{i} ELSE c{j} END AS c{j}" for j in later] or ["1 AS done"])
+        sql += f", r{i + 1} AS (SELECT {left} FROM r{i}, e{i})"
+    return sql
+
+
 def rank_of_design(spark, sf):
     return spark.createDataFrame([(len(NAMES), pairs.design_rank(_design(spark, sf), NAMES))], "features int, rank int")
 
@@ -1054,6 +1116,77 @@ def fold_spread(spark, sf):
     return metrics.coefficient_variability(fits, [])
 
 
+def _links(spark, sf) -> DataFrame:
+    """Pages (p:id) link to names (n:word), and a name leads to the pages that have it in their title."""
+    pages = tables.table(spark, sf, "pages")
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}]+", ""))
+    page = F.concat(F.lit("p:"), F.col("page_id").cast("string"))
+    named = lambda words: F.explode(F.transform(words, lambda w: F.concat(F.lit("n:"), bare(w))))
+    out = pages.select(page.alias("source"), named(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("target"))
+    back = pages.select(named(F.split(F.regexp_extract("html", "<title>([^<]*)", 1), " ")).alias("source"), page.alias("target"))
+    return out.unionByName(back).where("source <> 'n:' and target <> 'n:'")
+
+
+def link_closure(spark, sf):
+    """Pages that each host's first page reaches over links and titles."""
+    first = tables.table(spark, sf, "pages").groupBy(F.regexp_extract("url", "https?://([^/]+)", 1)).agg(F.min("page_id").alias("page_id"))
+    roots = first.select(F.concat(F.lit("p:"), F.col("page_id").cast("string")).alias("node"))
+    return release.reachable(_links(spark, sf), roots).where("node like 'p:%'").select(F.expr("substring(node, 3)").cast("long").alias("page_id"), "depth")
+
+
+def missing_links(spark, sf):
+    """Links whose name no title has."""
+    links = _links(spark, sf)
+    return release.broken_links(links.where("source like 'p:%'").distinct(), links.where("source like 'n:%'").select(F.col("source").alias("node")))
+
+
+#: Paths under these may be released, in the findings on pages; a page's limit in bytes.
+PUBLIC, PAGE_BYTES = ["en/**", "de/*", "*/?", "# fr is not"], 20_000
+
+
+def release_findings(spark, sf):
+    """Pages as files: outside the public paths, too large, or with a secret."""
+    path = F.regexp_extract("url", r"https?://[^/]+/([^?#]*)", 1)
+    files = tables.table(spark, sf, "pages").select(path.alias("path"), F.col("html").alias("content"))
+    return release.findings(files, PUBLIC, ["README.md"], max_bytes=PAGE_BYTES).groupBy("path", "finding").agg(F.count(F.lit(1)).alias("files"))
+
+
+LINKS = r"""WITH RECURSIVE parts AS (
+    SELECT 'p:' || page_id AS page, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS word, true AS link FROM pages
+    UNION ALL
+    SELECT 'p:' || page_id, unnest(string_split(regexp_extract(html, '<title>([^<]*)', 1), ' ')), false FROM pages
+), named AS (SELECT page, 'n:' || lower(regexp_replace(word, '[^\p{L}]+', '', 'g')) AS name, link FROM parts
+), links AS (
+    SELECT DISTINCT CASE WHEN link THEN page ELSE name END AS source, CASE WHEN link THEN name ELSE page END AS target FROM named WHERE name <> 'n:'
+)"""
+
+
+def faulted_checks(spark, sf):
+    """The rules on scored cells with faults put in: probabilities doubled, counts broken, residuals lost, words turned round."""
+    c, n = F.col, F.pmod(F.col("src_word") * 7 + F.col("dst_word"), F.lit(11))
+    cells = _cells(spark, sf).select(
+        *model.KEYS,
+        F.when(n == 1, c("probability") * 2 + 1).otherwise(c("probability")).alias("probability"),
+        (c("count") + F.when(n == 2, 0.5).otherwise(0.0)).alias("count"),
+        F.when(n != 3, c("residual")).alias("residual"),
+        "reliable",
+        F.when(n == 4, c("src_word")).otherwise(c("dst_word")).alias("to_word"),
+        F.when(n == 5, F.lit(None)).otherwise(c("exposure")).alias("exposure"),
+    )
+    rules = {
+        "cells": {
+            "probability is one": c("probability").between(0, 1),
+            "counts are whole": c("count") == F.floor("count"),
+            "reliable is defined": ~c("reliable") | c("residual").isNotNull(),
+            "forward": c("to_word") > c("src_word"),
+            "exposure is known": c("exposure").isNotNull(),
+            "keys are whole": c("text_id").isNotNull() & (c("src_word") >= 0),
+        },
+        "none": {"has rows": F.lit(True)},
+    }
+    return readers.failed_checks({"cells": cells, "none": cells.where("false")}, rules)
+
+
 def result_checks(spark, sf):
     """Rules that results must meet; no row says that all hold."""
     total = Window.partitionBy("text_id", "src_word")
@@ -1142,6 +1275,55 @@ FROM each e JOIN whole w USING (contrast)""",
         result_checks,
         "result rule failures#",
         "\n=>\nSELECT 'x' AS result, 'x' AS rule, 0 AS failures WHERE false"),
+    "faulted_checks": Query(
+        faulted_checks,
+        "result rule failures#",
+        SCORED
+        + """, faults AS (SELECT *, (src_word * 7 + dst_word) % 11 AS f FROM cells
+    ), counts AS (
+        SELECT 'probability is one' AS rule, count(*) FILTER (WHERE f = 1) AS failures FROM faults
+        UNION ALL SELECT 'counts are whole', count(*) FILTER (WHERE f = 2) FROM faults
+        UNION ALL SELECT 'reliable is defined', count(*) FILTER (WHERE f = 3 AND reliable) FROM faults
+        UNION ALL SELECT 'forward', count(*) FILTER (WHERE f = 4) FROM faults
+        UNION ALL SELECT 'exposure is known', count(*) FILTER (WHERE f = 5) FROM faults
+    )
+=>
+SELECT 'cells' AS result, rule, failures FROM counts WHERE failures > 0 UNION ALL SELECT 'none', 'has rows', 1""",
+    ),
+    "link_closure": Query(
+        lambda s, d: link_closure(s, d).select("page_id"),
+        "page_id#",
+        LINKS + """, roots AS (SELECT 'p:' || min(page_id) AS node FROM pages GROUP BY regexp_extract(url, 'https?://([^/]+)', 1)
+), reach(node) AS (
+    SELECT node FROM roots UNION SELECT l.target FROM reach r JOIN links l ON l.source = r.node
+)
+=>
+SELECT CAST(substr(node, 3) AS BIGINT) AS page_id FROM reach WHERE node LIKE 'p:%'""",
+    ),
+    "missing_links": Query(
+        missing_links,
+        "source target",
+        LINKS + """
+=>
+SELECT source, target FROM links WHERE source LIKE 'p:%' AND target NOT IN (SELECT source FROM links)""",
+    ),
+    "release_findings": Query(
+        release_findings,
+        "path finding files#",
+        """WITH files AS (SELECT regexp_extract(url, 'https?://[^/]+/([^?#]*)', 1) AS path, html FROM pages
+), found AS (
+    SELECT path, 'not declared public' AS finding FROM files WHERE NOT regexp_full_match(path, 'en/.*|de/[^/]*|[^/]*/[^/]')
+    UNION ALL SELECT path, 'too large' FROM files WHERE strlen(html) > 20000
+    UNION ALL SELECT path, 'possible private key' FROM files WHERE regexp_matches(html, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----')
+    UNION ALL SELECT path, 'possible GitHub token' FROM files WHERE regexp_matches(html, 'gh[pousr]_[A-Za-z0-9]{30,}')
+    UNION ALL SELECT path, 'possible AWS access key' FROM files WHERE regexp_matches(html, 'AKIA[0-9A-Z]{16}')
+    UNION ALL SELECT path, 'possible assigned secret' FROM files
+    WHERE regexp_matches(html, '(?i)(?:api[_-]?key|access[_-]?token|client[_-]?secret|password)\\s*[:=]\\s*[''"][^''"\\s]{8,}[''"]')
+    UNION ALL SELECT 'README.md', 'required file is missing'
+)
+=>
+SELECT path, finding, count(*) AS files FROM found GROUP BY ALL""",
+    ),
     "transition_events": Query(
         _events,
         "subject_id text_id src_word# dst_word# event_type weight*",
@@ -1431,7 +1613,9 @@ GROUP BY ALL""",
 =>
 SELECT feature, max(width) = 0 AS constant FROM spread GROUP BY feature""",
     ),
-    "design_rank": Query(rank_of_design, "features# rank#"),
+    "design_rank": Query(rank_of_design, "features# rank#", WORDS + _elimination() + """
+=>
+SELECT 12 AS features, """ + " + ".join(f"(SELECT CAST(count(*) FILTER (WHERE d{i} > 1e-18 * o{i}) AS BIGINT) FROM e{i})" for i in range(12)) + " AS rank"),
     "candidate_audit": Query(
         lambda s, d: pairs.candidate_audit(transitions.with_separation(_design(s, d))),
         "category candidates# sources# texts# nonzero# mass* eligible# eligible_sources# exposure*",
@@ -2462,7 +2646,20 @@ GROUP BY ALL)
 SELECT text_id, avg(l) AS loss
 FROM l
 GROUP BY text_id"""),
-    "token_reconciliation": Query(token_reconciliation, "text_id op blocks# first_tokens# second_tokens#"),
+    "token_reconciliation": Query(
+        token_reconciliation,
+        "text_id op blocks# first_tokens# second_tokens#",
+        ALIGNED + """
+=>
+SELECT text_id, op, count(*) AS blocks, sum(a2 - a1) AS first_tokens, sum(b2 - b1) AS second_tokens FROM ops GROUP BY ALL""",
+    ),
+    "token_alignment": Query(
+        token_alignment,
+        "text_id op first_start# first_end# second_start# second_end#",
+        ALIGNED + """
+=>
+SELECT text_id, op, a1 AS first_start, a2 AS first_end, b1 AS second_start, b2 AS second_end FROM ops""",
+    ),
     "aligned_tokens": Query(
         aligned_tokens,
         "text_id first_tokens# second_tokens#",
