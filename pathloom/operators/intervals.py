@@ -115,14 +115,21 @@ def partition_agreement(layouts: DataFrame) -> DataFrame:
     fields = ("content", "top", "bottom", "line_id")
     subjects = marked.where("subject_id <> reference").select("subject_id").distinct()
     base = marked.where("subject_id = reference").select("text_id", "word_index", *[F.col(c).alias(f"ref_{c}") for c in fields])
-    # What each other subject should have: as many rows as the layouts themselves.
-    expected = base.crossJoin(subjects)
     other = marked.where("subject_id <> reference").select("subject_id", "text_id", "word_index", *fields)
-    joined = expected.join(other, ["subject_id", "text_id", "word_index"], "full")
+    # Words are compared where a subject has them; those that it lacks are the reference's less the ones met.
+    met = other.join(base.withColumn("_met", F.lit(1)), ["text_id", "word_index"], "left")
+    lacking = F.col("_met").isNull()
     same = lambda *names: F.lit(True) if not names else F.col(names[0]).eqNullSafe(F.col(f"ref_{names[0]}")) & same(*names[1:])
-    return joined.groupBy("text_id", "subject_id").agg(
-        F.count(F.lit(1)).alias("words"),
-        F.count_if(~same("top", "bottom")).alias("bounds_differ"),
-        F.count_if(~same("content")).alias("content_differs"),
-        F.count_if(~same("line_id")).alias("line_differs"),
+    differing = {"bounds_differ": ("top", "bottom"), "content_differs": ("content",), "line_differs": ("line_id",)}
+    found = met.groupBy("text_id", "subject_id").agg(
+        F.count(F.lit(1)).alias("_words"),
+        F.count("_met").alias("_shared"),
+        *[F.count_if(lacking | ~same(*names)).alias(name) for name, names in differing.items()],
+    )
+    sizes = base.groupBy("text_id").agg(F.count(F.lit(1)).alias("_size"))
+    rows = sizes.select("text_id").crossJoin(subjects).join(found, ["text_id", "subject_id"], "full")  # texts by subjects, as the result has
+    filled = rows.join(sizes, "text_id", "left").fillna(0, ["_words", "_shared", "_size", *differing])
+    missing = F.col("_size") - F.col("_shared")
+    return filled.select(
+        "text_id", "subject_id", (F.col("_words") + missing).alias("words"), *[(F.col(name) + missing).alias(name) for name in differing]
     )

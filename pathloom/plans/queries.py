@@ -6,10 +6,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as E
-from pathloom.operators import audit, compare, corpus_audit, draws, intervals, metrics, model, pairs, reconcile, release, resample, scoring, transitions, trees
+from pathloom.functions.bounds import MOST_TEXTS, few
+from pathloom.operators import (
+    audit,
+    compare,
+    corpus_audit,
+    draws,
+    intervals,
+    metrics,
+    model,
+    pairs,
+    reconcile,
+    release,
+    resample,
+    responses,
+    scoring,
+    training,
+    transitions,
+    trees,
+)
 from pathloom.plans import seeded
 from pathloom.plans.registry import Query
 from pathloom.sources import readers, tables
+from pathloom.sources.scratch import written
 
 # -- SQL shared by the oracles; "=>" stands before the final query ---------------------------------------------
 
@@ -1116,6 +1135,83 @@ def fold_spread(spark, sf):
     return metrics.coefficient_variability(fits, [])
 
 
+def _turn_design(spark, sf) -> DataFrame:
+    """Pairs of the words of each sentence of each turn, and how often one is read right after the other."""
+    tokens = tables.turn_tokens(spark, sf)
+    words = tokens.where("position = word_index").drop("position")
+    design = pairs.build_pairs(words, "forward_same_line", "position_only")
+    order = Window.partitionBy("text_id").orderBy("position")
+    steps = tokens.select("text_id", F.col("word_index").alias("src_word"), F.lead("word_index").over(order).alias("dst_word"))
+    edges = steps.where("dst_word > src_word").groupBy(*model.KEYS).agg(F.count(F.lit(1)).cast("double").alias("count"))
+    return transitions.count_vector(design, edges)
+
+
+def turn_pair_features(spark, sf):
+    sums = [F.sum(n).alias(n) for n in (*pairs.POSITION, "count")]
+    return _turn_design(spark, sf).groupBy("text_id").agg(F.count(F.lit(1)).alias("pairs"), *sums)
+
+
+def turn_fit_one_feature(spark, sf):
+    """A fit over a design that grows with the table, by rounds of sums."""
+    design = written(_turn_design(spark, sf).select(*model.KEYS, *ONE, "count"), "turn-design")
+    return spark.createDataFrame(list(model.fit_large(design, ONE).items()), "feature string, coefficient double")
+
+
+def turn_crossfit_one_feature(spark, sf):
+    """Out-of-fold likelihood of the steps in even and in odd turns, with all fits' Newton rounds taken together."""
+    design = written(_turn_design(spark, sf).select(*model.KEYS, *ONE, "count"), "turn-design")
+    conversation = F.split_part("text_id", F.lit(":"), F.lit(1)).cast("bigint")
+    folds = design.select("text_id").distinct().withColumn("fold", (conversation % 3).cast("int"))
+    turn = F.split_part("text_id", F.lit(":"), F.lit(2)).cast("bigint")
+    counts = design.where("count > 0").select((turn % 2).cast("int").alias("half"), *model.KEYS, "count")
+    sides = spark.range(2).select(F.col("id").cast("int").alias("half"))
+    found = responses.crossfit_responses(design.drop("count"), counts, ONE, folds, ["half"], sides)
+    return found.groupBy("half").agg(F.sum("count").alias("events"), F.sum(-F.col("count") * F.ln("probability")).alias("nll"))
+
+
+TURNS = r"""WITH toks AS (
+    SELECT conv_id || ':' || turn AS text_id, unnest(range(len(regexp_split_to_array(trim(text), '\s+')))) AS pos,
+           unnest(regexp_split_to_array(trim(text), '\s+')) AS surface
+    FROM conversations
+), tokens AS (
+    SELECT text_id, pos, min(pos) OVER (PARTITION BY text_id, lower(surface)) AS word,
+           coalesce(sum(regexp_matches(surface, '[.!?]$')::INT) OVER (PARTITION BY text_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
+    FROM toks
+), words AS (
+    SELECT text_id, word, line, row_number() OVER g - 1 AS ordinal, count(*) OVER (PARTITION BY text_id, line) AS n
+    FROM tokens WHERE pos = word WINDOW g AS (PARTITION BY text_id, line ORDER BY word)
+), steps AS (SELECT text_id, word AS src_word, lead(word) OVER (PARTITION BY text_id ORDER BY pos) AS dst_word FROM tokens
+), read AS (SELECT text_id, src_word, dst_word, count(*) AS y FROM steps WHERE dst_word > src_word GROUP BY ALL
+), counted AS (
+    SELECT s.text_id, s.word AS src_word, d.word AS dst_word, ln(1 + d.word - s.word) AS ld, (d.word - s.word = 1)::INT AS adjacent,
+           d.ordinal / greatest(1, d.n - 1) AS relative, (d.ordinal < 2)::INT AS first2, (d.ordinal >= d.n - 2)::INT AS last2, coalesce(r.y, 0) AS y
+    FROM words s JOIN words d ON s.text_id = d.text_id AND s.line = d.line AND d.word > s.word
+    LEFT JOIN read r ON r.text_id = s.text_id AND r.src_word = s.word AND r.dst_word = d.word
+)"""
+
+
+def trained_adapter(spark, sf):
+    """Losses of an adapter and a head trained on the embeddings: tokens are vectors, words twenty to a text, edges neighbours."""
+    import numpy as np
+
+    rows = tables.table(spark, sf, "embeddings").select(
+        F.col("label").cast("string").alias("text_id"), "vec_id", F.col("embedding").cast("array<double>").alias("state")
+    )
+    word, index = (F.col("vec_id") % 20).cast("int"), F.col("vec_id").cast("int")
+    tokens = rows.select("text_id", index.alias("token_index"), word.alias("word"), "state")
+    masked = rows.select("text_id", (F.col("vec_id") % 8).cast("int").alias("variant"), index.alias("token_index"), (F.col("vec_id") % 7).cast("int").alias("label"), "state")
+    words = tokens.select("text_id", "word").distinct()
+    target = F.greatest(F.lit(-5.0), -F.ln(1 + F.col("dst") - F.col("src")))
+    edges = words.withColumnRenamed("word", "src").join(words.withColumnRenamed("word", "dst"), "text_id").where("dst > src and dst <= src + 3")
+    laid = training.lay_out(tokens, masked, edges.select("text_id", "src", "dst", target.alias("target")))
+    texts = sorted(r["text_id"] for r in few(laid.select("text_id"), MOST_TEXTS, "texts"))
+    width = rows.select(F.size("state")).first()[0]
+    rng = np.random.default_rng(20260711)
+    head, bias = rng.standard_normal((7, width)) / np.sqrt(width), np.zeros(7)
+    _, curve = training.train(laid, texts, 8, 12, width, head, bias, 0.2, seed=20260711, at_once=len(texts))
+    return spark.createDataFrame(curve, "step int, token_loss double, edge_loss double, norm double")
+
+
 def _links(spark, sf) -> DataFrame:
     """Pages (p:id) link to names (n:word), and a name leads to the pages that have it in their title."""
     pages = tables.table(spark, sf, "pages")
@@ -1275,6 +1371,38 @@ FROM each e JOIN whole w USING (contrast)""",
         result_checks,
         "result rule failures#",
         "\n=>\nSELECT 'x' AS result, 'x' AS rule, 0 AS failures WHERE false"),
+    "turn_pair_features": Query(
+        turn_pair_features,
+        "text_id pairs# log1p_abs_distance* adjacent* target_relative_position* target_first2* target_last2* count*",
+        TURNS + """
+=>
+SELECT text_id, count(*) AS pairs, sum(ld) AS log1p_abs_distance, sum(adjacent) AS adjacent, sum(relative) AS target_relative_position,
+       sum(first2) AS target_first2, sum(last2) AS target_last2, sum(y) AS count
+FROM counted GROUP BY text_id""",
+    ),
+    "turn_fit_one_feature": Query(
+        turn_fit_one_feature,
+        "feature coefficient*",
+        TURNS + ", every AS (SELECT 0 AS k, text_id, src_word, ld, y FROM counted)" + newton_sql("every")
+        + "\n=>\nSELECT 'log1p_abs_distance' AS feature, b AS coefficient FROM fits",
+    ),
+    "turn_crossfit_one_feature": Query(
+        turn_crossfit_one_feature,
+        "half# events* nll*",
+        TURNS + """, halved AS (
+        SELECT half, text_id, src_word, ld, CASE WHEN CAST(split_part(text_id, ':', 2) AS BIGINT) % 2 = half THEN y ELSE 0 END AS y,
+               CAST(split_part(text_id, ':', 1) AS BIGINT) % 3 AS fold
+        FROM counted, range(2) h(half)
+    ), laid AS (SELECT half || ':' || held AS k, text_id, src_word, ld, y FROM halved, range(3) f(held) WHERE fold <> held)"""
+        + newton_sql("laid")
+        + """, told AS (
+        SELECT half, y, exp(b * ld) / sum(exp(b * ld)) OVER (PARTITION BY half, text_id, src_word) AS p
+        FROM halved JOIN fits ON k = half || ':' || fold
+    )
+=>
+SELECT half, sum(y) AS events, sum(-y * ln(p)) AS nll FROM told GROUP BY half""",
+    ),
+    "trained_adapter": Query(trained_adapter, "step# token_loss* edge_loss* norm*"),
     "faulted_checks": Query(
         faulted_checks,
         "result rule failures#",

@@ -260,20 +260,6 @@ def test_digest_tells_boundaries_apart(spark):
     assert readers.relation_digest(df.select("words"), []).distinct().count() == 2
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from pathloom.streaming.transitions import stream_events
-
-    v = visits(spark, [0, 0, 2, 1, 3], [0, 0, 0, 0, 1]).unionByName(visits(spark, [4, 5, 2], subject="s2"))
-    for n in range(5):
-        v.where(F.col("fixation_order") == n + 1).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
-    stream = spark.readStream.schema(v.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    query = stream_events(stream).writeStream.format("memory").queryName("events").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    key = ["subject_id", "src_word", "dst_word", "event_type"]
-    assert sorted(map(tuple, spark.table("events").select(key).collect())) == sorted(map(tuple, transitions.extract_events(v).select(key).collect()))
-
-
 def test_hashed_draws_are_halves(spark):
     events = spark.createDataFrame([(f"t:{t}", f"s{i}") for t in range(2) for i in range(5 + t)], "text_id string, subject_id string")
     rows = draws.half_draws(events, 3, 1).collect()
@@ -283,22 +269,6 @@ def test_hashed_draws_are_halves(spark):
             assert len({r.subject_id for r in own}) == len(own) == 5 + t and sum(r.half == 0 for r in own) == (5 + t) // 2
 
 
-def test_cache_is_built_once(spark, tmp_path):
-    from pathloom.sources.cache import cached, fingerprint
-
-    built = []
-
-    def build():
-        built.append(1)
-        return spark.range(3)
-
-    key = fingerprint(version=1, layer="last")
-    assert key == fingerprint(layer="last", version=1) != fingerprint(layer="last", version=2)
-    for _ in range(2):
-        assert cached(spark, str(tmp_path), key, build).count() == 3
-    assert built == [1]
-
-
 def test_failed_checks(spark):
     df = spark.createDataFrame([(1,), (None,)], "x int")
     rules = {"a": {"positive": F.col("x") > 0, "any": F.lit(True)}, "b": {"any": F.lit(True)}}
