@@ -27,7 +27,7 @@ from pathloom.llm.words import portions, split_words, translated
 
 MIN_DOCUMENTS, TOP_TERMS = 10, 10
 #: Bytes of text that are counted together, and bytes of text for each shard.
-PORTION, SHARD_BYTES = 16 << 20, 64 << 20
+PORTION, SHARD_BYTES = 4 << 20, 64 << 20
 
 #: Bytes of a term stand for themselves, A-Z for a-z, all others for a space.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
