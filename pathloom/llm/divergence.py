@@ -26,14 +26,14 @@ from pathloom.llm.common import bounded_batches, materialize, releasing, shuffle
 from pathloom.llm.words import portions, split_words, translated
 
 MIN_DOCUMENTS, TOP_TERMS = 10, 10
-#: Bytes of text that are counted together, and bytes of text for each shard.
-PORTION, SHARD_BYTES = 4 << 20, 64 << 20
+#: Bytes of text that are counted together, bytes of text for each shard of counts, and cells for each shard of kept terms.
+PORTION, SHARD_BYTES, SHARD_CELLS = 4 << 20, 64 << 20, 100_000
 
 #: Bytes of a term stand for themselves, A-Z for a-z, all others for a space.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 COUNTED = "lang string, source string, term string, n long, docs long"
-CELLS = "shard int, lang string, term string, source string, n long"
+CELLS = "lang string, term string, source string, n long"
 
 #: Counts of a shard: the terms that enough documents of their language hold.
 COUNT_SQL = """
@@ -66,6 +66,8 @@ SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM sh
 QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, term) <= ?
 """
 
+_CELLS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64())])
+
 
 def _query(shard: pa.Table, sql: str, *parameters) -> pa.Table:
     """SQL over one shard, in memory and on one thread; a shard is bounded, so nothing is written anywhere."""
@@ -135,7 +137,7 @@ def _held(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def kept_terms(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, **columns: str) -> tuple[DataFrame, DataFrame]:
-    """The cells (shard, lang, term, source, n) of the terms that enough documents of a language hold, and all (lang, source)."""
+    """The cells (lang, term, source, n) of the terms that enough documents of a language hold, and all (lang, source)."""
     spark = docs.sparkSession
     text = columns.get("text_col", "text")
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
@@ -145,18 +147,10 @@ def kept_terms(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, **columns: s
     key = F.when(F.col("term").isNull(), F.xxhash64("lang", "source")).otherwise(F.xxhash64("lang", "term"))
     counted = counted.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int"))
 
-    def add_up(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        marks = rows.filter(pc.is_null(rows["term"]))
+    def add_up(rows: pa.Table) -> pa.Table:
         cells = _query(rows.filter(pc.is_valid(rows["term"])), COUNT_SQL, min_documents)
-        number = lambda t: pa.array(np.full(t.num_rows, key[0].as_py()), pa.int32())
-        none = pa.nulls(marks.num_rows, pa.string())
-        out = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64())])
-        return pa.concat_tables(
-            [
-                pa.table([number(cells), *(cells[c] for c in ("lang", "term", "source", "n"))], names=out.names).cast(out),
-                pa.table([number(marks), marks["lang"], none, marks["source"], pa.array(np.zeros(marks.num_rows, np.int64))], names=out.names).cast(out),
-            ]
-        )
+        names = ["lang", "term", "source", "n"]
+        return pa.concat_tables([t.select(names).cast(_CELLS) for t in (cells, rows.filter(pc.is_null(rows["term"])))])
 
     cells = materialize(counted.groupBy("shard").applyInArrow(add_up, CELLS), "cells")
     return cells.where("term is not null"), cells.where("term is null").select("lang", "source")
@@ -204,7 +198,9 @@ def audit_sources(
         return pa.concat_tables([t.select(out.names).cast(out) for t in named])
 
     schema = "lang string, source string, part string, item string, value long"
-    shared = cells.join(groups, ["lang", "source"]).select("shard", "lang", "term", "source", "n", "own", "whole", "kept")
+    # As many shards as the kept terms ask for: each gives a row for every pair of sources that meet in it.
+    shard = F.pmod(F.xxhash64("lang", "term"), F.lit(max(1, -(-cells.count() // SHARD_CELLS)))).alias("shard")
+    shared = cells.join(groups, ["lang", "source"]).select(shard, "lang", "term", "source", "n", "own", "whole", "kept")
     partial = materialize(shared.groupBy("shard").applyInArrow(in_shard, schema), "partial")
 
     # Terms that one source has, by a histogram of its counts, against the other's absent ones; salted, as languages are few.

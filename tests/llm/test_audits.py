@@ -139,6 +139,7 @@ def test_sources_diverge_as_in_sql(spark, monkeypatch):
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     monkeypatch.setattr(divergence, "PORTION", 3000)
     monkeypatch.setattr(divergence, "SHARD_BYTES", 500)
+    monkeypatch.setattr(divergence, "SHARD_CELLS", 20)
     got, want = checked(docs.repartition(3))
     assert got == want and {r[2] for r in got} == {"pair", "term"}
     assert ("fr", "f0", "pair", "f1", 0, 1) in got and any(r[:2] == ("en", "empty") for r in got) and any(r[0] == "" for r in got)
