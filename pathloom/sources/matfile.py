@@ -101,6 +101,8 @@ SENTENCES = (
     "bounds array<array<double>>, fix array<struct<x double, y double, duration double>>"
 )
 
+COLUMNS = ("subject_id", "text_id", "slot", "content", "words", "bounds", "fix")
+
 
 def sentence(subject: str, task: str, slot: int, item: object) -> tuple:
     """One row of SENTENCES; a slot without words or fixations has nulls in their place."""
@@ -126,20 +128,23 @@ def sentence(subject: str, task: str, slot: int, item: object) -> tuple:
     return subject, f"{task}:{slot}", slot, content, claims, bounds.tolist(), fix
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """SENTENCES of all result files under a path, named results<SUBJECT>_<TASK>.mat; slots count from 1."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mat").load(path)
+def read_results(spark: SparkSession, path: str, subjects: list[str] | None = None) -> DataFrame:
+    """SENTENCES of all result files under a path, named results<SUBJECT>_<TASK>.mat; slots count from 1.
+
+    Any store that Spark reads will do; files of other subjects than those asked for are not opened.
+    """
+    wanted = "*.mat" if subjects is None else f"results{{{','.join(subjects)}}}_*.mat"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", wanted).load(path)
     subject, task = readers.identity(F.col("path"))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ("subject_id", "text_id", "slot", "content", "words", "bounds", "fix")]
         for frame in frames:
             for row in frame.itertuples():
                 found = variables(bytes(row.content))
                 if "sentenceData" not in found:
                     raise ValueError(f"no sentenceData in {os.path.basename(row.path)}")
                 rows = [sentence(row.subject, row.task, i, s) for i, s in enumerate(found["sentenceData"], 1)]
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=list(COLUMNS))
 
     return files.select("path", "content", subject.alias("subject"), task.alias("task")).mapInPandas(parse, SENTENCES)
 

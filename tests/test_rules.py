@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import expressions as E
 from pathloom.functions.bounds import few
 from pathloom.operators import audit, compare, corpus_audit, intervals, metrics, model, pairs, resample, scoring, transitions
-from pathloom.sources import matfile, readers
+from pathloom.sources import matfile, readers, results
 
 from .test_draws import in_order, uniform
 
@@ -136,6 +136,30 @@ def test_result_files_are_read(spark, tmp_path):
     assert sorted((r.word_index, r.fixation_order, r.duration_ms) for r in visits.collect()) == [(0, 1, 20.0), (0, 4, 80.0)]
     with pytest.raises(ValueError, match="level 5"):
         matfile.variables(b"x" * 200)
+    (tmp_path / "resultsDEF_nr.mat").write_bytes(b"broken")
+    assert matfile.read_results(spark, str(tmp_path), ["ABC"]).count() == 2  # the other file is not opened
+
+
+def test_result_files_are_a_table(spark, tmp_path):
+    """A scan of one subject reads its file alone: one of the others here cannot be parsed."""
+    slots = [{"content": f"s{i}", "word": float("nan"), "allFixations": float("nan"), "wordbounds": []} for i in range(3)]
+    packed = zlib.compress(to_mat(slots, "sentenceData"))
+    content = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM" + struct.pack("<II", 15, len(packed)) + packed
+    for name in ("resultsA_nr.mat", "resultsB_nr.mat", "resultsB_tsr.mat"):
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "resultsC_nr.mat").write_bytes(b"broken")
+    results.register(spark)
+    load = lambda **options: spark.read.format(results.FORMAT).options(**options).load(str(tmp_path))
+    assert load(subjects="A").rdd.getNumPartitions() == 1
+    both = load(subjects="A, B")
+    assert both.rdd.getNumPartitions() == 3 and both.count() == 9
+    assert sorted((r.subject_id, r.text_id) for r in both.where("text_id = 'TSR:2'").collect()) == [("B", "TSR:2")]
+    assert load(subjects="B", tasks="tsr").rdd.getNumPartitions() == 1 and both.count() == 9
+    with pytest.raises(Exception, match="level 5"):
+        load().count()
+    narrow = spark.read.format(results.FORMAT).option("subjects", "B").schema("slot int, subject_id string").load(str(tmp_path))
+    assert sorted(map(tuple, narrow.collect())) == [(i, "B") for i in (1, 1, 2, 2, 3, 3)]
+    assert load(subjects="nobody").count() == 0
 
 
 def test_names_of_result_files(spark):
