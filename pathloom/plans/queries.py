@@ -664,6 +664,11 @@ def permuted_control(spark, sf):
     return resample.permute_destinations(_design(spark, sf), [], "count", 20260711)
 
 
+def shuffled_labels(spark, sf):
+    """Residuals as labels, shuffled among the destinations of their source."""
+    return resample.permute_destinations(_cells(spark, sf).select(*model.KEYS, "residual"), [], "residual", 20260712)
+
+
 def thinning(spark, sf):
     edges = transitions.with_separation(_forward(spark, sf).join(_design(spark, sf).select(*model.KEYS), model.KEYS))
     return resample.keep_probabilities(edges)
@@ -1327,6 +1332,52 @@ SPECS: dict[str, Query] = {
         "metric partitions# n# median* q25* q75* negative_partitions* negative_share_median* undefined_share_median*",
     ),
     "reader_text_bootstrap": Query(reader_text_bootstrap, "contrast draws# mean* low* high* negative_share*"),
+    "reader_text_bootstrap_one_feature": Query(
+        lambda s, d: reader_text_bootstrap(s, d, ONE),
+        "contrast draws# mean* low* high* negative_share*",
+        BARE_COUNTED
+        + folds_sql()
+        + ", subj AS (SELECT DISTINCT subject_id FROM edges)"
+        + seeded.picks("subj", "rd", (), 200, 20260711, "subject_id")
+        + """, times AS (SELECT draw, subject_id, count(*) AS mult FROM rd JOIN rd_placed USING (i) GROUP BY ALL
+    ), part AS (SELECT draw, text_id, src_word, dst_word, sum(n * mult) AS n FROM edges JOIN times USING (subject_id) GROUP BY ALL
+    ), cells_of AS (
+        SELECT draw, p.text_id, p.src_word, p.dst_word, p.ld, coalesce(e.n, 0) AS y
+        FROM line_pairs p CROSS JOIN range(200) d(draw) LEFT JOIN part e USING (draw, text_id, src_word, dst_word)
+    ), laid AS (SELECT draw || ':' || held AS k, c.* FROM cells_of c JOIN folds f USING (text_id), range(5) t(held) WHERE f.fold <> held)"""
+        + newton_sql("laid")
+        + """, out_of_fold AS (
+        SELECT c.*, exp(b * ld) / sum(exp(b * ld)) OVER (PARTITION BY draw, c.text_id, src_word) AS p
+        FROM cells_of c JOIN folds f USING (text_id) JOIN fits ON fits.k = draw || ':' || f.fold
+    )"""
+        + residual_sql("out_of_fold", "draw, ", 3)
+        + """, scores AS (
+        SELECT condition, seed, text_id, src_word, dst_word, CAST((src_word * m + dst_word * 13 + seed * 5) % 17 AS DOUBLE) AS y
+        FROM line_pairs, (VALUES ('gaze', 3), ('mlm', 5), ('shuffled', 7), ('position', 11)) v(condition, m), range(5) t(seed)
+    ), joined AS (
+        SELECT c.draw, s.condition, s.seed, s.text_id, c.residual AS x, s.y
+        FROM bundle c JOIN scores s ON s.text_id = c.text_id AND s.src_word = c.src_word AND s.dst_word = c.dst_word
+        WHERE c.reliable
+    ), each AS ("""
+        + corr_sql("joined", "draw, condition, seed, text_id")
+        + """), by_text AS (
+        SELECT draw, condition, text_id, avg(CASE WHEN r IS NOT NULL THEN atanh(greatest(least(r, 1 - 1e-7), 1e-7 - 1)) END) AS z
+        FROM each WHERE n >= 4
+        GROUP BY ALL HAVING bool_and(r IS NOT NULL)
+    ), found AS (
+        SELECT 'gaze_vs_' || b.condition AS contrast, a.draw AS "outer", a.text_id, a.z - b.z AS difference
+        FROM by_text a JOIN by_text b ON a.draw = b.draw AND a.text_id = b.text_id
+        WHERE a.condition = 'gaze' AND b.condition <> 'gaze'
+    )"""
+        + seeded.means("found", "inner_means", ("contrast", '"outer"'), "difference", 200, 20260711)
+        + """, outer_means AS (SELECT contrast, "outer", avg(difference) AS m FROM found GROUP BY ALL
+    ), whole AS (SELECT contrast, count(*) AS draws, avg(m) AS mean FROM outer_means GROUP BY ALL
+    ), spread AS (
+        SELECT contrast, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, avg((m < 0)::INT) AS negative_share FROM inner_means GROUP BY ALL
+    )
+=>
+SELECT * FROM whole JOIN spread USING (contrast)""",
+    ),
     "criterion_contrasts": Query(
         criterion_contrasts,
         "contrast text_id difference*",
@@ -2214,6 +2265,20 @@ FROM counted
     )
 =>
 SELECT a.text_id, a.src_word, a.dst_word, b.y AS count
+FROM drawn a JOIN drawn b ON a.text_id = b.text_id AND a.src_word = b.src_word AND a.place = b.chance""",
+    ),
+    "shuffled_labels": Query(
+        shuffled_labels,
+        "text_id src_word# dst_word# residual*",
+        SCORED
+        + """, drawn AS (
+        SELECT text_id, src_word, dst_word, residual, row_number() OVER (PARTITION BY text_id, src_word ORDER BY dst_word) AS place,
+               row_number() OVER (PARTITION BY text_id, src_word
+                                  ORDER BY md5('20260712:' || text_id || ':' || src_word || ':' || dst_word), dst_word) AS chance
+        FROM cells
+    )
+=>
+SELECT a.text_id, a.src_word, a.dst_word, b.residual
 FROM drawn a JOIN drawn b ON a.text_id = b.text_id AND a.src_word = b.src_word AND a.place = b.chance""",
     ),
     "thinning_probabilities": Query(
