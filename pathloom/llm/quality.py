@@ -1,12 +1,13 @@
 """Quality classifier: random-indexing vectors, pooled by document, and a two-layer network.
 
-A word gives two tokens: its letters in lower case, and its shape (case pattern and marks). Tokens are
-hashed into a fixed number of slots. A slot has a sparse random index vector, a function of its number,
-and a context vector: the sum of the index vectors of the tokens beside it, over all documents. Each task
-sums its own part of that table, and the parts are added up by ranges of slots, so what moves and what is
-broadcast has a fixed size. A document's features are the means of its tokens' vectors, and of what these
-cannot tell, the share of words that repeat the one before and the number of words. The network is fitted on a bounded sample of the labelled rows; a temperature, fitted on a part of the sample that the
-network did not see, calibrates its probabilities.
+A word gives three tokens: its letters in lower case, its shape (case pattern and marks), and whether it is the word
+before it once more. The first two are hashed into a fixed number of slots. A slot has a sparse random index vector, a
+function of its number, and a context vector: the sum of the index vectors of the tokens beside it, over all documents.
+Each task sums its own part of that table, and the parts are added up by ranges of slots, so what moves and what is
+broadcast has a fixed size. The third token has one of two index vectors of its own. A document's features are the means
+of its tokens' vectors, each of the three kinds by itself, and nothing else. The network is fitted on a bounded sample
+of the labelled rows; a temperature, fitted on a part of the sample that the network did not see, calibrates its
+probabilities.
 """
 
 from __future__ import annotations
@@ -144,20 +145,30 @@ def _again(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1)
 
 
-def _means(texts: pa.Array, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By portion of texts: the means over their words of the letters' row of one table plus the shape's row of the other, and two more features."""
+def repeat_vectors() -> np.ndarray:
+    """Unit index vectors of the third token: of a word that is the one before it, and of one that is not."""
+    rng = np.random.default_rng(SEED + 1)
+    own = np.zeros((2, DIM))
+    np.add.at(own, (np.arange(2)[:, None], rng.integers(0, DIM, (2, NONZERO))), rng.choice((-1.0, 1.0), (2, NONZERO)))
+    return own / np.sqrt((own**2).sum(1, keepdims=True))
+
+
+def _means(texts: pa.Array, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> Iterator[np.ndarray]:
+    """By portion of texts: the means over their words of the letters' row of one table, the shape's of the next and the repeat's of the last."""
     for part in portions(texts, _PORTION_BYTES):
         counts, words, distinct = split_words(part)
         letters, shape = slots(distinct)
+        again = _again(words, counts)
+        new = (counts > 0) - again
         means = _sums(first[letters] + second[shape], words, counts) / np.maximum(counts, 1)[:, None]
-        yield means, np.column_stack([_again(words, counts), np.log1p(counts)])
+        yield means + np.outer(again, third[0]) + np.outer(new, third[1])
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Features of texts: means of the word and of the shape vectors, share of words that are the one before, logarithm of the word count."""
-    none = np.zeros_like(vectors)
-    parts = [np.hstack(p) for p in _means(texts, np.hstack([vectors, none]), np.hstack([none, vectors]))]
-    return np.concatenate([np.zeros((0, 2 * DIM + 2)), *parts])
+    """Features of texts: means of the word, of the shape and of the repeat vectors."""
+    wide = lambda m, k: np.hstack([m if i == k else np.zeros_like(m) for i in range(3)])
+    parts = _means(texts, wide(vectors, 0), wide(vectors, 1), wide(repeat_vectors(), 2))
+    return np.concatenate([np.zeros((0, 3 * DIM)), *parts])
 
 
 class Network:
@@ -218,13 +229,11 @@ class Network:
         """From texts to probabilities. The first layer is linear in the means, so it is applied to the slots' vectors once."""
         layer = self.w1 / self.scale[:, None]
         first, second = ((vectors @ layer[i * DIM : (i + 1) * DIM]).astype(np.float32) for i in range(2))
+        third = repeat_vectors() @ layer[2 * DIM :]
         bias = self.b1 - self.mean @ layer
 
         def score(texts: pa.Array) -> np.ndarray:
-            parts = [
-                self._calibrated(np.tanh(means + more @ layer[2 * DIM :] + bias) @ self.w2 + self.b2)
-                for means, more in _means(texts, first, second)
-            ]
+            parts = [self._calibrated(np.tanh(means + bias) @ self.w2 + self.b2) for means in _means(texts, first, second, third)]
             return np.concatenate([np.zeros(0), *parts])
 
         return score

@@ -321,7 +321,8 @@ def test_quality_is_pooling_and_a_forward_pass(spark, make_docs, monkeypatch):
         words = [w.decode() for w in (t or "").encode().split()]
         pairs = [[x[0] for x in quality.slots(pa.array([w]))] for w in words]
         mean = np.mean([np.concatenate([vectors[a], vectors[b]]) for a, b in pairs], axis=0, dtype=float) if words else np.zeros(2 * quality.DIM)
-        more = [sum(x == y for x, y in zip(words[1:], words)) / max(1, len(words)), math.log1p(len(words))]
+        again, new = quality.repeat_vectors()
+        more = np.mean([again if k and words[k - 1] == w else new for k, w in enumerate(words)], axis=0) if words else np.zeros(quality.DIM)
         x = (np.append(mean, more) - net.mean) / net.scale
         logit = np.tanh(x @ net.w1 + net.b1) @ net.w2 + net.b2
         want = 1 / (1 + math.exp(-logit / net.temperature))
