@@ -10,11 +10,12 @@ def cluster_intervals(intervals: DataFrame, keys: list[str], top: str = "top", b
     """``intervals`` with ``line_id``: intervals that overlap strictly, directly or through others, share one.
 
     Lines are numbered from 0 by their top within the keys. Gaps and islands: sorted by (top, bottom), an
-    interval begins a new line if nothing before it reaches below its top.
+    interval begins a new line if nothing before it reaches below its top. Intervals without a top come last and
+    overlap nothing.
     """
-    order = Window.partitionBy(*keys).orderBy(top, bottom)
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(top), F.asc_nulls_last(bottom))
     reach = F.max(bottom).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(reach.isNull() | (F.col(top) >= reach), 1).otherwise(0)
+    begins = F.when(F.col(top) < reach, 0).otherwise(1)
     return intervals.withColumn("_begins", begins).withColumn(
         "line_id",
         F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1,

@@ -69,6 +69,14 @@ def test_lines_from_intervals(spark):
     assert [r.line_id for r in intervals.cluster_intervals(rows, ["text_id"]).orderBy("w").collect()] == [0, 0, 1]
 
 
+def test_lines_of_missing_and_equal_intervals(spark):
+    rows = spark.createDataFrame(
+        [(1, None, None), (2, None, None), (3, 22.0, 27.0), (4, 22.0, 27.0), (5, 15.0, 20.0), (6, 27.0, None)], "w int, top double, bottom double"
+    ).withColumn("text_id", F.lit("t"))
+    found = {r.w: r.line_id for r in intervals.cluster_intervals(rows, ["text_id"]).collect()}
+    assert (found[5], found[3], found[4], found[6]) == (0, 1, 1, 2) and sorted([found[1], found[2]]) == [3, 4]
+
+
 def test_ambiguous_bounds_are_not_mapped(spark):
     rows = [("t", 1, 70.0, 154.0), ("t", 1, 246.0, 330.0), ("t", 2, 70.0, 154.0)]
     mapped, audit = intervals.line_map(spark.createDataFrame(rows, "text_id string, word_index int, top double, bottom double"))
