@@ -14,6 +14,7 @@ from pathloom.functions import expressions as E
 from pathloom.functions.bounds import MOST_TEXTS, few
 from pathloom.operators import responses
 from pathloom.operators.responses import NotConverged
+from pathloom.sources.scratch import written
 
 GROUP = ["text_id", "src_word"]
 KEYS = [*GROUP, "dst_word"]
@@ -145,33 +146,12 @@ def fit_large(
     max_rounds: int = 30,
     tolerance: float = 1e-8,
 ) -> dict[str, float]:
-    """One fit over a design of any size: each Newton round is one pass of sums, P + P(P+1)/2 of them."""
-    beta = np.zeros(len(names))
-    group = Window.partitionBy(*GROUP)
-    index = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    for _ in range(max_rounds):
-        scored = with_probability(
-            design.withColumn("score", linear_score(dict(zip(names, beta))))
-        ).withColumn("_total", F.sum("count").over(group))
-        for n in names:
-            scored = scored.withColumn(f"_m_{n}", F.sum(F.col("probability") * F.col(n)).over(group))
-        w = F.col("_total") * F.col("probability")
-        sums = [F.sum(F.col(n) * (w - F.col("count"))).alias(f"g{i}") for i, n in enumerate(names)]
-        sums += [
-            F.sum(w * (F.col(names[i]) - F.col(f"_m_{names[i]}")) * (F.col(names[j]) - F.col(f"_m_{names[j]}"))).alias(f"h{i}_{j}")
-            for i, j in index
-        ]
-        row = scored.agg(F.sum("count").alias("n"), *sums).first()
-        gradient = l2 * beta + np.array([row[f"g{i}"] for i in range(len(names))])
-        if np.abs(gradient).max() <= tolerance * (1 + row["n"]):
-            return dict(zip(names, beta.tolist()))
-        hessian = l2 * np.eye(len(names))
-        for i, j in index:
-            hessian[i, j] += row[f"h{i}_{j}"]
-            if i != j:
-                hessian[j, i] += row[f"h{i}_{j}"]
-        beta = beta - np.linalg.solve(hessian, gradient)
-    raise NotConverged(f"no convergence in {max_rounds} rounds")
+    """One fit over a design of any size: it is laid out once, and each Newton round is one pass of sums, P + P(P+1)/2 of them."""
+    once = F.array(F.struct(F.lit(0).alias("_r"), F.lit(1.0).alias("times")))
+    none = F.lit(None).cast("array<struct<_r:int,dst_word:bigint,count:double>>")
+    laid = written(responses.lay_out(design, names, count=True).withColumn("counts", none).withColumn("times", once), "design")
+    beta = responses.fit_responses(laid, 1, len(names), 1, l2, max_rounds=max_rounds, tolerance=tolerance)
+    return dict(zip(names, beta[0, 0].tolist()))
 
 
 #: Largest design, in cells times features, that every task may hold as a whole: 160 MB.

@@ -26,6 +26,7 @@ FAN_IN, CHUNK = 64, 64
 SOURCE = ["text_id", "src_word"]
 KEYS = [*SOURCE, "dst_word"]
 SUMS = "chunk int, sums binary"
+Sources = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Table]]
 
 
 class NotConverged(RuntimeError):
@@ -67,6 +68,21 @@ def with_times(laid: DataFrame, draws: DataFrame, responses: list[tuple]) -> Dat
     return laid.withColumn("counts", F.lit(None).cast("array<struct<_r:int,dst_word:bigint,count:double>>")).join(drawn, "text_id", "left")
 
 
+def _over(f: Callable[[np.ndarray, np.ndarray], np.ndarray], values: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """``f`` of each column of ``values``; along rows numpy is several times slower where columns are few."""
+    return np.column_stack([f(np.ascontiguousarray(v), by) for v in values.T]) if values.shape[1] <= 4 else f(values, by)
+
+
+def _by_source(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums (sources x columns) of cells' numbers."""
+    return _over(lambda v, at: np.add.reduceat(v, at, axis=0), values, starts)
+
+
+def _wide(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each source's numbers for each of its cells."""
+    return _over(lambda v, n: np.repeat(v, n, axis=0), values, lengths)
+
+
 class Block:
     """Some sources of a batch, as arrays: cells in order, where each source's begin, and the counts of every response."""
 
@@ -96,8 +112,12 @@ class Block:
             owner = np.repeat(np.arange(len(lengths)), given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             r, dst = entry.field("_r").to_numpy() - first, entry.field("dst_word").to_numpy()
             # A source's candidates are in order, so (source, candidate) is sorted; counts of others fall away.
-            values, code = np.unique(np.concatenate([self.dst, dst]), return_inverse=True)
-            keys, asked = self.source * len(values) + code[: len(self.dst)], owner * len(values) + code[len(self.dst) :]
+            low, high = min(int(self.dst.min()), int(dst.min())), max(int(self.dst.max()), int(dst.max()))
+            if len(lengths) * (high - low + 1) < 1 << 62:
+                keys, asked = self.source * (high - low + 1) + (self.dst - low), owner * (high - low + 1) + (dst - low)
+            else:
+                values, code = np.unique(np.concatenate([self.dst, dst]), return_inverse=True)
+                keys, asked = self.source * len(values) + code[: len(self.dst)], owner * len(values) + code[len(self.dst) :]
             at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
             on = (r >= 0) & (r < stop - first) & (keys[at] == asked)
             np.add.at(self.count, (at[on], r[on]), entry.field("count").to_numpy()[on])
@@ -105,16 +125,19 @@ class Block:
     def probabilities(self, beta: np.ndarray, cells: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cells x fits) probabilities under coefficients (fits x features), and the log of each source's sum."""
         s = self.x[cells] @ beta.T
-        top = np.maximum.reduceat(s, starts)
-        e = np.exp(s - np.repeat(top, lengths, axis=0))
-        z = np.add.reduceat(e, starts)
-        return e / np.repeat(z, lengths, axis=0), np.log(z) + top
+        top = _over(lambda v, at: np.maximum.reduceat(v, at, axis=0), s, starts)
+        e = np.exp(s - _wide(top, lengths))
+        z = _by_source(e, starts)
+        return e / _wide(z, lengths), np.log(z) + top
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], features: int, first: int, stop: int, wide: int) -> Iterator[tuple[pa.Table, Block]]:
-    """The batches' rows in blocks of a bounded number of cells times ``wide``."""
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    return (pa.Table.from_batches([batch]) for batch in batches)
+
+
+def _blocks(tables: Iterator[pa.Table], features: int, first: int, stop: int, wide: int) -> Iterator[tuple[pa.Table, Block]]:
+    """The tables' rows in blocks of a bounded number of cells times ``wide``."""
+    for rows in tables:
         cells = np.cumsum(rows["cells"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         limit, start = max(1, NUMBERS // max(1, wide)), 0
         while start < rows.num_rows:
@@ -125,28 +148,39 @@ def _blocks(batches: Iterator[pa.RecordBatch], features: int, first: int, stop:
             start = end
 
 
+def _shares(block: Block) -> Iterator[tuple[int, slice, np.ndarray]]:
+    """(fold, responses, sources) of a block that have counts together; where few have, each response is on its own."""
+    mass = _by_source(block.count, block.starts) if len(block.starts) else np.zeros(block.count[:0].shape)
+    several = mass.shape[1] > 1 and 2 * np.count_nonzero(mass) <= mass.size
+    for f in np.unique(block.fold):
+        mine = block.fold == f
+        for r in range(mass.shape[1]) if several else [None]:
+            sources = mine & (mass[:, r] > 0) if several else mine
+            if sources.any():
+                yield int(f), slice(r, r + 1) if several else slice(None), sources
+
+
 def _sums(block: Block, beta: np.ndarray, total: np.ndarray, n_folds: int) -> None:
     """Add to ``total`` (responses x held folds x numbers) the loss, mass, gradient and curvature of a block's sources."""
     features = block.x.shape[1]
     upper = np.triu_indices(features)
-    for f in np.unique(block.fold):
-        mine = block.fold == f
+    for f, r, mine in _shares(block):
         cells = mine[block.source]
         lengths = block.lengths[mine]
         starts = np.cumsum(lengths) - lengths
-        x, c = block.x[cells], block.count[cells]
-        mass = np.add.reduceat(c, starts)
+        x, c = block.x[cells], block.count[cells, r]
+        mass = _by_source(c, starts)
         products = x[:, upper[0]] * x[:, upper[1]]
         for held in range(n_folds):
             if n_folds > 1 and held == f:
                 continue
-            p, log_sum = block.probabilities(beta[:, held], cells, starts, lengths)
-            w = p * np.repeat(mass, lengths, axis=0)
-            out = total[:, held]
-            out[:, 0] += (mass * log_sum).sum(0) - ((x.T @ c) * beta[:, held].T).sum(0)
+            p, log_sum = block.probabilities(beta[r, held], cells, starts, lengths)
+            w = p * _wide(mass, lengths)
+            out = total[r, held]
+            out[:, 0] += (mass * log_sum).sum(0) - ((x.T @ c) * beta[r, held].T).sum(0)
             out[:, 1] += mass.sum(0)
             out[:, 2 : 2 + features] += (w - c).T @ x
-            means = np.stack([np.add.reduceat(p * x[:, i : i + 1], starts) for i in range(features)])  # features x sources x fits
+            means = np.stack([_by_source(p * x[:, i : i + 1], starts) for i in range(features)])  # features x sources x fits
             spread = np.einsum("gr,igr,jgr->rij", mass, means, means, optimize=True)
             out[:, 2 + features :] += w.T @ products - spread[:, upper[0], upper[1]]
 
@@ -184,13 +218,13 @@ def numbers_of(features: int) -> int:
     return 2 + features + features * (features + 1) // 2
 
 
-def _round(laid: DataFrame, beta: np.ndarray, first: int, n_folds: int) -> np.ndarray:
+def _round(laid: DataFrame, beta: np.ndarray, first: int, n_folds: int, sources: Sources = _tables) -> np.ndarray:
     """Sums of all fits (responses x held folds x numbers) at their coefficients."""
     fits, _, features = beta.shape
 
     def partial(batches):
         total = np.zeros((fits, n_folds, numbers_of(features)))
-        for _, block in _blocks(batches, features, first, first + fits, fits):
+        for _, block in _blocks(sources(batches), features, first, first + fits, fits):
             _sums(block, beta, total, n_folds)
         yield from chunks_of(total)
 
@@ -234,18 +268,39 @@ def newton(round_: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int], p
     raise NotConverged(f"no convergence in {max_rounds} rounds")
 
 
-def fit_responses(laid: DataFrame, responses: int, features: int, n_folds: int = 1, l2: float = 1.0) -> np.ndarray:
+def fit_responses(laid: DataFrame, responses: int, features: int, n_folds: int = 1, l2: float = 1.0, sources: Sources = _tables, **limits) -> np.ndarray:
     """Coefficients (responses x held folds x features); with one fold nothing is held out. Raises if a fit does not settle.
 
-    ``laid`` is read once a round and should be written somewhere; fits are taken some thousand at a time.
+    ``laid`` is read once a round and should be written somewhere; fits are taken some thousand at a time. ``sources``
+    makes tables of sources from its batches, if it has other rows. ``limits`` are those of ``newton``.
     """
     at_once, parts = max(1, FITS // n_folds), []
     for first in range(0, responses, at_once):
         shape = (min(at_once, responses - first), n_folds)
-        parts.append(newton(lambda beta, first=first: _round(laid, beta, first, n_folds), shape, np.full(features, float(l2))))
+        parts.append(newton(lambda beta, first=first: _round(laid, beta, first, n_folds, sources), shape, np.full(features, float(l2)), **limits))
     return np.concatenate(parts) if parts else np.zeros((0, n_folds, features))
 
 
+def held_out_nll(laid: DataFrame, beta: np.ndarray, sources: Sources = _tables) -> np.ndarray:
+    """(responses x 2): each response's counts and their negative log-likelihood, each text's by the fit that held out its fold."""
+    responses, _, features = beta.shape
+
+    def partial(batches):
+        total = np.zeros((responses, 2))
+        for _, block in _blocks(sources(batches), features, 0, responses, responses):
+            for f, r, mine in _shares(block):
+                cells, lengths = mine[block.source], block.lengths[mine]
+                starts = np.cumsum(lengths) - lengths
+                _, log_sum = block.probabilities(beta[r, f], cells, starts, lengths)
+                c = block.count[cells, r]
+                mass = _by_source(c, starts)
+                total[r, 0] += mass.sum(0)
+                total[r, 1] += (mass * log_sum).sum(0) - ((block.x[cells].T @ c) * beta[r, f].T).sum(0)
+        yield from chunks_of(total)
+
+    return tree_sum(laid.mapInArrow(partial, SUMS), (responses, 2))
+
+
 def predict_responses(laid: DataFrame, beta: np.ndarray, responses: list[tuple], by: list[str], kinds: str, out: DataFrame) -> DataFrame:
     """(by, KEYS, count, probability) of every response and cell, each text by the fit that held out its fold."""
     features, at_once = beta.shape[2], 64
@@ -257,7 +312,7 @@ def predict_responses(laid: DataFrame, beta: np.ndarray, responses: list[tuple],
         for batch in batches:
             for first in range(0, len(responses), at_once):
                 stop = min(first + at_once, len(responses))
-                for rows, block in _blocks(iter([batch]), features, first, stop, 8 * at_once):
+                for rows, block in _blocks(_tables([batch]), features, first, stop, 8 * at_once):
                     for f in np.unique(block.fold):
                         mine = block.fold == f
                         cells = mine[block.source]

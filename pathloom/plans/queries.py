@@ -13,6 +13,7 @@ from pathloom.operators import (
     corpus_audit,
     draws,
     intervals,
+    lines,
     metrics,
     model,
     pairs,
@@ -1140,38 +1141,37 @@ def fold_spread(spark, sf):
     return metrics.coefficient_variability(fits, [])
 
 
-def _turn_design(spark, sf) -> DataFrame:
-    """Pairs of the words of each sentence of each turn, and how often one is read right after the other."""
-    tokens = tables.turn_tokens(spark, sf)
-    words = tokens.where("position = word_index").drop("position")
-    design = pairs.build_pairs(words, "forward_same_line", "position_only")
-    order = Window.partitionBy("text_id").orderBy("position")
-    steps = tokens.select("text_id", F.col("word_index").alias("src_word"), F.lead("word_index").over(order).alias("dst_word"))
-    edges = steps.where("dst_word > src_word").groupBy(*model.KEYS).agg(F.count(F.lit(1)).cast("double").alias("count"))
-    return transitions.count_vector(design, edges)
+def turn_pair_features(spark, sf):
+    """Pairs of the words of each sentence of each turn, and how often one is read right after the other, summed up."""
+    return lines.pair_sums(lines.token_lines(tables.turns(spark, sf)), pairs.POSITION)
 
 
-def turn_pair_features(spark, sf):
-    sums = [F.sum(n).alias(n) for n in (*pairs.POSITION, "count")]
-    return _turn_design(spark, sf).groupBy("text_id").agg(F.count(F.lit(1)).alias("pairs"), *sums)
+def _laid_turns(spark, sf, half) -> DataFrame:
+    """Lines of the turns, written once; a turn's steps count for one response, and conversations are dealt into folds."""
+    conversation = F.split_part("text_id", F.lit(":"), F.lit(1)).cast("bigint")
+    found = lines.token_lines(tables.turns(spark, sf))
+    return written(found.withColumn("fold", (conversation % 3).cast("int")).withColumn("response", half.cast("int")), "turn-lines")
 
 
 def turn_fit_one_feature(spark, sf):
     """A fit over a design that grows with the table, by rounds of sums."""
-    design = written(_turn_design(spark, sf).select(*model.KEYS, *ONE, "count"), "turn-design")
-    return spark.createDataFrame(list(model.fit_large(design, ONE).items()), "feature string, coefficient double")
+    laid = _laid_turns(spark, sf, F.lit(0)).withColumn("fold", F.lit(0))
+    beta = responses.fit_responses(laid, 1, len(ONE), sources=lines.source_rows(ONE))
+    return spark.createDataFrame(list(zip(ONE, beta[0, 0].tolist())), "feature string, coefficient double")
 
 
 def turn_crossfit_one_feature(spark, sf):
     """Out-of-fold likelihood of the steps in even and in odd turns, with all fits' Newton rounds taken together."""
-    design = written(_turn_design(spark, sf).select(*model.KEYS, *ONE, "count"), "turn-design")
-    conversation = F.split_part("text_id", F.lit(":"), F.lit(1)).cast("bigint")
-    folds = design.select("text_id").distinct().withColumn("fold", (conversation % 3).cast("int"))
     turn = F.split_part("text_id", F.lit(":"), F.lit(2)).cast("bigint")
-    counts = design.where("count > 0").select((turn % 2).cast("int").alias("half"), *model.KEYS, "count")
-    sides = spark.range(2).select(F.col("id").cast("int").alias("half"))
-    found = responses.crossfit_responses(design.drop("count"), counts, ONE, folds, ["half"], sides)
-    return found.groupBy("half").agg(F.sum("count").alias("events"), F.sum(-F.col("count") * F.ln("probability")).alias("nll"))
+    laid, sources = _laid_turns(spark, sf, turn % 2), lines.source_rows(ONE)
+    folds = sorted(r[0] for r in laid.select("fold").distinct().collect())  # folds are few
+    if not folds:
+        return spark.createDataFrame([], "half int, events double, nll double")
+    place = F.create_map(*[F.lit(x) for pair in zip(folds, range(len(folds))) for x in pair])
+    numbered = laid.withColumn("fold", F.element_at(place, F.col("fold"))).where("response in (0, 1)")
+    beta = responses.fit_responses(numbered, 2, len(ONE), len(folds), sources=sources)
+    found = responses.held_out_nll(numbered, beta, sources)
+    return spark.createDataFrame([(half, *map(float, found[half])) for half in range(2)], "half int, events double, nll double")
 
 
 TURNS = r"""WITH toks AS (

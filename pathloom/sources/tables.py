@@ -57,22 +57,7 @@ def words(visits: DataFrame) -> DataFrame:
     )
 
 
-def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token of every turn of a conversation: (text_id, position, word_index, sentence_number, line_id).
-
-    The word of a token is its first place in the turn, whatever its case; sentences are lines. Turns, tokens and the
-    pairs of a line grow with the table.
-    """
-    turns = table(spark, sf_dir, "conversations")
-    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    tokens = turns.select(key.alias("text_id"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("position", "surface"))
-    first = F.min("position").over(Window.partitionBy("text_id", F.lower("surface")))
-    before = Window.partitionBy("text_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.coalesce(F.sum(F.col("surface").rlike("[.!?]$").cast("int")).over(before), F.lit(0)).cast("bigint")
-    return tokens.select(
-        "text_id",
-        F.col("position").cast("bigint").alias("position"),
-        first.cast("bigint").alias("word_index"),
-        (ended + 1).alias("sentence_number"),
-        ended.alias("line_id"),
-    )
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the conversations as texts (text_id, text); they grow with the table. Without a number there is no id."""
+    key = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    return table(spark, sf_dir, "conversations").select(key.alias("text_id"), "text")
