@@ -7,6 +7,8 @@ nothing is made on the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from pathloom.sources.scratch import written
 
 #: Numbers are whole and below this.
 RANGE = 1 << 32
+#: Draws of readers that a task makes.
+SLOTS = 250_000
 
 
 def _counter(c) -> Column:
@@ -78,10 +82,14 @@ def four_subject_draws(events: DataFrame) -> DataFrame:
     return ranked.select("text_id", "draw", half.alias("half"), "subject_id", F.lit(1).alias("mult"))
 
 
-def picks(rows: DataFrame, by: list[str], repeats: int, seed: int, *key) -> tuple[DataFrame, DataFrame]:
-    """(by, draw, _slot, _pick) of as many draws with replacement as a group has rows, and the ``numbered`` rows."""
+def picks(rows: DataFrame, by: list[str], repeats: int, seed: int, *key, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(by, draw, _slot, _pick) of as many draws with replacement as a group has rows, and the ``numbered`` rows.
+
+    ``parts`` is the number of tasks that make the draws; a few rows would else be one task's.
+    """
     placed = numbered(rows, by, *key)
-    slots = _each(placed.select(*by, "_n", F.col("_i").alias("_slot")), repeats)
+    own = placed.select(*by, "_n", F.col("_i").alias("_slot"))
+    slots = _each(own.repartition(parts, "_slot") if parts else own, repeats)
     pick = below(F.col("_n"), seed, *[F.col(c) for c in by], F.col("draw"), F.col("_slot"))
     return slots.select(*by, "draw", "_slot", "_n", pick.alias("_pick")), placed
 
@@ -96,11 +104,15 @@ def resampled(rows: DataFrame, by: list[str], repeats: int, seed: int, *key) ->
 def reader_draws(subjects: DataFrame, repeats: int, seed: int, split: bool = False) -> DataFrame:
     """(draw, half, subject_id, mult): subjects drawn with replacement.
 
-    With ``split`` the first half of the drawn places, rounded down, is half 0; a subject may be in both halves.
+    With ``split`` the first half of the drawn places, rounded down, is half 0; a subject may be in both halves. Draws
+    are made and counted by as many tasks as their number asks for, each with all draws of its subjects.
     """
-    drawn, placed = picks(subjects.select("subject_id").distinct(), [], repeats, seed, F.col("subject_id"))
+    found = written(subjects.select("subject_id").distinct(), "readers")
+    parts = max(1, math.ceil(found.count() * repeats / SLOTS))
+    drawn, placed = picks(found, [], repeats, seed, F.col("subject_id"), parts=parts)
     half = F.when(F.lit(split) & (F.col("_slot") >= F.floor(F.col("_n") / 2)), 1).otherwise(0)
-    times = drawn.groupBy("draw", half.alias("half"), F.col("_pick").alias("_i")).agg(F.count(F.lit(1)).alias("mult"))
+    dealt = drawn.select(F.col("_pick").alias("_i"), "draw", half.alias("half")).repartition(parts, "_i")
+    times = dealt.groupBy("_i", "draw", "half").agg(F.count(F.lit(1)).alias("mult"))
     return placed.join(times, "_i").select("draw", "half", "subject_id", F.col("mult").cast("int").alias("mult"))
 
 

@@ -1099,8 +1099,8 @@ def criterion_contrasts(spark, sf):
 def reader_text_bootstrap(spark, sf, names: tuple[str, ...] = pairs.POSITION):
     """Two hundred draws of readers: residuals refitted, contrasts of conditions, texts resampled within each draw."""
     edges = _forward(spark, sf)
-    readers_of = draws.reader_draws(edges.select("subject_id"), 200, 20260711)
-    cells = audit.half_residuals(_design(spark, sf, "position_only").drop("count"), edges, readers_of, names, _folds(spark), 3)
+    readers_of = written(draws.reader_draws(edges.select("subject_id"), 200, 20260711), "reader-draws")
+    cells = written(audit.half_residuals(_design(spark, sf, "position_only").drop("count"), edges, readers_of, names, _folds(spark), 3), "cells")
     found = audit.criterion_contrasts(cells, _condition_scores(spark, sf), ["draw"], MODEL_PAIRS)
     return audit.nested_bootstrap(found, ["contrast"], "difference", 200, 20260711)
 

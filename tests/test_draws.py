@@ -140,6 +140,17 @@ def test_area_counts_ties_by_half(spark):
         assert got[k].area == pytest.approx(area) and got[k].balanced == pytest.approx(((pos >= 0).mean() + (neg < 0).mean()) / 2)
 
 
+def test_reader_draws_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    many = spark.range(300).select(F.col("id").cast("string").alias("subject_id"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    few = rows(draws.reader_draws(many, 5, 3, split=True))
+    monkeypatch.setattr(draws, "SLOTS", 200)
+    dealt = draws.reader_draws(many, 5, 3, split=True)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and ", 8), REPARTITION_BY_NUM" in plan
+    assert rows(dealt) == few and sum(r[3] for r in few) == 5 * 300
+
+
 def test_a_design_is_laid_out_once_whatever_the_draws(spark):
     """Rows that are written are one a source; draws add entries to them, not copies."""
     rows = [(f"t:{t}", s, d, float(d)) for t in range(3) for s in range(4) for d in range(s + 1, 6)]
