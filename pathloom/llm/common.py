@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -93,14 +94,21 @@ def _remove_written() -> None:
             return
 
 
+def release_memory() -> None:
+    """What Arrow and, where it can be told to, the C library keep of freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def releasing(run):
-    """``run`` over batches; what Arrow keeps of freed memory goes back when a task is done, since its worker waits for the next."""
+    """``run`` over batches; freed memory goes back when a task is done, since its worker waits for the next."""
 
     def tidy(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
     return tidy
 
@@ -176,5 +184,5 @@ def tree_sum(parts: DataFrame, add, schema: str, ranges: int, fan_in: int = 64)
     """
     for _ in range(2):
         near = parts.withColumn("__near", (F.spark_partition_id() / fan_in).cast("int"))
-        parts = near.repartition(shuffle_partitions(parts.sparkSession), "range", "__near").drop("__near").mapInArrow(add, schema)
-    return parts.repartition(ranges, "range").mapInArrow(add, schema)
+        parts = near.repartition(shuffle_partitions(parts.sparkSession), "range", "__near").drop("__near").mapInArrow(releasing(add), schema)
+    return parts.repartition(ranges, "range").mapInArrow(releasing(add), schema)

@@ -32,7 +32,9 @@ SAMPLE_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 30, 256, 3e-3, 1e-2, 11
 THRESHOLD = 0.3
 HOLD_OUT_FOLDS = 5
-_RANGES = 16
+#: Ranges of slots that a task's table is cut into, and the tasks that add them up at last. A range is at most 128 KB.
+_RANGES, _ADDERS = 128, 16
+_RANGE_SLOTS = SLOTS // _RANGES
 #: Bytes of texts whose words are held as arrays at a time, and words whose vectors are.
 _PORTION_BYTES, _BLOCK_WORDS = 4_000_000, 1 << 14
 
@@ -81,31 +83,39 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for target, neighbour in ((after, before), (before, after)):
                 for j in range(NONZERO):
                     total += np.bincount(target * DIM + place[neighbour, j], sign[neighbour, j], SLOTS * DIM)
-    parts = np.split(total, _RANGES)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(_RANGES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-        ["range", "sums"],
-    )
+    for r, part in enumerate(np.split(total, _RANGES)):
+        yield _sums_row(r, part)
+
+
+def _sums_row(r: int, part: np.ndarray) -> pa.RecordBatch:
+    """A range's sums, which are whole numbers, in the narrowest integers that hold them."""
+    most = np.abs(part).max()
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or most < 1 << (8 * w - 1))
+    return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part.astype(f"<i{width}").tobytes()], pa.binary())], ["range", "sums"])
+
+
+def _sums_read(sums: bytes) -> np.ndarray:
+    return np.frombuffer(sums, f"<i{len(sums) // (_RANGE_SLOTS * DIM)}")
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for r, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(sums.as_py(), "<f8")
-            totals[r] = totals[r] + part if r in totals else part
+            if r not in totals:
+                totals[r] = np.zeros(_RANGE_SLOTS * DIM, np.int64)
+            totals[r] += _sums_read(sums.as_py())
     for r, total in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["range", "sums"])
+        yield _sums_row(r, total)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """A unit vector for each slot: its own index vector and what it was seen beside, over all documents."""
     bounded_batches(docs)
-    parts = tree_sum(docs.select(text_col).mapInArrow(releasing(_context_sums), "range int, sums binary"), _added, "range int, sums binary", _RANGES)
-    table = np.zeros(SLOTS * DIM)
+    parts = tree_sum(docs.select(text_col).mapInArrow(releasing(_context_sums), "range int, sums binary"), _added, "range int, sums binary", _ADDERS)
+    table = np.zeros((SLOTS, DIM))
     for r, sums in parts.collect():  # a table of fixed size, in _RANGES rows
-        table[r * (SLOTS * DIM // _RANGES) : (r + 1) * (SLOTS * DIM // _RANGES)] += np.frombuffer(sums)
-    table = table.reshape(SLOTS, DIM)
+        table[r * _RANGE_SLOTS : (r + 1) * _RANGE_SLOTS] += _sums_read(sums).reshape(-1, DIM)
     place, sign = index_vectors()
     own = np.zeros((SLOTS, DIM))
     np.add.at(own, (np.arange(SLOTS)[:, None], place), sign)
@@ -113,24 +123,33 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (0.5 * (unit(table) + unit(own))).astype(np.float32)
 
 
-def _sums(table: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of the table's rows at the words of each text, a block of words at a time.
+def _sums(tables: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray) -> np.ndarray:
+    """Sums over the words of each text of what the tables hold for them, a block of words at a time.
 
-    A long text is cut from its own beginning, so that a text's sum does not depend on the texts beside it.
+    Beside each table is every word's row in it. A text is cut from its own beginning, and added up in one way
+    whatever stands beside it, so that equal texts have equal sums.
     """
-    out = np.zeros((len(counts), table.shape[1]))
+
+    def rows(begin: int, end: int) -> np.ndarray:
+        held = tables[0][0][tables[0][1][begin:end]]
+        for table, row in tables[1:]:
+            held += table[row[begin:end]]
+        return held
+
+    out = np.zeros((len(counts), tables[0][0].shape[1]))
     ends = np.cumsum(counts)
     i = 0
     while i < len(counts):
         begin = int(ends[i] - counts[i])
-        j = max(i + 1, int(np.searchsorted(ends, begin + _BLOCK_WORDS, "right")))
-        if j == i + 1:
+        if counts[i] > _BLOCK_WORDS:
             for a in range(begin, int(ends[i]), _BLOCK_WORDS):
-                out[i] += table[words[a : min(a + _BLOCK_WORDS, int(ends[i]))]].sum(0, dtype=np.float64)
-        else:
-            held = np.flatnonzero(counts[i:j]) + i
-            if len(held):
-                out[held] = np.add.reduceat(table[words[begin : int(ends[j - 1])]], ends[held] - counts[held] - begin, axis=0)
+                out[i] += rows(a, min(a + _BLOCK_WORDS, int(ends[i]))).sum(0, dtype=np.float64)
+            i += 1
+            continue
+        j = int(np.searchsorted(ends, begin + _BLOCK_WORDS, "right"))
+        held = np.flatnonzero(counts[i:j]) + i
+        if len(held):
+            out[held] = np.add.reduceat(rows(begin, int(ends[j - 1])), ends[held] - counts[held] - begin, axis=0)
         i = j
     return out
 
@@ -153,21 +172,22 @@ def repeat_vectors() -> np.ndarray:
     return own / np.sqrt((own**2).sum(1, keepdims=True))
 
 
-def _means(texts: pa.Array, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> Iterator[np.ndarray]:
-    """By portion of texts: the means over their words of the letters' row of one table, the shape's of the next and the repeat's of the last."""
+def _placed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By portion of texts: their numbers of words, each word's slots of letters and of shape, the texts' shares of repeats."""
     for part in portions(texts, _PORTION_BYTES):
         counts, words, distinct = split_words(part)
         letters, shape = slots(distinct)
-        again = _again(words, counts)
-        new = (counts > 0) - again
-        means = _sums(first[letters] + second[shape], words, counts) / np.maximum(counts, 1)[:, None]
-        yield means + np.outer(again, third[0]) + np.outer(new, third[1])
+        del distinct
+        yield counts, letters[words], shape[words], _again(words, counts)
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """Features of texts: means of the word, of the shape and of the repeat vectors."""
-    wide = lambda m, k: np.hstack([m if i == k else np.zeros_like(m) for i in range(3)])
-    parts = _means(texts, wide(vectors, 0), wide(vectors, 1), wide(repeat_vectors(), 2))
+    third, parts = repeat_vectors(), []
+    for counts, letters, shape, again in _placed(texts):
+        size, new = np.maximum(counts, 1)[:, None], (counts > 0) - again
+        repeats = np.outer(again, third[0]) + np.outer(new, third[1])
+        parts.append(np.hstack([_sums([(vectors, letters)], counts) / size, _sums([(vectors, shape)], counts) / size, repeats]))
     return np.concatenate([np.zeros((0, 3 * DIM)), *parts])
 
 
@@ -233,7 +253,12 @@ class Network:
         bias = self.b1 - self.mean @ layer
 
         def score(texts: pa.Array) -> np.ndarray:
-            parts = [self._calibrated(np.tanh(means + bias) @ self.w2 + self.b2) for means in _means(texts, first, second, third)]
+            parts = []
+            for counts, letters, shape, again in _placed(texts):
+                means = _sums([(first, letters), (second, shape)], counts) / np.maximum(counts, 1)[:, None]
+                means += np.outer(again, third[0]) + np.outer((counts > 0) - again, third[1])
+                # A sum for each row, not a product of matrices, which rounds by a row's place among the others.
+                parts.append(self._calibrated((np.tanh(means + bias) * self.w2).sum(1) + self.b2))
             return np.concatenate([np.zeros(0), *parts])
 
         return score

@@ -6,6 +6,7 @@ import json
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -359,6 +360,42 @@ def test_quality_of_odd_rows(spark, odd_docs):
     assert all(r.score == 0.5 for r in quality.score_quality(odd_docs, labels.where("false")).collect())
 
 
+def test_scores_do_not_depend_on_the_texts_beside():
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((quality.SLOTS, quality.DIM)).astype(np.float32)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 5000, n)) for n in (1, 7, 300, 900, 40, 2500, 11, 120)] * 3
+    long = " ".join(f"v{w}" for w in rng.integers(0, 5000, quality._BLOCK_WORDS + 5))
+    x = quality.pooled(pa.array(texts), vectors)
+    score = quality.Network(x, np.arange(len(x)) % 2.0).scorer(vectors)
+    alone = {t: score(pa.array([t]))[0] for t in [*texts, long]}
+    for batch in (texts, texts[::-1], texts[3:], [x for t in texts for x in (t, long)]):
+        assert score(pa.array(batch)).tolist() == [alone[t] for t in batch]
+        assert np.array_equal(quality.pooled(pa.array(batch), vectors), np.concatenate([quality.pooled(pa.array([t]), vectors) for t in batch]))
+
+
+def test_features_of_many_distinct_words_take_bounded_memory():
+    vectors = np.ones((quality.SLOTS, quality.DIM), np.float32)
+    texts = pa.array([" ".join(f"w{i}" for i in range(a, a + 400)) for a in range(0, 100_000, 400)])
+    tracemalloc.start()
+    quality.pooled(texts, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # a row of three vectors for each distinct word were 77e6, held three times over
+
+
+def test_tables_of_context_sums_move_in_small_rows():
+    found = [b for b in quality._context_sums(iter([pa.RecordBatch.from_arrays([pa.array(["red fox red"])], ["text"])]))]
+    rows = [s.as_py() for b in found for s in b.column(1)]
+    assert sum(map(len, rows)) <= quality.SLOTS * quality.DIM and max(map(len, rows)) <= 1 << 17
+    n = quality._RANGE_SLOTS * quality.DIM
+    for most in (0, 127, 128, -129, 40_000, 1 << 31, -(1 << 40)):  # each width, and sums that outgrow theirs
+        part = np.zeros(n)
+        part[1] = most
+        added = list(quality._added(iter([quality._sums_row(5, part), quality._sums_row(5, part)])))
+        assert [b.column(0).to_pylist() for b in added] == [[5]]
+        assert quality._sums_read(added[0].column(1)[0].as_py()).tolist() == (2 * part).tolist()
+
+
 # -- line dedup -------------------------------------------------------------------------------------------------------
 
 
